@@ -1,6 +1,3 @@
-QUERIES = {}
-ORACLE_SQL = {}
-
-
-def export_manifest(spark, sf_dir):
-    return spark.range(1)
+from . import admission, pages  # noqa: F401
+from .pages import export_manifest
+from .registry import ORACLE_SQL, QUERIES
