@@ -1,3 +1,3 @@
-from . import admission, pages  # noqa: F401
+from . import admission, content, pages, safety  # noqa: F401
 from .pages import export_manifest
 from .registry import ORACLE_SQL, QUERIES
