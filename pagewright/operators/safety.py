@@ -49,6 +49,11 @@ def redact_regions(blocks: DataFrame, rects: DataFrame, cell: int = 8) -> DataFr
     return blocks.join(hit, "id", "left").withColumn("masked", F.coalesce("masked", F.lit(False)))
 
 
+def _grams(words: Column, n: int) -> Column:
+    """Hashes of all runs of ``n`` words, each once; the array is bound first, so that it is built once."""
+    return F.transform(F.array(words), lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.xxhash64(F.slice(t, i, n)))))[0]
+
+
 def leak_scan(outputs: DataFrame, secrets: DataFrame, words: int = 8) -> DataFrame:
     """(doc_id, item_id): secrets that stand in a text, plainly or as hexadecimal digits.
 
@@ -70,8 +75,7 @@ def leak_scan(outputs: DataFrame, secrets: DataFrame, words: int = 8) -> DataFra
         found.append(streams.select("doc_id", F.explode(F.filter(known, lambda k: F.contains(F.col("stream"), k["secret"]))).alias("k")).select("doc_id", "k.item_id"))
     for n, chosen in ((words, F.size("inner") >= words), (1, F.size("inner").between(1, words - 1))):
         keys = keyed.filter(chosen).select("item_id", "secret", F.xxhash64(F.slice("inner", 1, n)).alias("key"))
-        grams = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i, n=n: F.xxhash64(F.slice(tokens, i, n)))
-        probes = streams.filter(F.size(tokens) >= n).select("doc_id", "stream", F.explode(F.array_distinct(grams)).alias("key"))
+        probes = streams.filter(F.size(tokens) >= n).select("doc_id", "stream", F.explode(_grams(tokens, n)).alias("key"))
         found.append(probes.join(keys, "key").filter(F.contains("stream", "secret")).select("doc_id", "item_id"))
     return reduce(DataFrame.unionAll, found).distinct()
 
