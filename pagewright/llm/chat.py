@@ -10,7 +10,7 @@ running totals. A dialogue of T turns and P participants gives P x T rows, which
 
 Defined cases: a null or empty speaker is called ``unknown``; null text is empty; dialogues with a null id
 form one dialogue; a dialogue of system turns alone has no participant and no row; repeated rows are
-repeated turns; turns with the same number are ordered by speaker and text; a mark inside a text is broken up
+repeated turns; turns with the same number are ordered by speaker and a checksum of the text; a mark inside a text is broken up
 so that no text can forge a turn; columns besides conv_id, turn, role and text are ignored.
 """
 
@@ -41,8 +41,8 @@ def perspectives(turns: DataFrame) -> DataFrame:
         F.concat(head, "content", F.lit(END + "\n")).alias("segment"),
         own.alias("trained"),
         F.length(head).cast("long").alias("_head"),
-    ).withColumns({"_one": F.lit(1).cast("long"), "_chars": F.length("segment").cast("long")})
-    placed = running_totals(freeze(rendered, "turns"), ["turn", "speaker", "segment"], ["_one", "_chars"], ["conv_id", "perspective"], "dialogues")
+    ).withColumns({"_one": F.lit(1).cast("long"), "_chars": F.length("segment").cast("long"), "_sum": F.md5(F.col("segment").cast("binary"))})
+    placed = running_totals(freeze(rendered, "turns"), ["turn", "speaker", "_sum"], ["_one", "_chars"], ["conv_id", "perspective"], "dialogues")
     start = F.col("_chars_before")
     return placed.select(
         "conv_id",
