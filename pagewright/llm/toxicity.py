@@ -17,6 +17,7 @@ each by itself; several labels of one doc_id count as the highest; without label
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import type_of
 
-MAX_DOCUMENTS = 3000
-MAX_CHARS = 20_000
+MAX_DOCUMENTS = 2000
+MAX_CHARS = 10_000
 BUCKETS = 1 << 18
 #: Buckets seen in fewer documents of the fit keep the zero vector.
 MIN_DOCUMENTS = 5
@@ -123,31 +124,32 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     if not len(y) or y.min() == y.max():
         return None
     number: dict[str, int] = {}
-    tokens = np.fromiter((number.setdefault(w, len(number)) for ws, _ in kept for w in ws), dtype=np.int64)
+    tokens = np.fromiter((number.setdefault(w, len(number)) for ws, _ in kept for w in ws), dtype=np.int32)
     sizes = np.array([len(ws) for ws, _ in kept])
-    grams = [subwords(w) for w in number]
-    n_grams = np.array([len(g) for g in grams])
-    flat = np.fromiter((g for own in grams for g in own), dtype=np.int64, count=int(n_grams.sum()))
+    flat_, n_grams = array("i"), np.zeros(len(number), dtype=np.int64)
+    for i, w in enumerate(number):
+        own = subwords(w)
+        flat_.extend(own)
+        n_grams[i] = len(own)
+    flat = np.frombuffer(flat_, dtype=np.int32)
     first = np.cumsum(n_grams) - n_grams
     # Windows: WINDOW words from each place on; at a document's end they are cut, which also serves short ones.
     doc_start = np.cumsum(sizes) - sizes
     n_windows = np.maximum(1, sizes - WINDOW + 1)
-    win_doc = np.repeat(np.arange(len(sizes)), n_windows)
+    win_doc = np.repeat(np.arange(len(sizes), dtype=np.int32), n_windows)
     win_start = np.arange(n_windows.sum()) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows) + doc_start[win_doc]
     win_end = np.minimum(win_start + WINDOW, (doc_start + sizes)[win_doc])
     total = np.concatenate([[0.0], np.cumsum(n_grams[tokens], dtype=np.float64)])
     win_grams = total[win_end] - total[win_start]
     win_first = np.cumsum(n_windows) - n_windows
     rng = np.random.default_rng(seed)
-    # Documents of each bucket: words of a document, then their buckets, each once.
-    doc_word = np.unique(np.repeat(np.arange(len(sizes)), sizes) * len(number) + tokens)
-    spread = n_grams[doc_word % len(number)]
-    at = np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread) + np.repeat(first[doc_word % len(number)], spread)
-    seen = np.unique(np.repeat(doc_word // len(number), spread) * BUCKETS + flat[at]) % BUCKETS
-    common = np.bincount(seen, minlength=BUCKETS) >= MIN_DOCUMENTS
-    del doc_word, spread, at, seen
+    documents = np.zeros(BUCKETS, dtype=np.int64)
+    for start, n in zip(np.cumsum(sizes) - sizes, sizes, strict=True):
+        own = [flat[first[w] : first[w] + n_grams[w]] for w in np.unique(tokens[start : start + n])]
+        documents[np.unique(np.concatenate(own))] += 1
+    common = documents >= MIN_DOCUMENTS
     used = common[flat]
-    word_of, flat = np.repeat(np.arange(len(number)), n_grams)[used], (np.cumsum(common) - 1)[flat[used]]
+    word_of, flat = np.repeat(np.arange(len(number), dtype=np.int32), n_grams)[used], (np.cumsum(common) - 1).astype(np.int32)[flat[used]]
     n_common = int(common.sum())
     vectors = rng.normal(0, 0.1, (n_common, DIMENSIONS))
     softmax = rng.normal(0, 0.5, (DIMENSIONS, 2))
