@@ -17,10 +17,8 @@ each by itself; several labels of one doc_id count as the highest; without label
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +29,8 @@ from .common import type_of
 
 MAX_DOCUMENTS = 2000
 MAX_CHARS = 10_000
-BUCKETS = 1 << 18
+BUCKET_BITS = 18
+BUCKETS = 1 << BUCKET_BITS
 #: Buckets seen in fewer documents of the fit keep the zero vector.
 MIN_DOCUMENTS = 5
 DECAY = 1.0
@@ -40,34 +39,70 @@ WINDOW = 2
 SHARPNESS = 1.5
 EPOCHS = 60
 THRESHOLD = 0.3
-_CACHE = 300_000
-
-
-def subwords(word: str) -> list[int]:
-    """Buckets of the n-grams of a word, and of the word itself, without marks at its ends."""
-    core = f"<{word.strip(_MARKS)}>"
-    grams = [core[i : i + n] for n in (3, 4, 5) for i in range(len(core) - n + 1)]
-    return [crc32(g.encode("utf-8", "replace")) % BUCKETS for g in (*grams, core)]
+#: Texts are scored in groups of about so many characters; a longer text makes one group.
+_CHARS_AT_ONCE = 1 << 21
 
 
 _MARKS = ".,;:!?\"'()[]{}<>#*$%&|-_/\\+=~`@^"
+_FACTOR = np.uint64(0x100000001B3)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) of each n-gram of each word, and of the words themselves, without marks at their ends."""
+    cores = [f"<{w.strip(_MARKS)}>" for w in words]
+    codes = np.frombuffer("".join(cores).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, cores), dtype=np.int64, count=len(cores))
+    starts = np.cumsum(sizes) - sizes
+    word = np.repeat(np.arange(len(cores), dtype=np.int32), sizes)
+    place = np.arange(len(codes)) - starts[word]
+    left = sizes[word] - place
+    hashed = codes + np.uint64(1)
+    of, found = [], []
+    for n in range(2, 6):
+        hashed = hashed[:-1] * _FACTOR + codes[n - 1 :]
+        if n > 2:
+            whole = left[: len(hashed)] >= n
+            of.append(word[: len(hashed)][whole])
+            found.append(hashed[whole])
+    # The word itself: each character times a power of its place.
+    powers = np.cumprod(np.full(int(sizes.max(initial=1)), _MIX | np.uint64(2)))
+    of.append(np.arange(len(cores), dtype=np.int32))
+    found.append(np.add.reduceat(codes * powers[place], starts) if len(cores) else hashed)
+    mixed = np.concatenate(found)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIX
+    return np.concatenate(of), (mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
 
 
-class _Terms(dict):
-    """By word: the sum of its subwords' logits, and in the imaginary part their number."""
-
-    def __init__(self, logits: np.ndarray):
-        super().__init__()
-        self.logits = logits.tolist()
-
-    def __missing__(self, word: str) -> complex:
-        own = subwords(word)
-        value = complex(sum(map(self.logits.__getitem__, own)), len(own))
-        if len(word) <= 64:
-            if len(self) > _CACHE:
-                self.clear()
-            self[word] = value
-        return value
+@dataclass
+class Windows:
+    """Windows of WINDOW words over texts that lie one after another; a shorter text is one window."""
+
+    first: np.ndarray  # window of each text
+    count: np.ndarray  # windows of each text
+    text: np.ndarray  # of each window
+    start: np.ndarray  # word of each window
+    end: np.ndarray
+
+    @classmethod
+    def over(cls, sizes: np.ndarray) -> Windows:
+        """``sizes``: words of each text, none of them 0."""
+        starts, count = np.cumsum(sizes) - sizes, np.maximum(1, sizes - WINDOW + 1)
+        first = np.cumsum(count) - count
+        text = np.repeat(np.arange(len(sizes), dtype=np.int32), count)
+        start = np.arange(count.sum()) - (first - starts)[text]
+        return cls(first, count, text, start, np.minimum(start + WINDOW, (starts + sizes)[text]))
+
+    def sums(self, of_words: np.ndarray) -> np.ndarray:
+        run = np.concatenate([[0.0], np.cumsum(of_words, dtype=np.float64)])
+        return run[self.end] - run[self.start]
+
+    def pool(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The smooth and the plain maximum of each text, its mass, and each window's part of that."""
+        top = np.maximum.reduceat(z, self.first)
+        share = np.exp(SHARPNESS * (z - top[self.text]))
+        mass = np.add.reduceat(share, self.first)
+        return top + np.log(mass / self.count) / SHARPNESS, top, mass, share
 
 
 @dataclass
@@ -76,27 +111,30 @@ class Model:
     bias: float
     scale: np.ndarray  # of [1, pooled, greatest, log words]
 
-    def score(self, words: list[str], terms: _Terms) -> float:
-        if not words:
-            return 0.0
-        z = window_logits(np.fromiter(map(terms.__getitem__, words), dtype=np.complex128, count=len(words))) + self.bias
-        return float(1 / (1 + np.exp(-np.clip(features(z, len(words)) @ self.scale, -30, 30))))
-
-
-def window_logits(values: np.ndarray) -> np.ndarray:
-    """Averages over all windows of WINDOW words, or over all words if they are fewer."""
-    if len(values) <= WINDOW:
-        sums = values.sum(keepdims=True)
-    else:
-        total = np.concatenate([[0], np.cumsum(values)])
-        sums = total[WINDOW:] - total[:-WINDOW]
-    return sums.real / np.maximum(sums.imag, 1)
-
-
-def features(z: np.ndarray, n_words: int) -> np.ndarray:
-    top = z.max()
-    pooled = top + np.log(np.mean(np.exp(SHARPNESS * (z - top)))) / SHARPNESS
-    return np.array([1.0, pooled, top, np.log1p(n_words)])
+    def features(self, texts: list[list[str]]) -> np.ndarray:
+        """One row for each text; none may be without words."""
+        number: dict[str, int] = {}
+        tokens = np.fromiter((number.setdefault(w, len(number)) for ws in texts for w in ws), dtype=np.int32)
+        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        word, bucket = subwords(list(number))
+        windows = Windows.over(sizes)
+        grams = windows.sums(np.bincount(word, minlength=len(number))[tokens])
+        z = windows.sums(np.bincount(word, self.logits[bucket], len(number))[tokens]) / grams + self.bias
+        pooled, top, *_ = windows.pool(z)
+        return np.stack([np.ones(len(texts)), pooled, top, np.log1p(sizes)], axis=1)
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        scores = np.zeros(len(texts))
+        words, some, held = [], [], 0
+        for i, text in enumerate(texts):
+            if own := words_of(text):
+                words.append(own)
+                some.append(i)
+                held += len(text)
+            if words and (held >= _CHARS_AT_ONCE or i == len(texts) - 1):
+                scores[some] = 1 / (1 + np.exp(-np.clip(self.features(words) @ self.scale, -30, 30)))
+                words, some, held = [], [], 0
+        return scores
 
 
 def words_of(text: str | None) -> list[str]:
@@ -126,22 +164,13 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     number: dict[str, int] = {}
     tokens = np.fromiter((number.setdefault(w, len(number)) for ws, _ in kept for w in ws), dtype=np.int32)
     sizes = np.array([len(ws) for ws, _ in kept])
-    flat_, n_grams = array("i"), np.zeros(len(number), dtype=np.int64)
-    for i, w in enumerate(number):
-        own = subwords(w)
-        flat_.extend(own)
-        n_grams[i] = len(own)
-    flat = np.frombuffer(flat_, dtype=np.int32)
+    word_of, flat = subwords(list(number))
+    by_word = np.argsort(word_of, kind="stable")
+    word_of, flat = word_of[by_word], flat[by_word]
+    n_grams = np.bincount(word_of, minlength=len(number))
     first = np.cumsum(n_grams) - n_grams
-    # Windows: WINDOW words from each place on; at a document's end they are cut, which also serves short ones.
-    doc_start = np.cumsum(sizes) - sizes
-    n_windows = np.maximum(1, sizes - WINDOW + 1)
-    win_doc = np.repeat(np.arange(len(sizes), dtype=np.int32), n_windows)
-    win_start = np.arange(n_windows.sum()) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows) + doc_start[win_doc]
-    win_end = np.minimum(win_start + WINDOW, (doc_start + sizes)[win_doc])
-    total = np.concatenate([[0.0], np.cumsum(n_grams[tokens], dtype=np.float64)])
-    win_grams = total[win_end] - total[win_start]
-    win_first = np.cumsum(n_windows) - n_windows
+    windows = Windows.over(sizes)
+    win_grams = windows.sums(n_grams[tokens])
     rng = np.random.default_rng(seed)
     documents = np.zeros(BUCKETS, dtype=np.int64)
     for start, n in zip(np.cumsum(sizes) - sizes, sizes, strict=True):
@@ -149,7 +178,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
         documents[np.unique(np.concatenate(own))] += 1
     common = documents >= MIN_DOCUMENTS
     used = common[flat]
-    word_of, flat = np.repeat(np.arange(len(number), dtype=np.int32), n_grams)[used], (np.cumsum(common) - 1).astype(np.int32)[flat[used]]
+    word_of, flat = word_of[used], (np.cumsum(common) - 1).astype(np.int32)[flat[used]]
     n_common = int(common.sum())
     vectors = rng.normal(0, 0.1, (n_common, DIMENSIONS))
     softmax = rng.normal(0, 0.5, (DIMENSIONS, 2))
@@ -160,17 +189,12 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     for epoch in range(1, epochs + 1):
         gap = softmax[:, 1] - softmax[:, 0]
         word_logit = np.bincount(word_of, (vectors @ gap)[flat], len(number))
-        run = np.concatenate([[0.0], np.cumsum(word_logit[tokens])])
-        z = (run[win_end] - run[win_start]) / win_grams + bias[1] - bias[0]
-        top = np.maximum.reduceat(z, win_first)
-        share = np.exp(SHARPNESS * (z - top[win_doc]))
-        mass = np.add.reduceat(share, win_first)
-        pooled = top + np.log(mass / n_windows) / SHARPNESS
+        pooled, _, mass, share = windows.pool(windows.sums(word_logit[tokens]) / win_grams + bias[1] - bias[0])
         p = 1 / (1 + np.exp(-np.clip(pooled, -30, 30)))
-        d_win = (weight * (p - y) / mass)[win_doc] * share
+        d_win = (weight * (p - y) / mass)[windows.text] * share
         # Back to words, buckets, then vectors and softmax.
         per = d_win / win_grams
-        edge = np.bincount(win_start, per, len(tokens) + 1) - np.bincount(win_end, per, len(tokens) + 1)
+        edge = np.bincount(windows.start, per, len(tokens) + 1) - np.bincount(windows.end, per, len(tokens) + 1)
         d_word = np.bincount(tokens, np.cumsum(edge)[:-1], len(number))
         d_bucket = np.bincount(flat, d_word[word_of], n_common)
         d_gap = vectors.T @ d_bucket
@@ -183,8 +207,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     logits = np.zeros(BUCKETS)
     logits[common] = vectors @ (softmax[:, 1] - softmax[:, 0])
     model = Model(logits, float(bias[1] - bias[0]), np.zeros(4))
-    terms = _Terms(model.logits)
-    x = np.array([features(window_logits(np.array([terms[w] for w in ws])) + model.bias, len(ws)) for ws, _ in aside])
+    x = model.features([ws for ws, _ in aside])
     model.scale = logistic(x, np.array([v for _, v in aside], dtype=np.float64))
     return model
 
@@ -205,9 +228,8 @@ def sample(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_docume
 def _scores(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = model.value
-        terms = _Terms(fitted.logits) if fitted else None
         for batch in batches:
-            made = [fitted.score(words_of(t.as_py()), terms) if fitted else 0.0 for t in batch.column("text")]
+            made = fitted.score(batch.column("text").to_pylist()) if fitted else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, type=pa.float64())], names=["doc_id", "score"])
 
     return run
