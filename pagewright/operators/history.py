@@ -77,15 +77,15 @@ def debounced_saves(log: DataFrame, quiet: Column, order: list[str]) -> DataFram
 
 
 def cas_step(state: dict, row) -> tuple | None:
-    """The state is the revision, and by client the revision it last saw."""
-    seen = state["seen"]
+    """The state is the revision, and by client (as text) the revision it last saw."""
+    seen, client = state["seen"], str(row.client)
     if row.op == "read":
-        seen[row.client] = state["revision"]
+        seen[client] = state["revision"]
         return None
-    ok = row.op == "force" or seen.get(row.client, 0) == state["revision"]
+    ok = row.op == "force" or seen.get(client, 0) == state["revision"]
     if ok:
         state["revision"] += 1
-        seen[row.client] = state["revision"]
+        seen[client] = state["revision"]
     return row.document, row.id, row.op, ok, state["revision"]
 
 
