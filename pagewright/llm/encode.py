@@ -9,6 +9,7 @@ from functools import lru_cache
 #: A piece begins at a space before something that is no white space: the tokenizer's pattern always
 #: starts a new unit there, so pieces encode independently and join to the ids of the whole text.
 _CUT = re.compile(r" (?=\S)")
+_LOOSE = re.compile(r" \s")
 _MARKS = tuple(",.!?;:")
 
 
@@ -70,7 +71,7 @@ class Encoder:
         if len(self.pieces) > self.limit:
             self.pieces.clear()
             self.units.clear()
-        first, *rest = _CUT.split(text) if "  " in text else text.split(" ")
+        first, *rest = _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
         return b"".join(map(self.units.__getitem__, self.units_of(first))) + b"".join(map(self.pieces.__getitem__, rest))
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:

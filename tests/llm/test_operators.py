@@ -65,6 +65,18 @@ def test_encoder_gives_the_ids_of_whole_texts(rows):
         assert np.frombuffer(encoder.encode_one(text), "<u4").tolist() == brute.token_ids(text, 0)[:-1]
 
 
+def test_encoder_keeps_white_space_runs_whole():
+    import public_tokenizers
+
+    encoder = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rnd = random.Random(7)
+    white = "\t\n\x0b\x0c\r\x1c\x1f\x85\xa0\u1680\u180e\u2003\u200b\u2028\u202f\u205f\u3000"
+    texts = ["a \xa0 \xa0 b", " \xa0 \xa0", "x" + " \xa0" * 8 + "y"] + ["".join(rnd.choice(["a", " " + rnd.choice(white), rnd.choice(white), "b "]) for _ in range(rnd.randint(1, 12))) for _ in range(3000)]
+    for text in texts:
+        assert np.frombuffer(encoder.encode_one(text), "<u4").tolist() == brute.token_ids(text, 0)[:-1]
+    assert np.frombuffer(encoder.encode_one(texts[0]), "<u4").tolist() == [64, 11504, 275]
+
+
 def test_token_files_round_trip(docs, rows):
     found = {r.doc_id: r for r in token_orc.token_files(docs).collect()}
     start = 0
