@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 #: Schemes of links that are kept, and named actions that are.
 SAFE_SCHEMES = ("http", "https", "mailto", "tel")
 MAX_BARE = 1000
+HEX_KEY = 16
 NAMED = ("NextPage", "PrevPage", "FirstPage", "LastPage")
 
 
@@ -54,15 +55,22 @@ def _grams(words: Column, n: int) -> Column:
     return F.transform(F.array(words), lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.xxhash64(F.slice(t, i, n)))))[0]
 
 
+def _hex_forms(text: Column) -> Column:
+    """The upper-case hexadecimal forms of a text: of its UTF-8 bytes, and of its UTF-16 units, each of two digits or more."""
+    units = F.regexp_replace(F.hex(F.encode(text, "UTF-16BE")), r"\G(?:00(..)|0(...)|(....))", "$1$2$3")
+    return F.array_distinct(F.array(F.hex(F.encode(text, "UTF-8")), units))
+
+
 def leak_scan(outputs: DataFrame, secrets: DataFrame, words: int = 8) -> DataFrame:
     """(doc_id, item_id): secrets that stand in a text, plainly or as hexadecimal digits.
 
     A text that holds a secret holds its inner words whole, so texts and secrets meet on a hash of inner words:
     the first eight, or the first alone if a secret has fewer. What meets is searched. Secrets of one or two
-    words have no inner word; at most ``MAX_BARE`` of them are searched in every text.
+    words have no inner word; at most ``MAX_BARE`` of them are searched in every text. The hexadecimal form of a
+    secret may begin at any digit, so texts and forms meet on each run of ``HEX_KEY`` digits (or of all digits of a
+    shorter form).
     """
-    decoded = F.transform(F.regexp_extract_all("text", F.lit("((?:[0-9a-fA-F]{2}){8,})"), 1), lambda h: F.try_validate_utf8(F.unhex(h).cast("string")))
-    streams = outputs.select("doc_id", F.explode(F.concat(F.array("text"), decoded)).alias("stream")).filter("stream is not null")
+    streams = outputs.filter("text is not null").select("doc_id", F.col("text").alias("stream"))
     split = F.split("text", " ")
     keyed = secrets.filter("text <> ''").select("item_id", F.col("text").alias("secret"), F.slice(split, 2, F.greatest(F.lit(0), F.size(split) - 2)).alias("inner"))
     tokens = F.split("stream", " ")
@@ -77,6 +85,13 @@ def leak_scan(outputs: DataFrame, secrets: DataFrame, words: int = 8) -> DataFra
         keys = keyed.filter(chosen).select("item_id", "secret", F.xxhash64(F.slice("inner", 1, n)).alias("key"))
         probes = streams.filter(F.size(tokens) >= n).select("doc_id", "stream", F.explode(_grams(tokens, n)).alias("key"))
         found.append(probes.join(keys, "key").filter(F.contains("stream", "secret")).select("doc_id", "item_id"))
+    hexed = secrets.filter("text <> ''").select("item_id", F.explode(_hex_forms(F.col("text"))).alias("secret")).withColumn("n", F.least(F.length("secret"), F.lit(HEX_KEY)))
+    digits = streams.select("doc_id", F.translate("stream", "abcdef", "ABCDEF").alias("stream"))
+    for n in sorted(r.n for r in hexed.select("n").distinct().collect()):
+        keys = hexed.filter(F.col("n") == n).select("item_id", "secret", F.substring("secret", 1, n).alias("key"))
+        # Looking ahead only, so that runs of digits overlap.
+        probes = digits.select("doc_id", "stream", F.explode(F.array_distinct(F.regexp_extract_all("stream", F.lit(f"(?=([0-9A-F]{{{n}}}))"), 1))).alias("key"))
+        found.append(probes.join(keys, "key").filter(F.contains("stream", "secret")).select("doc_id", "item_id"))
     return reduce(DataFrame.unionAll, found).distinct()
 
 

@@ -50,3 +50,23 @@ def test_image_size():
     assert image_size(b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR\0\0\0\x02\0\0\0\x03") == ("png", 2, 3)
     assert image_size(b"\xff\xd8\xff\xe0\0\x04ab\xff\xc2\0\x11\x08\0\x05\0\x07") == ("jpeg", 7, 5)
     assert image_size(b"\xff\xd8\xff") == ("jpeg", None, None) and image_size(None) == (None, None, None)
+
+
+def test_leak_scan_finds_hexadecimal_forms(spark):
+    from pagewright.operators.safety import leak_scan
+
+    secrets = [(1, "SECRET"), (2, "the quick brown fox jumps over the lazy dog again"), (3, "clé"), (4, "日本"), (5, "absent words here"), (6, ""), (7, None)]
+    code = lambda i: secrets[i - 1][1].encode().hex()
+    texts = {
+        1: f"<{code(1)}>",
+        2: f"<0{code(2).upper()}f>",
+        3: f"ff80{code(2)}ffc0",
+        4: "00636CE900",
+        5: f"x{code(3)} 65e5672c",
+        6: code(4).upper(),
+        7: "plain SECRET",
+        8: code(1)[:-1] + " " + code(2)[:-2],
+        9: None,
+    }
+    found = leak_scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(secrets, "item_id long, text string"))
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 2), (3, 2), (4, 3), (5, 3), (5, 4), (6, 4), (7, 1)]
