@@ -5,8 +5,9 @@ unlabelled documents (calibrated probability of 0.95 or more, 0.05 or less) goes
 Each view is calibrated on labelled documents that it was not fitted on, and the calibrated views are combined
 as independent evidence. Every document is then scored.
 
-The fit takes at most ``MAX_LABELLED`` labelled and ``MAX_POOL`` unlabelled documents, those of least hash;
-labels of held-out rows (crc32 of doc_id as text mod 4 = 2) are never used.
+The fit takes at most ``MAX_LABELLED`` labelled documents, those of least hash. Every document without a usable
+label is scored in each round, and the surest ``PER_ROUND`` of each kind that the other view has not yet had are
+taken; labels of held-out rows (crc32 of doc_id as text mod 4 = 2) are never used, so these count as unlabelled.
 
 Defined cases: null text has no words; null metadata is a value of its own; a null doc_id is not held out and
 not labelled; several labels of one doc_id count as the lowest; without labels of both classes every score is
@@ -15,7 +16,9 @@ not labelled; several labels of one doc_id count as the lowest; without labels o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from heapq import nsmallest
 from zlib import crc32
 
 import numpy as np
@@ -27,7 +30,6 @@ from .common import freeze, type_of
 from .toxicity import held_out, logistic
 
 MAX_LABELLED = 8000
-MAX_POOL = 8000
 ROUNDS = 5
 SURE = 0.95
 PER_ROUND = 500
@@ -104,46 +106,104 @@ def _platt(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return logistic(np.stack([np.ones_like(z), z], axis=1), y)
 
 
-def cotrain(labelled: tuple, pool: tuple, rounds: int = ROUNDS) -> list[np.ndarray] | None:
-    """Weights of both views and their calibrations, and the prior's logit. ``labelled``: (x, m, y); ``pool``: (x, m)."""
+#: What a view is sure of: (the view that says so, the label).
+_KINDS = ((0, 1.0), (0, 0.0), (1, 1.0), (1, 0.0))
+#: rank (least is surest), tie, key, x, m
+Row = tuple[float, int, int, list, list]
+
+
+def _surest(x, m, ties, keys, model: tuple, taken: tuple) -> list[list[Row]]:
+    """For each of ``_KINDS`` the surest ``PER_ROUND`` rows whose keys the other view has not had."""
+    views, found = (_text_matrix(x), _meta_matrix(m)), []
+    for v, label in _KINDS:
+        weights, c = model[v]
+        p = 1 / (1 + np.exp(-np.clip(c[0] + c[1] * (views[v] @ weights), -30, 30)))
+        rank = -p if label else p
+        at = np.flatnonzero((p >= SURE if label else p <= 1 - SURE) & ~np.isin(keys, taken[1 - v]))
+        at = at[np.lexsort((keys[at], ties[at], rank[at]))[:PER_ROUND]]
+        found.append([(float(rank[i]), int(ties[i]), int(keys[i]), x[i], m[i]) for i in at])
+    return found
+
+
+def _local_pool(pool: tuple) -> Callable:
+    order = np.arange(len(pool[0]))
+    return lambda model, taken: _surest(pool[0], pool[1], order, order, model, taken)
+
+
+def _spark_pool(pool: DataFrame) -> Callable:
+    """``pool``: key, tie, x, m. Each task keeps its surest rows; the surest of those come to the driver."""
+
+    def pick(model: tuple, taken: tuple) -> list[list[Row]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: list[list[Row]] = [[] for _ in _KINDS]
+            for batch in batches:
+                x = np.asarray(batch.column("x").flatten()).reshape(-1, TEXT_SIZE)
+                m = np.asarray(batch.column("m").flatten()).reshape(-1, 3)
+                found = _surest(x, m, np.asarray(batch.column("tie")), np.asarray(batch.column("key")), model, taken)
+                best = [nsmallest(PER_ROUND, old + new, key=lambda r: r[:3]) for old, new in zip(best, found, strict=True)]
+            rows = [{"kind": k, "rank": r[0], "tie": r[1], "key": r[2], "x": r[3].tolist(), "m": r[4].tolist()} for k, kept in enumerate(best) for r in kept]
+            schema = pa.schema([("kind", pa.int32()), ("rank", pa.float64()), ("tie", pa.int64()), ("key", pa.int64()), ("x", pa.list_(pa.float64())), ("m", pa.list_(pa.int32()))])
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+        near = freeze(pool.mapInArrow(run, "kind int, rank double, tie long, key long, x array<double>, m array<int>"), "surest")
+        firsts = [near.filter(F.col("kind") == k).orderBy("rank", "tie", "key").limit(PER_ROUND) for k in range(len(_KINDS))]
+        rows = sorted(tuple(r) for r in reduce(DataFrame.unionAll, firsts).collect())
+        return [[r[1:] for r in rows if r[0] == k] for k in range(len(_KINDS))]
+
+    return pick
+
+
+def cotrain(labelled: tuple, pool: tuple | Callable, rounds: int = ROUNDS) -> list[np.ndarray] | None:
+    """Weights of both views and their calibrations, and the prior's logit.
+
+    ``labelled``: (x, m, y); ``pool``: (x, m), or a function like that of ``_spark_pool``.
+    """
     y = np.asarray(labelled[2], dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return None
+    pick = pool if callable(pool) else _local_pool(pool)
     fold = np.arange(len(y)) % 4 == 3 if len(y) >= 40 else np.zeros(len(y), dtype=bool)
-    own = [_text_matrix(labelled[0]), _meta_matrix(labelled[1])]
-    free = [_text_matrix(pool[0]), _meta_matrix(pool[1])]
+    matrix = (_text_matrix, _meta_matrix)
+    own = [matrix[v](labelled[v]) for v in (0, 1)]
     check = fold if fold.any() else ~fold
-    extra = [(np.zeros(0, dtype=int), np.zeros(0)), (np.zeros(0, dtype=int), np.zeros(0))]
+    extra: list[list[tuple[Row, float]]] = [[], []]
     fitted, calibrated = [], []
-    for _ in range(rounds):
-        fitted = [logistic(np.concatenate([own[v][~fold], free[v][extra[v][0]]]), np.concatenate([y[~fold], extra[v][1]]), penalty=1.0) for v in (0, 1)]
+    for turn in range(rounds):
+        fitted = [logistic(np.concatenate([own[v][~fold], matrix[v]([r[3 + v] for r, _ in extra[v]])]), np.concatenate([y[~fold], [label for _, label in extra[v]]]), penalty=1.0) for v in (0, 1)]
         calibrated = [_platt(own[v][check] @ fitted[v], y[check]) for v in (0, 1)]
+        if turn == rounds - 1:
+            break
+        taken = tuple(np.array([r[2] for r, _ in extra[v]], dtype=np.int64) for v in (0, 1))
+        found = pick(tuple(zip(fitted, calibrated, strict=True)), taken)
         for v in (0, 1):
-            c = calibrated[v]
-            p = 1 / (1 + np.exp(-np.clip(c[0] + c[1] * (free[v] @ fitted[v]), -30, 30)))
-            taken = set(extra[1 - v][0].tolist())
-            high = [i for i in np.argsort(-p, kind="stable")[: 2 * PER_ROUND] if p[i] >= SURE and i not in taken][:PER_ROUND]
-            low = [i for i in np.argsort(p, kind="stable")[: 2 * PER_ROUND] if p[i] <= 1 - SURE and i not in taken][:PER_ROUND]
+            high, low = found[2 * v], found[2 * v + 1]
             # As many of each kind as the labels have, so that a view's prior is not moved.
             n_low = min(len(low), int(len(high) * (1 - y.mean()) / max(y.mean(), 1e-9)) + 1)
             n_high = min(len(high), int(max(1, n_low) * y.mean() / max(1 - y.mean(), 1e-9)) + 1)
-            new, as_label = high[:n_high] + low[:n_low], [1.0] * n_high + [0.0] * n_low
-            extra[1 - v] = (np.concatenate([extra[1 - v][0], np.array(new, dtype=int)]), np.concatenate([extra[1 - v][1], as_label]))
+            extra[1 - v] += [(r, 1.0) for r in high[:n_high]] + [(r, 0.0) for r in low[:n_low]]
     base = float(np.log((y[check].sum() + 1) / (len(y[check]) - y[check].sum() + 1)))
     return [*fitted, *calibrated, np.array([base])]
 
 
+def unlabelled(seen: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, tie, x, m of every row of ``seen`` without a usable label; rows that tie are equal."""
+    rows = seen.join(_usable(labels).select("doc_id"), "doc_id", "left_anti")
+    return freeze(rows.select(F.monotonically_increasing_id().alias("key"), F.xxhash64("doc_id", "x", "m").alias("tie"), "x", "m"), "unlabelled")
+
+
+def _usable(labels: DataFrame) -> DataFrame:
+    return labels.filter(~held_out() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("label"))
+
+
 def fit(seen: DataFrame, labels: DataFrame) -> list[np.ndarray] | None:
-    """``seen``: the views of all documents. Bounded samples of them come to the driver."""
+    """``seen``: the views of all documents. A bounded sample of the labelled and the surest of the others come to the driver."""
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    usable = labels.filter(~held_out() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("label"))
-    chosen = usable.orderBy(*order).limit(MAX_LABELLED)
+    chosen = _usable(labels).orderBy(*order).limit(MAX_LABELLED)
     known = seen.join(F.broadcast(chosen), "doc_id").orderBy(*order).limit(MAX_LABELLED).collect()
-    # Twice the pool by hash, then without those that have a label: the labels are looked up for these only.
-    some = seen.filter("doc_id is not null").orderBy(*order).limit(2 * MAX_POOL)
-    pool = some.join(labels.select("doc_id").distinct(), "doc_id", "left_anti").orderBy(*order).limit(MAX_POOL).collect()
-    column = lambda rows, c: [r[c] for r in rows]
-    return cotrain((column(known, "x"), column(known, "m"), column(known, "label")), (column(pool, "x"), column(pool, "m")))
+    column = lambda c: [r[c] for r in known]
+    if len(set(column("label"))) < 2:
+        return None
+    return cotrain((column("x"), column("m"), column("label")), _spark_pool(unlabelled(seen, labels)))
 
 
 def _scores(model):

@@ -328,3 +328,29 @@ def test_views_teach_each_other():
     right = lambda w: ((quality_classifier._meta_matrix(m) @ w > 0) == y).mean()
     alone = quality_classifier.logistic(quality_classifier._meta_matrix(m[:60]), y[:60].astype(float), penalty=1.0)
     assert right(model[1]) >= right(alone) and right(model[1]) > 0.95
+
+
+def test_cotraining_sees_every_unlabelled_document(spark, monkeypatch):
+    """With most rows labelled and the unlabelled ones of any hash; what is taken makes room for the next."""
+    rows = [(i, [float(i)] * quality_classifier.TEXT_SIZE, [0, 20, 90]) for i in range(300)] + [(None, [0.5] * quality_classifier.TEXT_SIZE, [0, 20, 90])]
+    seen = spark.createDataFrame(rows, "doc_id long, x array<double>, m array<int>").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 300) if i % 10], "doc_id long, quality int")
+    pool = quality_classifier.unlabelled(seen, labels).collect()
+    held = {r.doc_id for r in labels.filter(quality_classifier.held_out()).collect()}
+    assert held and sorted(r.x[0] for r in pool) == sorted([0.5, *map(float, held | set(range(0, 300, 10)))])
+
+    monkeypatch.setattr(quality_classifier, "PER_ROUND", 4)
+    n = 40
+    frame = spark.createDataFrame([(i, i, [1.0 + i] * quality_classifier.TEXT_SIZE, [0, 20, 90]) for i in range(n)], "key long, tie long, x array<double>, m array<int>").repartition(3)
+    weights = np.zeros(1 + 2 * quality_classifier.TEXT_SIZE)
+    weights[1] = 1
+    meta = np.zeros(1 + quality_classifier.LANGS + quality_classifier.SOURCES + quality_classifier.LENGTHS)
+    model = ((weights, np.array([3.0, 1.0])), (meta, np.array([0.0, 1.0])))
+    pick, had, local = quality_classifier._spark_pool(frame), [], quality_classifier._local_pool(([[1.0 + i] * quality_classifier.TEXT_SIZE for i in range(n)], [[0, 20, 90]] * n))
+    for _ in range(n // 4):
+        taken = (np.zeros(0, dtype=np.int64), np.array(had, dtype=np.int64))
+        found = pick(model, taken)
+        assert [len(f) for f in found] == [4, 0, 0, 0]
+        assert [[r[:3] for r in f] for f in found] == [[r[:3] for r in f] for f in local(model, taken)]
+        had += [r[2] for r in found[0]]
+    assert sorted(had) == list(range(n))
