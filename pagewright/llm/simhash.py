@@ -50,12 +50,12 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n).view(">i8")[0])
 
 
-def _fingerprints(shingle: int):
+def _fingerprints(shingle: int, keep: tuple[str, ...] = ("doc_id",)):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             made = pa.array([fingerprint(t.as_py(), shingle) for t in texts], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), made], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), made], names=[*keep, "fp"])
 
     return run
 
@@ -73,12 +73,17 @@ def links(fingerprints: DataFrame) -> DataFrame:
     return met.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()
 
 
+def _rooted(of_fp: DataFrame) -> DataFrame:
+    """``of_fp``, one row for each ``fp``, with ``root``: the fingerprint that names its component."""
+    distinct = freeze(of_fp, "simhash-distinct")
+    root = components(links(distinct))
+    return distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
     rows = freeze(docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle), f"doc_id {type_of(docs, 'doc_id')}, fp long"), "simhash")
-    distinct = freeze(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    root = components(links(distinct))
-    named = distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = _rooted(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     of_root = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_fp = named.select("fp", "root").join(of_root, "root").select("fp", "component_id")
     # AQE splits a fingerprint that a third of all rows share; the other side has one row for it.
@@ -92,3 +97,18 @@ def first_of_each(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
     """
     found = near_duplicates(docs, shingle=shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+
+
+def one_of_each(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each group: that of the smallest doc_id, then of the least text hash; null ids come last.
+
+    Rows are told apart by a key of their own, so that ids that repeat or are null keep one row all the same.
+    """
+    keyed = freeze(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
+    told = keyed.select("doc_id", "text", "_row", F.xxhash64("text").alias("_hash"))
+    kept = ("doc_id", "_hash", "_row")
+    rows = freeze(told.mapInArrow(_fingerprints(shingle, kept), f"doc_id {type_of(docs, 'doc_id')}, _hash long, _row long, fp long"), "simhash")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), *kept)
+    named = _rooted(rows.groupBy("fp").agg(F.min(rank).alias("first")))
+    first = named.groupBy("root").agg(F.min("first").alias("first")).select("first._row")
+    return keyed.join(first, "_row", "left_semi").select(*docs.columns)

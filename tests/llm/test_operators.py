@@ -157,6 +157,17 @@ def test_simhash(docs, rows, empty, repeated):
     assert simhash.first_of_each(repeated).filter("doc_id = 7").count() == 4
 
 
+def test_one_row_of_each_group(spark, repeated, empty):
+    import corpus_pipeline
+
+    stage = lambda df: sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()), key=repr)
+    assert stage(repeated) == sorted([(7, "other"), (7, "x y z " * 30), (None, "a b c"), (None, None)], key=repr)
+    rows = [(5, "other"), (7, "other"), (7, "x y z " * 30), (None, "x y z " * 30), (None, "a b c"), (None, "a b c"), (3, "one"), (3, "one")]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA).repartition(3)
+    assert stage(df) == sorted([(5, "other"), (7, "x y z " * 30), (None, "a b c"), (3, "one")], key=repr)
+    assert stage(empty) == []
+
+
 def test_links_reach_all_at_two_bits(spark):
     rnd = random.Random(5)
     seen = {rnd.getrandbits(64) for _ in range(40)}
