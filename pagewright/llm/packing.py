@@ -4,8 +4,10 @@ A document of n ids is cut into pieces of 1024 ids and then of the binary digits
 first. Each piece is a sequence of its own; its length is a power of two, so it needs no padding. Equal
 lengths form a bucket, and sequences are numbered bucket by bucket, longest first, without gaps.
 
-Defined cases: null or empty text gives the end id alone; rows that share a doc_id are separate documents;
-an empty table gives no row; columns besides doc_id and text are ignored.
+Defined cases: null or empty text gives the end id alone; a null doc_id is a document like any other; rows that
+share a doc_id, and equal rows, are separate documents; a text of any length is encoded by itself, its pieces are
+rows of their own; an empty table gives no row; columns besides doc_id and text are ignored; strings of the
+tokenizer's added tokens become their ids.
 """
 
 from __future__ import annotations

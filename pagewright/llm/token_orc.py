@@ -4,8 +4,9 @@ The files are in ascending doc_id order. A stripe is read by itself, so readers
 doc_id skips files, stripes and row groups by their minima, maxima and Bloom filters.
 
 Defined cases: null or empty text gives the end id alone; a null doc_id sorts first; rows that share a doc_id
-are separate documents in order of a hash of their text, and equal rows come in any order; an empty table gives no row;
-columns besides doc_id and text are ignored.
+are separate documents in the order of the input's partitions; a text of any length is one row, encoded by itself
+in memory of about five times its size; an empty table gives no row; columns besides doc_id and text are ignored;
+strings of the tokenizer's added tokens, such as its end of text, become their ids, as in the library's own call.
 """
 
 from __future__ import annotations
@@ -55,11 +56,11 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, en
     """Encode whole texts and write them to ``path`` in ascending doc_id order.
 
     One range shuffle of the texts orders them; they are encoded after it, so that sampling the range bounds
-    encodes nothing. ``part`` numbers the files in order; ``part_start`` counts the ids before, in its file.
+    encodes nothing and reads no text. ``part`` numbers the files in order; ``part_start`` counts the ids before, in its file.
     """
-    keys = ["doc_id", F.xxhash64("text")]  # a hash, as samples of the keys go to the driver
-    rows = docs.select("doc_id", "text").repartitionByRange(*keys).sortWithinPartitions(*keys, "text")
-    writer = rows.mapInArrow(_encode(tokenizer, end_id), _schema(type_of(docs, "doc_id"))).write.format("orc")
+    keys = ["doc_id", "_tie"]  # rows of one doc_id spread over files, too
+    rows = docs.select("doc_id", "text").withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    writer = rows.drop("_tie").mapInArrow(_encode(tokenizer, end_id), _schema(type_of(docs, "doc_id"))).write.format("orc")
     options = {"compression": "zstd", "orc.stripe.size": stripe_bytes, "orc.create.index": "true", "orc.row.index.stride": index_rows, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
     for key, value in options.items():
         writer = writer.option(key, value)

@@ -96,7 +96,6 @@ def token_ids(text, end):
 
     if not hasattr(token_ids, "t"):
         token_ids.t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-        token_ids.t.encode_special_tokens = True
     t = token_ids.t
     return [*t.encode(text or "", add_special_tokens=False).ids, end]
 

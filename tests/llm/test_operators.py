@@ -22,11 +22,12 @@ def with_clashes(df):
 
 
 def odd_texts(seed=0):
+    """Null, empty and blank texts, repeats, shared lines, and two long texts."""
     rnd = random.Random(seed)
     pool = [f"w{i}" for i in range(12)]
     line = lambda n: " ".join(rnd.choice(pool) for _ in range(n))
     shared = [line(rnd.randint(1, 70)) for _ in range(8)]
-    texts = [None, "", " ", "\n\n", "one", "one two", "One TWO", "É é É", "a\tb\x0bc d", "### $$$ &&&", "日本 語" * 30, "x" * 3000]
+    texts = [None, "", " ", "\n\n", "one", "one two", "One TWO", "É é É", "a\tb\x0bc d", "### $$$ &&&", "日本 語" * 30, "x" * 3000, "end <|endoftext|> of it"]
     for _ in range(40):
         texts.append("\n".join(rnd.choice(shared) if rnd.random() < 0.6 else rnd.choice(["", " ", line(rnd.randint(1, 60))]) for _ in range(rnd.randint(1, 9))))
     long = " ".join(rnd.choice(pool) + rnd.choice(["", ".", ",", "\n"]) for _ in range(30_000))
@@ -57,9 +58,9 @@ def repeated(spark):
 def test_encoder_gives_the_ids_of_whole_texts(rows):
     import public_tokenizers
 
-    encoder = Encoder(public_tokenizers.path("byte_bpe_50k.json"), cache_pieces=50)
+    encoder = Encoder(public_tokenizers.path("byte_bpe_50k.json"), cache_words=50)
     rnd = random.Random(1)
-    bits = [" ", "  ", "\n", "\t", "a", "b", "'s", "'ll", "é", "1", "22", "!", "..", " ", "　", "日本", "<|endoftext|>", " y", "ª", "ⅷ", "😀", "a,"]
+    bits = [" ", "  ", "\n", "\t", "a", "b", "'s", "'ll", "é", "1", "22", "!", "..", " ", "　", "日本", "<|endoftext|>", "<|", "ab.\ncd", " Q.\nW", " y", "ª", "ⅷ", "😀", "a,"]
     texts = [t for _, t, *_ in rows] + ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 14))) for _ in range(3000)]
     for text in texts:
         assert np.frombuffer(encoder.encode_one(text), "<u4").tolist() == brute.token_ids(text, 0)[:-1]
