@@ -74,19 +74,18 @@ def quality_rules_sql() -> str:
     """The counts, the votes, and every round of expectation-maximisation as one step of a chain."""
     names = [f"v_{r}" for r in RULES]
     votes = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS v_{r}" for r, (bad, good) in CONDITIONS.items())
-    odds = "prior + " + " + ".join(f"CASE {c} WHEN 1 THEN {c}_p WHEN -1 THEN {c}_m ELSE {c}_z END" for c in names)
-    against = " OR ".join(f"{c} = -1" for c in names)
+    odds = "prior + " + " + ".join(f"CASE {c} WHEN 1 THEN {c}_p WHEN -1 THEN {c}_m ELSE 0 END" for c in names)
+    first = [f"ln({START['prior']}) AS prior"] + [f"ln({START[v]}) AS {c}_{k}" for c in names for v, k in ((1, "p"), (-1, "m"))]
     weights = ["ln((g + 1) / (b + 1)) AS prior"]
-    sums = ["sum(n * good) AS g", "sum(n) - sum(n * good) AS b"]
+    sums = ["coalesce(sum(n * good), 0) AS g", "coalesce(sum(n * (1 - good)), 0) AS b"]
     for c in names:
-        for v, k in ((1, "p"), (-1, "m"), (0, "z")):
+        for v, k in ((1, "p"), (-1, "m")):
             sums += [f"coalesce(sum(CASE WHEN {c} = {v} THEN n * good END), 0) AS g_{c}_{k}", f"coalesce(sum(CASE WHEN {c} = {v} THEN n * (1 - good) END), 0) AS b_{c}_{k}"]
-            weights.append(f"ln((g_{c}_{k} + 1) / (g + 3)) - ln((b_{c}_{k} + 1) / (b + 3)) AS {c}_{k}")
-    steps = []
-    for i in range(ROUNDS):
-        good = f"CASE WHEN {against} THEN {1 - START} ELSE {START} END" if i == 0 else f"1 / (1 + exp(-({odds})))"
-        source = "patterns" if i == 0 else f"patterns CROSS JOIN m{i - 1}"
-        steps.append(f"m{i} AS MATERIALIZED (SELECT {', '.join(weights)} FROM (SELECT {', '.join(sums)} FROM (SELECT patterns.*, CAST({good} AS DOUBLE) AS good FROM {source})))")
+            weights.append(f"ln((g_{c}_{k} + 1) / (g_{c}_p + g_{c}_m + 2)) - ln((b_{c}_{k} + 1) / (b_{c}_p + b_{c}_m + 2)) AS {c}_{k}")
+    steps = [f"m0 AS (SELECT {', '.join(first)})"]
+    for i in range(1, ROUNDS + 1):
+        good = f"CAST(1 / (1 + exp(-({odds}))) AS DOUBLE)"
+        steps.append(f"m{i} AS MATERIALIZED (SELECT {', '.join(weights)} FROM (SELECT {', '.join(sums)} FROM (SELECT patterns.*, {good} AS good FROM patterns CROSS JOIN m{i - 1})))")
     return f"""
 WITH t AS (SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS t FROM documents),
 s AS (SELECT doc_id, k, t, {_WORDS.format("t")} AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM t),
@@ -99,12 +98,12 @@ c AS (
     CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
     length(t) - length(regexp_replace(t, '\\p{{Lu}}', '', 'g')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_bangs,
-    len(list_distinct(words)) AS n_distinct
+    length(t) - length(regexp_replace(t, '[.?:;]', '', 'g')) AS n_stops, len(list_distinct(words)) AS n_distinct
   FROM s LEFT JOIN rep USING (k)),
 voted AS MATERIALIZED (SELECT *, {BASE} AS base_failed, {votes} FROM c),
-patterns AS MATERIALIZED (SELECT {", ".join(names)}, count(*) AS n FROM voted GROUP BY ALL),
+patterns AS MATERIALIZED (SELECT {", ".join(names)}, count(*) AS n FROM voted WHERE NOT base_failed GROUP BY ALL),
 {", ".join(steps)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND 1 / (1 + exp(-({odds}))) >= 0.5 AS kept
-FROM voted CROSS JOIN m{ROUNDS - 1}
+FROM voted CROSS JOIN m{ROUNDS}
 """

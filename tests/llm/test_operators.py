@@ -111,17 +111,37 @@ def test_quality_counts(docs, rows, empty, repeated):
     assert quality_rules.keep_good(docs).columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def test_quality_rules_learn_without_labels(spark):
+def test_quality_rules_weigh_votes(spark):
+    """One vote against doesn't refuse a document, several do; an all-must-pass filter keeps other documents."""
     rnd = random.Random(3)
     words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 8))) for _ in range(4000)]
-    good = [" ".join(rnd.choice(words) for _ in range(120)) + "." for _ in range(300)]
-    junk = [" ".join(rnd.choice(words) + "###" for _ in range(120)) for _ in range(30)]
-    loud = [" ".join(rnd.choice(words).upper() + "!!" for _ in range(120)) for _ in range(30)]
-    odd = [g.replace(" ", "\n", 4) + "\nsame line\nsame line" for g in good[:5]]
-    texts = good + odd + junk + loud
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    kept = {r.doc_id for r in quality_rules.score(df).filter("kept").collect()}
-    assert kept == set(range(305))
+    sentence = lambda n: " ".join(rnd.choice(words) for _ in range(n)) + "."
+    good = ["\n".join(sentence(12) for _ in range(10)) for _ in range(300)]
+    one_fault = [g.replace(".", "") for g in good[:8]] + [g + "\nagain.\nagain.\nagain.\nagain.\nagain.\nagain." for g in good[8:16]] + [sentence(12) for _ in range(8)]
+    marked = [" ".join(rnd.choice(words) + rnd.choice(["###", "$$$"]) for _ in range(60)) + " end###" * 50 for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate([*good, *one_fault, *marked, None, "few words"])), "doc_id long, text string")
+    scored = {r.doc_id: r for r in quality_rules.score(df).collect()}
+    against = {i: sum(r[f"v_{n}"] == -1 for n in quality_rules.RULES) for i, r in scored.items()}
+    assert {i for i, r in scored.items() if r.kept} == set(range(324))
+    assert all(against[i] == 1 for i in range(300, 324)) and all(against[i] >= 2 for i in range(324, 354))
+
+
+def test_quality_estimate_recovers_accuracies():
+    """Votes drawn from known accuracies, without labels: the estimate finds them, and beats the majority."""
+    rng = np.random.default_rng(1)
+    n, rules = 20_000, len(quality_rules.RULES)
+    truth = rng.random(n) < 0.7
+    right = np.linspace(0.95, 0.6, rules)
+    votes = np.where((rng.random((n, rules)) < right) == truth[:, None], 1, -1) * (rng.random((n, rules)) < 0.8)
+    counts = {}
+    for row in map(tuple, votes.tolist()):
+        counts[row] = counts.get(row, 0) + 1
+    model = quality_rules.estimate(counts, rounds=40)
+    for k, r in zip(right, quality_rules.RULES):
+        assert abs(model[r][1] - np.log(k / (1 - k))) < 0.35 and abs(model[r][-1] + np.log(k / (1 - k))) < 0.35
+    found = np.array([quality_rules.log_odds(row, model) >= 0 for row in map(tuple, votes.tolist())])
+    assert (found == truth).mean() > ((votes.sum(axis=1) >= 0) == truth).mean() + 0.01
+    assert quality_rules.estimate({})["prior"] == 0
 
 
 def test_line_dedup(docs, rows, empty, repeated):
