@@ -1,24 +1,29 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions only.
 
 A run is a stretch of consecutive lines with ``min_words`` words or more whose first and last line have words.
-A run that stands at an earlier place too (smaller doc_id, or the same document further up) is deleted; the
-first stays. That is: a line with words goes if and only if some run that holds it has an earlier equal; a line
-without words goes only inside such a run that is shortest at one end.
+A line with words is deleted if and only if some run that holds it has an equal at an earlier place (a smaller
+doc_id, or the same document further up); the first stays. A line without words goes if the next lines with words
+on both sides of it go. Repeated passages of fewer words than ``min_words`` stay.
 
-1. For each line with words, the shortest run that starts there and the shortest that ends there are its
-   windows. The line of least hash in a window is its fingerprint. Two equal runs hold equal windows, so they
-   select the same lines: a repeated run cannot be missed.
-2. Fingerprints are looked up over all documents; windows whose fingerprint stands at one place only are done.
-3. The others are joined with the first place of an equal window. Forward and backward windows together cover
-   a repeated run to both its ends, so this extends a match both ways; and each place is compared with the
-   first only, so no pairs arise within a group.
+1. Windows of a document are its runs that fall short without their last line or without their first. The line of
+   least hash in a window is its fingerprint. Only fingerprints are emitted, each once, with its place and keys of
+   the windows that it stands for. Equal runs hold equal windows and so select the same lines: a repeated run
+   cannot be missed, and what selects no line leaves nothing to find.
+2. Fingerprints are joined with those that stand at two places or more; the windows of these are compared with the
+   first place of an equal window. Each meets the first only, so no pairs arise within a group of any size.
+3. A match is extended over the lines of both documents, both ways, to the run's ends; lines are compared by 128
+   bits of hash there, and only runs of ``min_words`` or more that the comparison confirms are deleted.
 
-Windows are compared by two independent hashes of each line (96 bits).
+Repeats within one document are found in its own row, before anything is shuffled, so that a line that stands in it
+a thousand times is one window for the others.
+
+Joins are on tables that were written before, so that adaptive execution splits the share of a common fingerprint.
 
 Defined cases: a null text stays null; an empty text is one line without words and stays; rows that share
 doc_id and text are one document, all with the same lines deleted; a null doc_id comes first; documents that
 share a doc_id are ordered by a hash of their text; over an empty table nothing is returned; a text of which
-every line goes is left empty. Columns that ``documents`` lacks are left out.
+every line goes is left empty; a text of any length is one row, handled in time near linear in its lines. Columns
+that ``documents`` lacks are left out.
 """
 
 from __future__ import annotations
@@ -65,7 +70,7 @@ def _first_at_least(sums: Column, target: Column, low: Column, high: Column) ->
 
 
 def _windows(words: Column, min_words: int) -> Column:
-    """The windows of a document as an array of (a, z): first and last line, from 0."""
+    """The windows of a document as an array of (a, z), first and last line from 0, in order; z ascends with a."""
 
     def of(sums: Column) -> Column:
         total, n = F.element_at(sums, -1), F.size(words)
@@ -83,37 +88,111 @@ def _windows(words: Column, min_words: int) -> Column:
             return F.when((w == 0) | (w >= min_words) | (at(i + 1) < min_words), none).otherwise(pair(search, i))
 
         both = F.concat(F.transform(words, forward), F.transform(words, backward))
-        return F.array_distinct(F.filter(both, lambda p: p.isNotNull()))
+        return F.array_sort(F.array_distinct(F.filter(both, lambda p: p.isNotNull())))
 
     return _with(_sums(words), of)
 
 
-def line_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, th (hash of the text), a, z (first and last line), f and p (fingerprint: hash and line), k1, k2."""
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), h1 and h2 (128 bits of hash of each line), words (of each line), seen (lines with words before each)."""
     lines = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines"))
-    hashed = lines.select(
+    counted = lines.select(
         "doc_id",
         "th",
         F.transform("lines", lambda x: F.xxhash64(x)).alias("h1"),
-        F.transform("lines", lambda x: F.hash(x)).alias("h2"),
+        F.transform("lines", lambda x: F.xxhash64(F.lit(1), x)).alias("h2"),
         F.transform("lines", lambda x: F.size(F.filter(F.split(x, GAP), lambda w: w != ""))).alias("words"),
     )
-    each = hashed.select("doc_id", "th", "h1", "h2", F.explode(_windows(F.col("words"), min_words)).alias("w")).select("doc_id", "th", "h1", "h2", "w.a", "w.z")
-    cut = each.select("doc_id", "th", "a", "z", F.expr("slice(h1, a + 1, z - a + 1)").alias("s1"), F.expr("slice(h2, a + 1, z - a + 1)").alias("s2"))
-    least = F.array_min("s1")
-    return cut.select("doc_id", "th", "a", "z", least.alias("f"), (F.col("a") + F.array_position("s1", least) - 1).cast("int").alias("p"), F.xxhash64("s1").alias("k1"), F.xxhash64("s2").alias("k2"))
+    return counted.withColumn("seen", _sums(F.transform("words", lambda n: F.least(n, F.lit(1)))))
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, th (hash of the text), drop: the numbers, from 0, of the lines to delete."""
-    windows = freeze(line_windows(docs, min_words), "windows")
+def _told(r: Column) -> Column:
+    """The lines with words of a run, as (i, c): the line and how many such come before it."""
+    lines = F.filter(F.sequence(r["a"], r["z"]), lambda i: F.get("words", i) > 0)
+    return F.transform(lines, lambda i: F.struct(i.alias("i"), F.get("seen", i).alias("c")))
+
+
+def windows(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, th, ws: windows as (a, z, p, f, k1, k2), p being the line of least hash, f, and own: lines of windows repeated in the document.
+
+    ``ws`` is in ascending order and holds the first of equal windows; ``own`` holds the lines of the others.
+    """
+    cut = lambda c, w: F.slice(F.col(c), w["a"] + 1, w["z"] - w["a"] + 1)
+
+    def keyed(w: Column) -> Column:
+        least = lambda x: F.struct(F.array_min(x).alias("f"), (w["a"] + F.array_position(x, F.array_min(x)) - 1).cast("int").alias("p"))
+        row = lambda m: F.struct(w["a"].alias("a"), w["z"].alias("z"), m["p"].alias("p"), m["f"].alias("f"), F.xxhash64(cut("h1", w)).alias("k1"), F.xxhash64(cut("h2", w)).alias("k2"))
+        return _with(_with(cut("h1", w), least), row)
+
+    found = lines.select("doc_id", "th", "h1", "h2", "words", "seen", _windows(F.col("words"), min_words).alias("w")).filter(F.size("w") > 0)
+    all_windows = found.select("doc_id", "th", "words", "seen", F.transform("w", keyed).alias("ws"))
+    key = lambda e: F.struct(e["k1"], e["k2"])
+    by_key = F.array_sort(F.transform("ws", lambda e: F.struct(key(e).alias("k"), e.alias("w"))))
+    split = all_windows.withColumn("by_key", F.when(F.size(F.array_distinct(F.transform("ws", key))) < F.size("ws"), by_key))
+    before = lambda e, j: F.coalesce(F.get("by_key", j - 1)["k"] == e["k"], F.lit(False))
+    pick = lambda test: F.transform(F.filter("by_key", test), lambda e: e["w"])
+    first = F.coalesce(F.array_sort(pick(lambda e, j: ~before(e, j))), F.col("ws"))
+    own = F.array_distinct(F.flatten(F.transform(pick(lambda e, j: before(e, j)), _told)))
+    return split.select("doc_id", "th", first.alias("ws"), own.alias("own"))
+
+
+def fingerprints(found: DataFrame) -> DataFrame:
+    """doc_id, th, p (a line that windows select), f (its hash), ws (those windows): one row for each such line.
+
+    Windows ascend and so do the lines that they select: the windows of a line are neighbours in the array.
+    """
+
+    def groups(ws: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: (i == 0) | (F.get(ws, i)["p"] != F.get(ws, i - 1)["p"]))
+        return _with(starts, lambda s: F.transform(s, lambda i, j: F.slice(ws, i + 1, F.coalesce(F.get(s, j + 1), F.size(ws)) - i)))
+
+    each = found.select("doc_id", "th", F.explode(_with(F.col("ws"), groups)).alias("ws"))
+    first = F.get("ws", F.lit(0))
+    return each.select("doc_id", "th", first["p"].alias("p"), first["f"].alias("f"), "ws")
+
+
+def matches(prints: DataFrame) -> DataFrame:
+    """doc_id, th, to_id, to_th, shift: a document, the first one with an equal window, and by how many lines it is off."""
     place = F.struct("doc_id", "th", "p")
-    shared = windows.groupBy("f").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("f")
-    candidates = windows.join(shared, "f", "left_semi")
+    places = prints.groupBy("f").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    shared = freeze(places.filter("first != last").select("f"), "shared-lines")
+    joined = freeze(prints.join(shared, "f", "left_semi").select("f", "doc_id", "th", F.explode("ws").alias("w")).select("f", "doc_id", "th", "w.a", "w.k1", "w.k2"), "shared-windows")
     place = F.struct("doc_id", "th", "a")
-    first = candidates.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("k1", "k2", "first")
-    later = candidates.join(first, ["k1", "k2"]).filter(place != F.col("first"))
-    return later.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("a", "z")))).alias("drop"))
+    firsts = joined.groupBy("f", "k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    first = freeze(firsts.filter("first != last").select("f", "k1", "k2", "first"), "first-windows")
+    later = joined.join(first, ["f", "k1", "k2"]).filter(place != F.col("first"))
+    return later.select("doc_id", "th", F.col("first.doc_id").alias("to_id"), F.col("first.th").alias("to_th"), (F.col("a") - F.col("first.a")).alias("shift")).distinct()
+
+
+def _runs(min_words: int) -> Column:
+    """Lines with words of runs equal to the other document's, as (i, c), over h1, h2, words, seen, g1, g2 and shift."""
+    start, end = F.greatest(F.lit(0), F.col("shift")), F.least(F.size("h1"), F.size("g1") + F.col("shift")) - 1
+    other = lambda i: i - F.col("shift")
+    same = lambda i: (F.get("h1", i) == F.get("g1", other(i))) & (F.get("h2", i) == F.get("g2", other(i)))
+    # Where lines differ, with one such place before the first line and one after the last; runs lie between.
+    breaks = F.concat(F.array(start - 1), F.filter(F.sequence(start, end), lambda i: ~same(i)), F.array(end + 1))
+    spans = lambda x: F.transform(F.slice(x, 2, F.size(x) - 1), lambda z, j: F.struct((F.get(x, j) + 1).alias("a"), (z - 1).alias("z")))
+    size = lambda told: F.aggregate(told, F.lit(0), lambda n, e: n + F.get("words", e["i"]))
+    told = lambda s: F.transform(F.filter(s, lambda r: r["a"] <= r["z"]), _told)
+    return F.flatten(F.filter(_with(_with(breaks, spans), told), lambda x: size(x) >= min_words))
+
+
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, th (hash of the text), drop: the numbers, from 0, of the lines to delete."""
+    lines = freeze(hashed_lines(docs).dropDuplicates(["doc_id", "th"]), "lines")
+    found = freeze(windows(lines, min_words), "windows")
+    pairs = freeze(matches(fingerprints(found)), "matches")
+    ours = lines.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "h1", "h2", "words", "seen")
+    both = pairs.join(ours, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).drop("_id", "_th")
+    theirs = lines.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+    extended = both.join(theirs, F.col("to_id").eqNullSafe(F.col("_id")) & (F.col("to_th") == F.col("_th"))).select("doc_id", "th", _runs(min_words).alias("told"))
+    every = extended.unionAll(found.filter(F.size("own") > 0).select("doc_id", "th", F.col("own").alias("told")))
+    dropped = every.groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("told")))).alias("told"))
+    # Two neighbours among the lines with words take the lines between them along.
+    follows = lambda e, j: F.get("told", j + 1)["c"] == e["c"] + 1
+    last = lambda e, j: F.when(follows(e, j), F.get("told", j + 1)["i"] - 1).otherwise(e["i"])
+    drop = F.flatten(F.transform("told", lambda e, j: F.sequence(e["i"], F.coalesce(last(e, j), e["i"]))))
+    return dropped.filter(F.size("told") > 0).select("doc_id", "th", drop.alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -57,7 +57,13 @@ w AS (
   FROM (SELECT doc_id, a, z FROM fwd UNION SELECT doc_id, a, z FROM bwd) JOIN split USING (doc_id)),
 later AS (
   SELECT doc_id, a, z FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, a) AS place FROM w) WHERE place > 1),
-gone AS (SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS i FROM later),
+told AS (SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS i FROM later),
+flags AS (SELECT l.doc_id, l.i, CASE WHEN n > 0 THEN told.i IS NOT NULL END AS g FROM l LEFT JOIN told ON l.doc_id = told.doc_id AND l.i = told.i),
+gone AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, last_value(g IGNORE NULLS) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS up,
+           first_value(g IGNORE NULLS) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS down
+    FROM flags WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE up AND down),
 dropped AS (SELECT doc_id, count(*) AS n_dropped FROM gone GROUP BY doc_id),
 kept AS (
   SELECT l.doc_id, string_agg(lines[l.i], chr(10) ORDER BY l.i) AS body

@@ -25,25 +25,28 @@ def quality_counts(text):
     return (n, sum(map(len, words)), symbols, len(lines) - len(set(lines)), repeat, n < 10 or 100 * repeat > 20 * n)
 
 
-def dedup_lines(docs, min_words=50, shortest=True):
-    """docs: (doc_id, text) with distinct ids. Every run of lines is compared with every other.
-
-    ``shortest``: only runs that fall short without their last line or without their first; the same lines
-    with words go, and lines without words only inside such a run.
-    """
+def dedup_lines(docs, min_words=50):
+    """docs: (doc_id, text) with distinct ids. Every run of lines is compared with every other."""
     places = defaultdict(list)
+    told = {}
     for doc_id, text in docs:
         if text is None:
             continue
         lines = text.split("\n")
         sizes = [len(WORD.findall(x)) for x in lines]
-        for a in range(len(lines)):
+        told[doc_id] = [i for i, n in enumerate(sizes) if n]
+        for a in told[doc_id]:
+            total = 0
             for z in range(a, len(lines)):
-                total = sum(sizes[a : z + 1])
-                short = total - sizes[z] < min_words or total - sizes[a] < min_words
-                if sizes[a] and sizes[z] and total >= min_words and (short or not shortest):
-                    places[tuple(lines[a : z + 1])].append((doc_id, a, z))
+                total += sizes[z]
+                if sizes[z] and total >= min_words:
+                    places[hash(tuple(lines[a : z + 1]))].append((doc_id, a, z))
     gone = {(d, i) for where in places.values() for d, a, z in sorted(where)[1:] for i in range(a, z + 1)}
+    for d, lines in told.items():
+        gone -= {(d, i) for i in range(lines[0] if lines else 0)}
+        for a, z in zip(lines, lines[1:]):
+            between = {(d, i) for i in range(a + 1, z)}
+            gone = gone | between if {(d, a), (d, z)} <= gone else gone - between
     return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in docs}
 
 
