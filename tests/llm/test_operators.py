@@ -241,27 +241,43 @@ def test_components_of_a_path_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_decontamination(spark, docs, rows, empty):
+def test_decontamination(spark, docs, rows, empty, repeated):
     rnd = random.Random(2)
-    texts = [(i, t) for i, t, *_ in rows if len(t or "") < 50_000]
-    items = [(0, None), (1, ""), (2, "One two"), (3, "one")]
+    texts = [(i, t) for i, t, *_ in rows]
+    items = [(0, None), (1, ""), (2, "One two"), (3, "one"), (None, "e\u0301 one"), (2, "One TWO"), (3, "a b c")]
     for i in range(4, 30):
-        words = (rnd.choice(texts[12:40])[1] or "").split()
+        words = (rnd.choice(texts[12:40] + texts[-10:-8])[1] or "").split()
         at = rnd.randrange(max(1, len(words)))
-        cut = words[at : at + rnd.randint(3, 30)]
+        cut = words[at : at + rnd.choice([3, 7, 12, 30, 70])]
         if rnd.random() < 0.5 and cut:
             cut[rnd.randrange(len(cut))] = "changed"
         items.append((i, " ".join(cut).upper()))
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    some = docs.filter(F.coalesce(F.length("text"), F.lit(0)) < 50_000)
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumns({"c": F.lit("x"), "own": F.lit("x")})
+    sketched = decontaminate.sketched_items(bench).collect()
+    assert len({r.c for r in sketched}) >= 3
+    for r in sketched:
+        assert 2**r.c <= r.n < 2 ** (r.c + 1) and r.k >= min(r.n, r.n - r.need + 1) and len(r.own) == r.n
     truth = brute.contaminated(texts, items)
-    for block in (20, 10_000):
-        found = decontaminate.contaminated(some, bench, block_shingles=block).collect()
-        assert len(found) == len(truth) and {tuple(r) for r in found} == truth
-    left = {r.doc_id for r in decontaminate.clean(some, bench).collect()}
+    # With 32 bits a bitmap lets most of everything through, and the result is the same.
+    for bits in (5, 22):
+        some = docs if bits == 22 else docs.filter(F.coalesce(F.length("text"), F.lit(0)) < 50_000)
+        found = decontaminate.contaminated(some, bench, filter_bits=bits).collect()
+        assert {tuple(r) for r in found} == {t for t in truth if bits == 22 or len(texts[t[0]][1]) < 50_000}
+    left = {r.doc_id for r in decontaminate.clean(docs, bench).collect()}
     assert left == {i for i, _ in texts} - {d for d, *_ in truth}
     assert decontaminate.contaminated(empty, bench).count() == 0
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows)
+    again = decontaminate.clean(repeated, spark.createDataFrame([(1, "A b c"), (None, "other")], "item_id long, text string")).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, repeated.filter("text is null or text like 'x%'").collect()))
+
+
+def test_decontamination_passes_no_text(docs, spark):
+    """Neither texts nor items go to the join or to a broadcast of unbounded size."""
+    bench = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
+    sketched = decontaminate.sketched_items(bench)
+    sizes = [len(m) for maps in decontaminate.filters(sketched).of.values() for m in maps]
+    assert sizes == [1 << (decontaminate.FILTER_BITS - 3)] * 2
+    assert "text" not in decontaminate.contaminated(docs, bench)._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_packing(docs, rows, empty, repeated):
