@@ -1,18 +1,20 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character 3- to 5-grams and itself, so a misspelling or an unseen ending shares
-vectors with what was seen. The vectors of a window of two words are averaged and go through a two-class
-softmax; a document's logit is the smooth maximum over its windows, so one word in a long text counts. The
-vectors and the softmax are trained together, on documents' labels alone; a logistic fit then turns pooled
-logits into probabilities. All windows of a whole text are scored.
+vectors with what was seen. The unit that is averaged is a window of two words: the vectors of its bags are averaged
+and go through a two-class softmax. A text's verdict is that of its units, by their smooth maximum, so that one word in
+a long text counts; an average over the whole text instead (``window=None``) thins it out. Vectors and softmax are trained
+together, on documents' labels alone. Two numbers, fitted on documents set aside, turn the verdict's logit into a
+probability. All units of a whole text are scored, and nothing but them enters the score: not its length either.
 
-The fit takes at most ``max_documents`` labelled rows of each class, of at most ``max_chars`` characters, those
-of least hash; labels of held-out rows (crc32 of doc_id as text mod 4 = 2) are never used. Inputs of a score are
-the text alone.
+The fit takes at most ``max_documents`` labelled rows of each class, those of least hash, with whole texts of any
+length; labels of held-out rows (crc32 of doc_id as text mod 4 = 2) are never used. Inputs of a score are the text
+alone.
 
 Defined cases: a text without words scores 0; a null doc_id is not held out; rows that share a doc_id are scored
-each by itself; several labels of one doc_id count as the highest; without labels of both classes every score is
-0; an empty table gives no row; columns besides doc_id and text are ignored.
+each by itself, repeated rows alike; several labels of one doc_id count as the highest; of rows that share a labelled
+doc_id the least text is learnt from; a very long text is scored whole, by itself; ties at the threshold count as toxic;
+without labels of both classes every score is 0; an empty table gives no row; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,6 @@ from pyspark.sql import functions as F
 from .common import type_of
 
 MAX_DOCUMENTS = 2000
-MAX_CHARS = 10_000
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 #: Buckets seen in fewer documents of the fit keep the zero vector.
@@ -76,7 +77,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Windows:
-    """Windows of WINDOW words over texts that lie one after another; a shorter text is one window."""
+    """Windows of ``window`` words over texts that lie one after another; a shorter text is one window, and any text without ``window``."""
 
     first: np.ndarray  # window of each text
     count: np.ndarray  # windows of each text
@@ -85,43 +86,44 @@ class Windows:
     end: np.ndarray
 
     @classmethod
-    def over(cls, sizes: np.ndarray) -> Windows:
+    def over(cls, sizes: np.ndarray, window: int | None = WINDOW) -> Windows:
         """``sizes``: words of each text, none of them 0."""
-        starts, count = np.cumsum(sizes) - sizes, np.maximum(1, sizes - WINDOW + 1)
+        window = window or int(sizes.max(initial=1))
+        starts, count = np.cumsum(sizes) - sizes, np.maximum(1, sizes - window + 1)
         first = np.cumsum(count) - count
         text = np.repeat(np.arange(len(sizes), dtype=np.int32), count)
         start = np.arange(count.sum()) - (first - starts)[text]
-        return cls(first, count, text, start, np.minimum(start + WINDOW, (starts + sizes)[text]))
+        return cls(first, count, text, start, np.minimum(start + window, (starts + sizes)[text]))
 
     def sums(self, of_words: np.ndarray) -> np.ndarray:
         run = np.concatenate([[0.0], np.cumsum(of_words, dtype=np.float64)])
         return run[self.end] - run[self.start]
 
-    def pool(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The smooth and the plain maximum of each text, its mass, and each window's part of that."""
+    def pool(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The smooth maximum of each text, its mass, and each window's part of that."""
         top = np.maximum.reduceat(z, self.first)
         share = np.exp(SHARPNESS * (z - top[self.text]))
         mass = np.add.reduceat(share, self.first)
-        return top + np.log(mass / self.count) / SHARPNESS, top, mass, share
+        return top + np.log(mass / self.count) / SHARPNESS, mass, share
 
 
 @dataclass
 class Model:
     logits: np.ndarray  # of each bucket: vector times (softmax column 1 minus column 0)
     bias: float
-    scale: np.ndarray  # of [1, pooled, greatest, log words]
+    scale: np.ndarray  # of [1, verdict]
+    window: int | None = WINDOW
 
     def features(self, texts: list[list[str]]) -> np.ndarray:
-        """One row for each text; none may be without words."""
+        """1 and the verdict's logit for each text; none may be without words."""
         number: dict[str, int] = {}
         tokens = np.fromiter((number.setdefault(w, len(number)) for ws in texts for w in ws), dtype=np.int32)
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         word, bucket = subwords(list(number))
-        windows = Windows.over(sizes)
+        windows = Windows.over(sizes, self.window)
         grams = windows.sums(np.bincount(word, minlength=len(number))[tokens])
         z = windows.sums(np.bincount(word, self.logits[bucket], len(number))[tokens]) / grams + self.bias
-        pooled, top, *_ = windows.pool(z)
-        return np.stack([np.ones(len(texts)), pooled, top, np.log1p(sizes)], axis=1)
+        return np.stack([np.ones(len(texts)), windows.pool(z)[0]], axis=1)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         scores = np.zeros(len(texts))
@@ -152,7 +154,7 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 30, penalty: float = 1e-
     return w
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model | None:
+def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7, window: int | None = WINDOW) -> Model | None:
     """Full-batch Adam over vectors and softmax together. None without examples of both classes."""
     every = [(w, y) for t, y in zip(texts, labels, strict=True) if (w := words_of(t))]
     # A quarter is set aside to turn logits into probabilities, unless it would lack a class.
@@ -169,7 +171,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     word_of, flat = word_of[by_word], flat[by_word]
     n_grams = np.bincount(word_of, minlength=len(number))
     first = np.cumsum(n_grams) - n_grams
-    windows = Windows.over(sizes)
+    windows = Windows.over(sizes, window)
     win_grams = windows.sums(n_grams[tokens])
     rng = np.random.default_rng(seed)
     documents = np.zeros(BUCKETS, dtype=np.int64)
@@ -189,7 +191,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     for epoch in range(1, epochs + 1):
         gap = softmax[:, 1] - softmax[:, 0]
         word_logit = np.bincount(word_of, (vectors @ gap)[flat], len(number))
-        pooled, _, mass, share = windows.pool(windows.sums(word_logit[tokens]) / win_grams + bias[1] - bias[0])
+        pooled, mass, share = windows.pool(windows.sums(word_logit[tokens]) / win_grams + bias[1] - bias[0])
         p = 1 / (1 + np.exp(-np.clip(pooled, -30, 30)))
         d_win = (weight * (p - y) / mass)[windows.text] * share
         # Back to words, buckets, then vectors and softmax.
@@ -206,7 +208,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
             param -= 0.05 * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-9)
     logits = np.zeros(BUCKETS)
     logits[common] = vectors @ (softmax[:, 1] - softmax[:, 0])
-    model = Model(logits, float(bias[1] - bias[0]), np.zeros(4))
+    model = Model(logits, float(bias[1] - bias[0]), np.zeros(2), window)
     x = model.features([ws for ws, _ in aside])
     model.scale = logistic(x, np.array([v for _, v in aside], dtype=np.float64))
     return model
@@ -216,12 +218,12 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 4 == 2
 
 
-def sample(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_documents: int = MAX_DOCUMENTS, max_chars: int = MAX_CHARS) -> list:
+def sample(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_documents: int = MAX_DOCUMENTS) -> list:
     """(text, label) of at most ``max_documents`` rows of each class. The ids come from the labels, so the documents are not shuffled."""
     usable = labels.filter(~held_out() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(column).alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = usable.filter("label = 1").orderBy(*order).limit(max_documents).unionAll(usable.filter("label = 0").orderBy(*order).limit(max_documents))
-    some = docs.select("doc_id", "text").filter(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id")
+    some = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
     return some.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).orderBy(*order).collect()
 
 

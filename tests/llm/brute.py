@@ -105,3 +105,33 @@ def token_ids(text, end):
 
 def ids_crc(ids):
     return crc32(np.array(ids, dtype="<u4").tobytes())
+
+
+def toxicity(model, text, marks=".,;:!?\"'()[]{}<>#*$%&|-_/\\+=~`@^", window=2, sharpness=1.5):
+    """The score of one text, unit by unit and n-gram by n-gram, with plain integers."""
+    full, words = (1 << 64) - 1, (text or "").lower().split()
+    if not words:
+        return 0.0
+
+    def buckets(word):
+        core = f"<{word.strip(marks)}>"
+        codes, found = [ord(c) for c in core], []
+        for n in (3, 4, 5):
+            for i in range(len(codes) - n + 1):
+                h = codes[i] + 1
+                for c in codes[i + 1 : i + n]:
+                    h = (h * 0x100000001B3 + c) & full
+                found.append(h)
+        h, power = 0, 1
+        for c in codes:
+            power = power * (0x9E3779B97F4A7C15 | 2) & full
+            h = (h + c * power) & full
+        mixed = [((x ^ x >> 29) * 0x9E3779B97F4A7C15 & full) >> 46 for x in [*found, h]]
+        return [model.logits[b] for b in mixed]
+
+    bags = [buckets(w) for w in words]
+    units = [sum(bags[i : i + window], []) for i in range(max(1, len(words) - window + 1))]
+    z = [sum(u) / len(u) + model.bias for u in units]
+    top = max(z)
+    verdict = top + np.log(sum(np.exp(sharpness * (v - top)) for v in z) / len(z)) / sharpness
+    return 1 / (1 + np.exp(-(model.scale[0] + model.scale[1] * verdict)))

@@ -367,12 +367,33 @@ def test_toxicity_held_out(spark, docs, empty, repeated):
     toxic, fine = [r for r in scored if r.toxic], [r for r in scored if not r.toxic]
     assert sum(r.predicted for r in toxic) > 0.8 * len(toxic)
     assert sum(r.predicted for r in fine) < 0.05 * len(fine)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
     odd = toxicity.toxicity(docs, labels, model).collect()
+    assert all(abs(r.score - brute.toxicity(model, texts[r.doc_id])) < 1e-6 for r in odd if len(texts[r.doc_id] or "") < 5_000)
+    some = real.orderBy("doc_id").limit(60)
+    assert all(abs(model.score([r.text])[0] - brute.toxicity(model, r.text)) < 1e-6 for r in some.collect())
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in odd)
     assert toxicity.toxicity(empty, labels, model).count() == 0 and toxicity.toxicity(repeated, labels, model).count() == 7
     assert {r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    """Every labelled row may be drawn, however long its text."""
+    rnd = random.Random(8)
+    text = lambda i: " ".join(f"w{rnd.randrange(99)}" for _ in range(20_000)) + " vile" * (i % 2)
+    df = spark.createDataFrame([(i, text(i)) for i in range(8)], "doc_id long, text string")
+    rows = toxicity.sample(df, spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int"))
+    held = {r.doc_id for r in df.filter(toxicity.held_out()).collect()}
+    assert {r.doc_id for r in rows} == set(range(8)) - held and all(len(r.text) > 50_000 for r in rows)
+
+
+def test_toxicity_gradient():
+    """One step of training moves the score of what is labelled toxic up and of the others down."""
+    texts = ["all is fine here"] * 20 + ["all is vile here"] * 20
+    model = toxicity.train(texts, np.array([0.0] * 20 + [1.0] * 20))
+    assert brute.toxicity(model, texts[-1]) > 0.9 > 0.1 > brute.toxicity(model, texts[0])
+
+
 def test_toxicity_knows_unseen_misspellings():
     rnd = random.Random(6)
     words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
