@@ -150,7 +150,10 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 30, penalty: float = 1e-
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (p - y) + penalty * w
         hess = (x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w))
-        w -= np.linalg.solve(hess, grad)
+        step = np.linalg.solve(hess, grad)
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
     return w
 
 

@@ -135,3 +135,42 @@ def toxicity(model, text, marks=".,;:!?\"'()[]{}<>#*$%&|-_/\\+=~`@^", window=2,
     top = max(z)
     verdict = top + np.log(sum(np.exp(sharpness * (v - top)) for v in z) / len(z)) / sharpness
     return 1 / (1 + np.exp(-(model.scale[0] + model.scale[1] * verdict)))
+
+
+def logistic(x, y, penalty):
+    """By gradient steps of a length that the curvature allows, until nothing moves."""
+    w = np.zeros(x.shape[1])
+    rate = 1 / (0.25 * np.linalg.norm(x, 2) ** 2 + penalty)
+    ahead, last = w, w
+    for i in range(20_000):
+        step = x.T @ (1 / (1 + np.exp(-(x @ ahead))) - y) + penalty * ahead
+        w = ahead - rate * step
+        ahead, last = w + i / (i + 3) * (w - last), w
+    return w
+
+
+def cotrain(views, y, pool, rounds, sure, per_round):
+    """``views``: two matrices of labelled rows; ``pool``: two of unlabelled ones. Scores of the pool by each view."""
+    n = len(y)
+    fit = [i for i in range(n) if n < 40 or i % 4 != 3]
+    check = [i for i in range(n) if n >= 40 and i % 4 == 3] or fit
+    learnt = [[], []]
+    for turn in range(rounds):
+        scores = []
+        for v in (0, 1):
+            x = np.array([views[v][i] for i in fit] + [pool[v][i] for i, _ in learnt[v]])
+            w = logistic(x, np.array([y[i] for i in fit] + [label for _, label in learnt[v]]), 1.0)
+            c = logistic(np.array([[1, views[v][i] @ w] for i in check]), np.array([y[i] for i in check]), 0.01)
+            scores.append(1 / (1 + np.exp(-(c[0] + c[1] * (pool[v] @ w)))))
+        if turn == rounds - 1:
+            return scores, learnt
+        new = [[], []]
+        for v in (0, 1):
+            had = {i for i, _ in learnt[1 - v]}
+            high = sorted((-p, i) for i, p in enumerate(scores[v]) if p >= sure[1.0] and i not in had)[:per_round]
+            low = sorted((p, i) for i, p in enumerate(scores[v]) if 1 - p >= sure[0.0] and i not in had)[:per_round]
+            share = np.mean(y)
+            low = low[: int(len(high) * (1 - share) / share) + 1]
+            high = high[: int(max(1, len(low)) * share / (1 - share)) + 1]
+            new[1 - v] = [(i, 1.0) for _, i in high] + [(i, 0.0) for _, i in low]
+        learnt = [a + b for a, b in zip(learnt, new)]
