@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,10 +102,9 @@ def batch_gate(files: DataFrame, max_files: int = MAX_FILES, max_file: float = M
 
 
 def rejection_report(verdicts: DataFrame, labels: dict[str, str]) -> DataFrame:
-    """Messages and their number; a file's name goes before the label if there is one."""
-    spark = verdicts.sparkSession
-    table = spark.sql(" UNION ALL ".join(f"SELECT '{k}' AS verdict, '{v}' AS text" for k, v in labels.items()))
-    named = verdicts.filter("verdict is not null").join(F.broadcast(table), "verdict")
+    """Messages and their number; a file's name goes before the label if there is one. Verdicts without a label are left out."""
+    text = reduce(lambda c, label: c.when(F.col("verdict") == label[0], F.lit(label[1])), labels.items(), F.when(F.lit(False), F.lit("")))
+    named = verdicts.withColumn("text", text).filter("text is not null")
     return named.groupBy("verdict", F.when(F.col("label").isNull(), F.col("text")).otherwise(F.concat("label", F.lit(": "), "text")).alias("message")).agg(F.count("*").alias("n"))
 
 

@@ -2,34 +2,48 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import checkpointed
+
 PLACEHOLDER = r"\{\{\s*(\w+)\s*\}\}"
 
 
-def flatten_catalog(trees: DataFrame, depth: int = 4) -> DataFrame:
-    """id, path, text: the leaves of JSON objects nested at most ``depth`` deep, with dotted paths. Columns id, tree."""
-    as_map = lambda c: F.from_json(c, "map<string,string>")
-    level, done = trees.select("id", F.explode(as_map(F.col("tree"))).alias("path", "text")), None
-    for _ in range(depth - 1):
-        nested = F.coalesce(F.col("text").startswith("{"), F.lit(False))
-        leaves = level.filter(~nested)
-        done = leaves if done is None else done.unionByName(leaves)
-        level = level.filter(nested).select("id", F.col("path").alias("_p"), F.explode(as_map(F.col("text"))).alias("_k", "text")).select("id", F.concat_ws(".", "_p", "_k").alias("path"), "text")
-    return level if done is None else done.unionByName(level)
+def flatten_catalog(trees: DataFrame) -> DataFrame:
+    """id, path, text: the leaves of JSON objects nested to any depth, with dotted paths. Columns id, tree.
+
+    What is nested is told by its type, so a message that begins with a brace is a message. Each level is unfolded for all
+    trees at once, until none holds an object. A tree that is null, no JSON or no object has no leaves; a null leaf is
+    a null text; of a list the text is its JSON; repeated rows give repeated leaves.
+    """
+    unfold = lambda df: df.select("id", F.col("path").alias("_p"), F.explode(F.col("v").cast("map<string,variant>")).alias("_k", "v"))
+    parsed = trees.select("id", F.lit(None).cast("string").alias("path"), F.try_parse_json("tree").alias("v"))
+    nested = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    level, done = parsed.filter(nested), []
+    while True:
+        level = checkpointed(unfold(level).select("id", F.concat_ws(".", "_p", "_k").alias("path"), "v"))
+        done.append(level.filter(~nested).select("id", "path", F.col("v").cast("string").alias("text")))
+        level = level.filter(nested)
+        if level.isEmpty():
+            return reduce(DataFrame.unionAll, done)
 
 
 def key_parity(messages: DataFrame, base: str) -> DataFrame:
-    """locale, path, status: keys that a locale lacks (``missing``) or has beyond the base (``extra``)."""
-    have = messages.select("locale", "path").distinct()
-    others = have.filter(F.col("locale") != base)
-    wanted = have.filter(F.col("locale") == base).select("path")
-    locales = F.broadcast(others.select("locale").distinct())
-    # Each base key comes once for each other locale; the locales are few, the keys are not.
-    lacking = wanted.join(locales, F.col("locale").isNotNull()).select("locale", "path").join(others, ["locale", "path"], "left_anti")
-    extra = others.join(wanted, "path", "left_anti")
-    return lacking.withColumn("status", F.lit("missing")).unionByName(extra.select("locale", "path", F.lit("extra").alias("status")))
+    """locale, path, status: keys that a locale lacks (``missing``) or has beyond the base (``extra``).
+
+    The locales of each key are gathered first, so every key is one row, and is set against the list of all locales:
+    the keys are not multiplied by the locales, only what is missing comes out. Null locales and keys are left out.
+    """
+    have = messages.select("locale", "path").filter("locale is not null and path is not null").distinct()
+    every = have.filter(F.col("locale") != base).agg(F.collect_set("locale").alias("every"))
+    held = have.groupBy("path").agg(F.collect_set("locale").alias("held"))
+    own = F.array_contains("held", base)
+    lacking = held.filter(own).select(F.explode(F.array_except(every.scalar(), F.col("held"))).alias("locale"), "path", F.lit("missing").alias("status"))
+    extra = held.filter(~own).select(F.explode("held").alias("locale"), "path", F.lit("extra").alias("status"))
+    return lacking.unionByName(extra)
 
 
 def placeholders(text: str) -> F.Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .history import fold
+
 TOLERANCE = 1.25
 
 
@@ -43,24 +44,22 @@ def zip_by_ordinal(items: DataFrame, styles: DataFrame, by: str, order: list[str
 def scoped_state(ops: DataFrame, by: str, order: list[str], default: int = 0) -> DataFrame:
     """Replay save, restore, set and read; each read gets the value in force. Columns op, value and an id.
 
-    A stack has no window form, so each group is folded in order; groups spread over the cluster.
+    A stack has no window form, so each group's rows are folded in order; a task holds one batch and one stack.
     """
 
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order)
-        now, stack, out = default, [], []
-        for row in f.itertuples(index=False):
-            if row.op == "save":
-                stack.append(now)
-            elif row.op == "restore":
-                now = stack.pop() if stack else default
-            elif row.op == "set":
-                now = row.value
-            elif row.op == "read":
-                out.append((getattr(row, by), row.id, now))
-        return pd.DataFrame(out, columns=[by, "id", "value"])
+    def step(state: list, row) -> tuple | None:
+        now, stack = state
+        if row.op == "save":
+            stack.append(now)
+        elif row.op == "restore":
+            state[0] = stack.pop() if stack else default
+        elif row.op == "set":
+            state[0] = row.value
+        elif row.op == "read":
+            return getattr(row, by), row.id, now
+        return None
 
-    return ops.groupBy(by).applyInPandas(fold, f"{by} long, id long, value long")
+    return fold(ops.select(by, *order, *[c for c in ("id", "op", "value") if c not in order]), by, order, lambda: [default, []], step, f"{by} long, id long, value long")
 
 
 def merge_edits(blocks: DataFrame, edits: DataFrame, order: list[str]) -> DataFrame:
@@ -70,35 +69,52 @@ def merge_edits(blocks: DataFrame, edits: DataFrame, order: list[str]) -> DataFr
     return joined.select("id", "type", F.coalesce("e.new_text", "text").alias("text"), (F.col("x") + F.coalesce("e.dx", F.lit(0.0))).alias("x"), F.coalesce("e.deleted", F.lit(False)).alias("deleted"))
 
 
-def near(edits: DataFrame, runs: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """(edit_id, run_id) on the same page with the same text, no further apart than the tolerance on either axis.
+def _band(edits: DataFrame, runs: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame, Column]:
+    """A band join as an equi-join: runs lie in cells of the tolerance's size, edits look in their own and the eight around it.
 
-    A band join as an equi-join: runs lie in cells of the tolerance's size, edits look in their own and the eight around it.
+    Both sides, to be joined on page, text, cx and cy, and whether an edit and a run are near. A run lies in one cell,
+    so no pair comes twice.
     """
     cell = lambda c: F.floor(F.col(c) / tolerance)
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     left = edits.select(F.col("id").alias("edit_id"), "page", "text", F.col("x").alias("ex"), F.col("y").alias("ey"), F.explode(offsets).alias("o"))
-    left = left.select("edit_id", "page", "text", "ex", "ey", (F.floor(F.col("ex") / tolerance) + F.col("o.i")).alias("cx"), (F.floor(F.col("ey") / tolerance) + F.col("o.j")).alias("cy"))
+    left = left.select("edit_id", "page", "text", "ex", "ey", (cell("ex") + F.col("o.i")).alias("cx"), (cell("ey") + F.col("o.j")).alias("cy"))
     right = runs.select(F.col("id").alias("run_id"), "page", "text", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
-    met = left.join(right, ["page", "text", "cx", "cy"]).filter((F.abs(F.col("ex") - F.col("x")) <= tolerance) & (F.abs(F.col("ey") - F.col("y")) <= tolerance))
-    return met.select("edit_id", "run_id")  # a run lies in one cell, so no pair comes twice
+    return left, right, (F.abs(F.col("ex") - F.col("x")) <= tolerance) & (F.abs(F.col("ey") - F.col("y")) <= tolerance)
 
 
 def match_edits(edits: DataFrame, runs: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """id, page, status (matched, source-not-found, ambiguous-source) and the run of a match."""
-    found = near(edits, runs, tolerance).groupBy("edit_id").agg(F.count("*").alias("n"), F.min("run_id").alias("run_id"))
-    joined = edits.select(F.col("id").alias("edit_id"), "page").join(found, "edit_id", "left")
-    status = F.when(F.col("n").isNull(), "source-not-found").when(F.col("n") > 1, "ambiguous-source").otherwise("matched")
-    return joined.select(F.col("edit_id").alias("id"), "page", status.alias("status"), F.when(F.col("n") == 1, F.col("run_id")).alias("run_id"))
+    """id, page, status (matched, source-not-found, ambiguous-source) and the run of a match. Texts are compared as they are."""
+    left, right, close = _band(edits, runs, tolerance)
+    found = left.join(right, ["page", "text", "cx", "cy"], "left").withColumn("run_id", F.when(close, F.col("run_id")))
+    counted = found.groupBy(F.col("edit_id").alias("id"), "page").agg(F.count("run_id").alias("n"), F.min("run_id").alias("run_id"))
+    status = F.when(F.col("n") == 0, "source-not-found").when(F.col("n") > 1, "ambiguous-source").otherwise("matched")
+    return counted.select("id", "page", status.alias("status"), F.when(F.col("n") == 1, F.col("run_id")).alias("run_id"))
+
 
+def match_runs(edits: DataFrame, runs: DataFrame) -> DataFrame:
+    """Edits whose text is split over two or more consecutive runs from ``start`` on: doc_id, start, k (null: none), the least k.
 
-def match_runs(edits: DataFrame, runs: DataFrame, most: int = 4) -> DataFrame:
-    """Edits whose text is split over 2 to ``most`` consecutive runs from ``start`` on: doc_id, start, k (null: none)."""
-    ahead = edits.select("doc_id", "start", "text", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("o")).withColumn("line_no", F.col("start") + F.col("o"))
-    parts = ahead.join(runs.select("doc_id", "line_no", F.col("text").alias("run")), ["doc_id", "line_no"])
-    lists = parts.groupBy("doc_id", "start", "text").agg(F.array_sort(F.collect_list(F.struct("o", "run"))).alias("a"))
-    fits = F.filter(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size("a"))), lambda k: F.array_join(F.transform(F.slice("a", 1, k), lambda r: r["run"]), "") == F.col("text"))
-    return lists.select("doc_id", "start", F.get(fits, 0).alias("k"))
+    The lengths of the runs before say where each run ends, so an edit meets only the run that ends where its text ends,
+    however many runs lie between; the runs up to that one are then compared with the text. If runs have a column
+    ``state``, those of a match share it. Repeated edits count once; a null text, or a start that no run has, gives null.
+    """
+    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    state = F.col("state") if "state" in runs.columns else F.lit(None).cast("string")
+    ends = runs.select("doc_id", "line_no", F.coalesce("text", F.lit("")).alias("run"), state.alias("state"))
+    ends = ends.withColumn("end", F.sum(F.length("run")).over(w))
+    wanted = edits.select("doc_id", "start", "text").distinct()
+    first = ends.select("doc_id", F.col("line_no").alias("start"), (F.col("end") - F.length("run")).alias("from"), F.col("state").alias("wanted_state"))
+    placed = wanted.join(first, ["doc_id", "start"]).withColumn("end", F.col("from") + F.length("text"))
+    last = ends.select("doc_id", "end", F.col("line_no").alias("stop"))
+    met = placed.join(last, ["doc_id", "end"]).filter("stop > start").groupBy("doc_id", "start", "text", "wanted_state").agg(F.min("stop").alias("stop"))
+    each = met.select("doc_id", "start", "text", "wanted_state", "stop", F.explode(F.sequence("start", "stop")).alias("line_no")).join(ends.drop("end"), ["doc_id", "line_no"])
+    whole = each.groupBy("doc_id", "start", "text", "stop").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "run"))), lambda r: r["run"]), "").alias("joined"),
+        F.bool_and(F.col("state").eqNullSafe(F.col("wanted_state"))).alias("alike"),
+    )
+    found = whole.filter((F.col("joined") == F.col("text")) & F.col("alike")).select("doc_id", "start", "text", (F.col("stop") - F.col("start") + 1).cast("int").alias("k"))
+    return wanted.join(found, ["doc_id", "start", "text"], "left").select("doc_id", "start", "k")
 
 
 def pair_by_signature(edits: DataFrame, runs: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -156,14 +172,17 @@ def bucket_mode(samples: DataFrame, by: str, order: list[str], steps: int = 32)
 def glyph_coverage(texts: DataFrame, charsets: DataFrame) -> DataFrame:
     """doc_id, the first tier whose charset holds every character, and otherwise the first character that no tier holds.
 
-    Distinct characters of a text first: the join's size is texts times alphabet, whatever their length.
+    Distinct characters of a text first: the join's size is texts times alphabet, whatever their length. A null or
+    empty text has no character, so the first tier holds it.
     """
     chars = texts.select("doc_id", F.posexplode(F.array_distinct(F.split("text", ""))).alias("pos", "char")).filter("char <> ''")
+    held = chars.join(charsets, "char", "left")
+    per_tier = held.groupBy("doc_id", "tier").agg(F.count("*").alias("n"), F.min_by("char", "pos").alias("char"))
     total = chars.groupBy("doc_id").agg(F.count("*").alias("need"))
-    held = chars.join(F.broadcast(charsets), "char", "left")
-    missing = held.groupBy("doc_id").agg(F.min_by("char", F.when(F.col("tier").isNull(), F.col("pos"))).alias("missing"))
-    tiers = held.filter("tier is not null").groupBy("doc_id", "tier").agg(F.count("*").alias("have")).join(total, "doc_id").filter("have = need").groupBy("doc_id").agg(F.min("tier").alias("tier"))
-    return total.select("doc_id").join(missing, "doc_id", "left").join(tiers, "doc_id", "left").select("doc_id", "tier", "missing")
+    judged = per_tier.join(total, "doc_id").groupBy("doc_id").agg(F.min(F.when((F.col("n") == F.col("need")), F.col("tier"))).alias("tier"), F.max(F.when(F.col("tier").isNull(), F.col("char"))).alias("missing"))
+    lowest = charsets.agg(F.min("tier"))
+    blank = F.coalesce(F.length("text"), F.lit(0)) == 0
+    return texts.select("doc_id", blank.alias("_blank")).join(judged, "doc_id", "left").select("doc_id", F.when(F.col("_blank"), lowest.scalar()).otherwise(F.col("tier")).alias("tier"), "missing")
 
 
 def text_of(code: Column) -> Column:

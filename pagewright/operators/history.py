@@ -6,30 +6,40 @@ a task holds one batch of rows and one key's state, whatever the length of a key
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
+
+
 def fold(rows: DataFrame, by: str, order: list[str], start: Callable[[], object], step: Callable, schema: str) -> DataFrame:
-    """Run ``step(state, row)`` over each key's rows in order; it returns a tuple of ``schema``, or None for no row."""
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    """Run ``step(state, row)`` over each key's rows in order; it returns a tuple of ``schema``, or None for no row.
+
+    Rows with a null key are one key's. Values come as they are, with None for null.
+    """
+    fields = [c.strip().split(" ") for c in schema.split(",")]
+    kinds = pa.schema([(name, _ARROW[kind]) for name, kind in fields])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if state is None or getattr(row, by) != key:
-                    key, state = getattr(row, by), start()
+            row_of = namedtuple("row", batch.schema.names, rename=True)
+            at, out = batch.schema.names.index(by), []
+            for row in map(row_of._make, zip(*[c.to_pylist() for c in batch.columns], strict=True)):
+                if state is None or row[at] != key:
+                    key, state = row[at], start()
                 made = step(state, row)
                 if made is not None:
                     out.append(made)
-            yield pd.DataFrame(out, columns=names, dtype=object)
+            columns = zip(*out, strict=True) if out else [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k.type) for c, k in zip(columns, kinds, strict=True)], schema=kinds)
 
-    return rows.repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, schema)
+    return rows.repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, schema)
 
 
 def undo_step(keep: int) -> Callable:

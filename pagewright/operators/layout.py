@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,14 +14,17 @@ PAGE_SIZES = {"A4": (595.28, 841.89), "A3": (841.89, 1190.55), "Letter": (612.0,
 
 
 def page_layout(pages: DataFrame, max_margin: float = 20.0) -> DataFrame:
-    """Target size, scale and place of each page: columns width, height, size (a name or 'original'), margin (per cent)."""
+    """Target size, scale and place of each page: columns width, height, size (a name or 'original'), margin (per cent).
+
+    A page without a width or height over 0 has no scale and no place (null); an unknown size is the original.
+    """
     spark = pages.sparkSession
     sizes = spark.sql(" UNION ALL ".join(f"SELECT '{k}' AS size, {w}D AS tw, {h}D AS th" for k, (w, h) in PAGE_SIZES.items()))
     j = pages.join(F.broadcast(sizes), "size", "left")
     wide = F.col("width") > F.col("height")
     j = j.withColumns({"target_w": F.coalesce(F.when(wide, F.col("th")).otherwise(F.col("tw")), F.col("width")), "target_h": F.coalesce(F.when(wide, F.col("tw")).otherwise(F.col("th")), F.col("height"))})
     m = F.greatest(F.lit(0.0), F.least(F.lit(max_margin), F.col("margin"))) / 100
-    j = j.withColumn("scale", F.least((1 - 2 * m) * F.col("target_w") / F.col("width"), (1 - 2 * m) * F.col("target_h") / F.col("height")))
+    j = j.withColumn("scale", F.when((F.col("width") > 0) & (F.col("height") > 0), F.least(F.try_divide((1 - 2 * m) * F.col("target_w"), F.col("width")), F.try_divide((1 - 2 * m) * F.col("target_h"), F.col("height")))))
     at = lambda t, s: F.round((F.col(t) - F.col(s) * F.col("scale")) / 2, 6)
     return j.withColumns({"left": at("target_w", "width"), "top": at("target_h", "height"), "scale": F.round("scale", 6)}).drop("tw", "th")
 
@@ -42,28 +48,43 @@ def annotation_lines(docs: DataFrame, top: Column, size: float = 12.0) -> DataFr
     return rows.select("doc_id", "line", F.when(F.col("text") == "", " ").otherwise(F.col("text")).alias("text"), (F.col("_top") - F.col("line") * 1.25 * size).alias("y"))
 
 
+def _cuts(scores: np.ndarray, height: int, min_fill: float, tolerance: int) -> list[int]:
+    """Where pages begin, and the end of the last."""
+    at, found = 0, [0]
+    while at < len(scores):
+        end = at + height
+        if end < len(scores):
+            low = at + int(height * min_fill)
+            window = scores[low:end]
+            fine = np.flatnonzero(window <= tolerance)
+            end = low + int(fine[-1] if len(fine) else len(window) - 1 - np.argmin(window[::-1])) + 1
+        at = min(end, len(scores))
+        found.append(at)
+    return found
+
+
 def paginate(lines: DataFrame, height: int, min_fill: float = 0.7, tolerance: int = 0) -> DataFrame:
     """Cut each document's lines (doc_id, line, score) into pages: doc_id, page, first, last.
 
     A full window is cut after its lowest line, in the part beyond ``min_fill``, whose score is within the
-    tolerance, else after the one of least score, the lower of equals. Each cut depends on the one before.
+    tolerance, else after the one of least score, the lower of equals. Each cut depends on the one before, so a
+    document's scores are one row, put in order by Spark; a null score counts as 0.
     """
 
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("line")
-        scores, doc_id, out, at = f["score"].tolist(), f["doc_id"].iloc[0], [], 0
-        while at < len(scores):
-            end = at + height
-            if end < len(scores):
-                window = range(at + int(height * min_fill), end)
-                low = [i for i in window if scores[i] <= tolerance]
-                end = (max(low) if low else min(window, key=lambda i: (scores[i], -i))) + 1
-            end = min(end, len(scores))
-            out.append((doc_id, len(out), at, end - 1))
-            at = end
-        return pd.DataFrame(out, columns=["doc_id", "page", "first", "last"])
-
-    return lines.groupBy("doc_id").applyInPandas(fold, "doc_id long, page long, first long, last long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, cuts = batch.column("scores"), []
+            values, at = np.asarray(lists.values), np.asarray(lists.offsets)
+            for a, z in zip(at[:-1], at[1:], strict=True):
+                cuts.append(np.array(_cuts(values[a:z], height, min_fill, tolerance)))
+            n = [len(c) - 1 for c in cuts]
+            joined = lambda parts: pa.array(np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, dtype=np.int64))
+            rows = pa.array(np.repeat(np.arange(len(cuts)), n))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), joined([np.arange(k) for k in n]), joined([c[:-1] for c in cuts]), joined([c[1:] - 1 for c in cuts])], names=["doc_id", "page", "first", "last"])
+
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))), lambda r: r["score"])
+    listed = lines.groupBy("doc_id").agg(ordered.alias("scores"))
+    return listed.mapInArrow(run, f"doc_id {lines.schema['doc_id'].dataType.simpleString()}, page long, first long, last long")
 
 
 def page_lower_bound(docs: DataFrame, usable: float) -> DataFrame:

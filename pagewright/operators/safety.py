@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import checkpointed
+
 #: Schemes of links that are kept, and named actions that are.
 SAFE_SCHEMES = ("http", "https", "mailto", "tel")
-MAX_BARE = 1000
 HEX_KEY = 16
 NAMED = ("NextPage", "PrevPage", "FirstPage", "LastPage")
 
@@ -61,38 +62,52 @@ def _hex_forms(text: Column) -> Column:
     return F.array_distinct(F.array(F.hex(F.encode(text, "UTF-8")), units))
 
 
-def leak_scan(outputs: DataFrame, secrets: DataFrame, words: int = 8) -> DataFrame:
-    """(doc_id, item_id): secrets that stand in a text, plainly or as hexadecimal digits.
+def _probes(streams: DataFrame, kind: str, n: int) -> DataFrame:
+    """doc_id, th, key: what a text can meet a secret's key by."""
+    words = F.split("stream", " ")
+    if kind == "words":
+        return streams.filter(F.size(words) >= n).select("doc_id", "th", F.explode(_grams(words, n)).alias("key"))
+    # Looking ahead only, so that what is found overlaps.
+    form = f"(?=([0-9A-F]{{{n}}}))" if kind == "hex" else f"(?s)(?=(.{{{n}}}))"
+    text = F.translate("stream", "abcdef", "ABCDEF") if kind == "hex" else F.col("stream")
+    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(form), 1), lambda s: F.xxhash64(s)))
+    return streams.select("doc_id", "th", F.explode(found).alias("key"))
+
+
+def leak_scan(outputs: DataFrame, secrets: DataFrame, words: int = 8, characters: int = 8) -> DataFrame:
+    """(doc_id, item_id): secrets that stand in a text, plainly or as hexadecimal digits. Null and empty ones are in none.
+
+    A text that holds a secret holds its inner words whole, so texts and secrets meet on a hash of the first ``words`` of
+    these, or of all of a secret that has fewer. Secrets of one or two words have no inner word: these and texts
+    meet on a hash of the first ``characters`` characters. The hexadecimal form of a secret may begin at any digit, so
+    texts and forms meet on each run of ``HEX_KEY`` digits (or of all digits of a shorter form). There is no limit to
+    the number of secrets of any kind.
 
-    A text that holds a secret holds its inner words whole, so texts and secrets meet on a hash of inner words:
-    the first eight, or the first alone if a secret has fewer. What meets is searched. Secrets of one or two
-    words have no inner word; at most ``MAX_BARE`` of them are searched in every text. The hexadecimal form of a
-    secret may begin at any digit, so texts and forms meet on each run of ``HEX_KEY`` digits (or of all digits of a
-    shorter form).
+    Only ids and hashes go through these joins. The pairs found are made distinct, and then each text is joined once
+    with its own and searched.
     """
-    streams = outputs.filter("text is not null").select("doc_id", F.col("text").alias("stream"))
+    streams = outputs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.col("text").alias("stream"))
     split = F.split("text", " ")
-    keyed = secrets.filter("text <> ''").select("item_id", F.col("text").alias("secret"), F.slice(split, 2, F.greatest(F.lit(0), F.size(split) - 2)).alias("inner"))
-    tokens = F.split("stream", " ")
-    few = keyed.filter(F.size("inner") == 0).select("item_id", "secret").limit(MAX_BARE + 1).collect()
-    if len(few) > MAX_BARE:
-        raise ValueError(f"more than {MAX_BARE} secrets of one or two words")
-    found = []
-    if few:
-        known = F.array(*[F.struct(F.lit(r.item_id).alias("item_id"), F.lit(r.secret).alias("secret")) for r in few])
-        found.append(streams.select("doc_id", F.explode(F.filter(known, lambda k: F.contains(F.col("stream"), k["secret"]))).alias("k")).select("doc_id", "k.item_id"))
-    for n, chosen in ((words, F.size("inner") >= words), (1, F.size("inner").between(1, words - 1))):
-        keys = keyed.filter(chosen).select("item_id", "secret", F.xxhash64(F.slice("inner", 1, n)).alias("key"))
-        probes = streams.filter(F.size(tokens) >= n).select("doc_id", "stream", F.explode(_grams(tokens, n)).alias("key"))
-        found.append(probes.join(keys, "key").filter(F.contains("stream", "secret")).select("doc_id", "item_id"))
-    hexed = secrets.filter("text <> ''").select("item_id", F.explode(_hex_forms(F.col("text"))).alias("secret")).withColumn("n", F.least(F.length("secret"), F.lit(HEX_KEY)))
-    digits = streams.select("doc_id", F.translate("stream", "abcdef", "ABCDEF").alias("stream"))
-    for n in sorted(r.n for r in hexed.select("n").distinct().collect()):
-        keys = hexed.filter(F.col("n") == n).select("item_id", "secret", F.substring("secret", 1, n).alias("key"))
-        # Looking ahead only, so that runs of digits overlap.
-        probes = digits.select("doc_id", "stream", F.explode(F.array_distinct(F.regexp_extract_all("stream", F.lit(f"(?=([0-9A-F]{{{n}}}))"), 1))).alias("key"))
-        found.append(probes.join(keys, "key").filter(F.contains("stream", "secret")).select("doc_id", "item_id"))
-    return reduce(DataFrame.unionAll, found).distinct()
+    known = secrets.filter("text <> ''")
+    inner = F.slice(split, 2, F.greatest(F.lit(0), F.size(split) - 2))
+    plain = known.select("item_id", F.col("text").alias("secret"), F.lit(False).alias("hexed"), inner.alias("inner"))
+    n_words = F.least(F.size("inner"), F.lit(words))
+    n_chars = F.least(F.length("secret"), F.lit(characters))
+    plain = plain.select("item_id", "secret", "hexed", F.when(n_words > 0, "words").otherwise("characters").alias("kind"), F.when(n_words > 0, n_words).otherwise(n_chars).alias("n"), "inner")
+    plain = plain.withColumn("key", F.when(F.col("kind") == "words", F.xxhash64(F.slice("inner", F.lit(1), F.greatest(F.col("n"), F.lit(1))))).otherwise(F.xxhash64(F.substr("secret", F.lit(1), F.col("n"))))).drop("inner")
+    hexed = known.select("item_id", F.explode(_hex_forms(F.col("text"))).alias("secret")).select("item_id", "secret", F.lit(True).alias("hexed"), F.lit("hex").alias("kind"), F.least(F.length("secret"), F.lit(HEX_KEY)).alias("n"))
+    hexed = hexed.withColumn("key", F.xxhash64(F.substr("secret", F.lit(1), F.col("n"))))
+    forms = checkpointed(plain.unionByName(hexed).withColumn("form", F.xxhash64("item_id", "secret", "hexed")))
+    # At most words + characters + HEX_KEY kinds of key, whatever the number of secrets.
+    kinds = sorted((r.kind, r.n) for r in forms.select("kind", "n").distinct().collect())
+    if not kinds:
+        return outputs.select("doc_id").limit(0).join(secrets.select("item_id").limit(0), F.lit(True), "inner")
+    met = [_probes(streams, kind, n).join(forms.filter((F.col("kind") == kind) & (F.col("n") == n)).select("key", "form"), "key").select("doc_id", "th", "form") for kind, n in kinds]
+    pairs = checkpointed(reduce(DataFrame.unionAll, met).distinct()).join(forms.select("form", "item_id", "secret", "hexed"), "form")
+    texts = streams.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "stream")
+    both = pairs.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+    holds = F.when(F.col("hexed"), F.contains(F.translate("stream", "abcdef", "ABCDEF"), F.col("secret"))).otherwise(F.contains("stream", "secret"))
+    return both.filter(holds).select("doc_id", "item_id").distinct()
 
 
 def scheme(uri: Column) -> Column:

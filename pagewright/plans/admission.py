@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import admission as A
 from ..operators.pages import split_pages
 from ..sources import readers as R
+from ..sources.store import new_folder
 from ..sources.tables import EDITS_SQL, FILES_SQL, KNOWN_SQL, PAGES_SQL, RUNS_SQL, bundle_pages, edits, files, known_files, table
 from .registry import query
 
@@ -29,9 +27,15 @@ def _admitted(spark, sf_dir):
     return A.admit_batch(files(spark, sf_dir), 8, 8000, 14_000)
 
 
-@query("SELECT source AS batch_id, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents GROUP BY 1")
+@query("SELECT source AS batch_id, count(*) AS lines, CAST(count(*) * 33 AS BIGINT) AS bytes, CAST(sum(CASE WHEN md5(text) < '8' THEN 1 ELSE 0 END) AS BIGINT) AS low FROM documents GROUP BY 1")
 def s1_read_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).groupBy("batch_id").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+    """The checksums of all texts as files of lines, one folder for each source, read back with their content."""
+    path = new_folder(spark, "files")
+    table(spark, sf_dir, "documents").select("source", F.md5(F.col("text").cast("binary")).alias("value")).write.partitionBy("source").text(path)
+    found = R.read_files(spark, path, "*.txt")
+    lines = F.split(F.decode("content", "UTF-8"), "\n")
+    each = found.select(F.col("source").alias("batch_id"), "bytes", F.filter(lines, lambda x: x != "").alias("lines"))
+    return each.groupBy("batch_id").agg(F.sum(F.size("lines")).alias("lines"), F.sum("bytes").alias("bytes"), F.sum(F.size(F.filter("lines", lambda x: x < "8"))).alias("low"))
 
 
 @query("""SELECT declared, kind, verdict, count(*) AS files FROM (
@@ -50,8 +54,7 @@ def s2_image_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PAGES_SQL} SELECT CASE WHEN position % 2 = 1 THEN 'odd' ELSE 'even' END AS part, count(*) AS pages, CAST(sum(file_id) AS BIGINT) AS files FROM pages_ GROUP BY 1")
 def s3_write_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagewright-")
-    path = f"{root}/parts-{uuid.uuid4().hex}"
+    path = new_folder(spark, "parts")
     R.write_parts(split_pages(bundle_pages(spark, sf_dir), "odd-even"), path)
     return spark.read.parquet(path).groupBy("part").agg(F.count("*").alias("pages"), F.sum("file_id").alias("files"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +13,12 @@ from .registry import query
 
 
 @query("""SELECT event_id AS id, 'k' AS path, json_extract_string(props, '$.k') AS text FROM events
+UNION ALL SELECT event_id, 'message', '{{name}} has ' || event_type FROM events UNION ALL SELECT event_id, 'a.b.c.d.e.f', event_type FROM events
 UNION ALL SELECT event_id, 'event.type', event_type FROM events UNION ALL SELECT event_id, 'event.by.user', CAST(user_id AS VARCHAR) FROM events""")
 def k1_flatten_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = F.struct(F.col("event_type").alias("type"), F.struct(F.col("user_id").alias("user")).alias("by"))
-    tree = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("k"), nested.alias("event")))
+    deep = reduce(lambda inner, name: F.struct(inner).alias(name), "edcba", F.col("event_type").alias("f"))
+    tree = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("k"), nested.alias("event"), F.concat(F.lit("{{name}} has "), "event_type").alias("message"), deep))
     return K.flatten_catalog(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), tree.alias("tree")))
 
 

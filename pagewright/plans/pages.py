@@ -134,7 +134,7 @@ def a16_extend_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STEM_SQL = """nullif(regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '\\.[^.]*$', ''),
   '[\\x00-\\x1F\\x7F<>:"/\\\\|?*]+', '_', 'g'), '[\\x09-\\x0D\\x20\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x{{FEFF}}]+', ' ', 'g'),
   '^[. ]+|[. ]+$', '', 'g'), 1, 120), '[. ]+$', ''), '')"""
-_ODD_NAME = "' ' || lang || ':/' || source || '?*' || chr(160) || substr(text, 1, doc_id % 200) || ' .x' || chr(9) || '.' || CASE WHEN doc_id % 2 = 0 THEN 'pdf' ELSE 'docx ' END"
+_ODD_NAME = "' ' || lang || ':/' || source || '?*' || chr(160) || text || ' .x' || chr(9) || '.' || CASE WHEN doc_id % 2 = 0 THEN 'pdf' ELSE 'docx ' END"
 
 
 @query(f"SELECT doc_id, {_STEM_SQL.format(_ODD_NAME)} AS stem FROM documents")

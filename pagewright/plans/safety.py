@@ -26,27 +26,34 @@ def r1_redaction_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.redaction_rects(_annotations(spark, sf_dir))
 
 
-@query("""SELECT l_suppkey AS page, count(*) AS blocks, CAST(sum(l_orderkey) AS BIGINT) AS ids FROM lineitem WHERE l_suppkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 0) GROUP BY 1""")
+@query("""SELECT l_suppkey AS page, count(*) AS blocks, CAST(sum(l_orderkey) AS BIGINT) AS ids FROM lineitem WHERE l_suppkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT') GROUP BY 1""")
 def r2_redact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), "l_orderkey")
-    rects = table(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0").select(F.col("o_custkey").alias("page"))
+    rects = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("page"))
     return R.redact_pages(blocks, rects).groupBy("page").agg(F.count("*").alias("blocks"), F.sum("l_orderkey").alias("ids"))
 
 
 @query(f"""WITH b AS (SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS id, l_suppkey AS page, l_quantity AS x, l_discount * 100 AS y FROM lineitem),
-r AS (SELECT o_orderkey % 100 AS page, o_custkey % 45 + 0.5 AS x, o_orderkey % 9 + 0.25 AS y FROM orders WHERE o_orderkey % 200 = 0)
+r AS (SELECT o_orderkey % 100 AS page, o_custkey % 45 + 0.5 AS x, o_orderkey % 9 + 0.25 AS y FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')
 SELECT id, b.page, b.x, EXISTS (SELECT 1 FROM r WHERE r.page = b.page AND b.x < ceil(r.x + 2) AND floor(r.x) < b.x + 1 AND b.y < ceil(r.y + 1) AND floor(r.y) < b.y + 0.5) AS masked FROM b""")
 def r3_redact_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)).cast("long")
     blocks = lines.select((F.col("l_orderkey") * 1000 + place).alias("id"), F.col("l_suppkey").alias("page"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), F.lit(1.0).alias("w"), F.lit(0.5).alias("h"))
-    rects = table(spark, sf_dir, "orders").filter("o_orderkey % 200 = 0").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 100).alias("page"), (F.col("o_custkey") % 45 + 0.5).alias("x"), (F.col("o_orderkey") % 9 + 0.25).alias("y"), F.lit(2.0).alias("w"), F.lit(1.0).alias("h"))
+    rects = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 100).alias("page"), (F.col("o_custkey") % 45 + 0.5).alias("x"), (F.col("o_orderkey") % 9 + 0.25).alias("y"), F.lit(2.0).alias("w"), F.lit(1.0).alias("h"))
     return R.redact_regions(blocks, rects).select("id", "page", "x", "masked")
 
 
-@query("SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)")
+@query("""WITH s AS (SELECT item_id, text FROM benchmark UNION ALL SELECT -1 - n_nationkey, n_name FROM nation UNION ALL SELECT -100 - r_regionkey, lower(substr(r_name, 1, 3)) FROM region),
+d AS (SELECT doc_id, text FROM documents UNION ALL SELECT -o_orderkey, o_orderpriority || lower(hex(n_name)) || o_orderstatus FROM orders JOIN nation ON n_nationkey = o_custkey % 25)
+SELECT DISTINCT doc_id, item_id FROM d JOIN s ON s.text <> '' AND (contains(d.text, s.text) OR contains(translate(d.text, 'abcdef', 'ABCDEF'), hex(s.text)))""")
 def r4_leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.leak_scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """Items of the benchmark and names, of one word and of many, in texts and in orders' notes that hold a name in hexadecimal digits."""
+    nation, orders = table(spark, sf_dir, "nation"), table(spark, sf_dir, "orders")
+    secrets = table(spark, sf_dir, "benchmark").select("item_id", "text").unionAll(nation.select((-1 - F.col("n_nationkey")).cast("long"), "n_name"))
+    secrets = secrets.unionAll(table(spark, sf_dir, "region").select((-100 - F.col("r_regionkey")).cast("long"), F.lower(F.substring("r_name", 1, 3))))
+    coded = orders.join(nation, F.col("n_nationkey") == F.col("o_custkey") % 25).select(-F.col("o_orderkey"), F.concat("o_orderpriority", F.lower(F.hex("n_name")), "o_orderstatus"))
+    return R.leak_scan(table(spark, sf_dir, "documents").select("doc_id", "text").unionAll(coded), secrets)
 
 
 _URIS = """SELECT page_id, url AS uri FROM {p} UNION ALL SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'MailTo:a@b' WHEN 1 THEN ' javascript:x' WHEN 2 THEN 'tel:1' WHEN 3 THEN '//host/x' ELSE NULL END FROM {p}"""

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """name, bytes, content of files that match; only what is selected of them is read."""
+    """name, bytes, content of files that match, and what names of folders say (``source=a``); only what is selected is read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), "content")
+    folders = [c for c in found.columns if c not in ("path", "modificationTime", "length", "content")]
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), "content", *folders)
 
 
 def image_size(data: bytes | None) -> tuple[str | None, int | None, int | None]:

@@ -88,8 +88,8 @@ RUNS_SQL = """runs_ AS (
 
 
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth run, moved a little, with some texts changed."""
-    r = runs(spark, sf_dir).filter("id % 10 = 1")
+    """The runs of returned lines, moved a little, with some texts changed."""
+    r = runs(spark, sf_dir).filter("text like 'R%'")
     return r.select(
         "id",
         "page",
@@ -101,4 +101,4 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EDITS_SQL = """edits_ AS (
   SELECT id, page, CASE WHEN id % 7 = 0 THEN 'zz' ELSE text END AS text,
-    x + 0.6::DOUBLE * (id % 3) AS x, y + 0.3::DOUBLE * (id % 5) AS y FROM runs_ WHERE id % 10 = 1)"""
+    x + 0.6::DOUBLE * (id % 3) AS x, y + 0.3::DOUBLE * (id % 5) AS y FROM runs_ WHERE text LIKE 'R%')"""
