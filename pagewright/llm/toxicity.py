@@ -159,7 +159,7 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 30, penalty: float = 1e-
 
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7, window: int | None = WINDOW) -> Model | None:
     """Full-batch Adam over vectors and softmax together. None without examples of both classes."""
-    every = [(w, y) for t, y in zip(texts, labels, strict=True) if (w := words_of(t))]
+    every = [(t, y) for t, y in zip(texts, labels, strict=True) if words_of(t)]
     # A quarter is set aside to turn logits into probabilities, unless it would lack a class.
     aside = every[::4] if len({y for _, y in every[::4]}) == 2 else every
     kept = [e for i, e in enumerate(every) if i % 4] if aside is not every else every
@@ -167,8 +167,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     if not len(y) or y.min() == y.max():
         return None
     number: dict[str, int] = {}
-    tokens = np.fromiter((number.setdefault(w, len(number)) for ws, _ in kept for w in ws), dtype=np.int32)
-    sizes = np.array([len(ws) for ws, _ in kept])
+    numbered = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], dtype=np.int32) for t, _ in kept]
+    tokens, sizes = np.concatenate(numbered), np.array(list(map(len, numbered)))
     word_of, flat = subwords(list(number))
     by_word = np.argsort(word_of, kind="stable")
     word_of, flat = word_of[by_word], flat[by_word]
@@ -212,7 +212,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     logits = np.zeros(BUCKETS)
     logits[common] = vectors @ (softmax[:, 1] - softmax[:, 0])
     model = Model(logits, float(bias[1] - bias[0]), np.zeros(2), window)
-    x = model.features([ws for ws, _ in aside])
+    x = np.concatenate([model.features([words_of(t) for t, _ in aside[i : i + 100]]) for i in range(0, len(aside), 100)])
     model.scale = logistic(x, np.array([v for _, v in aside], dtype=np.float64))
     return model
 
