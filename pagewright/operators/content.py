@@ -160,13 +160,19 @@ def atomic_pages(status: DataFrame) -> DataFrame:
     return status.groupBy("page").agg(F.bool_and(~failed).alias("accepted"), F.count("*").alias("edits"), F.min_by("status", F.when(failed, F.col("id"))).alias("code"))
 
 
-def bucket_mode(samples: DataFrame, by: str, order: list[str], steps: int = 32) -> DataFrame:
-    """The first sample of the fullest bucket of value; of equally full ones the bucket seen first."""
+def bucket_mode(samples: DataFrame, by: str, order: list[str], steps: int = 32, keys: DataFrame | None = None, white: float = 1.0) -> DataFrame:
+    """The first sample of the fullest bucket of value; of equally full ones the bucket seen first.
+
+    With ``keys`` a row for each of these, white (with n = 0) where there is no sample. Null values are no samples.
+    """
     pos = F.struct(*order)
-    rows = samples.withColumn("bucket", F.floor(F.col("value") * steps + 0.5))
+    rows = samples.filter("value is not null").withColumn("bucket", F.floor(F.col("value") * steps + 0.5))
     counted = rows.groupBy(by, "bucket").agg(F.count("*").alias("n"), F.min(pos).alias("first"), F.min_by("value", pos).alias("value"))
     best = counted.groupBy(by).agg(F.min_by(F.struct("value", "n"), F.struct((-F.col("n")).alias("n"), F.col("first"))).alias("b"))
-    return best.select(by, "b.value", "b.n")
+    found = best.select(by, "b.value", "b.n")
+    if keys is None:
+        return found
+    return keys.select(by).distinct().join(found, by, "left").select(by, F.coalesce("value", F.lit(white)).alias("value"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def glyph_coverage(texts: DataFrame, charsets: DataFrame) -> DataFrame:

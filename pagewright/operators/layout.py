@@ -87,8 +87,10 @@ def paginate(lines: DataFrame, height: int, min_fill: float = 0.7, tolerance: in
     return listed.mapInArrow(run, f"doc_id {lines.schema['doc_id'].dataType.simpleString()}, page long, first long, last long")
 
 
-def page_lower_bound(docs: DataFrame, usable: float) -> DataFrame:
-    return docs.groupBy("batch_id").agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("content") / usable))).cast("long").alias("pages"))
+def page_lower_bound(docs: DataFrame, usable: float, max_pages: int = 500) -> DataFrame:
+    """batch_id, the least number of pages that its contents take, and whether that alone rejects the batch. A null content is one page."""
+    found = docs.groupBy("batch_id").agg(F.sum(F.greatest(F.lit(1), F.ceil(F.coalesce("content", F.lit(0)) / usable))).cast("long").alias("pages"))
+    return found.withColumn("rejected", F.col("pages") > max_pages)
 
 
 def next_step(values: DataFrame, steps: list[float], slack: float = 0.001) -> DataFrame:
@@ -140,10 +142,10 @@ def reading_order(widgets: DataFrame) -> DataFrame:
 
 
 def compress_plan(images: DataFrame, sides: DataFrame, ppi: float, lossless: bool) -> DataFrame:
-    """Images to encode anew, with their target size; masks, odd colour spaces and huge ones are left alone."""
+    """Images to encode anew, with their target size; left alone are masks of others, stencils, images with a decode array, odd colour spaces and huge ones."""
     limit = sides.groupBy("doc").agg(F.greatest(F.lit(64.0), F.floor(F.max("side") / 72 * ppi + 0.5)).alias("limit"))
     masks = images.filter("mask_of is not null").select("doc", F.col("mask_of").alias("image"))
-    live = images.join(masks, ["doc", "image"], "left_anti").filter((F.col("bits") == 8) & F.col("space").isin("rgb", "gray") & (F.col("width") * F.col("height") <= 40_000_000))
+    live = images.join(masks, ["doc", "image"], "left_anti").filter((F.col("bits") == 8) & F.col("space").isin("rgb", "gray") & ~F.coalesce("stencil", F.lit(False)) & F.col("decode").isNull() & (F.col("width") * F.col("height") <= 40_000_000))
     j = live.join(limit, "doc").withColumn("scale", F.least(F.lit(1.0), F.col("limit") / F.greatest("width", "height")))
     chosen = j.filter((F.col("scale") < 0.95) | (F.col("lossless") & F.lit(lossless)))
     px = lambda c: F.greatest(F.lit(1), F.floor(F.col(c) * F.when(F.col("scale") < 0.95, F.col("scale")).otherwise(1.0) + 0.5)).cast("long")

@@ -47,7 +47,7 @@ def s2_image_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = lambda c: F.unhex(F.lpad(F.hex(c), 4, "0"))
     w, h = F.col("p_size") * 400, F.col("p_size") * 320
     png = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), four(w), four(h))
-    jpeg = F.concat(F.unhex(F.lit("FFD8FFE00004ABCDFFC0001108")), two(h), two(w))
+    jpeg = F.concat(F.unhex(F.lit("FFD8FFE00004ABCD00FFC0001108")), two(h), two(w))
     made = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 5 == 0, "jpeg").otherwise("png").alias("declared"), F.when(F.col("p_partkey") % 7 == 0, jpeg).otherwise(png).alias("content"))
     return R.image_inventory(made).groupBy("declared", "kind", "verdict").agg(F.count("*").alias("files"))
 

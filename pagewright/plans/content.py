@@ -121,11 +121,12 @@ def c11_atomic_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH s AS (SELECT l_suppkey AS page, l_discount AS value, floor(l_discount * 32 + 0.5) AS b, row_number() OVER (ORDER BY l_orderkey, {_ORDER}) AS pos FROM lineitem),
-g AS (SELECT page, b, count(*) AS n, min(pos) AS first, arg_min(value, pos) AS value FROM s GROUP BY 1, 2)
-SELECT page, value, n FROM g QUALIFY row_number() OVER (PARTITION BY page ORDER BY n DESC, first) = 1""")
+g AS (SELECT page, b, count(*) AS n, min(pos) AS first, arg_min(value, pos) AS value FROM s GROUP BY 1, 2),
+b AS (SELECT page, value, n FROM g QUALIFY row_number() OVER (PARTITION BY page ORDER BY n DESC, first) = 1)
+SELECT c_custkey AS page, coalesce(value, 1.0) AS value, coalesce(n, 0) AS n FROM customer LEFT JOIN b ON page = c_custkey""")
 def c12_bucket_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), F.col("l_discount").alias("value"), "l_orderkey", *LINE_ORDER)
-    return C.bucket_mode(samples, "page", ["l_orderkey", *LINE_ORDER])
+    return C.bucket_mode(samples, "page", ["l_orderkey", *LINE_ORDER], keys=table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page")))
 
 
 @query("""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS ch, generate_subscripts(regexp_extract_all(text, '(?s).'), 1) AS pos FROM documents)

@@ -9,12 +9,13 @@ from ..operators import layout as L
 from ..sources.tables import PAGES_SQL, bundle_pages, table
 from .registry import query
 
-_PAGES = "SELECT p_partkey AS id, p_size * 20.0{d} AS width, p_partkey % 37 * 25 + 100.0{d} AS height, CASE p_partkey % 5 WHEN 0 THEN 'A4' WHEN 1 THEN 'A3' WHEN 2 THEN 'Letter' WHEN 3 THEN 'Legal' ELSE 'original' END AS size, p_partkey % 30 - 3.0{d} AS margin FROM {t}"
+# Fixed values in the SQL below: page sizes in points, as in the operator.
+_PAGES = "SELECT p_partkey AS id, CASE WHEN p_partkey % 41 = 0 THEN 0 ELSE p_size END * 20.0{d} AS width, p_partkey % 37 * 25 + 100.0{d} AS height, CASE p_partkey % 5 WHEN 0 THEN 'A4' WHEN 1 THEN 'A3' WHEN 2 THEN 'Letter' WHEN 3 THEN 'Legal' ELSE 'original' END AS size, p_partkey % 30 - 3.0{d} AS margin FROM {t}"
 
 
 @query(f"""WITH p AS ({_PAGES.format(d="::DOUBLE", t="part")}), s AS (SELECT unnest(['A4', 'A3', 'Letter', 'Legal']) AS size, unnest([595.28::DOUBLE, 841.89, 612, 612]) AS tw, unnest([841.89::DOUBLE, 1190.55, 792, 1008]) AS th),
 j AS (SELECT id, width, height, coalesce(CASE WHEN width > height THEN th ELSE tw END, width) AS target_w, coalesce(CASE WHEN width > height THEN tw ELSE th END, height) AS target_h, greatest(0, least(20, margin)) / 100 AS m FROM p LEFT JOIN s USING (size)),
-k AS (SELECT *, least((1 - 2 * m) * target_w / width, (1 - 2 * m) * target_h / height) AS sc FROM j)
+k AS (SELECT *, CASE WHEN width > 0 AND height > 0 THEN least((1 - 2 * m) * target_w / width, (1 - 2 * m) * target_h / height) END AS sc FROM j)
 SELECT id, target_w, target_h, round(sc, 6) AS scale, round((target_w - width * sc) / 2, 6) AS "left", round((target_h - height * sc) / 2, 6) AS top FROM k""")
 def l1_page_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.sql(_PAGES.replace("{d}", "D").replace("{t}", "{part}"), part=table(spark, sf_dir, "part"))
@@ -55,9 +56,9 @@ def l5_paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.paginate(words.select("doc_id", "line", F.when(F.col("t").endswith("."), 0).otherwise(F.length("t")).alias("score")), 20)
 
 
-@query("SELECT source AS batch_id, CAST(sum(greatest(1, ceil(n_chars / 1800.0))) AS BIGINT) AS pages FROM documents GROUP BY 1")
+@query("SELECT source AS batch_id, CAST(sum(greatest(1, ceil(n_chars / 1800.0))) AS BIGINT) AS pages, sum(greatest(1, ceil(n_chars / 1800.0))) > 100 AS rejected FROM documents GROUP BY 1")
 def l6_page_lower_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.page_lower_bound(table(spark, sf_dir, "documents").select(F.col("source").alias("batch_id"), F.col("n_chars").alias("content")), 1800.0)
+    return L.page_lower_bound(table(spark, sf_dir, "documents").select(F.col("source").alias("batch_id"), F.col("n_chars").alias("content")), 1800.0, 100)
 
 
 @query("""WITH s AS (SELECT unnest([0.25::DOUBLE, 0.5, 1, 2, 4, 8, 16, 32, 45]) AS s)
@@ -66,12 +67,12 @@ def l7_next_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.next_step(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").alias("value")), [0.25, 0.5, 1, 2, 4, 8, 16, 32, 45])
 
 
-_IMAGES = "SELECT p_brand AS doc, p_partkey AS image, p_size * 100 AS width, p_size * 80 AS height, 8 AS bits, CASE p_partkey % 4 WHEN 0 THEN 'cmyk' WHEN 1 THEN 'gray' ELSE 'rgb' END AS space, p_partkey % 3 = 0 AS lossless, CASE WHEN p_partkey % 6 = 0 THEN p_partkey + 5 END AS mask_of FROM {p}"
+_IMAGES = "SELECT p_brand AS doc, p_partkey AS image, p_size * 100 AS width, p_size * 80 AS height, 8 AS bits, CASE p_partkey % 4 WHEN 0 THEN 'cmyk' WHEN 1 THEN 'gray' ELSE 'rgb' END AS space, p_partkey % 3 = 0 AS lossless, CASE WHEN p_partkey % 6 = 0 THEN p_partkey + 5 END AS mask_of, p_partkey % 17 = 0 AS stencil, CASE WHEN p_partkey % 19 = 0 THEN '1 0' END AS decode FROM {p}"
 
 
 @query(f"""WITH i AS ({_IMAGES.format(p="part")}), m AS (SELECT doc, mask_of AS image FROM i WHERE mask_of IS NOT NULL),
 s AS (SELECT p_brand AS doc, greatest(64, floor(max(p_retailprice) / 72 * 96 + 0.5)) AS lim FROM part GROUP BY 1),
-j AS (SELECT i.*, least(1, lim / greatest(width, height)) AS sc FROM i JOIN s USING (doc) WHERE space IN ('gray', 'rgb') AND width * height <= 40000000 AND NOT EXISTS (SELECT 1 FROM m WHERE m.doc = i.doc AND m.image = i.image))
+j AS (SELECT i.*, least(1, lim / greatest(width, height)) AS sc FROM i JOIN s USING (doc) WHERE space IN ('gray', 'rgb') AND NOT stencil AND decode IS NULL AND width * height <= 40000000 AND NOT EXISTS (SELECT 1 FROM m WHERE m.doc = i.doc AND m.image = i.image))
 SELECT doc, image, CAST(floor(width * CASE WHEN sc < 0.95 THEN sc ELSE 1 END + 0.5) AS BIGINT) AS target_w, CAST(floor(height * CASE WHEN sc < 0.95 THEN sc ELSE 1 END + 0.5) AS BIGINT) AS target_h FROM j WHERE sc < 0.95 OR lossless""")
 def m1_compress_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")

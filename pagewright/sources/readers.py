@@ -25,7 +25,10 @@ def image_size(data: bytes | None) -> tuple[str | None, int | None, int | None]:
         return ("png", *struct.unpack(">II", data[16:24]))
     if data[:2] == b"\xff\xd8":
         at = 2
-        while at + 9 <= len(data) and data[at] == 0xFF:
+        while at + 9 <= len(data):
+            if data[at] != 0xFF:  # bytes between segments are passed over
+                at += 1
+                continue
             marker = data[at + 1]
             if marker == 0xFF:
                 at += 1
@@ -41,18 +44,22 @@ def image_size(data: bytes | None) -> tuple[str | None, int | None, int | None]:
     return (None, None, None)
 
 
-def image_inventory(files: DataFrame, max_pixels: int = 32_000_000) -> DataFrame:
-    """name, declared, kind, width, height, verdict (ok, kind-mismatch, unreadable, too-many-pixels)."""
+def image_inventory(files: DataFrame, max_pixels: int = 32_000_000, max_bytes: int | None = None) -> DataFrame:
+    """name, declared, kind, width, height, verdict (ok, kind-mismatch, too-large, unreadable, too-many-pixels).
+
+    ``max_bytes`` bounds a file's size, as uploads do. A null content is of no kind.
+    """
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             sizes = pd.DataFrame([image_size(c) for c in f["content"]], columns=["kind", "width", "height"])
+            sizes["bytes"] = [len(c) if c is not None else 0 for c in f["content"]]
             yield pd.concat([f[["name", "declared"]].reset_index(drop=True), sizes.astype({"width": "Int64", "height": "Int64"})], axis=1)
 
-    seen = files.select("name", "declared", "content").mapInPandas(probe, "name string, declared string, kind string, width long, height long")
+    seen = files.select("name", "declared", "content").mapInPandas(probe, "name string, declared string, kind string, width long, height long, bytes long")
     pixels = F.col("width") * F.col("height")
-    verdict = F.when(F.col("kind").isNull() | (F.col("kind") != F.col("declared")), "kind-mismatch").when(pixels.isNull() | (pixels <= 0), "unreadable").when(pixels > max_pixels, "too-many-pixels").otherwise("ok")
-    return seen.withColumn("verdict", verdict)
+    verdict = F.when(F.col("kind").isNull() | (F.col("kind") != F.col("declared")), "kind-mismatch").when(F.col("bytes") > F.lit(max_bytes), "too-large").when(pixels.isNull() | (pixels <= 0), "unreadable").when(pixels > max_pixels, "too-many-pixels").otherwise("ok")
+    return seen.withColumn("verdict", verdict).drop("bytes")
 
 
 #: Elements that are dropped with their content, or alone where they have none.
