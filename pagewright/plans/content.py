@@ -103,12 +103,12 @@ def c9_overlap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.overlap_check(i, "session")
 
 
-@query("""WITH d AS (SELECT doc_id, string_split(text, ' ') AS t FROM documents)
-SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND len(t) > 8 THEN len(t) ELSE len(t) END AS tokens,
-  md5(array_to_string(CASE WHEN doc_id % 3 = 0 AND len(t) > 8 THEN t[1:2] || ['aa', 'bb', 'cc'] || t[5:6] || t[8:] ELSE t END, ' ')) AS digest FROM d""")
+@query("""WITH d AS (SELECT doc_id, lang, string_split(text, ' ') AS t FROM documents)
+SELECT doc_id, len(t) AS tokens,
+  md5(array_to_string(CASE WHEN lang = 'en' AND len(t) > 8 THEN t[1:2] || ['aa', 'bb', 'cc'] || t[5:6] || t[8:] ELSE t END, ' ')) AS digest FROM d""")
 def c10_apply_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("t"))
-    patched = docs.filter((F.col("doc_id") % 3 == 0) & (F.size("t") > 8)).select("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.split("text", " ").alias("t"))
+    patched = docs.filter((F.col("lang") == "en") & (F.size("t") > 8)).select("doc_id")
     one = lambda a, z, new: patched.select("doc_id", F.lit(a).alias("start"), F.lit(z).alias("end"), F.array(*map(F.lit, new)).cast("array<string>").alias("replacement"))
     done = C.apply_patches(docs.select("doc_id", F.posexplode("t").alias("i", "token")), one(2, 4, ["aa", "bb", "cc"]).unionByName(one(6, 7, [])))
     listed = done.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.array_sort(F.collect_list(F.struct("i", "token"))).alias("a"))

@@ -74,11 +74,11 @@ _ACTIONS = """SELECT event_id AS id, user_id AS node, CASE WHEN event_id % 11 =
 
 
 @query(f"""WITH a AS ({_ACTIONS.format(e="events")})
-SELECT id, node, kind, target, CAST(NULL AS BIGINT) AS next FROM a WHERE node % 4 <> 0 AND place = 'Annot'
+SELECT id, node, kind, target, CAST(NULL AS BIGINT) AS next FROM a WHERE node IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND place = 'Annot'
   AND (kind IN ('GoTo', 'ResetForm') OR kind = 'URI' AND target = 'https://x' OR kind = 'Named' AND target = 'NextPage')""")
 def r6_sanitize_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    live = events.filter("user_id % 4 <> 0").select(F.col("user_id").alias("node")).distinct()
+    live = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("node"))
     return R.sanitize_actions(spark.sql(_ACTIONS, e=events), live).select("id", "node", "kind", "target", "next")
 
 
