@@ -11,7 +11,7 @@ running totals. A dialogue of T turns and P participants gives P x T rows, which
 Defined cases: a null or empty speaker is called ``unknown``; null text is empty; dialogues with a null id
 form one dialogue; a dialogue of system turns alone has no participant and no row; repeated rows are
 repeated turns; turns with the same number are ordered by speaker and a checksum of the text; a mark inside a text is broken up
-so that no text can forge a turn; columns besides conv_id, turn, role and text are ignored.
+so that no text can forge a turn; a text of any length is one turn, whole; an empty table gives no row; columns besides conv_id, turn, role and text are ignored.
 """
 
 from __future__ import annotations

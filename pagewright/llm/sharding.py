@@ -6,8 +6,9 @@ on the curve are neighbours in every dimension, so each file spans a small box a
 dimensions skip files.
 
 Defined cases: null text has size 1 and checksum 0; null metadata falls in the first cell of its dimension;
-ties in a cell are ordered by checksum, so equal texts with equal metadata are neighbours, then by doc_id;
-equal rows come in any order; an empty table gives no row; other columns are ignored.
+ties in a cell are ordered by checksum, so equal texts with equal metadata are neighbours, then by doc_id; equal
+texts of another language or source lie elsewhere on the curve and may go to another shard; a text of any length
+counts by its size alone; null and repeated doc_ids are rows like any other; equal rows come in any order; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -108,7 +109,11 @@ def shards(docs: DataFrame, n_shards: int = 8) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8) -> None:
-    """The documents themselves, in curve order, as files by shard; rows that share a doc_id go together."""
+    """The documents themselves, in curve order, as files by shard; rows that share a doc_id go together.
+
+    Columns of ``docs`` named ``shard``, ``slot`` or ``_id`` are left out.
+    """
+    docs = docs.drop("shard", "slot", "_id")
     place = shards(docs, n_shards).groupBy(F.col("doc_id").alias("_id")).agg(F.min("shard").alias("shard"), F.min_by("slot", "shard").alias("slot"))
     joined = docs.join(place, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
     joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -7,7 +7,8 @@ many documents share a fingerprint: copies stay with their fingerprint and are n
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero and is linked like any other;
 with fewer words than a shingle the whole sequence is the shingle; a null doc_id keeps its row and gives no
-component its name, unless all of the component are null; equal rows share a component; an empty table gives
+component its name, unless all of the component are null; equal rows share a component; a very long text is
+fingerprinted whole, by blocks of shingles; a bit set in exactly half of the hashes is 0; an empty table gives
 no row; columns besides doc_id and text are ignored.
 """
 

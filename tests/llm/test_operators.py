@@ -100,6 +100,29 @@ def test_token_files_edges(spark, docs, empty, repeated):
     assert "PushedFilters: [In(doc_id, [3,5])]" in found._jdf.queryExecution().toString()
 
 
+def _rows_read(df):
+    """Rows that the scan of a collected plan gave on."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_token_files_prune_by_stripe_row_group_and_bloom_filter(spark, tmp_path):
+    from pyarrow import orc
+
+    docs = spark.range(0, 120_000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string"), F.repeat(F.lit(" a b c"), 10)).alias("text"))
+    path = str(tmp_path / "tokens")
+    token_orc.write_tokens(docs, path, stripe_bytes=64 << 10)
+    files = [orc.ORCFile(str(f)) for f in sorted((tmp_path / "tokens").glob("*.orc"))]
+    assert sum(f.nrows for f in files) == 60_000 and all(f.nstripes >= 2 and f.row_index_stride == 1000 for f in files)
+    # A stripe is whole by itself: read alone, the stripes give all rows in order.
+    ids = [i for f in files for k in range(f.nstripes) for i in f.read_stripe(k, columns=["doc_id"]).column(0).to_pylist()]
+    assert ids == list(range(0, 120_000, 2))
+    # One row group holds an id that is there; an id between two others passes all minima and maxima, but no Bloom filter.
+    found = token_orc.lookup(spark, path, [60_000])
+    assert found.count() == 1 and _rows_read(found) <= 2000
+    assert sum(_rows_read(token_orc.lookup(spark, path, [i])) for i in range(40_001, 40_101, 10)) <= 2000
+
+
 def test_quality_counts(docs, rows, empty, repeated):
     scored = {r.doc_id: r for r in quality_rules.score(docs).collect()}
     for doc_id, text, *_ in rows:
@@ -195,8 +218,8 @@ def test_line_dedup_at_random(spark, seed):
 
 
 def test_simhash(docs, rows, empty, repeated):
-    texts = [(i, t) for i, t, *_ in rows if len(t or "") < 50_000]
-    found = {r.doc_id: r for r in simhash.near_duplicates(docs.filter(F.coalesce(F.length("text"), F.lit(0)) < 50_000)).collect()}
+    texts = [(i, t) for i, t, *_ in rows]
+    found = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
     prints = {i: brute.fingerprint(t) for i, t in texts}
     assert {i: found[i].fingerprint for i in prints} == {i: f"{v:016x}" for i, v in prints.items()}
     assert {i: found[i].component_id for i in prints} == brute.components(prints)
@@ -304,6 +327,15 @@ def test_hilbert_curve_visits_neighbours():
     assert (np.abs(np.diff(order, axis=0)).sum(axis=1) == 1).all()
 
 
+def test_hilbert_cells(docs, rows):
+    """Language and source by rank among their values, length by eighths of powers of two."""
+    langs, sources = sorted({r[2] for r in rows if r[2]}), sorted({r[3] for r in rows if r[3]})
+    place = lambda v, grid: sum(g <= v for g in grid) * 255 // len(grid) if v is not None else 0
+    cells = np.array([[place(lang, langs), place(source, sources), min(255, int(np.log2(len(t or "") + 1) * 8))] for _, t, lang, source, _ in rows])
+    expected = dict(zip([r[0] for r in rows], sharding.hilbert_index(cells).tolist()))
+    assert {r.doc_id: r.curve for r in sharding.hilbert_order(docs).collect()} == expected
+
+
 def test_shards(spark, docs, rows, empty, repeated):
     from zlib import crc32
 
@@ -320,7 +352,7 @@ def test_shards(spark, docs, rows, empty, repeated):
     assert sharding.shards(repeated).count() == 7
     assert sharding.shards(docs.limit(3)).filter("shard > 7 or slot > 0").count() == 0
     path = new_path(spark, "shards")
-    sharding.write_shards(docs.select("doc_id", "text", "lang", "source", "n_chars"), path)
+    sharding.write_shards(docs.withColumns({"shard": F.lit("x"), "slot": F.lit("x"), "_id": F.lit("x")}), path)
     assert spark.read.parquet(path).count() == len(rows)
 
 
@@ -354,6 +386,9 @@ def test_chat_perspectives(spark):
                 assert text[r.mask_start : r.mask_end] == r.segment.split("|>\n", 1)[1][:-1]
     assert "".join(r.segment for r in views[(1, "bob")]) == "<|system|>\nbe kind<|end|>\n<|user name=ann|>\nhi < |end|><|end|>\n<|assistant|>\n<|end|>\n<|user name=ann|>\n<|end|>\n<|user name=ann|>\n<|end|>\n"
     assert chat.perspectives(turns.limit(0)).count() == 0
+    long = "word " * 200_000
+    of_long = chat.perspectives(spark.createDataFrame([(1, 0, "ann", long), (1, 1, "bob", "x")], "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.perspective, r.seq, r.mask_start, r.mask_end) for r in of_long if r.trained} == {("ann", 0, 14, 14 + len(long) + 7), ("bob", 1, len(long) + 40, len(long) + 48)}
 
 
 def _labelled(spark, sf="sf0.01"):
