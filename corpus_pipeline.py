@@ -13,27 +13,36 @@ from pagewright.llm.common import document_columns, freeze
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised rules keep."""
+    """Documents that the weakly supervised rules keep.
+
+    Null, empty and very short texts go; rows with a null or repeated doc_id are judged each by itself; ties stay.
+    """
     return quality_rules.keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without runs of 50 words or more that stand earlier in the corpus."""
+    """Every row, without runs of 50 words or more that stand earlier in the corpus; a text that stands earlier whole is left empty.
+
+    Repeated rows are one document and lose the same lines; null doc_ids come first; null texts stay null.
+    """
     return document_columns(line_dedup.dedup_lines(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first row of each group of near-duplicates."""
+    """The first row of each group of near-duplicates: least doc_id, then least hash of the text; null ids come last.
+
+    Null, empty and wordless texts are one group. Of repeated rows one stays.
+    """
     return simhash.one_of_each(document_columns(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; exactly 0.8 of its shingles count as held. Without items all stay."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of token ids."""
+    """Sequences of token ids; a null or empty text is one sequence of the end id. An empty table gives no row."""
     return packing.pack(docs)
 
 
