@@ -6,31 +6,39 @@ executor costs a reread.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import checkpointed
 
+_PARTS = 16
+
 
 def reachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame, live: DataFrame) -> DataFrame:
     """id, reachable, dropped: which nodes the roots reach, never over an edge into a page that is not live.
 
     ``nodes``: id, kind; ``edges``: src, dst; ``roots`` and ``live``: id. ``dropped`` counts a reached node's edges
     into pages that are not live. A node is expanded once, in the pass that first meets it, so cycles end.
+    Each pass writes what it meets alone; after ``_PARTS`` passes these are put together, so that plans stay short.
+    Repeated nodes give repeated rows, a null id is reached from no root.
     """
     detached = nodes.filter("kind = 'Page'").join(live.select("id"), "id", "left_anti").select(F.col("id").alias("dst"))
     pairs = checkpointed(edges.select("src", "dst").join(detached.withColumn("detached", F.lit(True)), "dst", "left").select("src", "dst", F.coalesce("detached", F.lit(False)).alias("detached")))
     open_pairs = pairs.filter("not detached").select("src", "dst").distinct()
-    met = checkpointed(roots.select("id", F.lit(0).alias("pass")).distinct())
-    step = 0
-    while not met.filter(F.col("pass") == step).isEmpty():
-        front = met.filter(F.col("pass") == step).select(F.col("id").alias("src"))
-        step += 1
-        new = open_pairs.join(front, "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(met, "id", "left_anti")
-        met = checkpointed(met.unionByName(new.withColumn("pass", F.lit(step))))
+    front = checkpointed(roots.select("id").distinct())
+    parts = [front]
+    while not front.isEmpty():
+        ahead = open_pairs.join(front.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        front = checkpointed(ahead.join(reduce(DataFrame.unionAll, parts), "id", "left_anti"))
+        parts.append(front)
+        if len(parts) > _PARTS:
+            parts = [checkpointed(reduce(DataFrame.unionAll, parts))]
+    met = reduce(DataFrame.unionAll, parts).withColumn("_met", F.lit(True))
     cut = pairs.filter("detached").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("cut"))
     joined = nodes.select("id").join(met, "id", "left").join(cut, "id", "left")
-    found = F.col("pass").isNotNull()
+    found = F.col("_met").isNotNull()
     return joined.select("id", found.alias("reachable"), F.when(found, F.coalesce("cut", F.lit(0))).otherwise(0).alias("dropped"))
 
 

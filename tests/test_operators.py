@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.operators import admission, catalog, content, history, layout, safety
+from pagewright.operators import admission, catalog, content, graph, history, layout, safety
 from pagewright.sources import readers
 
 
@@ -145,3 +145,15 @@ def test_read_files(spark, tmp_path):
     (tmp_path / "source=s" / "x.txt").write_bytes(b"abc")
     (tmp_path / "source=s" / "y.bin").write_bytes(b"")
     assert rows(readers.read_files(spark, str(tmp_path), "*.txt").select("name", "bytes", "source", F.decode("content", "UTF-8"))) == [("x.txt", 3, "s", "abc")]
+
+
+def test_reachable_over_a_long_path(spark):
+    """More passes than parts are kept, a cycle, a page that is not live, nulls and an empty table."""
+    n = 24
+    nodes = spark.createDataFrame([(i, "Page" if i == 90 else "x") for i in [*range(n), 90, 91]] + [(None, "x")], "id long, kind string")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)] + [(n - 1, 0), (3, 90), (3, 90), (90, 91), (None, 5)], "src long, dst long")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    found = {r.id: (r.reachable, r.dropped) for r in graph.reachable(nodes, edges, ids(0, None), ids(1)).collect()}
+    assert all(found[i] == (True, 2 if i == 3 else 0) for i in range(n))
+    assert found[90] == (False, 0) == found[91] == found[None]
+    assert graph.reachable(nodes, edges.limit(0), ids(2).limit(0), ids(1)).filter("reachable").count() == 0
