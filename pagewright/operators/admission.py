@@ -122,9 +122,13 @@ def dirty_only(blocks: DataFrame) -> DataFrame:
 
 
 def restore_snapshot(pages: DataFrame, files: DataFrame, max_files: int = MAX_FILES, max_pages: int = MAX_PAGES, max_bytes: float = MAX_BATCH_BYTES) -> DataFrame:
-    """The pages of snapshots (bundle_id) that pass as a whole: counts and bytes within limits, and no page without its file."""
+    """The pages of snapshots (bundle_id) that pass as a whole: counts and bytes within limits, and no page without its file.
+
+    A page whose ``edits``, if there is such a column, are null has none (an empty array).
+    """
     used = pages.select("bundle_id", "file_id").distinct().join(files.select("file_id", "bytes"), "file_id", "left")
     by_file = used.groupBy("bundle_id").agg(F.count("*").alias("n_files"), F.sum("bytes").alias("b"), F.bool_or(F.col("bytes").isNull()).alias("lost"))
     by_page = pages.groupBy("bundle_id").agg(F.count("*").alias("n_pages"))
     good = by_file.join(by_page, "bundle_id").filter((F.col("n_files") <= max_files) & (F.col("n_pages") <= max_pages) & (F.col("b") <= max_bytes) & ~F.col("lost"))
-    return pages.join(good, "bundle_id", "left_semi")
+    kept = pages.join(good, "bundle_id", "left_semi")
+    return kept.withColumn("edits", F.coalesce("edits", F.array().cast(pages.schema["edits"].dataType))) if "edits" in pages.columns else kept

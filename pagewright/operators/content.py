@@ -17,21 +17,27 @@ def text_blocks(docs: DataFrame, mark: str = ".", size: float = 12.0) -> DataFra
     return kept.select("doc_id", F.concat(F.lit("page-text-"), F.col("i").cast("string")).alias("block_id"), "text", (F.length("text") * 0.55 * size).alias("width"))
 
 
-def cap_blocks(images: DataFrame, order: list[str], max_items: int, first: int, max_one: float, budget: float) -> DataFrame:
-    """Pages over the limit go; of the others' first images, those that fit what is left of the budget, skipping what does not.
+def cap_blocks(images: DataFrame, order: list[str], max_items: int, first: int, max_one: float, budget: float, min_side: float = 0.0, max_bytes: float = float("inf")) -> DataFrame:
+    """page, item, verdict: ``ok`` for each image that stays, or one row ``too-many`` (item null) for a page over the limit.
 
-    ``first`` bounds the array that the fold runs over.
+    Columns page, pixels, width, height, bytes. Of a page's ``first`` images those stay that are no narrower than ``min_side``
+    and fit what is left of both budgets, skipping what does not; ``first`` bounds the array that the fold runs over. A null
+    size fits nothing.
     """
     w = Window.partitionBy("page")
-    rows = images.withColumns({"_n": F.count("*").over(w), "_i": F.row_number().over(w.orderBy(*order))}).filter((F.col("_n") <= max_items) & (F.col("_i") <= first))
-    zero = F.struct(F.lit(0.0).alias("used"), F.array().cast("array<int>").alias("kept"))
+    rows = images.withColumns({"_n": F.count("*").over(w), "_i": F.row_number().over(w.orderBy(*order))}).filter(((F.col("_n") > max_items) & (F.col("_i") == 1)) | ((F.col("_n") <= max_items) & (F.col("_i") <= first)))
+    zero = F.struct(F.lit(0.0).alias("used"), F.lit(0.0).alias("bytes"), F.array().cast("array<int>").alias("kept"))
 
     def step(s: Column, f: Column) -> Column:
-        fits = (f["pixels"] <= max_one) & (s["used"] + f["pixels"] <= budget)
-        return F.struct(F.when(fits, s["used"] + f["pixels"]).otherwise(s["used"]).alias("used"), F.when(fits, F.array_append(s["kept"], f["_i"])).otherwise(s["kept"]).alias("kept"))
+        fits = F.coalesce((F.least(f["width"], f["height"]) >= min_side) & (f["pixels"] <= max_one) & (s["used"] + f["pixels"] <= budget) & (s["bytes"] + f["bytes"] <= max_bytes), F.lit(False))
+        add = lambda c, v: F.when(fits, s[c] + f[v]).otherwise(s[c]).alias(c)
+        return F.struct(add("used", "pixels"), add("bytes", "bytes"), F.when(fits, F.array_append(s["kept"], f["_i"])).otherwise(s["kept"]).alias("kept"))
 
-    folded = rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("_i", F.col("pixels").cast("double").alias("pixels")))).alias("a"))
-    return folded.select("page", F.explode(F.aggregate("a", zero, step)["kept"]).alias("item"))
+    sizes = [F.col(c).cast("double").alias(c) for c in ("pixels", "width", "height", "bytes")]
+    folded = rows.groupBy("page").agg(F.max("_n").alias("n"), F.array_sort(F.collect_list(F.struct("_i", *sizes))).alias("a"))
+    over = F.col("n") > max_items
+    item = F.when(over, F.array(F.lit(None).cast("int"))).otherwise(F.aggregate("a", zero, step)["kept"])
+    return folded.select("page", F.explode(item).alias("item"), F.when(over, "too-many").otherwise("ok").alias("verdict"))
 
 
 def zip_by_ordinal(items: DataFrame, styles: DataFrame, by: str, order: list[str], default) -> DataFrame:
@@ -160,6 +166,17 @@ def atomic_pages(status: DataFrame) -> DataFrame:
     return status.groupBy("page").agg(F.bool_and(~failed).alias("accepted"), F.count("*").alias("edits"), F.min_by("status", F.when(failed, F.col("id"))).alias("code"))
 
 
+def strict_bundles(judged: DataFrame, pages: DataFrame) -> DataFrame:
+    """bundle_id, accepted, position, code: a bundle goes if any of its pages does; the first such page and its code (null: none).
+
+    ``judged`` is of ``atomic_pages``; ``pages`` has bundle_id, position, page. A page without edits is accepted.
+    """
+    bad = judged.filter("not accepted").select("page", F.struct("page", "code").alias("_bad"))
+    j = pages.select("bundle_id", "position", "page").join(bad, "page", "left")
+    first = F.min(F.when(F.col("_bad").isNotNull(), F.struct("position", F.col("_bad.code").alias("code"))))
+    return j.groupBy("bundle_id").agg(first.alias("f")).select("bundle_id", F.col("f").isNull().alias("accepted"), "f.position", "f.code")
+
+
 def bucket_mode(samples: DataFrame, by: str, order: list[str], steps: int = 32, keys: DataFrame | None = None, white: float = 1.0) -> DataFrame:
     """The first sample of the fullest bucket of value; of equally full ones the bucket seen first.
 

@@ -73,6 +73,44 @@ def coalesce_changes(changes: DataFrame, gap: Column, order: list[str]) -> DataF
     return steps.groupBy("session", "step").agg(F.count("*").alias("changes"), F.max_by("value", F.struct(*order)).alias("value"))
 
 
+def editor_step(gap_ms: int, keep: int) -> Callable:
+    """The state is the steps' values, the cursor and the time of the last change; the first value is the starting state.
+
+    A change at the tip joins the last step if it comes less than ``gap_ms`` after the change before, but never the
+    starting state, nor the step that an undo or redo has come to. A change to the value in force is none.
+    """
+
+    def step(state: dict, row) -> tuple:
+        values, at = state["values"], state["at"]
+        if row.op == "change" and row.value != values[at]:
+            joins = 0 < at == len(values) - 1 and state["last"] is not None and row.ms - state["last"] < gap_ms
+            values = [*values[: at if joins else at + 1], row.value][-keep:]
+            state.update(values=values, at=len(values) - 1, last=row.ms)
+        elif row.op in ("undo", "redo"):
+            to = at + (1 if row.op == "redo" else -1)
+            if 0 <= to < len(values):
+                state.update(at=to, last=None)
+        at = state["at"]
+        return row.session, row.id, state["values"][at], at, len(state["values"])
+
+    return step
+
+
+_EDITOR = "session long, id long, current long, at long, steps long"
+
+
+def editor_start() -> dict:
+    return {"values": [0], "at": 0, "last": None}
+
+
+def editor_history(log: DataFrame, gap_ms: int, order: list[str], keep: int = 100) -> DataFrame:
+    """After each entry of a session's log (session, id, ms, op change, undo or redo, value): the current value, its step and the number of steps.
+
+    Where nothing is undone, and no value repeats, the steps are those of ``coalesce_changes``. A log starts at 0.
+    """
+    return fold(log, "session", order, editor_start, editor_step(gap_ms, keep), _EDITOR)
+
+
 def debounced_saves(log: DataFrame, quiet: Column, order: list[str]) -> DataFrame:
     """session, id, value, forced: the change that a save writes. A save comes a quiet time after the last change, or when a page is hidden.
 

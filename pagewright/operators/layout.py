@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,33 +13,77 @@ from pyspark.sql import functions as F
 PAGE_SIZES = {"A4": (595.28, 841.89), "A3": (841.89, 1190.55), "Letter": (612.0, 792.0), "Legal": (612.0, 1008.0)}
 
 
-def page_layout(pages: DataFrame, max_margin: float = 20.0) -> DataFrame:
+def visible_box(media: Column, crop: Column) -> Column:
+    """The part of the media box that the crop box shows, as a struct x0, y0, x1, y1; the media box if nothing is left or there is no crop box."""
+    box = F.struct(*[f(media[k], crop[k]).alias(k) for k, f in (("x0", F.greatest), ("y0", F.greatest), ("x1", F.least), ("y1", F.least))])
+    return F.when((box["x1"] > box["x0"]) & (box["y1"] > box["y0"]), box).otherwise(media)
+
+
+def page_layout(pages: DataFrame, max_margin: float = 20.0, crop: Column | float = 0.0) -> DataFrame:
     """Target size, scale and place of each page: columns width, height, size (a name or 'original'), margin (per cent).
 
-    A page without a width or height over 0 has no scale and no place (null); an unknown size is the original.
+    ``crop`` is what is cut from each side, per cent, and enlarges the page, five times at most. A page without a
+    width or height over 0 has no scale and no place (null); an unknown size is the original.
     """
     spark = pages.sparkSession
     sizes = spark.sql(" UNION ALL ".join(f"SELECT '{k}' AS size, {w}D AS tw, {h}D AS th" for k, (w, h) in PAGE_SIZES.items()))
-    j = pages.join(F.broadcast(sizes), "size", "left")
+    j = pages.withColumn("_zoom", 1 / F.greatest(F.lit(0.2), 1 - 2 * (crop if isinstance(crop, Column) else F.lit(crop)) / 100)).join(F.broadcast(sizes), "size", "left")
     wide = F.col("width") > F.col("height")
     j = j.withColumns({"target_w": F.coalesce(F.when(wide, F.col("th")).otherwise(F.col("tw")), F.col("width")), "target_h": F.coalesce(F.when(wide, F.col("tw")).otherwise(F.col("th")), F.col("height"))})
     m = F.greatest(F.lit(0.0), F.least(F.lit(max_margin), F.col("margin"))) / 100
-    j = j.withColumn("scale", F.when((F.col("width") > 0) & (F.col("height") > 0), F.least(F.try_divide((1 - 2 * m) * F.col("target_w"), F.col("width")), F.try_divide((1 - 2 * m) * F.col("target_h"), F.col("height")))))
-    at = lambda t, s: F.round((F.col(t) - F.col(s) * F.col("scale")) / 2, 6)
-    return j.withColumns({"left": at("target_w", "width"), "top": at("target_h", "height"), "scale": F.round("scale", 6)}).drop("tw", "th")
+    inner = lambda t: F.greatest(F.lit(1.0), (1 - 2 * m) * F.col(t))
+    fit = F.least(F.try_divide(inner("target_w"), F.col("width")), F.try_divide(inner("target_h"), F.col("height"))) * F.col("_zoom")
+    j = j.withColumn("scale", F.when((F.col("width") > 0) & (F.col("height") > 0), fit))
+    at = lambda t, s: F.round(m * F.col(t) + (inner(t) - F.col(s) * F.col("scale")) / 2, 6)
+    return j.withColumns({"left": at("target_w", "width"), "top": at("target_h", "height"), "scale": F.round("scale", 6)}).drop("tw", "th", "_zoom")
 
 
-def page_overlays(pages: DataFrame, header: Column, footer: Column) -> DataFrame:
-    """bundle_id, position, kind, text, anchor: a header, a footer and ``n / total``; blank texts give nothing."""
+def page_overlays(pages: DataFrame, header: Column, footer: Column, watermark: Column | None = None) -> DataFrame:
+    """bundle_id, position, kind, text, anchor, size, x, y: a watermark, a header, a footer and ``n / total``; blank texts give nothing.
+
+    Pages have a width and a height. x is where the anchor lies, as the width of a text is its font's matter.
+    """
     total = F.count("*").over(Window.partitionBy("bundle_id"))
-    one = lambda kind, text, anchor: F.struct(F.lit(kind).alias("kind"), text.alias("text"), F.lit(anchor).alias("anchor"))
+    w, h = F.col("width").cast("double"), F.col("height").cast("double")
+    of_side = lambda least, part: F.greatest(F.lit(float(least)), F.least(w, h) * part)
+    small = of_side(10, 0.018)
+
+    def one(kind: str, text: Column, anchor: str, size: Column, x: Column, y: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.btrim(text, F.lit(" \t\r\n")).alias("text"), F.lit(anchor).alias("anchor"), F.round(size, 6).alias("size"), F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
     label = F.concat_ws(" / ", F.col("position").cast("string"), F.col("_total").cast("string"))
-    rows = pages.withColumns({"_total": total}).select("bundle_id", "position", F.explode(F.filter(F.array(one("header", header, "top-left"), one("footer", footer, "bottom-left"), one("number", label, "bottom-right")), lambda o: F.trim(o["text"]) != "")).alias("o"))
+    marks = F.array(
+        one("watermark", F.lit("") if watermark is None else watermark, "centre", of_side(36, 0.08), w / 2, h / 2),
+        one("header", header, "top-left", small, F.lit(24.0), h - small - 18),
+        one("footer", footer, "bottom-left", small, F.lit(24.0), F.lit(18.0)),
+        one("number", label, "bottom-right", of_side(9, 0.018), w - 24, F.lit(18.0)),
+    )
+    rows = pages.withColumn("_total", total).select("bundle_id", "position", F.explode(F.filter(marks, lambda o: o["text"] != "")).alias("o"))
     return rows.select("bundle_id", "position", "o.*")
 
 
-def scale_points(points: Column, sx: Column, sy: Column) -> Column:
-    return F.transform(points, lambda p: F.struct((p["x"] * sx).alias("x"), (p["y"] * sy).alias("y")))
+def _mapped(points: Column, x: Callable[[Column], Column], y: Callable[[Column], Column]) -> Column:
+    return F.transform(points, lambda p: F.struct(x(p["x"]).alias("x"), y(p["y"]).alias("y")))
+
+
+def scale_annotations(annotations: DataFrame, source: tuple[float, float], target: tuple[float, float]) -> DataFrame:
+    """Annotations (x, y, width, height, stroke, points) of one canvas on another; the stroke follows the axis that grows less.
+
+    A canvas narrower than one unit counts as one; null points stay null.
+    """
+    sx, sy = (F.lit(1.0 if source == target else float(t) / max(1.0, s)) for s, t in zip(source, target, strict=True))
+    scaled = {"x": F.col("x") * sx, "y": F.col("y") * sy, "width": F.col("width") * sx, "height": F.col("height") * sy}
+    return annotations.withColumns(scaled | {"stroke": F.col("stroke") * F.least(sx, sy), "points": _mapped(F.col("points"), lambda v: v * sx, lambda v: v * sy)})
+
+
+def move_annotations(annotations: DataFrame, bounds: Column) -> DataFrame:
+    """Annotations moved and resized to ``bounds`` (a struct x, y, width, height): an axis without extent is only moved."""
+    on = annotations.withColumn("_to", bounds)
+    scale = {k: F.when(F.col(k) == 0, 1.0).otherwise(F.try_divide(F.col(f"_to.{k}"), F.col(k))) for k in ("width", "height")}
+    at = lambda k, size: lambda v: F.when(F.col(size) == 0, v + F.col(f"_to.{k}") - F.col(k)).otherwise(F.col(f"_to.{k}") + (v - F.col(k)) * scale[size])
+    stroke = F.col("stroke") * F.least(F.abs(scale["width"]), F.abs(scale["height"]))
+    moved = on.withColumns({"stroke": stroke, "points": _mapped(F.col("points"), at("x", "width"), at("y", "height"))})
+    return moved.withColumns({k: F.col(f"_to.{k}") for k in ("x", "y", "width", "height")}).drop("_to")
 
 
 def annotation_lines(docs: DataFrame, top: Column, size: float = 12.0) -> DataFrame:
@@ -48,10 +92,11 @@ def annotation_lines(docs: DataFrame, top: Column, size: float = 12.0) -> DataFr
     return rows.select("doc_id", "line", F.when(F.col("text") == "", " ").otherwise(F.col("text")).alias("text"), (F.col("_top") - F.col("line") * 1.25 * size).alias("y"))
 
 
-def _cuts(scores: np.ndarray, height: int, min_fill: float, tolerance: int) -> list[int]:
+def _cuts(scores: np.ndarray, height: int, later: int, min_fill: float, tolerance: int) -> list[int]:
     """Where pages begin, and the end of the last."""
     at, found = 0, [0]
     while at < len(scores):
+        height = height if at == 0 else later
         end = at + height
         if end < len(scores):
             low = at + int(height * min_fill)
@@ -63,20 +108,23 @@ def _cuts(scores: np.ndarray, height: int, min_fill: float, tolerance: int) -> l
     return found
 
 
-def paginate(lines: DataFrame, height: int, min_fill: float = 0.7, tolerance: int = 0) -> DataFrame:
+def paginate(lines: DataFrame, height: int, min_fill: float = 0.7, tolerance: int = 0, top_margin: int = 0) -> DataFrame:
     """Cut each document's lines (doc_id, line, score) into pages: doc_id, page, first, last.
 
     A full window is cut after its lowest line, in the part beyond ``min_fill``, whose score is within the
-    tolerance, else after the one of least score, the lower of equals. Each cut depends on the one before, so a
+    tolerance, else after the one of least score, the lower of equals. The first page's own lines hold its top margin;
+    later pages have ``top_margin`` lines less, but half a page at least. Each cut depends on the one before, so a
     document's scores are one row, put in order by Spark; a null score counts as 0.
     """
 
+    later = max(1, height // 2, height - top_margin)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists, cuts = batch.column("scores"), []
             values, at = np.asarray(lists.values), np.asarray(lists.offsets)
             for a, z in zip(at[:-1], at[1:], strict=True):
-                cuts.append(np.array(_cuts(values[a:z], height, min_fill, tolerance)))
+                cuts.append(np.array(_cuts(values[a:z], height, later, min_fill, tolerance)))
             n = [len(c) - 1 for c in cuts]
             joined = lambda parts: pa.array(np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, dtype=np.int64))
             rows = pa.array(np.repeat(np.arange(len(cuts)), n))

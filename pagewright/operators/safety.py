@@ -125,14 +125,23 @@ def sanitize_actions(actions: DataFrame, reachable: DataFrame) -> DataFrame:
     return live.filter(F.coalesce(keep, F.lit(False))).withColumn("next", F.lit(None).cast("long"))
 
 
-def rewrite_links(links: DataFrame, first: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
-    """Links (id, kind, target, file_id, page_index, x0, y0, x1, y1): web links if safe, page links to the first copy, clipped to the box."""
-    web = links.filter((F.col("kind") == "URI") & is_safe(F.col("target"))).select("id", "kind", "target", F.lit(None).cast("long").alias("bundle_id"), F.lit(None).cast("long").alias("position"), "x0", "y0", "x1", "y1")
-    inside = links.filter("kind = 'GoTo'").join(first, ["file_id", "page_index"]).select("id", "kind", F.lit(None).cast("string").alias("target"), "bundle_id", "position", "x0", "y0", "x1", "y1")
-    low = lambda c, b: F.greatest(F.col(c), F.lit(b)).alias(c)
-    high = lambda c, b: F.least(F.col(c), F.lit(b)).alias(c)
-    clipped = web.unionByName(inside).select("id", "kind", "target", "bundle_id", "position", low("x0", box[0]), low("y0", box[1]), high("x1", box[2]), high("y1", box[3]))
-    return clipped.filter("x1 > x0 and y1 > y0")
+def rewrite_links(links: DataFrame, first: DataFrame, box: tuple, matrix: Column | None = None) -> DataFrame:
+    """Links (id, kind, target, file_id, page_index, x0, y0, x1, y1): web links if safe, page links to the first copy, clipped to the box.
+
+    Corners may come in any order. ``box`` is four numbers or columns. ``matrix``, an array a, b, c, d, e, f of a link's
+    row, takes what is left of a rectangle to its new page: (a x + c y + e, b x + d y + f), as the box around it.
+    A rectangle with a null corner goes; a null matrix changes nothing.
+    """
+    still = F.array(*[F.lit(float(v)) for v in (1, 0, 0, 1, 0, 0)])
+    clip = lambda f, g, k, b: f(g(F.col(f"{k}0"), F.col(f"{k}1")), F.lit(b))
+    whole = F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull()
+    seen = links.filter(whole).select("id", "kind", "target", "file_id", "page_index", (still if matrix is None else F.coalesce(matrix, still)).alias("m"), *[clip(f, g, k, b).alias(n) for f, g, k, b, n in ((F.greatest, F.least, "x", box[0], "l"), (F.greatest, F.least, "y", box[1], "b"), (F.least, F.greatest, "x", box[2], "r"), (F.least, F.greatest, "y", box[3], "t"))]).filter("r > l and t > b")
+    web = seen.filter((F.col("kind") == "URI") & is_safe(F.col("target"))).select("id", "kind", "target", F.lit(None).cast("long").alias("bundle_id"), F.lit(None).cast("long").alias("position"), "m", "l", "b", "r", "t")
+    inside = seen.filter("kind = 'GoTo'").join(first, ["file_id", "page_index"]).select("id", "kind", F.lit(None).cast("string").alias("target"), "bundle_id", "position", "m", "l", "b", "r", "t")
+    corners = [(x, y) for x in "lr" for y in "bt"]
+    at = lambda i, x, y: F.col("m")[i] * F.col(x) + F.col("m")[i + 2] * F.col(y) + F.col("m")[i + 4]
+    sides = [f(*[at(i, x, y) for x, y in corners]).alias(n) for f, i, n in ((F.least, 0, "x0"), (F.least, 1, "y0"), (F.greatest, 0, "x1"), (F.greatest, 1, "y1"))]
+    return web.unionByName(inside).select("id", "kind", "target", "bundle_id", "position", *sides)
 
 
 def visible_annotations(ann: DataFrame) -> DataFrame:

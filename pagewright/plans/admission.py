@@ -52,19 +52,24 @@ def s2_image_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.image_inventory(made).groupBy("declared", "kind", "verdict").agg(F.count("*").alias("files"))
 
 
-@query(f"WITH {PAGES_SQL} SELECT CASE WHEN position % 2 = 1 THEN 'odd' ELSE 'even' END AS part, count(*) AS pages, CAST(sum(file_id) AS BIGINT) AS files FROM pages_ GROUP BY 1")
+@query(f"""WITH {PAGES_SQL}, p AS (SELECT CASE WHEN position % 2 = 1 THEN 'odd' ELSE 'even' END AS part, file_id FROM pages_)
+SELECT 'orders-' || part || '.parquet' AS file_name, count(*) AS pages, CAST(sum(file_id) AS BIGINT) AS files FROM p GROUP BY 1
+UNION ALL SELECT 'orders-odd.parquet', count(*), CAST(sum(file_id) AS BIGINT) FROM p WHERE part = 'odd'""")
 def s3_write_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_folder(spark, "parts")
-    R.write_parts(split_pages(bundle_pages(spark, sf_dir), "odd-even"), path)
-    return spark.read.parquet(path).groupBy("part").agg(F.count("*").alias("pages"), F.sum("file_id").alias("files"))
+    """Two groups as an archive of two, then one of them alone, which is no archive."""
+    parts = split_pages(bundle_pages(spark, sf_dir), "odd-even")
+    both, one = (R.write_parts(p, new_folder(spark, "parts"), stem="orders") for p in (parts, parts.filter("part = 'odd'")))
+    read = spark.read.parquet(both).select("file_name", "file_id").unionByName(spark.read.parquet(one).select(F.lit(one.rsplit("/", 1)[1]).alias("file_name"), "file_id").withColumn("_one", F.lit(1)), allowMissingColumns=True)
+    return read.groupBy("file_name", "_one").agg(F.count("*").alias("pages"), F.sum("file_id").alias("files")).drop("_one")
 
 
 @query(f"""WITH {PAGES_SQL}, {KNOWN_SQL}, u AS (SELECT DISTINCT bundle_id, file_id FROM pages_),
 g AS (SELECT bundle_id, count(*) AS nf, sum(bytes) AS b, bool_or(bytes IS NULL) AS lost FROM u LEFT JOIN known_ USING (file_id) GROUP BY 1),
 n AS (SELECT bundle_id, count(*) AS np FROM pages_ GROUP BY 1)
-SELECT bundle_id, position, file_id FROM pages_ WHERE bundle_id IN (SELECT bundle_id FROM g JOIN n USING (bundle_id) WHERE nf <= 5 AND np <= 6 AND b <= 120 AND NOT lost)""")
+SELECT bundle_id, position, file_id, CAST(CASE WHEN rotation = 90 THEN 2 ELSE 0 END AS INTEGER) AS n_edits FROM pages_ WHERE bundle_id IN (SELECT bundle_id FROM g JOIN n USING (bundle_id) WHERE nf <= 5 AND np <= 6 AND b <= 120 AND NOT lost)""")
 def s4_restore_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.restore_snapshot(bundle_pages(spark, sf_dir), known_files(spark, sf_dir), 5, 6, 120).select("bundle_id", "position", "file_id")
+    pages = bundle_pages(spark, sf_dir).withColumn("edits", F.when(F.col("rotation") == 90, F.array("file_id", "position")))
+    return A.restore_snapshot(pages, known_files(spark, sf_dir), 5, 6, 120).select("bundle_id", "position", "file_id", F.size("edits").alias("n_edits"))
 
 
 @query(f"WITH {FILES_SQL} SELECT file_id, {_KIND} AS kind FROM files_")

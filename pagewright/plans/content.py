@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import content as C
-from ..sources.tables import EDITS_SQL, LINE_ORDER, LOG_SQL, RUNS_SQL, edits, log, runs, table
+from ..sources.tables import EDITS_SQL, LINE_ORDER, LOG_SQL, PAGES_SQL, RUNS_SQL, bundle_pages, edits, log, runs, table
 from .registry import query
 
 _BOTH = f"{RUNS_SQL}, {EDITS_SQL}"
@@ -24,14 +24,16 @@ def c1_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ORDER = "l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice"
 
 
-@query(f"""WITH RECURSIVE r AS (SELECT l_orderkey AS page, l_quantity AS px, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
-k AS (SELECT * FROM r WHERE n <= 8 AND i <= 6),
-f AS (SELECT page, i, CASE WHEN px <= 45 THEN px ELSE 0 END AS used, px <= 45 AS ok FROM k WHERE i = 1
-  UNION ALL SELECT k.page, k.i, used + CASE WHEN px <= 45 AND used + px <= 90 THEN px ELSE 0 END, px <= 45 AND used + px <= 90 FROM f JOIN k ON k.page = f.page AND k.i = f.i + 1)
-SELECT page, CAST(i AS INTEGER) AS item FROM f WHERE ok""")
+@query(f"""WITH RECURSIVE r AS (SELECT l_orderkey AS page, l_quantity AS px, least(l_quantity, l_partkey % 30) AS side, l_suppkey % 50 AS bytes, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+k AS (SELECT * FROM r WHERE n <= 6 AND i <= 5),
+f AS (SELECT page, 0::BIGINT AS i, 0::DOUBLE AS used, 0::BIGINT AS b, false AS ok FROM k WHERE i = 1
+  UNION ALL SELECT page, i, used + CASE WHEN fits THEN px ELSE 0 END, b + CASE WHEN fits THEN bytes ELSE 0 END, fits
+  FROM (SELECT k.page, k.i, used, b, px, bytes, side >= 3 AND px <= 45 AND used + px <= 90 AND b + bytes <= 80 AS fits FROM f JOIN k ON k.page = f.page AND k.i = f.i + 1))
+SELECT page, CAST(i AS INTEGER) AS item, 'ok' AS verdict FROM f WHERE ok UNION ALL SELECT DISTINCT page, NULL::INTEGER, 'too-many' FROM r WHERE n > 6""")
 def c2_cap_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_quantity").alias("pixels"), *LINE_ORDER)
-    return C.cap_blocks(images, LINE_ORDER, 8, 6, 45, 90)
+    sizes = {"pixels": F.col("l_quantity"), "width": F.col("l_quantity"), "height": F.col("l_partkey") % 30, "bytes": F.col("l_suppkey") % 50}
+    images = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), *[v.alias(k) for k, v in sizes.items()], *LINE_ORDER)
+    return C.cap_blocks(images, LINE_ORDER, 6, 5, 45, 90, 3, 80)
 
 
 @query(f"""WITH {LOG_SQL}, i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM log_ WHERE event_type = 'click'),
@@ -120,6 +122,13 @@ def c11_atomic_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.atomic_pages(C.match_edits(edits(spark, sf_dir), runs(spark, sf_dir)))
 
 
+@query(f"""WITH {_BOTH}, {_STATUS}, {PAGES_SQL}, a AS (SELECT page AS file_id, arg_min(status, CASE WHEN status <> 'matched' THEN id END) AS code FROM status_ GROUP BY 1 HAVING NOT bool_and(status = 'matched'))
+SELECT bundle_id, count(code) = 0 AS accepted, min(CASE WHEN code IS NOT NULL THEN position END) AS position, arg_min(code, CASE WHEN code IS NOT NULL THEN position END) AS code FROM pages_ LEFT JOIN a USING (file_id) GROUP BY 1""")
+def c11_strict_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = C.atomic_pages(C.match_edits(edits(spark, sf_dir), runs(spark, sf_dir)))
+    return C.strict_bundles(judged, bundle_pages(spark, sf_dir).withColumn("page", F.col("file_id")))
+
+
 @query(f"""WITH s AS (SELECT l_suppkey AS page, l_discount AS value, floor(l_discount * 32 + 0.5) AS b, row_number() OVER (ORDER BY l_orderkey, {_ORDER}) AS pos FROM lineitem),
 g AS (SELECT page, b, count(*) AS n, min(pos) AS first, arg_min(value, pos) AS value FROM s GROUP BY 1, 2),
 b AS (SELECT page, value, n FROM g QUALIFY row_number() OVER (PARTITION BY page ORDER BY n DESC, first) = 1)

@@ -38,6 +38,18 @@ def h2_coalesce_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.coalesce_changes(changes, F.expr("interval 1 day"), ORDER)
 
 
+@query(f"""WITH RECURSIVE {LOG_SQL}, u AS (SELECT user_id, event_id, event_type IN ('click', 'purchase') AS change, CASE event_type WHEN 'view' THEN -1 WHEN 'signup' THEN 1 ELSE 0 END AS d, k, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM log_ WHERE event_type <> 'error'),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS id, [0::BIGINT] AS v, 1::BIGINT AS tip, NULL::BIGINT AS last FROM u
+  UNION ALL SELECT user_id, i, id, w, CASE WHEN new THEN len(w) WHEN moves THEN tip + d ELSE tip END, CASE WHEN new THEN ms WHEN NOT moves THEN last END
+  FROM (SELECT *, CASE WHEN new THEN list_append(v[:CASE WHEN tip > 1 AND tip = len(v) AND coalesce(ms - last < 259200000, false) THEN tip - 1 ELSE tip END], k)[-10:] ELSE v END AS w
+    FROM (SELECT u.user_id, u.i, event_id AS id, v, tip, last, ms, k, d, change AND k <> v[tip] AS new, d <> 0 AND tip + d BETWEEN 1 AND len(v) AS moves FROM f JOIN u ON u.user_id = f.user_id AND u.i = f.i + 1)))
+SELECT user_id AS session, id, v[tip] AS current, tip - 1 AS at, CAST(len(v) AS BIGINT) AS steps FROM f WHERE i > 0""")
+def h2_editor_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes within three days of each other as one step; ten steps are kept."""
+    ops = log(spark, sf_dir).filter("event_type <> 'error'").select(F.col("user_id").alias("session"), F.unix_millis("ts").alias("ms"), F.col("event_id").alias("id"), _op(click="change", purchase="change", view="undo", signup="redo").alias("op"), F.col("k").alias("value"))
+    return H.editor_history(ops, 3 * 86_400_000, ["ms", "id"], keep=10)
+
+
 @query(f"""WITH {LOG_SQL}, e AS (SELECT *, lead(ts) OVER w AS nt, lead(event_type) OVER w AS ne FROM log_ WHERE event_type IN ('click', 'purchase', 'error') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT user_id AS session, event_id AS id, k AS value, coalesce(nt < ts + INTERVAL 6 HOUR AND ne = 'error', false) AS forced FROM e
 WHERE event_type <> 'error' AND (nt IS NULL OR nt >= ts + INTERVAL 6 HOUR OR ne = 'error')""")

@@ -10,35 +10,60 @@ from ..sources.tables import PAGES_SQL, bundle_pages, table
 from .registry import query
 
 # Fixed values in the SQL below: page sizes in points, as in the operator.
-_PAGES = "SELECT p_partkey AS id, CASE WHEN p_partkey % 41 = 0 THEN 0 ELSE p_size END * 20.0{d} AS width, p_partkey % 37 * 25 + 100.0{d} AS height, CASE p_partkey % 5 WHEN 0 THEN 'A4' WHEN 1 THEN 'A3' WHEN 2 THEN 'Letter' WHEN 3 THEN 'Legal' ELSE 'original' END AS size, p_partkey % 30 - 3.0{d} AS margin FROM {t}"
-
-
-@query(f"""WITH p AS ({_PAGES.format(d="::DOUBLE", t="part")}), s AS (SELECT unnest(['A4', 'A3', 'Letter', 'Legal']) AS size, unnest([595.28::DOUBLE, 841.89, 612, 612]) AS tw, unnest([841.89::DOUBLE, 1190.55, 792, 1008]) AS th),
-j AS (SELECT id, width, height, coalesce(CASE WHEN width > height THEN th ELSE tw END, width) AS target_w, coalesce(CASE WHEN width > height THEN tw ELSE th END, height) AS target_h, greatest(0, least(20, margin)) / 100 AS m FROM p LEFT JOIN s USING (size)),
-k AS (SELECT *, CASE WHEN width > 0 AND height > 0 THEN least((1 - 2 * m) * target_w / width, (1 - 2 * m) * target_h / height) END AS sc FROM j)
-SELECT id, target_w, target_h, round(sc, 6) AS scale, round((target_w - width * sc) / 2, 6) AS "left", round((target_h - height * sc) / 2, 6) AS top FROM k""")
+_PAGES = """SELECT p_partkey AS id, CASE WHEN p_partkey % 41 = 0 THEN 0 ELSE p_size * 20.0{d} + 0.37{d} END AS mw, p_partkey % 37 * 25 + 100.37{d} AS mh,
+  CASE WHEN p_partkey % 7 = 0 THEN 5000.0{d} WHEN p_partkey % 3 = 0 THEN 10.0{d} END AS cx0, CASE WHEN p_partkey % 3 = 0 OR p_partkey % 7 = 0 THEN -5.0{d} END AS cy0,
+  CASE WHEN p_partkey % 7 = 0 THEN 6000.0{d} WHEN p_partkey % 3 = 0 THEN 700.0{d} END AS cx1, CASE WHEN p_partkey % 3 = 0 OR p_partkey % 7 = 0 THEN 803.7{d} END AS cy1,
+  CASE p_partkey % 5 WHEN 0 THEN 'A4' WHEN 1 THEN 'A3' WHEN 2 THEN 'Letter' WHEN 3 THEN 'Legal' ELSE 'original' END AS size, p_partkey % 30 - 3.0{d} AS margin, p_partkey % 45 * 1.0{d} AS crop FROM {t}"""
+
+
+@query(f"""WITH r AS ({_PAGES.format(d="::DOUBLE", t="part")}), s AS (SELECT unnest(['A4', 'A3', 'Letter', 'Legal']) AS size, unnest([595.28::DOUBLE, 841.89, 612, 612]) AS tw, unnest([841.89::DOUBLE, 1190.55, 792, 1008]) AS th),
+c AS (SELECT *, greatest(0, cx0) AS x0, greatest(0, cy0) AS y0, least(mw, cx1) AS x1, least(mh, cy1) AS y1 FROM r),
+p AS (SELECT *, CASE WHEN x1 > x0 AND y1 > y0 THEN x1 - x0 ELSE mw END AS width, CASE WHEN x1 > x0 AND y1 > y0 THEN y1 - y0 ELSE mh END AS height FROM c),
+j AS (SELECT *, coalesce(CASE WHEN width > height THEN th ELSE tw END, width) AS target_w, coalesce(CASE WHEN width > height THEN tw ELSE th END, height) AS target_h, greatest(0, least(20, margin)) / 100 AS m FROM p LEFT JOIN s USING (size)),
+i AS (SELECT *, greatest(1, (1 - 2 * m) * target_w) AS iw, greatest(1, (1 - 2 * m) * target_h) AS ih FROM j),
+k AS (SELECT *, CASE WHEN width > 0 AND height > 0 THEN least(iw / width, ih / height) * (1 / greatest(0.2::DOUBLE, 1 - 2 * crop / 100)) END AS sc FROM i)
+SELECT id, target_w, target_h, round(sc, 6) AS scale, round(m * target_w + (iw - width * sc) / 2, 6) AS "left", round(m * target_h + (ih - height * sc) / 2, 6) AS top FROM k""")
 def l1_page_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.sql(_PAGES.replace("{d}", "D").replace("{t}", "{part}"), part=table(spark, sf_dir, "part"))
-    return L.page_layout(pages).select("id", "target_w", "target_h", "scale", "left", "top")
-
-
-@query(f"""WITH {PAGES_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY bundle_id) AS total FROM pages_)
-SELECT bundle_id, position, 'number' AS kind, position || ' / ' || total AS text, 'bottom-right' AS anchor FROM n
-UNION ALL SELECT bundle_id, position, 'header', 'file ' || file_id, 'top-left' FROM n WHERE file_id % 2 = 0
-UNION ALL SELECT bundle_id, position, 'footer', 'end', 'bottom-left' FROM n WHERE file_id % 3 = 0""")
+    """Parts as pages with media boxes, some with crop boxes, one of them beside its page."""
+    raw = spark.sql(_PAGES.replace("{d}", "D").replace("{t}", "{part}"), part=table(spark, sf_dir, "part"))
+    media = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.col("mw").alias("x1"), F.col("mh").alias("y1"))
+    crop = F.struct(F.col("cx0").alias("x0"), F.col("cy0").alias("y0"), F.col("cx1").alias("x1"), F.col("cy1").alias("y1"))
+    pages = raw.withColumn("box", L.visible_box(media, crop)).withColumns({"width": F.expr("box.x1 - box.x0"), "height": F.expr("box.y1 - box.y0")})
+    return L.page_layout(pages, crop=F.col("crop")).select("id", "target_w", "target_h", "scale", "left", "top")
+
+
+@query(f"""WITH {PAGES_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY bundle_id) AS total, (200 + file_id % 900)::DOUBLE AS w, (300 + file_id % 700)::DOUBLE AS h FROM pages_),
+z AS (SELECT *, greatest(10, least(w, h) * 0.018::DOUBLE) AS small FROM n),
+o AS (SELECT bundle_id, position, 'number' AS kind, position || ' / ' || total AS text, 'bottom-right' AS anchor, greatest(9, least(w, h) * 0.018::DOUBLE) AS size, w - 24 AS x, 18::DOUBLE AS y FROM z
+UNION ALL SELECT bundle_id, position, 'header', 'file ' || file_id, 'top-left', small, 24, h - small - 18 FROM z WHERE file_id % 2 = 0
+UNION ALL SELECT bundle_id, position, 'footer', 'end', 'bottom-left', small, 24, 18 FROM z WHERE file_id % 3 = 0
+UNION ALL SELECT bundle_id, position, 'watermark', 'draft', 'centre', greatest(36, least(w, h) * 0.08::DOUBLE), w / 2, h / 2 FROM z WHERE rotation = 90)
+SELECT bundle_id, position, kind, text, anchor, round(size, 6) AS size, round(x, 6) AS x, round(y, 6) AS y FROM o""")
 def l2_page_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = F.col("file_id")
-    return L.page_overlays(bundle_pages(spark, sf_dir), F.when(f % 2 == 0, F.concat(F.lit("file "), f.cast("string"))).otherwise(" "), F.when(f % 3 == 0, F.lit("end")).otherwise(""))
+    pages = bundle_pages(spark, sf_dir).withColumns({"width": 200 + f % 900, "height": 300 + f % 700})
+    header = F.when(f % 2 == 0, F.concat(F.lit("file "), f.cast("string"))).otherwise(" ")
+    return L.page_overlays(pages, header, F.when(f % 3 == 0, F.lit("end ")).otherwise(""), F.when(F.col("rotation") == 90, "draft"))
+
+
+_ANNOTATIONS = "SELECT o_orderkey AS id, o_custkey * 1.0{d} AS x, o_orderkey % 7 * 1.0{d} AS y, o_custkey % 4 * 10.0{d} AS width, o_orderkey % 3 * 4.0{d} AS height, o_orderkey % 5 * 1.0{d} AS stroke FROM {o}"
 
 
-@query("""SELECT o_orderkey AS id, o_custkey * 2.5::DOUBLE AS x0, (o_orderkey % 7) * 3.0::DOUBLE AS y0, 2 * o_custkey * 2.5::DOUBLE AS x1, 3.0::DOUBLE AS y1, (o_orderkey % 5) * 2.5::DOUBLE AS stroke FROM orders""")
+@query(f"""WITH a AS ({_ANNOTATIONS.format(d="::DOUBLE", o="orders")}), s AS (SELECT id, x * 2.5::DOUBLE AS x, y * 3 AS y, width * 2.5::DOUBLE AS width, height * 3 AS height, stroke * 2.5::DOUBLE AS stroke FROM a),
+m AS (SELECT *, x / 2 AS tx, 7::DOUBLE AS ty, 50::DOUBLE AS tw, -6::DOUBLE AS th FROM s)
+SELECT id, x, y, width, height, stroke, x + width AS x1, y + height AS y1,
+  stroke * least(abs(CASE WHEN width = 0 THEN 1 ELSE tw / width END), abs(CASE WHEN height = 0 THEN 1 ELSE th / height END)) AS moved_stroke,
+  tx AS moved_x0, ty AS moved_y0, CASE WHEN width = 0 THEN tx ELSE tx + tw END AS moved_x1, CASE WHEN height = 0 THEN ty ELSE ty + th END AS moved_y1 FROM m""")
 def l3_scale_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-    c = F.col("o_custkey")
-    points = F.array(p(c, F.col("o_orderkey") % 7), p(2 * c, F.lit(1)))
-    sx, sy = F.lit(2.5), F.lit(3.0)
-    scaled = table(spark, sf_dir, "orders").withColumn("p", L.scale_points(points, sx, sy))
-    return scaled.select(F.col("o_orderkey").alias("id"), *[F.col("p")[i][k].alias(f"{k}{i}") for i in (0, 1) for k in "xy"], ((F.col("o_orderkey") % 5) * F.least(sx, sy)).alias("stroke"))
+    """Orders as strokes from corner to corner of their boxes, on another canvas, then moved and resized there."""
+    raw = spark.sql(_ANNOTATIONS.replace("{d}", "D").replace("{o}", "{orders}"), orders=table(spark, sf_dir, "orders"))
+    points = F.array(F.struct("x", "y"), F.struct((F.col("x") + F.col("width")).alias("x"), (F.col("y") + F.col("height")).alias("y")))
+    scaled = L.scale_annotations(raw.withColumn("points", points), (400.0, 300.0), (1000.0, 900.0))
+    old = scaled.select("*", *[F.col(k).alias(f"_{k}") for k in ("x", "y", "width", "height", "stroke")], F.col("points")[1].alias("_p"))
+    to = F.struct((F.col("x") / 2).alias("x"), F.lit(7.0).alias("y"), F.lit(50.0).alias("width"), F.lit(-6.0).alias("height"))
+    moved = L.move_annotations(old, to)
+    before = [F.col(f"_{k}").alias(k) for k in ("x", "y", "width", "height", "stroke")]
+    return moved.select("id", *before, F.col("_p.x").alias("x1"), F.col("_p.y").alias("y1"), F.col("stroke").alias("moved_stroke"), *[F.col("points")[i][k].alias(f"moved_{k}{i}") for i in (0, 1) for k in "xy"])
 
 
 @query("""WITH l AS (SELECT doc_id, n_chars, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents)
@@ -49,11 +74,11 @@ def l4_annotation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH RECURSIVE d AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda t: CASE WHEN t LIKE '%.' THEN 0 ELSE length(t) END) AS s FROM documents),
 c AS (SELECT doc_id, s, 0 AS page, 0::BIGINT AS a, CASE WHEN len(s) <= 20 THEN len(s) ELSE coalesce(list_max(list_filter(range(14, 20), lambda i: s[i + 1] <= 0)), list_max(list_filter(range(14, 20), lambda i: s[i + 1] = list_min(s[15:20])))) + 1 END AS z FROM d
-  UNION ALL SELECT doc_id, s, page + 1, z, CASE WHEN len(s) - z <= 20 THEN len(s) ELSE coalesce(list_max(list_filter(range(z + 14, z + 20), lambda i: s[i + 1] <= 0)), list_max(list_filter(range(z + 14, z + 20), lambda i: s[i + 1] = list_min(s[z + 15:z + 20])))) + 1 END FROM c WHERE z < len(s))
+  UNION ALL SELECT doc_id, s, page + 1, z, CASE WHEN len(s) - z <= 16 THEN len(s) ELSE coalesce(list_max(list_filter(range(z + 11, z + 16), lambda i: s[i + 1] <= 0)), list_max(list_filter(range(z + 11, z + 16), lambda i: s[i + 1] = list_min(s[z + 12:z + 16])))) + 1 END FROM c WHERE z < len(s))
 SELECT doc_id, CAST(page AS BIGINT) AS page, a AS first, z - 1 AS last FROM c""")
 def l5_paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("line", "t"))
-    return L.paginate(words.select("doc_id", "line", F.when(F.col("t").endswith("."), 0).otherwise(F.length("t")).alias("score")), 20)
+    return L.paginate(words.select("doc_id", "line", F.when(F.col("t").endswith("."), 0).otherwise(F.length("t")).alias("score")), 20, top_margin=4)
 
 
 @query("SELECT source AS batch_id, CAST(sum(greatest(1, ceil(n_chars / 1800.0))) AS BIGINT) AS pages, sum(greatest(1, ceil(n_chars / 1800.0))) > 100 AS rejected FROM documents GROUP BY 1")

@@ -84,17 +84,23 @@ def r6_sanitize_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LINKS = """SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS id,
   CASE WHEN l_suppkey % 3 = 0 THEN 'URI' ELSE 'GoTo' END AS kind, CASE WHEN l_suppkey % 2 = 0 THEN 'http://x' ELSE 'ftp://x' END AS target,
-  l_partkey AS file_id, CAST(l_partkey % 9 AS BIGINT) AS page_index, l_quantity - 10 AS x0, l_tax * 100 - 4 AS y0, l_quantity + 5 AS x1, l_tax * 100 + 2 AS y1 FROM {l}"""
+  l_partkey AS file_id, CAST(l_partkey % 9 AS BIGINT) AS page_index, l_quantity + 5 AS x0, l_tax * 100 - 4 AS y0, l_quantity - 10 AS x1, l_tax * 100 + 2 AS y1, l_suppkey % 4 AS turn FROM {l}"""
 
 
 @query(f"""WITH {PAGES_SQL}, l AS ({_LINKS.format(l="lineitem")}), f AS (SELECT * FROM pages_ QUALIFY row_number() OVER (PARTITION BY file_id, page_index ORDER BY bundle_id, position) = 1),
-u AS (SELECT id, kind, target, NULL::BIGINT AS bundle_id, NULL::BIGINT AS position, x0, y0, x1, y1 FROM l WHERE kind = 'URI' AND target = 'http://x'
-  UNION ALL SELECT id, kind, NULL, bundle_id, position, x0, y0, x1, y1 FROM l JOIN f USING (file_id, page_index) WHERE kind = 'GoTo'),
-c AS (SELECT id, kind, target, bundle_id, position, greatest(x0, 0) AS x0, greatest(y0, 0) AS y0, least(x1, 40) AS x1, least(y1, 8) AS y1 FROM u)
-SELECT * FROM c WHERE x1 > x0 AND y1 > y0""")
+u AS (SELECT id, kind, target, NULL::BIGINT AS bundle_id, NULL::BIGINT AS position, x0, y0, x1, y1, turn FROM l WHERE kind = 'URI' AND target = 'http://x'
+  UNION ALL SELECT id, kind, NULL, bundle_id, position, x0, y0, x1, y1, turn FROM l JOIN f USING (file_id, page_index) WHERE kind = 'GoTo'),
+c AS (SELECT id, kind, target, bundle_id, position, greatest(x1, 0) AS x0, greatest(y0, 0) AS y0, least(x0, 40) AS x1, least(y1, 8) AS y1, turn FROM u)
+SELECT id, kind, target, bundle_id, position,
+  CASE turn WHEN 0 THEN x0 WHEN 1 THEN 8 - y1 WHEN 2 THEN 40 - x1 ELSE y0 END AS x0, CASE turn WHEN 0 THEN y0 WHEN 1 THEN x0 WHEN 2 THEN 8 - y1 ELSE 40 - x1 END AS y0,
+  CASE turn WHEN 0 THEN x1 WHEN 1 THEN 8 - y0 WHEN 2 THEN 40 - x0 ELSE y1 END AS x1, CASE turn WHEN 0 THEN y1 WHEN 1 THEN x1 WHEN 2 THEN 8 - y0 ELSE 40 - x0 END AS y1
+FROM c WHERE x1 > x0 AND y1 > y0""")
 def r7_rewrite_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of 40 by 8, turned by quarters."""
     first = first_copy(bundle_pages(spark, sf_dir), ["bundle_id", "position"]).select("file_id", "page_index", "bundle_id", "position")
-    return R.rewrite_links(spark.sql(_LINKS, l=table(spark, sf_dir, "lineitem")), first, (0.0, 0.0, 40.0, 8.0))
+    turns = [(1, 0, 0, 1, 0, 0), (0, 1, -1, 0, 8, 0), (-1, 0, 0, -1, 40, 8), (0, -1, 1, 0, 0, 40)]
+    quarter = F.element_at(F.array(*[F.array(*[F.lit(float(v)) for v in m]) for m in turns]), F.col("turn").cast("int") + 1)
+    return R.rewrite_links(spark.sql(_LINKS, l=table(spark, sf_dir, "lineitem")), first, (0.0, 0.0, 40.0, 8.0), quarter)
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE (o_custkey & 34) = 0 AND o_orderstatus <> 'P' AND o_orderkey % 13 <> 0")

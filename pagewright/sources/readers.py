@@ -135,6 +135,21 @@ def sanitize_markup(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(clean, f"page_id {pages.schema['page_id'].dataType.simpleString()}, clean string, elements long, attributes long")
 
 
-def write_parts(df: DataFrame, path: str, by: str = "part") -> None:
-    """One folder for each part."""
-    df.repartition(by).write.partitionBy(by).parquet(path)
+def write_parts(df: DataFrame, path: str, by: str = "part", stem: str | None = None) -> str:
+    """Write one output for each part; the path of what was written.
+
+    Several parts are one folder each, as ``by=value``. With a ``stem`` their names are ``file_name=stem-value.parquet``, and
+    a part that is alone is written to ``path`` under that name, without folders of parts. Without rows, nothing is in ``path``
+    but an empty table. A null part is called ``rest``.
+    """
+    if stem is None:
+        df.repartition(by).write.partitionBy(by).parquet(path)
+        return path
+    named = df.withColumn("file_name", F.concat(F.lit(f"{stem}-"), F.coalesce(F.col(by).cast("string"), F.lit("rest")), F.lit(".parquet")))
+    names = [r.file_name for r in named.select("file_name").distinct().limit(2).collect()]
+    if len(names) == 1:
+        path = f"{path}/{names[0]}"
+        named.drop("file_name").write.parquet(path)
+    else:
+        named.repartition("file_name").write.partitionBy("file_name").parquet(path)
+    return path
