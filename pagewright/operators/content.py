@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,8 +91,13 @@ def _band(edits: DataFrame, runs: DataFrame, tolerance: float) -> tuple[DataFram
     return left, right, (F.abs(F.col("ex") - F.col("x")) <= tolerance) & (F.abs(F.col("ey") - F.col("y")) <= tolerance)
 
 
-def match_edits(edits: DataFrame, runs: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """id, page, status (matched, source-not-found, ambiguous-source) and the run of a match. Texts are compared as they are."""
+def match_edits(edits: DataFrame, runs: DataFrame, tolerance: float = TOLERANCE, text: Callable[[Column], Column] | None = None) -> DataFrame:
+    """id, page, status (matched, source-not-found, ambiguous-source) and the run of a match.
+
+    Texts are compared by ``text`` of them, for instance ``normalize_text``, or as they are.
+    """
+    if text:
+        edits, runs = (df.withColumn("text", text(F.col("text"))) for df in (edits, runs))
     left, right, close = _band(edits, runs, tolerance)
     found = left.join(right, ["page", "text", "cx", "cy"], "left").withColumn("run_id", F.when(close, F.col("run_id")))
     counted = found.groupBy(F.col("edit_id").alias("id"), "page").agg(F.count("run_id").alias("n"), F.min("run_id").alias("run_id"))

@@ -96,7 +96,7 @@ def editor_step(gap_ms: int, keep: int) -> Callable:
     return step
 
 
-_EDITOR = "session long, id long, current long, at long, steps long"
+EDITOR = "session long, id long, current long, at long, steps long"
 
 
 def editor_start() -> dict:
@@ -108,7 +108,7 @@ def editor_history(log: DataFrame, gap_ms: int, order: list[str], keep: int = 10
 
     Where nothing is undone, and no value repeats, the steps are those of ``coalesce_changes``. A log starts at 0.
     """
-    return fold(log, "session", order, editor_start, editor_step(gap_ms, keep), _EDITOR)
+    return fold(log, "session", order, editor_start, editor_step(gap_ms, keep), EDITOR)
 
 
 def debounced_saves(log: DataFrame, quiet: Column, order: list[str]) -> DataFrame:
@@ -151,6 +151,14 @@ def current_state(accepted: DataFrame) -> DataFrame:
     return last.select("document", "revision", F.when(F.col("w.op") != "clear", F.col("w.id")).alias("id"))
 
 
+def referenced_files(state: DataFrame, pages: DataFrame) -> DataFrame:
+    """document, revision, file_id: the files that the pages (id, file_id) of each current snapshot (id) refer to, each once.
+
+    A cleared document refers to nothing.
+    """
+    return state.filter("id is not null").join(pages.select("id", "file_id"), "id").filter("file_id is not null").select("document", "revision", "file_id").distinct()
+
+
 def stale_writers(log: DataFrame, order: list[str]) -> DataFrame:
     """Reads (op ``seen``) whose revision is behind the highest published (op ``notice``) before them: document, id, revision, published."""
     before = Window.partitionBy("document").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

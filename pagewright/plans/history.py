@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import history as H
-from ..sources.tables import LOG_SQL, log
+from ..sources.tables import LOG_SQL, log, table
 from .registry import query
 
 ORDER = ["ts", "event_id"]
@@ -82,6 +82,15 @@ def h5_current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.current_state(_writes(spark, sf_dir)).withColumn("id", F.coalesce("id", F.lit(-1)))
 
 
+@query(f"""WITH RECURSIVE {_CAS}, t AS (SELECT document, max(revision) AS revision FROM cas_ WHERE accepted GROUP BY 1),
+a AS (SELECT document, revision, arg_max(CASE WHEN op = 'clear' THEN -1 ELSE id END, id) AS id FROM cas_ JOIN t USING (document, revision) WHERE accepted GROUP BY 1, 2)
+SELECT DISTINCT document, revision, l_partkey AS file_id FROM a JOIN lineitem ON l_orderkey = id""")
+def h5_referenced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order is the snapshot that the event of its number has saved, and its lines are the pages."""
+    pages = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("file_id"))
+    return H.referenced_files(H.current_state(_writes(spark, sf_dir)), pages)
+
+
 @query(f"""WITH {LOG_SQL}, p AS (SELECT *, max(CASE WHEN event_type = 'purchase' THEN k END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS published FROM log_)
 SELECT user_id AS document, event_id AS id, k AS revision, published FROM p WHERE event_type = 'view' AND k < published""")
 def h6_stale_writers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators.history import cas_step, library_step, undo_step
+from ..operators.history import EDITOR, cas_step, editor_start, editor_step, library_step, undo_step
 
 
 def read_log(spark: SparkSession, path: str, schema: StructType | str, *, time: str = "ts", delay: str = "1 hour", files_per_trigger: int | None = None) -> DataFrame:
@@ -48,6 +48,11 @@ def undo_redo(log: DataFrame, order: list[str], keep: int = 80) -> DataFrame:
     return fold_stream(log, "session", order, lambda: [[0], 0], undo_step(keep), "session long, id long, current long, can_undo boolean, can_redo boolean")
 
 
+def editor_history(log: DataFrame, gap_ms: int, order: list[str], keep: int = 100) -> DataFrame:
+    """The stream of ``history.editor_history``."""
+    return fold_stream(log, "session", order, editor_start, editor_step(gap_ms, keep), EDITOR)
+
+
 def cas_log(writes: DataFrame, order: list[str]) -> DataFrame:
     """The stream of ``history.cas_log``: each write with its verdict and the revision after it."""
     return fold_stream(writes, "document", order, lambda: {"revision": 0, "seen": {}}, cas_step, "document long, id long, op string, accepted boolean, revision long")
@@ -110,3 +115,54 @@ def current_state(accepted: DataFrame) -> DataFrame:
     """The stream of ``history.current_state``, in update or complete mode. Takes a stored log of writes, not the stream that makes it."""
     last = accepted.filter("accepted").groupBy("document").agg(F.max_by(F.struct("id", "op"), "revision").alias("w"), F.max("revision").alias("revision"))
     return last.select("document", "revision", F.when(F.col("w.op") != "clear", F.col("w.id")).alias("id"))
+
+
+def _evict_step(keep: int) -> Callable:
+    """The state is what the cache holds, oldest first: [(id, pinned)]."""
+
+    def step(state: list, row) -> list:
+        state.append((row.id, bool(row.pinned)))
+        gone = [i for i, pinned in state if not pinned][: max(0, len(state) - keep)]
+        state[:] = [e for e in state if e[0] not in gone]
+        return [(row.cache, i, row.id) for i in gone]
+
+    return step
+
+
+def evict(entries: DataFrame, keep: int, order: list[str]) -> DataFrame:
+    """The stream of ``history.evict``: cache, id, by (the entry whose arrival drove it out) of what does not stay. Columns cache, id, pinned.
+
+    A cache's state is at most ``keep`` entries beside its pinned ones; ids differ within a cache.
+    """
+    return fold_stream(entries, "cache", order, list, _evict_step(keep), "cache long, id long, by long")
+
+
+def debounced_saves(log: DataFrame, quiet_ms: int, order: list[str]) -> DataFrame:
+    """The stream of ``history.debounced_saves``: session, id, value, forced. ``ts`` has a watermark.
+
+    Columns session, id, ms, ts, value, op. A hidden page's entry forces the save at once; without one, a change is saved
+    when a later entry shows that the quiet time is over, or the watermark does. A state holds one change at most.
+    """
+
+    def run(key: tuple, chunks: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        waits = json.loads(kept.get[0]) if kept.exists else None
+        out = []
+        if kept.hasTimedOut:
+            out.append((key[0], waits[0], waits[1], False))
+            kept.remove()
+        else:
+            for row in pd.concat(list(chunks)).sort_values(order, kind="stable").itertuples(index=False):
+                if waits:
+                    early = row.ms < waits[2] + quiet_ms
+                    if not early or row.op == "hide":
+                        out.append((key[0], waits[0], waits[1], early))
+                waits = (int(row.id), None if pd.isna(row.value) else int(row.value), int(row.ms)) if row.op == "change" else None
+            if waits is None:
+                if kept.exists:
+                    kept.remove()
+            else:
+                kept.update((json.dumps(waits),))
+                kept.setTimeoutTimestamp(max(waits[2] + quiet_ms, kept.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["session", "id", "value", "forced"], dtype=object)
+
+    return log.groupBy("session").applyInPandasWithState(run, "session long, id long, value long, forced boolean", "state string", "append", GroupStateTimeout.EventTimeTimeout)

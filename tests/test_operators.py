@@ -79,6 +79,98 @@ def test_layout_without_a_size(spark):
     assert found == {1: (None, None), 2: (None, None), 3: (None, None), 4: (1.0, 0.0)}
 
 
+def test_visible_box_and_zoom(spark):
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    media = (0.0, 0.0, 100.0, 200.0)
+    df = spark.createDataFrame([(1, media, (10.0, -5.0, 300.0, 150.0)), (2, media, (100.0, 0.0, 120.0, 10.0)), (3, media, None), (4, None, media)], f"id long, media {box}, crop {box}")
+    found = {r.id: r.b and tuple(r.b) for r in df.select("id", layout.visible_box(F.col("media"), F.col("crop")).alias("b")).collect()}
+    assert found == {1: (10.0, 0.0, 100.0, 150.0), 2: media, 3: media, 4: media}
+    pages = spark.createDataFrame([(1, 100.0, 100.0, "x", 0.0, 10.0), (2, 100.0, 100.0, "x", 0.0, 90.0), (3, 1.0, 1.0, "x", 20.0, 0.0)], "id long, width double, height double, size string, margin double, cut double")
+    found = {r.id: (r.scale, r.left) for r in layout.page_layout(pages, crop=F.col("cut")).collect()}
+    assert found == {1: (1.25, -12.5), 2: (5.0, -200.0), 3: (1.0, 0.2)}
+
+
+def test_overlays_of_blank_texts(spark):
+    pages = spark.createDataFrame([(1, 1, 1000.0, 500.0), (1, 2, None, 500.0)], "bundle_id long, position long, width double, height double")
+    found = rows(layout.page_overlays(pages, F.lit(" \t"), F.lit(None).cast("string"), F.lit(" draft ")))
+    expected = [(1, 1, "watermark", "draft", "centre", 40.0, 500.0, 250.0), (1, 1, "number", "1 / 2", "bottom-right", 9.0, 976.0, 18.0), (1, 2, "watermark", "draft", "centre", 40.0, None, 250.0), (1, 2, "number", "2 / 2", "bottom-right", 9.0, None, 18.0)]
+    assert found == sorted(expected, key=repr)
+    assert layout.page_overlays(pages.limit(0), F.lit("a"), F.lit("b")).count() == 0
+
+
+def test_moved_annotations(spark):
+    schema = "id long, x double, y double, width double, height double, stroke double, points array<struct<x:double,y:double>>"
+    df = spark.createDataFrame([(1, 10.0, 20.0, 4.0, 0.0, 2.0, [(12.0, 20.0), (14.0, 20.0)]), (2, 1.0, 1.0, 2.0, 2.0, 1.0, None), (3, None, 1.0, 2.0, 2.0, 1.0, [])], schema)
+    to = F.struct(F.lit(0.0).alias("x"), F.lit(5.0).alias("y"), F.lit(-8.0).alias("width"), F.lit(7.0).alias("height"))
+    found = {r.id: r for r in layout.move_annotations(df, to).collect()}
+    assert (found[1].stroke, [tuple(p) for p in found[1].points]) == (2.0, [(-4.0, 5.0), (-8.0, 5.0)]) and (found[1].x, found[1].height) == (0.0, 7.0)
+    assert found[2].points is None and found[2].stroke == 3.5 and found[3].points == []
+    same = layout.scale_annotations(df, (0.5, 9.0), (0.5, 9.0)).collect()
+    assert sorted(same, key=repr) == sorted(df.collect(), key=repr)
+    thin = {r.id: r for r in layout.scale_annotations(df, (0.5, 10.0), (2.0, 30.0)).collect()}
+    assert (thin[1].x, thin[1].y, thin[1].stroke) == (20.0, 60.0, 4.0)
+
+
+def test_later_pages_are_shorter(spark):
+    lines = spark.createDataFrame([(1, i, 0) for i in range(25)] + [(2, 0, None)], "doc_id long, line int, score int")
+    assert rows(layout.paginate(lines, 10, top_margin=3)) == [(1, 0, 0, 9), (1, 1, 10, 16), (1, 2, 17, 23), (1, 3, 24, 24), (2, 0, 0, 0)]
+    assert rows(layout.paginate(lines, 10, top_margin=99))[:2] == [(1, 0, 0, 9), (1, 1, 10, 14)]
+
+
+def test_links_are_turned(spark):
+    schema = "id long, kind string, target string, file_id long, page_index long, x0 double, y0 double, x1 double, y1 double, m array<double>"
+    quarter = [0.0, 1.0, -1.0, 0.0, 10.0, 0.0]
+    df = spark.createDataFrame([(1, "URI", "http://a", None, None, 6.0, -2.0, 1.0, 3.0, quarter), (2, "GoTo", None, 1, 0, 1.0, 1.0, 2.0, 2.0, None), (3, "GoTo", None, 1, 9, 1.0, 1.0, 2.0, 2.0, quarter), (4, "URI", "http://a", None, None, 1.0, None, 2.0, 2.0, None), (5, "URI", None, None, None, 1.0, 1.0, 2.0, 2.0, None), (6, "URI", "http://a", 1, 0, 20.0, 1.0, 30.0, 2.0, None)], schema)
+    first = spark.createDataFrame([(1, 0, 7, 3)], "file_id long, page_index long, bundle_id long, position long")
+    found = rows(safety.rewrite_links(df, first, (0.0, 0.0, 5.0, 10.0), F.col("m")))
+    assert found == [(1, "URI", "http://a", None, None, 7.0, 1.0, 10.0, 5.0), (2, "GoTo", None, 7, 3, 1.0, 1.0, 2.0, 2.0)]
+    assert safety.rewrite_links(df.limit(0), first, (0.0, 0.0, 5.0, 10.0)).count() == 0
+
+
+def test_editor_history(spark):
+    log = [(1, 0, "change", 5), (2, 399, "change", 6), (3, 799, "change", 7), (4, 800, "undo", None), (5, 801, "change", 8), (6, 900, "change", 8), (7, 1000, "redo", None), (8, 1001, "change", 9), (9, 1002, "undo", None), (10, 1003, "undo", None), (11, 1004, "undo", None), (12, 1005, "change", 1)]
+    df = spark.createDataFrame([(None, *r) for r in log], "session long, id long, ms long, op string, value long")
+    found = [(r.current, r.at, r.steps) for r in sorted(history.editor_history(df, 400, ["ms", "id"]).collect(), key=lambda r: r.id)]
+    assert found == [(5, 1, 2), (6, 1, 2), (7, 2, 3), (6, 1, 3), (8, 2, 3), (8, 2, 3), (8, 2, 3), (9, 2, 3), (6, 1, 3), (0, 0, 3), (0, 0, 3), (1, 1, 2)]
+    capped = spark.createDataFrame([(1, i, i * 1000, "change", i) for i in range(1, 8)], df.schema)
+    assert [(r.at, r.steps) for r in sorted(history.editor_history(capped, 400, ["id"], keep=4).collect(), key=lambda r: r.id)][-1] == (3, 4)
+    assert history.editor_history(df.limit(0), 400, ["id"]).count() == 0
+    changes = capped.select("session", F.timestamp_millis("ms").alias("ts"), "id", "value")
+    assert history.coalesce_changes(changes, F.expr("interval 400 milliseconds"), ["ts", "id"]).count() == 7
+
+
+def test_caps_bundles_and_snapshots(spark):
+    images = spark.createDataFrame([(1, i, p, w, 9.0, b) for i, (p, w, b) in enumerate([(10.0, 9.0, 5), (10.0, 1.0, 5), (10.0, 9.0, 90), (None, 9.0, 1), (80.0, 9.0, 5), (10.0, 9.0, 5)])] + [(2, i, 1.0, 9.0, 9.0, 1) for i in range(7)], "page long, i int, pixels double, width double, height double, bytes long")
+    assert rows(content.cap_blocks(images, ["i"], 6, 6, 50, 90, 3, 80)) == [(1, 1, "ok"), (1, 6, "ok"), (2, None, "too-many")]
+    assert content.cap_blocks(images.limit(0), ["i"], 6, 6, 50, 90).count() == 0
+    status = spark.createDataFrame([(1, 1, "matched"), (2, 1, "lost"), (3, 2, "odd"), (4, 3, "matched")], "id long, page long, status string")
+    pages = spark.createDataFrame([(7, 1, 3), (7, 2, 2), (7, 3, 1), (8, 1, 3), (8, 2, 99), (9, 1, None)], "bundle_id long, position long, page long")
+    assert rows(content.strict_bundles(content.atomic_pages(status), pages)) == sorted([(7, False, 2, "odd"), (8, True, None, None), (9, True, None, None)], key=repr)
+    snap = spark.createDataFrame([(1, 1, 5, None), (1, 2, 5, [3]), (2, 1, 6, [1])], "bundle_id long, position long, file_id long, edits array<long>")
+    files = spark.createDataFrame([(5, 10)], "file_id long, bytes long")
+    assert [(r.position, r.edits) for r in sorted(admission.restore_snapshot(snap, files).collect(), key=lambda r: r.position)] == [(1, []), (2, [3])]
+    state = spark.createDataFrame([(1, 4, 10), (2, 5, None), (3, 1, 11)], "document long, revision long, id long")
+    refs = spark.createDataFrame([(10, 7), (10, 7), (10, None), (11, 8), (12, 9), (None, 3)], "id long, file_id long")
+    assert rows(history.referenced_files(state, refs)) == [(1, 4, 7), (3, 1, 8)]
+
+
+def test_write_parts(spark, tmp_path):
+    df = spark.createDataFrame([("odd", 1), ("even", 2), (None, 3), ("odd", 1)], "part string, n long")
+    both = readers.write_parts(df, str(tmp_path / "a"), stem="s")
+    assert rows(spark.read.parquet(both).select("file_name", "n")) == [("s-even.parquet", 2), ("s-odd.parquet", 1), ("s-odd.parquet", 1), ("s-rest.parquet", 3)]
+    one = readers.write_parts(df.filter("n = 2"), str(tmp_path / "b"), stem="s")
+    assert one.endswith("/b/s-even.parquet") and rows(spark.read.parquet(one)) == [("even", 2)]
+
+
+def test_match_edits_by_normalised_text(spark):
+    from pagewright.functions.names import normalize_text
+
+    edits = spark.createDataFrame([(1, 1, " \uff21  b\n", 0.0, 0.0), (2, 1, "ab", 0.0, 0.0), (3, 1, None, 0.0, 0.0)], "id long, page long, text string, x double, y double")
+    runs = spark.createDataFrame([(10, 1, "A b", 0.0, 0.0), (11, 1, None, 0.0, 0.0)], edits.schema)
+    found = {r.id: (r.status, r.run_id) for r in content.match_edits(edits, runs, text=normalize_text).collect()}
+    assert found == {1: ("matched", 10), 2: ("source-not-found", None), 3: ("source-not-found", None)}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_paginate(spark, seed):
     rnd = random.Random(seed)

@@ -31,6 +31,10 @@ CASES = {
         lambda e: e.filter("event_type <> 'error'").select(F.col("user_id").alias("session"), "ts", F.col("event_id").alias("id"), op(click="set", purchase="set", view="undo", signup="redo").alias("op"), F.col("event_id").alias("value")),
         lambda m, d: m.undo_redo(d, ["ts", "id"], keep=10),
     ),
+    "editor_history": (
+        lambda e: e.filter("event_type <> 'error'").select(F.col("user_id").alias("session"), F.unix_millis("ts").alias("ms"), F.col("event_id").alias("id"), op(click="change", purchase="change", view="undo", signup="redo").alias("op"), F.col("k").alias("value")),
+        lambda m, d: m.editor_history(d, 3 * 86_400_000, ["ms", "id"], keep=10),
+    ),
     "cas_log": (
         lambda e: e.select(F.col("user_id").alias("document"), (F.col("k") % 3).alias("client"), "ts", F.col("event_id").alias("id"), op(view="read", error="clear", signup="force", click="save", purchase="save").alias("op")),
         lambda m, d: m.cas_log(d, ["ts", "id"]),
@@ -90,3 +94,32 @@ def test_current_state_stream(spark, parts, tmp_path):
     query = stream.writeStream.format("memory").queryName("stream_state").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     assert query.awaitTermination(240)
     assert sorted(spark.table("stream_state").collect(), key=repr) == sorted(H.current_state(stored).collect(), key=repr)
+
+
+def test_evict_stream(spark, parts, tmp_path):
+    """What the stream drives out and what the batch form keeps are all entries, none twice."""
+    path, table = parts
+    entries = lambda e: e.select((F.col("user_id") % 5).alias("cache"), "ts", F.col("event_id").alias("id"), (F.col("event_type") == "purchase").alias("pinned"))
+    gone = drained(S.evict(entries(S.read_log(spark, path, table.schema, files_per_trigger=1)), 40, ["ts", "id"]), "stream_evict", tmp_path)
+    all_ = entries(table)
+    stays = H.evict(all_, 40, ["ts", "id"]).collect()
+    assert gone and sorted([(r.cache, r.id) for r in [*gone, *stays]]) == sorted((r.cache, r.id) for r in all_.collect())
+
+
+def test_debounced_stream(spark, parts, tmp_path):
+    """The log in two micro-batches; a late row moves the watermark past every quiet time."""
+    path, table = parts
+    select = lambda e: e.filter("event_type in ('click', 'purchase', 'error')").select(F.col("user_id").alias("session"), F.unix_millis("ts").alias("ms"), "ts", F.col("event_id").alias("id"), F.col("k").alias("value"), op(click="change", purchase="change", error="hide").alias("op"))
+    expected = H.debounced_saves(select(table.withColumn("ts", F.col("ts").cast("timestamp"))), F.expr("interval 6 hours"), ["ts", "id"]).collect()
+    late = spark.createDataFrame([(10**9, dt.datetime(2099, 1, 1), 10**9, "error", 0)], "user_id long, ts timestamp, event_id long, event_type string, k long")
+    folder = tmp_path / "in"
+    columns = ["user_id", "ts", "event_id", "event_type", "k"]
+    for i, part in enumerate((spark.read.parquet(f"{path}/0.parquet"), spark.read.parquet(f"{path}/1.parquet"), late)):
+        before = set(folder.glob("*.parquet"))
+        part.select(*[F.col(c).cast(table.schema[c].dataType) for c in columns]).coalesce(1).write.mode("append").parquet(str(folder))
+        for f in set(folder.glob("*.parquet")) - before:
+            os.utime(f, (1_700_000_000 + 100 * i,) * 2)
+    stream = S.read_log(spark, str(folder), table.select(*columns).schema, files_per_trigger=1)
+    found = drained(S.debounced_saves(select(stream), 6 * 3_600_000, ["ms", "id"]), "stream_saves", tmp_path / "state")
+    assert {r.forced for r in found} == {True, False}
+    assert sorted(map(tuple, found), key=repr) == sorted(map(tuple, expected), key=repr)
