@@ -116,13 +116,13 @@ def encoder(path: str | None = None) -> Encoder:
     return Encoder(path)
 
 
-def in_blocks(texts: Sequence[str | None], characters: int = 4_000_000):
+def in_blocks(texts: Sequence, characters: int = 4_000_000, weight=lambda t: len(t or "")):
     """Cut a batch into runs of texts of bounded length, so that a few long texts don't fill the memory."""
     at, size = 0, 0
     for i, t in enumerate(texts):
-        if size and size + len(t or "") > characters:
+        if size and size + weight(t) > characters:
             yield at, i
             at, size = i, 0
-        size += len(t or "") + 1
+        size += weight(t) + 1
     if at < len(texts):
         yield at, len(texts)

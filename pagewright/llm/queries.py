@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash, token_orc, toxicity
-from .sql import CHAT_SQL, DECONTAMINATION_SQL, LINE_DEDUP_SQL, quality_rules_sql
+from . import chat, decontaminate, exact_dedup, line_dedup, packing, prefix_trie, quality_classifier, quality_rules, ranked_search, sharding, simhash, token_orc, toxicity
+from .sql import CHAT_SQL, DECONTAMINATION_SQL, EXACT_DEDUP_SQL, LINE_DEDUP_SQL, PREFIX_TRIE_SQL, RANKED_SEARCH_SQL, quality_rules_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -68,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_hilbert_shards,
         op9_line_dedup,
         op10_simhash,
+        op11_exact_dedup,
+        op12_prefix_trie,
+        op13_ranked_search,
     )
 }
 
@@ -76,4 +91,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": DECONTAMINATION_SQL,
     "op4_chat_perspectives": CHAT_SQL,
     "op9_line_dedup": LINE_DEDUP_SQL,
+    "op11_exact_dedup": EXACT_DEDUP_SQL,
+    "op12_prefix_trie": PREFIX_TRIE_SQL,
+    "op13_ranked_search": RANKED_SEARCH_SQL,
 }

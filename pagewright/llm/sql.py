@@ -75,6 +75,65 @@ SELECT doc_id, CASE WHEN n_dropped IS NULL THEN text ELSE coalesce(body, '') END
 FROM documents LEFT JOIN dropped USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+EXACT_DEDUP_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body, row_number() OVER () AS k
+  FROM documents),
+g AS (
+  SELECT doc_id, body, count(*) OVER (PARTITION BY body) AS group_size, row_number() OVER o AS place, first_value(doc_id) OVER o AS keep_id
+  FROM t WINDOW o AS (PARTITION BY body ORDER BY length(text) DESC, doc_id NULLS LAST, k))
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(body) AS text_sha256 FROM g
+"""
+
+PREFIX_TRIE_SQL = """
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) AS of_byte),
+t AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role || chr(10) || text)) - 1 AS i
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda j: ascii((conv_id::VARCHAR)[j])::BIGINT)),
+                         lambda x, y: xor(x >> 8, of_byte[(xor(x, y) & 255) + 1])), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t), crc),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.i < c.h
+  UNION ALL SELECT c.conv_id, 1, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.i >= c.h),
+p AS (
+  SELECT conv_id, row_number() OVER o AS depth, list({'role': role, 'text': text}) OVER (o ROWS UNBOUNDED PRECEDING) AS seq, length(text) AS size
+  FROM rebuilt WINDOW o AS (PARTITION BY conv_id ORDER BY part, i)),
+every AS (SELECT conv_id, depth, seq, size FROM p UNION ALL SELECT conv_id, 0, [], 0 FROM c),
+ended AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS here FROM every),
+nodes AS (
+  SELECT seq, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE here), '')) AS ends_sha256
+  FROM ended GROUP BY seq, depth),
+kids AS (SELECT seq[1:depth - 1] AS seq, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+full_nodes AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k ON n.depth = k.depth AND n.seq = k.seq),
+subtrees AS (
+  SELECT a.seq, a.depth, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.size) AS saved_tokens
+  FROM full_nodes a JOIN full_nodes b ON b.depth >= a.depth AND (a.depth = 0 OR b.seq[1] = a.seq[1]) AND b.seq[1:a.depth] = a.seq GROUP BY ALL)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN subtrees s ON n.depth = s.depth AND n.seq = s.seq
+LEFT JOIN full_nodes up ON up.depth = n.depth - 1 AND up.seq = n.seq[1:n.depth - 1]
+"""
+
+_TERMS = rf"regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED_SEARCH_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS terms FROM documents),
+q AS (SELECT item, item_id, term, count(*) AS times FROM (SELECT row_number() OVER () AS item, item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS length FROM d WHERE len(terms) > 0),
+tf AS (SELECT k, doc_id, n, term, count(*) AS tf FROM (SELECT k, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+part AS (
+  SELECT k, doc_id, n, term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // length))) AS x
+  FROM tf JOIN df USING (term), s),
+scored AS (SELECT item, item_id, k, doc_id, n, CAST(sum(times * x) AS BIGINT) AS score FROM part JOIN q USING (term) GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, n, k) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM placed WHERE rank <= 20
+"""
+
 
 def quality_rules_sql() -> str:
     """The counts, the votes, and every round of expectation-maximisation as one step of a chain."""
