@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+UNDO = "session long, id long, current long, can_undo boolean, can_redo boolean"
+CAS = "document long, id long, op string, accepted boolean, revision long"
+LIBRARY = "owner long, id long, done boolean, items long, bytes long, newest long"
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
 
 
@@ -62,7 +65,7 @@ def undo_step(keep: int) -> Callable:
 
 def undo_redo(log: DataFrame, order: list[str], keep: int = 80) -> DataFrame:
     """After each entry of a session's log (session, id, op, value): the current value, can_undo, can_redo. A log starts at 0."""
-    return fold(log, "session", order, lambda: [[0], 0], undo_step(keep), "session long, id long, current long, can_undo boolean, can_redo boolean")
+    return fold(log, "session", order, lambda: [[0], 0], undo_step(keep), UNDO)
 
 
 def coalesce_changes(changes: DataFrame, gap: Column, order: list[str]) -> DataFrame:
@@ -142,7 +145,7 @@ def cas_log(writes: DataFrame, order: list[str]) -> DataFrame:
 
     A write counts if its client saw the current revision last, or is forced; a clear keeps the revision.
     """
-    return fold(writes, "document", order, lambda: {"revision": 0, "seen": {}}, cas_step, "document long, id long, op string, accepted boolean, revision long")
+    return fold(writes, "document", order, lambda: {"revision": 0, "seen": {}}, cas_step, CAS)
 
 
 def current_state(accepted: DataFrame) -> DataFrame:
@@ -209,4 +212,4 @@ def library_step(max_items: int, max_bytes: int) -> Callable:
 
 def upsert_library(log: DataFrame, order: list[str], max_items: int = 30, max_bytes: int = 25 << 20) -> DataFrame:
     """After each entry (owner, id, op add, remove or rename, item, bytes): whether it took effect, items, bytes, the newest item."""
-    return fold(log, "owner", order, list, library_step(max_items, max_bytes), "owner long, id long, done boolean, items long, bytes long, newest long")
+    return fold(log, "owner", order, list, library_step(max_items, max_bytes), LIBRARY)

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import history as H
+from ..sources.store import new_folder
 from ..sources.tables import LOG_SQL, log, table
+from ..streaming import logs as S
+from ..streaming.merge import MergedTable, drain
 from .registry import query
 
 ORDER = ["ts", "event_id"]
@@ -18,16 +21,43 @@ def _op(**names: str) -> F.Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("event_type"))
 
 
-@query(f"""WITH RECURSIVE {LOG_SQL}, u AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM log_ WHERE event_type <> 'error'),
+def _streamed(spark: SparkSession, sf_dir: str, delay: str = "1 hour") -> DataFrame:
+    """The log as a stream, in a session whose state lies in RocksDB."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    # A pattern, since the name may be a file's, and a plain path must be a folder's.
+    rows = S.read_log(S.stateful_session(spark), f"{sf_dir}/event[s].parquet", schema, delay=delay)
+    return rows.select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+def _drained(stream: DataFrame, label: str) -> DataFrame:
+    """All that a stream gives until its source is exhausted, as a table in the shared folder."""
+    folder = new_folder(stream.sparkSession, label)
+    stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+_UNDO_SQL = f"""WITH RECURSIVE {LOG_SQL}, u AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM log_ WHERE event_type <> 'error'),
 f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS id, [0::BIGINT] AS v, 1::BIGINT AS tip FROM u
   UNION ALL SELECT u.user_id, u.i, event_id,
     CASE WHEN event_type IN ('click', 'purchase') THEN list_append(v[:tip], event_id)[-10:] ELSE v END,
     CASE event_type WHEN 'view' THEN greatest(1, tip - 1) WHEN 'signup' THEN least(len(v), tip + 1) ELSE least(10, tip + 1) END
   FROM f JOIN u ON u.user_id = f.user_id AND u.i = f.i + 1)
-SELECT user_id AS session, id, v[tip] AS current, tip > 1 AS can_undo, tip < len(v) AS can_redo FROM f WHERE i > 0""")
+SELECT user_id AS session, id, v[tip] AS current, tip > 1 AS can_undo, tip < len(v) AS can_redo FROM f WHERE i > 0"""
+
+
+def _undo_ops(log_: DataFrame) -> DataFrame:
+    return log_.filter("event_type <> 'error'").select(F.col("user_id").alias("session"), "ts", F.col("event_id").alias("id"), _op(click="set", purchase="set", view="undo", signup="redo").alias("op"), F.col("event_id").alias("value"))
+
+
+@query(_UNDO_SQL)
 def h1_undo_redo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ops = log(spark, sf_dir).filter("event_type <> 'error'").select(F.col("user_id").alias("session"), "ts", F.col("event_id").alias("id"), _op(click="set", purchase="set", view="undo", signup="redo").alias("op"), F.col("event_id").alias("value"))
-    return H.undo_redo(ops, ["ts", "id"], keep=10)
+    return H.undo_redo(_undo_ops(log(spark, sf_dir)), ["ts", "id"], keep=10)
+
+
+@query(_UNDO_SQL)
+def h1_undo_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream, with lists of values as typed state; a session's state ends a year after its last entry."""
+    return _drained(S.undo_redo(_undo_ops(_streamed(spark, sf_dir)), ["ts", "id"], keep=10, idle=365 * 86_400_000), "undo")
 
 
 @query(f"""WITH {LOG_SQL}, c AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM log_ WHERE event_type IN ('click', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -67,9 +97,13 @@ _CAS = f"""{_NUMBERED}, f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIG
 cas_ AS (SELECT user_id AS document, id, op, ok AS accepted, rev AS revision FROM f WHERE op <> 'read')"""
 
 
-def _writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _write_ops(log_: DataFrame) -> DataFrame:
     op = _op(view="read", error="clear", signup="force", click="save", purchase="save")
-    return H.cas_log(log(spark, sf_dir).select(F.col("user_id").alias("document"), (F.col("k") % 3).alias("client"), "ts", F.col("event_id").alias("id"), op.alias("op")), ["ts", "id"])
+    return log_.select(F.col("user_id").alias("document"), (F.col("k") % 3).alias("client"), "ts", F.col("event_id").alias("id"), op.alias("op"))
+
+
+def _writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.cas_log(_write_ops(log(spark, sf_dir)), ["ts", "id"])
 
 
 @query(f"WITH RECURSIVE {_CAS} SELECT * FROM cas_")
@@ -77,11 +111,25 @@ def h4_cas_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _writes(spark, sf_dir)
 
 
-@query(f"WITH RECURSIVE {_CAS} SELECT document, max(revision) AS revision, arg_max(CASE WHEN op = 'clear' THEN -1 ELSE id END, revision) AS id FROM cas_ WHERE accepted GROUP BY 1")
+_STATE_SQL = f"WITH RECURSIVE {_CAS} SELECT document, max(revision) AS revision, arg_max(CASE WHEN op = 'clear' THEN -1 ELSE id END, revision) AS id FROM cas_ WHERE accepted GROUP BY 1"
+
+
+@query(_STATE_SQL)
 def h5_current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.current_state(_writes(spark, sf_dir)).withColumn("id", F.coalesce("id", F.lit(-1)))
 
 
+@query(_STATE_SQL)
+def h5_merged_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream of writes, judged by typed state, merged into a table of current states micro-batch by micro-batch."""
+    folder = new_folder(spark, "merged")
+    writes = S.cas_log(_write_ops(_streamed(spark, sf_dir)), ["ts", "id"]).filter("accepted")
+    saved = writes.select("document", "revision", F.when(F.col("op") != "clear", F.col("id")).alias("id"))
+    state = MergedTable(spark, f"{folder}/table", "document long, revision long, id long", "document", "revision", buckets=8)
+    drain(saved, state, f"{folder}/checkpoint")
+    return state.read().withColumn("id", F.coalesce("id", F.lit(-1)))
+
+
 @query(f"""WITH RECURSIVE {_CAS}, t AS (SELECT document, max(revision) AS revision FROM cas_ WHERE accepted GROUP BY 1),
 a AS (SELECT document, revision, arg_max(CASE WHEN op = 'clear' THEN -1 ELSE id END, id) AS id FROM cas_ JOIN t USING (document, revision) WHERE accepted GROUP BY 1, 2)
 SELECT DISTINCT document, revision, l_partkey AS file_id FROM a JOIN lineitem ON l_orderkey = id""")
@@ -111,6 +159,16 @@ def h7_delivery_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.delivery_queue(e, 6 * 3600 * 1000)
 
 
+@query(f"""WITH {LOG_SQL}, d AS (SELECT * FROM log_ WHERE event_type = 'signup'), r AS (SELECT * FROM log_ WHERE event_type = 'purchase'),
+w AS (SELECT least((SELECT max(ts) FROM d), (SELECT max(ts) FROM r)) - INTERVAL 10 MINUTE AS mark),
+j AS (SELECT d.event_id AS id, d.ts, arg_min(r.event_id, row(r.ts, r.event_id)) AS read_id FROM d LEFT JOIN r ON r.user_id = d.user_id AND r.ts > d.ts AND r.ts <= d.ts + INTERVAL 6 HOUR GROUP BY ALL)
+SELECT id, read_id FROM j, w WHERE read_id IS NOT NULL OR ts + INTERVAL 6 HOUR < mark""")
+def h7_joined_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries and reads as two streams; one whose life the watermark (ten minutes behind the slower stream) has passed comes out alone, a younger one is open."""
+    of = lambda kind: _streamed(spark, sf_dir, "10 minutes").filter(F.col("event_type") == kind).select(F.col("user_id").alias("owner"), F.col("event_id").alias("id"), "ts")
+    return S.first_reads(_drained(S.joined_deliveries(of("signup"), of("purchase"), "6 HOURS"), "deliveries"))
+
+
 @query(f"""WITH {LOG_SQL}, n AS (SELECT *, event_type = 'purchase' AS pinned, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id, event_type = 'purchase' ORDER BY ts, event_id) AS i FROM log_)
 SELECT user_id AS cache, event_id AS id, pinned FROM n WHERE pinned OR i > n - 40""")
 def h8_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
