@@ -25,18 +25,26 @@ def classify_kind(name: Column, mime: Column) -> Column:
     )
 
 
-def admit_batch(files: DataFrame, max_files: int = MAX_FILES, max_file: int = MAX_FILE_BYTES, max_batch: int = MAX_BATCH_BYTES, has_files: int = 0, has_bytes: int = 0) -> DataFrame:
+def admit_batch(files: DataFrame, max_files: int = MAX_FILES, max_file: int = MAX_FILE_BYTES, max_batch: int = MAX_BATCH_BYTES, has_files: int = 0, has_bytes: int = 0, existing: DataFrame | None = None) -> DataFrame:
     """Ordered admission by batch_id and arrival: adds ``verdict`` (accepted, a reason, or null after the stop) and ``label``.
 
     A file beyond the count is refused before its kind is looked at; refused files use up nothing; the first
-    file that overflows the batch stops it: that row bears no name, later ones get no verdict.
+    file that overflows the batch stops it: that row bears no name, later ones get no verdict. A file of unknown size
+    is refused for its size. ``existing`` (batch_id, has_files, has_bytes; one row for each batch at most) says what batches hold already,
+    the two numbers what those hold that it lacks.
     """
+    has = lambda c, other: F.coalesce(c, F.lit(other))
+    if existing is None:
+        held = files.withColumns({"_files": F.lit(has_files), "_bytes": F.lit(has_bytes)})
+    else:
+        old = existing.select(F.col("batch_id").alias("_batch"), F.col("has_files").alias("_files"), F.col("has_bytes").alias("_bytes"))
+        held = files.join(old, F.col("batch_id").eqNullSafe(F.col("_batch")), "left").drop("_batch").withColumns({"_files": has(F.col("_files"), has_files), "_bytes": has(F.col("_bytes"), has_bytes)})
     w = Window.partitionBy("batch_id").orderBy("arrival", "file_id")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     total = lambda c, win: F.coalesce(F.sum(c).over(win), F.lit(0))
-    rows = files.withColumn("_kind", classify_kind(F.col("name"), F.col("mime")))
-    rows = rows.withColumn("_fits", ((F.col("_kind") != "unsupported") & (F.col("bytes") <= max_file)).cast("int"))
-    rows = rows.withColumns({"_n": total("_fits", before) + has_files, "_sum": total(F.col("bytes") * F.col("_fits"), w.rowsBetween(Window.unboundedPreceding, 0)) + has_bytes})
+    rows = held.withColumn("_kind", classify_kind(F.col("name"), F.col("mime")))
+    rows = rows.withColumn("_fits", ((F.col("_kind") != "unsupported") & F.coalesce(F.col("bytes") <= max_file, F.lit(False))).cast("int"))
+    rows = rows.withColumns({"_n": total("_fits", before) + F.col("_files"), "_sum": total(F.col("bytes") * F.col("_fits"), w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_bytes")})
     over = (F.col("_fits") == 1) & (F.col("_n") < max_files) & (F.col("_sum") > max_batch)
     rows = rows.withColumn("_stop", F.min(F.when(over, F.struct("arrival", "file_id"))).over(Window.partitionBy("batch_id")))
     here = F.struct("arrival", "file_id")
@@ -45,11 +53,11 @@ def admit_batch(files: DataFrame, max_files: int = MAX_FILES, max_file: int = MA
         .when(over, "batch-size")
         .when(F.col("_n") >= max_files, "file-count")
         .when(F.col("_kind") == "unsupported", "unsupported")
-        .when(F.col("bytes") > max_file, "file-size")
+        .when(F.col("_fits") == 0, "file-size")
         .otherwise("accepted")
     )
     rows = rows.withColumn("verdict", verdict)
-    return rows.withColumn("label", F.when(F.col("verdict") != "batch-size", F.col("name"))).drop("_kind", "_fits", "_n", "_sum", "_stop")
+    return rows.withColumn("label", F.when(F.col("verdict") != "batch-size", F.col("name"))).drop("_kind", "_fits", "_n", "_sum", "_stop", "_files", "_bytes")
 
 
 def expand_pages(files: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
@@ -96,9 +104,10 @@ def validate_library(assets: DataFrame, max_items: int = 30, max_pixels: float =
 
 
 def batch_gate(files: DataFrame, max_files: int = MAX_FILES, max_file: float = MAX_FILE_BYTES, max_total: float = MAX_BATCH_BYTES) -> DataFrame:
-    """The files of deliveries that pass as a whole: 1 to max_files, each and all within their limits."""
-    fine = files.groupBy("batch_id").agg(F.count("*").alias("n"), F.max("size").alias("m"), F.sum("size").alias("s"))
-    return files.join(fine.filter((F.col("n") <= max_files) & (F.col("m") <= max_file) & (F.col("s") <= max_total)), "batch_id", "left_semi")
+    """The files of deliveries that pass as a whole: 1 to max_files, each and all within their limits. A file of unknown size fails its delivery."""
+    fits = F.coalesce(F.col("size") <= max_file, F.lit(False))
+    fine = files.groupBy("batch_id").agg(F.count("*").alias("n"), F.bool_and(fits).alias("each"), F.sum("size").alias("s"))
+    return files.join(fine.filter((F.col("n") <= max_files) & F.col("each") & (F.col("s") <= max_total)), "batch_id", "left_semi")
 
 
 def rejection_report(verdicts: DataFrame, labels: dict[str, str]) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.store import checkpointed
@@ -12,17 +13,29 @@ from ..sources.store import checkpointed
 PLACEHOLDER = r"\{\{\s*(\w+)\s*\}\}"
 
 
+def _with_last_of_duplicates(spark: SparkSession, parse: Callable[[], DataFrame]) -> DataFrame:
+    """``parse()``, which runs to its end, with objects in which a key stands twice; the session's setting stays as it is."""
+    name = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        return parse()
+    finally:
+        spark.conf.set(name, before)
+
+
 def flatten_catalog(trees: DataFrame) -> DataFrame:
     """id, path, text: the leaves of JSON objects nested to any depth, with dotted paths. Columns id, tree.
 
     What is nested is told by its type, so a message that begins with a brace is a message. Each level is unfolded for all
     trees at once, until none holds an object. A tree that is null, no JSON or no object has no leaves; a null leaf is
-    a null text; of a list the text is its JSON; repeated rows give repeated leaves.
+    a null text; of a list the text is its JSON; repeated rows give repeated leaves. Of a key that stands twice in one object the last counts.
     """
     unfold = lambda df: df.select("id", F.col("path").alias("_p"), F.explode(F.col("v").cast("map<string,variant>")).alias("_k", "v"))
-    parsed = trees.select("id", F.lit(None).cast("string").alias("path"), F.try_parse_json("tree").alias("v"))
     nested = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
-    level, done = parsed.filter(nested), []
+    # Such objects are allowed or not when the plan is made.
+    parse = lambda: checkpointed(trees.select("id", F.lit(None).cast("string").alias("path"), F.try_parse_json("tree").alias("v")).filter(nested))
+    level, done = _with_last_of_duplicates(trees.sparkSession, parse), []
     while True:
         level = checkpointed(unfold(level).select("id", F.concat_ws(".", "_p", "_k").alias("path"), "v"))
         done.append(level.filter(~nested).select("id", "path", F.col("v").cast("string").alias("text")))

@@ -99,7 +99,7 @@ def _cuts(scores: np.ndarray, height: int, later: int, min_fill: float, toleranc
         height = height if at == 0 else later
         end = at + height
         if end < len(scores):
-            low = at + int(height * min_fill)
+            low = min(at + int(height * min_fill), end - 1)
             window = scores[low:end]
             fine = np.flatnonzero(window <= tolerance)
             end = low + int(fine[-1] if len(fine) else len(window) - 1 - np.argmin(window[::-1])) + 1
@@ -114,8 +114,11 @@ def paginate(lines: DataFrame, height: int, min_fill: float = 0.7, tolerance: in
     A full window is cut after its lowest line, in the part beyond ``min_fill``, whose score is within the
     tolerance, else after the one of least score, the lower of equals. The first page's own lines hold its top margin;
     later pages have ``top_margin`` lines less, but half a page at least. Each cut depends on the one before, so a
-    document's scores are one row, put in order by Spark; a null score counts as 0.
+    document's scores are one row, put in order by Spark; a null score counts as 0. With a ``min_fill`` of 1 only a page's last line
+    is left to cut after. A page has one line at least, and ``min_fill`` is from 0 to 1: anything else is refused.
     """
+    if height < 1 or not 0 <= min_fill <= 1:
+        raise ValueError(f"a page of {height} lines cannot be filled to {min_fill}")
 
     later = max(1, height // 2, height - top_margin)
 
@@ -213,10 +216,10 @@ def shared_resources(refs: DataFrame) -> DataFrame:
 
 
 def pixel_budget(pages: DataFrame, quality: Column, most_page: float, most_total: float) -> DataFrame:
-    """By bundle: pixels of all pages, and the first page at which the job is refused (null: none)."""
+    """By bundle: pixels of all pages, and the first page at which the job is refused (null: none). A page of unknown size is refused and counts no pixels."""
     q = F.greatest(F.lit(30.0), F.least(F.lit(100.0), F.when(F.isnan(quality), F.lit(80.0)).otherwise(quality)))
     s = F.lit(0.35) + 0.0215 * q
     rows = pages.withColumn("_px", F.ceil(F.col("width") * s) * F.ceil(F.col("height") * s))
     total = F.sum("_px").over(Window.partitionBy("bundle_id").orderBy("position"))
-    bad = (F.col("_px") > most_page) | (F.col("_total") > most_total)
+    bad = F.col("_px").isNull() | (F.col("_px") > most_page) | (F.col("_total") > most_total)
     return rows.withColumn("_total", total).groupBy("bundle_id").agg(F.sum("_px").alias("pixels"), F.min(F.when(bad, F.col("position"))).alias("refused_at"))

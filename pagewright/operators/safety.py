@@ -31,24 +31,54 @@ def redact_pages(blocks: DataFrame, rects: DataFrame) -> DataFrame:
     return blocks.join(rects.select("page").distinct(), "page", "left_anti")
 
 
-def redact_regions(blocks: DataFrame, rects: DataFrame, cell: int = 8) -> DataFrame:
-    """Blocks with ``masked``: whether their box meets a redaction rounded outwards. Boxes x, y, w, h.
+_FINEST = -10
 
-    A spatial join as an equi-join: both sides lie in grid cells of their page, then boxes are compared.
+
+def _numbers(*columns: str) -> Column:
+    """Whether all of the columns are numbers that a grid can hold."""
+    each = [F.col(c).cast("double") for c in columns]
+    return F.coalesce(reduce(lambda a, v: a & ~F.isnan(v) & (F.abs(v) < 1e15), each, F.lit(True)), F.lit(False))
+
+
+def _boxed(df: DataFrame, name: str, low, high) -> DataFrame:
+    """``name``, page, known, the box as ``name``_x0 and so on, and ``level``: of the least power of two no shorter than its longer side."""
+    x, y, w, h = (F.col(c).cast("double") for c in "xywh")
+    sides = {"x0": low(F.least(x, x + w)), "x1": high(F.greatest(x, x + w)), "y0": low(F.least(y, y + h)), "y1": high(F.greatest(y, y + h))}
+    known = _numbers(*"xywh") & F.col("id").isNotNull()
+    boxed = df.filter("page is not null").select(F.col("id").alias(name), "page", known.alias("known"), *[v.cast("double").alias(f"{name}_{k}") for k, v in sides.items()])
+    longer = F.greatest(F.col(f"{name}_x1") - F.col(f"{name}_x0"), F.col(f"{name}_y1") - F.col(f"{name}_y0"), F.lit(2.0**_FINEST))
+    return boxed.withColumn("level", F.when(F.col("known"), F.ceil(F.log2(longer)).cast("int")))
+
+
+def _cells(boxes: DataFrame, name: str, levels: DataFrame) -> DataFrame:
+    """Each box in the cells of its own level and of coarser ones that its page has in ``levels`` (page, theirs): four at most in each."""
+    met = boxes.filter("known").join(levels, "page")
+    met = met.withColumn("level", F.explode(F.array_union(F.array("level"), F.filter("theirs", lambda k: k > F.col("level")))))
+    at = lambda c: F.floor(F.col(f"{name}_{c}") / F.pow(F.lit(2.0), F.col("level")))
+    wide = met.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1"))))
+    return wide.withColumn("cy", F.explode(F.sequence(at("y0"), at("y1")))).drop("known", "theirs", "hides")
+
+
+def redact_regions(blocks: DataFrame, rects: DataFrame) -> DataFrame:
+    """Blocks with ``masked``: whether their box meets a redaction rounded outwards. Boxes x, y, w, h; a block's ``id`` is its own.
+
+    A spatial join as an equi-join over a hierarchy of grids: a box lies in at most four cells of the grid that fits its size,
+    whatever that is. Boxes meet in the coarser of their two grids: each goes to its own and to the coarser ones that the other
+    side has on its page, and then boxes are compared. Blocks of pages without a redaction go nowhere.
+
+    What is unknown is hidden: a block with a null or infinite coordinate, or a null id, is masked if its page has a redaction,
+    a redaction of unknown extent masks its whole page, and a block of unknown page is masked. A redaction of unknown page masks no
+    block of a known one.
     """
-    span = lambda low, high: F.sequence(F.floor(low / cell), F.floor(high / cell))
-
-    def cells(df: DataFrame, name: str, x0: Column, x1: Column, y0: Column, y1: Column) -> DataFrame:
-        boxed = df.select(F.col("id").alias(name), "page", x0.alias(f"{name}_x0"), x1.alias(f"{name}_x1"), y0.alias(f"{name}_y0"), y1.alias(f"{name}_y1"))
-        wide = boxed.withColumn("cx", F.explode(span(F.col(f"{name}_x0"), F.col(f"{name}_x1"))))
-        return wide.withColumn("cy", F.explode(span(F.col(f"{name}_y0"), F.col(f"{name}_y1"))))
-
-    x, y, w, h = (F.col(c) for c in "xywh")
-    left = cells(blocks, "b", x, x + w, y, y + h)
-    right = cells(rects, "r", F.floor(x), F.ceil(x + w), F.floor(y), F.ceil(y + h))
-    met = left.join(right, ["page", "cx", "cy"]).filter("b_x0 < r_x1 and r_x0 < b_x1 and b_y0 < r_y1 and r_y0 < b_y1")
-    hit = met.select(F.col("b").alias("id")).distinct().withColumn("masked", F.lit(True))
-    return blocks.join(hit, "id", "left").withColumn("masked", F.coalesce("masked", F.lit(False)))
+    left, right = _boxed(blocks, "b", lambda v: v, lambda v: v), _boxed(rects, "r", F.floor, F.ceil)
+    levels = lambda df: df.groupBy("page").agg(F.collect_set("level").alias("theirs"), (~F.bool_and("known")).alias("hides"))
+    pages = levels(right)
+    met = _cells(left, "b", pages.filter("not hides")).join(_cells(right, "r", levels(left)), ["page", "level", "cx", "cy"])
+    hit = met.filter("b_x0 < r_x1 and r_x0 < b_x1 and b_y0 < r_y1 and r_y0 < b_y1").select(F.col("b").alias("_hit")).distinct()
+    told = blocks.join(hit, F.col("id") == F.col("_hit"), "left").join(pages.select(F.col("page").alias("_page"), "hides"), F.col("page") == F.col("_page"), "left")
+    unknown = ~_numbers(*"xywh") | F.col("id").isNull()
+    masked = F.col("_hit").isNotNull() | F.col("page").isNull() | (F.col("_page").isNotNull() & (F.col("hides") | unknown))
+    return told.withColumn("masked", masked).drop("_hit", "_page", "hides")
 
 
 def _grams(words: Column, n: int) -> Column:

@@ -13,18 +13,23 @@ from ..sources.tables import EDITS_SQL, FILES_SQL, KNOWN_SQL, PAGES_SQL, RUNS_SQ
 from .registry import query
 
 _KIND = "CASE WHEN mime = 'application/pdf' OR lower(name) LIKE '%.pdf' THEN 'pdf' WHEN lower(name) LIKE '%.jp%g' THEN 'jpeg' WHEN lower(name) LIKE '%.png' THEN 'png' WHEN lower(name) LIKE '%.docx' THEN 'docx' WHEN lower(name) LIKE '%.odt' THEN 'odt' ELSE 'unsupported' END"
-_VERDICTS = f"""k AS (SELECT *, {_KIND} AS kind FROM files_),
-f AS (SELECT *, CASE WHEN kind <> 'unsupported' AND bytes <= 8000 THEN 1 ELSE 0 END AS fits FROM k),
-s AS (SELECT *, coalesce(sum(fits) OVER (PARTITION BY batch_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n,
-  sum(fits * bytes) OVER (PARTITION BY batch_id ORDER BY arrival) AS total FROM f),
+_VERDICTS = f"""held_ AS (SELECT source AS batch_id, count(*) % 3 AS has_files, CAST(count(*) % 7 * 300 AS BIGINT) AS has_bytes FROM documents WHERE lang IN ('de', 'fr') GROUP BY 1),
+k AS (SELECT files_.* EXCLUDE (bytes), CASE WHEN bytes % 29 <> 0 THEN bytes END AS bytes, {_KIND} AS kind, coalesce(has_files, 0) AS nf, coalesce(has_bytes, 0) AS nb FROM files_ LEFT JOIN held_ USING (batch_id)),
+f AS (SELECT *, CASE WHEN kind <> 'unsupported' AND coalesce(bytes <= 8000, false) THEN 1 ELSE 0 END AS fits FROM k),
+s AS (SELECT *, nf + coalesce(sum(fits) OVER (PARTITION BY batch_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n,
+  nb + coalesce(sum(fits * bytes) OVER (PARTITION BY batch_id ORDER BY arrival), 0) AS total FROM f),
 o AS (SELECT *, fits = 1 AND n < 8 AND total > 14000 AS over_ FROM s),
 st AS (SELECT *, min(CASE WHEN over_ THEN arrival END) OVER (PARTITION BY batch_id) AS stop FROM o),
 v AS (SELECT file_id, batch_id, name, bytes, CASE WHEN arrival > stop THEN NULL WHEN over_ THEN 'batch-size' WHEN n >= 8 THEN 'file-count'
-  WHEN kind = 'unsupported' THEN 'unsupported' WHEN bytes > 8000 THEN 'file-size' ELSE 'accepted' END AS verdict FROM st)"""
+  WHEN kind = 'unsupported' THEN 'unsupported' WHEN fits = 0 THEN 'file-size' ELSE 'accepted' END AS verdict FROM st)"""
 
 
 def _admitted(spark, sf_dir):
-    return A.admit_batch(files(spark, sf_dir), 8, 8000, 14_000)
+    """Files of unknown size among them, into batches of which some hold files already."""
+    old = table(spark, sf_dir, "documents").filter("lang in ('de', 'fr')").groupBy(F.col("source").alias("batch_id"))
+    held = old.agg((F.count("*") % 3).alias("has_files"), (F.count("*") % 7 * 300).alias("has_bytes"))
+    sized = files(spark, sf_dir).withColumn("bytes", F.when(F.col("bytes") % 29 != 0, F.col("bytes")))
+    return A.admit_batch(sized, 8, 8000, 14_000, existing=held)
 
 
 @query("SELECT source AS batch_id, count(*) AS lines, CAST(count(*) * 33 AS BIGINT) AS bytes, CAST(sum(CASE WHEN md5(text) < '8' THEN 1 ELSE 0 END) AS BIGINT) AS low FROM documents GROUP BY 1")
@@ -110,9 +115,20 @@ def i5_markup_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", n.alias("elements"), verdict.alias("verdict"), (strict == "declaration").alias("declared"))
 
 
-@query()
+_ODD_PAGES = """SELECT page_id, html FROM {p} UNION ALL SELECT page_id + 1000000, '<form><button>x</form></button><p title="a &amp;quot; b" SRC=" DATA:image/png;x">' || page_id || '</p><!-- c --><textarea><script></textarea><a href="u" onclick="v">' || url || '</a>' FROM {p}"""
+
+
+_CLOSED = "|".join(rf"<{t}\b[\s\S]*?</{t}>" for t in ("script", "iframe", "object", "form", "button", "textarea"))
+
+
+@query(f"""WITH p AS ({_ODD_PAGES.format(p="pages")}), c AS (SELECT page_id, len(regexp_extract_all(html, '<!--')) AS comments,
+  len(regexp_extract_all(regexp_replace(html, '{_CLOSED}', '<meta>', 'g'), '<(script|iframe|object|embed|link|meta|form|input|button|textarea)\\b')) AS elements, html FROM p)
+SELECT page_id, elements, comments, CASE WHEN page_id >= 1000000 THEN '<p title="a &amp;quot; b" src=" DATA:image/png;x">' || (page_id - 1000000) || '</p>' ELSE '' END AS head FROM c""")
 def i6_sanitize_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.sanitize_markup(table(spark, sf_dir, "pages"))
+    """Pages as they are, and with misnested forms, escaped attributes and a comment before their address. What is left is compared where it is known."""
+    clean = R.sanitize_markup(spark.sql(_ODD_PAGES, p=table(spark, sf_dir, "pages")))
+    head = F.when(F.col("page_id") >= 1_000_000, F.regexp_extract("clean", "^.*?</p>", 0)).otherwise("")
+    return clean.select("page_id", "elements", "comments", head.alias("head"))
 
 
 _ASSETS = "SELECT p_brand || '-' || p_partkey % 40 AS owner, CASE WHEN p_partkey % 97 = 0 THEN 'x' ELSE 'id' || p_partkey END AS id, CASE WHEN p_size = 49 THEN 'data:text/plain,' ELSE 'data:image/png;base64,' END || repeat('A', CAST(p_size * 7 AS INT)) AS data, CAST(p_size AS DOUBLE) * 100 AS width, CAST(p_size AS DOUBLE) * 80 AS height FROM {}"
@@ -126,9 +142,9 @@ def i7_validate_library(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT l_orderkey AS batch_id, l_linenumber AS line, l_quantity AS size FROM lineitem WHERE l_orderkey IN
-  (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) <= 5 AND max(l_quantity) <= 45 AND sum(l_quantity) <= 120)""")
+  (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) <= 5 AND max(l_quantity) <= 45 AND sum(l_quantity) <= 120 AND NOT bool_or(l_partkey % 50 = 0))""")
 def i8_batch_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("batch_id"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("size"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("batch_id"), F.col("l_linenumber").alias("line"), F.when(F.col("l_partkey") % 50 != 0, F.col("l_quantity")).alias("size"))
     return A.batch_gate(lines, 5, 45, 120)
 
 

@@ -19,7 +19,9 @@ def k1_flatten_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = F.struct(F.col("event_type").alias("type"), F.struct(F.col("user_id").alias("user")).alias("by"))
     deep = reduce(lambda inner, name: F.struct(inner).alias(name), "edcba", F.col("event_type").alias("f"))
     tree = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("k"), nested.alias("event"), F.concat(F.lit("{{name}} has "), "event_type").alias("message"), deep))
-    return K.flatten_catalog(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), tree.alias("tree")))
+    # A key that stands twice: the last counts.
+    twice = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"k":"old","event":1,'), F.substring(tree, 2, 1 << 20))).otherwise(tree)
+    return K.flatten_catalog(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), twice.alias("tree")))
 
 
 @query("""WITH h AS (SELECT DISTINCT lang AS locale, unnest(string_split(text, ' ')) AS path FROM documents),

@@ -120,9 +120,9 @@ def m3_shared_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.shared_resources(refs)
 
 
-@query(f"""WITH {PAGES_SQL}, q AS (SELECT bundle_id, position, 0.35::DOUBLE + 0.0215::DOUBLE * greatest(30, least(100, (bundle_id % 120)::DOUBLE)) AS s, 10.0::DOUBLE * (file_id % 90) AS w, 600.0::DOUBLE AS h FROM pages_),
+@query(f"""WITH {PAGES_SQL}, q AS (SELECT bundle_id, position, 0.35::DOUBLE + 0.0215::DOUBLE * greatest(30, least(100, (bundle_id % 120)::DOUBLE)) AS s, 10.0::DOUBLE * (file_id % 90) AS w, CASE WHEN file_id % 37 <> 0 THEN 600.0::DOUBLE END AS h FROM pages_),
 x AS (SELECT *, CAST(ceil(w * s) * ceil(h * s) AS BIGINT) AS px FROM q), t AS (SELECT *, sum(px) OVER (PARTITION BY bundle_id ORDER BY position) AS total FROM x)
-SELECT bundle_id, CAST(sum(px) AS BIGINT) AS pixels, min(CASE WHEN px > 2000000 OR total > 4000000 THEN position END) AS refused_at FROM t GROUP BY 1""")
+SELECT bundle_id, CAST(sum(px) AS BIGINT) AS pixels, min(CASE WHEN px IS NULL OR px > 2000000 OR total > 4000000 THEN position END) AS refused_at FROM t GROUP BY 1""")
 def m4_pixel_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = bundle_pages(spark, sf_dir).withColumns({"width": 10.0 * (F.col("file_id") % 90), "height": F.lit(600.0)})
+    pages = bundle_pages(spark, sf_dir).withColumns({"width": 10.0 * (F.col("file_id") % 90), "height": F.when(F.col("file_id") % 37 != 0, 600.0)})
     return L.pixel_budget(pages, (F.col("bundle_id") % 120).cast("double"), 2e6, 4e6)

@@ -33,14 +33,15 @@ def r2_redact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.redact_pages(blocks, rects).groupBy("page").agg(F.count("*").alias("blocks"), F.sum("l_orderkey").alias("ids"))
 
 
-@query(f"""WITH b AS (SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS id, l_suppkey AS page, l_quantity AS x, l_discount * 100 AS y FROM lineitem),
-r AS (SELECT o_orderkey % 100 AS page, o_custkey % 45 + 0.5 AS x, o_orderkey % 9 + 0.25 AS y FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')
-SELECT id, b.page, b.x, EXISTS (SELECT 1 FROM r WHERE r.page = b.page AND b.x < ceil(r.x + 2) AND floor(r.x) < b.x + 1 AND b.y < ceil(r.y + 1) AND floor(r.y) < b.y + 0.5) AS masked FROM b""")
+@query(f"""WITH b AS (SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS id, l_suppkey AS page, CASE WHEN l_partkey % 50 <> 0 THEN l_quantity END AS x, l_discount * 100 AS y FROM lineitem),
+r AS (SELECT o_orderkey % 100 AS page, o_custkey % 45 + 0.5 AS x, CASE WHEN o_custkey % 61 <> 0 THEN o_orderkey % 9 + 0.25 END AS y, CASE WHEN o_custkey % 10 = 0 THEN 30 ELSE 2 END AS w FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')
+SELECT id, b.page, b.x, EXISTS (SELECT 1 FROM r WHERE r.page = b.page AND (b.x IS NULL OR r.y IS NULL OR b.x < ceil(r.x + w) AND floor(r.x) < b.x + 1 AND b.y < ceil(r.y + 1) AND floor(r.y) < b.y + 0.5)) AS masked FROM b""")
 def r3_redact_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks and redactions with unknown places among them, and redactions of two sizes."""
     lines = table(spark, sf_dir, "lineitem")
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)).cast("long")
-    blocks = lines.select((F.col("l_orderkey") * 1000 + place).alias("id"), F.col("l_suppkey").alias("page"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), F.lit(1.0).alias("w"), F.lit(0.5).alias("h"))
-    rects = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 100).alias("page"), (F.col("o_custkey") % 45 + 0.5).alias("x"), (F.col("o_orderkey") % 9 + 0.25).alias("y"), F.lit(2.0).alias("w"), F.lit(1.0).alias("h"))
+    blocks = lines.select((F.col("l_orderkey") * 1000 + place).alias("id"), F.col("l_suppkey").alias("page"), F.when(F.col("l_partkey") % 50 != 0, F.col("l_quantity")).alias("x"), (F.col("l_discount") * 100).alias("y"), F.lit(1.0).alias("w"), F.lit(0.5).alias("h"))
+    rects = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 100).alias("page"), (F.col("o_custkey") % 45 + 0.5).alias("x"), F.when(F.col("o_custkey") % 61 != 0, F.col("o_orderkey") % 9 + 0.25).alias("y"), F.when(F.col("o_custkey") % 10 == 0, 30.0).otherwise(2.0).alias("w"), F.lit(1.0).alias("h"))
     return R.redact_regions(blocks, rects).select("id", "page", "x", "masked")
 
 

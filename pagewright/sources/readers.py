@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -18,29 +19,36 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), "content", *folders)
 
 
+_MARKER = re.compile(rb"\xff+([^\xff])", re.DOTALL)
+#: Markers of frames, which have the size, and markers that stand alone.
+_FRAMES = frozenset(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
+_ALONE = frozenset({0x01, *range(0xD0, 0xDA)})
+
+
+def _jpeg_size(data: bytes) -> tuple[int, int] | None:
+    """Width and height of the first frame; None if there is none, or a segment before it says that it is shorter than its own length."""
+    at = 2
+    while found := _MARKER.search(data, at):
+        kind, at = found[1][0], found.end()
+        if kind in _ALONE:
+            continue
+        head = data[at : at + 7]
+        if kind in _FRAMES:
+            return struct.unpack(">HH", head[3:])[::-1] if len(head) == 7 else None
+        length = int.from_bytes(head[:2], "big")
+        if len(head) < 2 or length < 2:
+            return None
+        at += length
+    return None
+
+
 def image_size(data: bytes | None) -> tuple[str | None, int | None, int | None]:
     """Kind, width and height from the first bytes of a PNG or the markers of a JPEG."""
     data = data or b""
     if data[:8] == b"\x89PNG\r\n\x1a\n" and data[12:16] == b"IHDR" and len(data) >= 24:
         return ("png", *struct.unpack(">II", data[16:24]))
     if data[:2] == b"\xff\xd8":
-        at = 2
-        while at + 9 <= len(data):
-            if data[at] != 0xFF:  # bytes between segments are passed over
-                at += 1
-                continue
-            marker = data[at + 1]
-            if marker == 0xFF:
-                at += 1
-                continue
-            if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-                height, width = struct.unpack(">HH", data[at + 5 : at + 9])
-                return ("jpeg", width, height)
-            if marker == 0x01 or 0xD0 <= marker <= 0xD9:
-                at += 2
-            else:
-                at += 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
-        return ("jpeg", None, None)
+        return ("jpeg", *(_jpeg_size(data) or (None, None)))
     return (None, None, None)
 
 
@@ -67,12 +75,21 @@ DROPPED = ("script", "iframe", "object", "embed", "link", "meta", "form", "input
 _EMPTY = ("embed", "link", "meta", "input")
 
 
+_QUOTED = {ord("&"): "&amp;", ord('"'): "&quot;"}
+
+
 class _Cleaner(HTMLParser):
+    """Markup without what is dropped. An end tag closes the innermost dropped element of its name and what is open inside it;
+    one that closes nothing is passed over, so misnested markup costs no more than the elements that are dropped."""
+
+    #: Elements whose content is text up to their end tag.
+    CDATA_CONTENT_ELEMENTS = ("script", "style", "textarea", "iframe", "title")
+
     def __init__(self):
         super().__init__(convert_charrefs=False)
         self.out: list[str] = []
         self.inside: list[str] = []
-        self.elements = self.attributes = 0
+        self.elements = self.attributes = self.comments = 0
 
     def handle_starttag(self, tag, attrs):
         if tag in DROPPED:
@@ -84,22 +101,16 @@ class _Cleaner(HTMLParser):
             return
         kept = []
         for k, v in attrs:
-            if k.startswith("on") or k in ("href", "xlink:href") or k == "src" and not (v or "").startswith("data:image/"):
+            if k.startswith("on") or k in ("href", "xlink:href") or k == "src" and not (v or "").strip().lower().startswith("data:image/"):
                 self.attributes += 1
             else:
-                kept.append(k if v is None else f'{k}="{v.replace(chr(34), "&quot;")}"')
+                kept.append(k if v is None else f'{k}="{v.translate(_QUOTED)}"')
         self.out.append(f"<{' '.join([tag, *kept])}>")
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if self.inside and self.inside[-1] == tag:
-            self.inside.pop()
-
     def handle_endtag(self, tag):
-        if self.inside:
-            if self.inside[-1] == tag:
-                self.inside.pop()
-        elif tag not in DROPPED:
+        if tag in self.inside:
+            del self.inside[len(self.inside) - 1 - self.inside[::-1].index(tag) :]
+        elif not self.inside and tag not in DROPPED:
             self.out.append(f"</{tag}>")
 
     def _keep(self, text):
@@ -118,9 +129,16 @@ class _Cleaner(HTMLParser):
     def handle_decl(self, decl):
         self._keep(f"<!{decl}>")
 
+    def handle_comment(self, data):
+        self.comments += not self.inside
+
 
 def sanitize_markup(pages: DataFrame) -> DataFrame:
-    """page_id, clean, elements and attributes removed. Nesting needs a parser, so each page goes through one."""
+    """page_id, clean, and how many elements, attributes and comments went. Nesting needs a parser, so each page goes through one.
+
+    A null page is an empty one. An element that a browser would not nest (a form in a form) counts once, with what is inside.
+    A dropped element that is never closed takes the rest of the page along, as a browser has it.
+    """
 
     def clean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -129,10 +147,10 @@ def sanitize_markup(pages: DataFrame) -> DataFrame:
                 c = _Cleaner()
                 c.feed(html or "")
                 c.close()
-                rows.append(("".join(c.out), c.elements, c.attributes))
-            yield pd.concat([f[["page_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["clean", "elements", "attributes"])], axis=1)
+                rows.append(("".join(c.out), c.elements, c.attributes, c.comments))
+            yield pd.concat([f[["page_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["clean", "elements", "attributes", "comments"])], axis=1)
 
-    return pages.select("page_id", "html").mapInPandas(clean, f"page_id {pages.schema['page_id'].dataType.simpleString()}, clean string, elements long, attributes long")
+    return pages.select("page_id", "html").mapInPandas(clean, f"page_id {pages.schema['page_id'].dataType.simpleString()}, clean string, elements long, attributes long, comments long")
 
 
 def write_parts(df: DataFrame, path: str, by: str = "part", stem: str | None = None) -> str:

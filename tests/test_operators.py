@@ -1,6 +1,7 @@
 """Operators on small tables: nulls, ties, empty tables, repeated rows, and what registered tables don't hold."""
 
 import json
+import math
 import random
 
 import pytest
@@ -249,3 +250,79 @@ def test_reachable_over_a_long_path(spark):
     assert all(found[i] == (True, 2 if i == 3 else 0) for i in range(n))
     assert found[90] == (False, 0) == found[91] == found[None]
     assert graph.reachable(nodes, edges.limit(0), ids(2).limit(0), ids(1)).filter("reachable").count() == 0
+
+
+def test_misnested_markup_costs_no_more_than_what_is_dropped(spark):
+    pages = [
+        (1, "<form><button>x</form></button><p>keep</p>", "<p>keep</p>", 1, 0, 0),
+        (2, "<textarea><script></textarea><p>keep</p>", "<p>keep</p>", 1, 0, 0),
+        (3, '<b title="a &amp;quot; b">t</b>', '<b title="a &amp;quot; b">t</b>', 0, 0, 0),
+        (4, "a<!-- one --><!-- two -->b<script><!-- three --></script>", "ab", 1, 0, 2),
+        (5, '<img src=" DATA:image/png;base64,x"><img src="https://x">', '<img src=" DATA:image/png;base64,x"><img>', 0, 1, 0),
+        (6, "</form></i><i>t</i>", "</i><i>t</i>", 0, 0, 0),
+        (7, "<object><object>x</object>y</object>z<form>never closed<p>gone</p>", "z", 2, 0, 0),
+        (8, None, "", 0, 0, 0),
+    ]
+    found = readers.sanitize_markup(spark.createDataFrame([p[:2] for p in pages], "page_id long, html string")).collect()
+    assert {(r.page_id, r.clean, r.elements, r.attributes, r.comments) for r in found} == {(p[0], *p[2:]) for p in pages}
+
+
+def test_jpeg_segments_shorter_than_their_length_are_unreadable():
+    frame = b"\xff\xc0\x00\x11\x08\x00\x20\x00\x30"
+    size = lambda *parts: readers.image_size(b"\xff\xd8" + b"".join(parts))
+    assert size(b"\xff\xe0\x00\x04ab", frame) == ("jpeg", 48, 32)
+    assert size(b"\xff\xff\xd8", b"junk", frame) == ("jpeg", 48, 32)
+    for length in (0, 1):
+        assert size(b"\xff\xe0" + bytes([0, length]), frame) == ("jpeg", None, None)
+    assert size(b"\xff\xe0\xff\xff", frame) == size(frame[:-1]) == size() == ("jpeg", None, None)
+
+
+def test_unknown_sizes_are_refused(spark):
+    files = spark.createDataFrame([("a", 1, 1, None, "x.pdf", ""), ("a", 2, 2, 60, "y.pdf", ""), ("a", 3, 3, 50, "z.pdf", ""), ("b", 1, 4, 60, "v.pdf", ""), (None, 1, 5, 90, "w.pdf", "")], "batch_id string, arrival long, file_id long, bytes long, name string, mime string")
+    found = {r.file_id: r.verdict for r in admission.admit_batch(files, 3, 100, 120).collect()}
+    assert found == {1: "file-size", 2: "accepted", 3: "accepted", 4: "accepted", 5: "accepted"}
+    held = spark.createDataFrame([("a", 2, 0), ("b", 0, 70), (None, 3, 0)], "batch_id string, has_files long, has_bytes long")
+    found = {r.file_id: r.verdict for r in admission.admit_batch(files, 3, 100, 120, existing=held).collect()}
+    assert found == {1: "file-size", 2: "accepted", 3: "file-count", 4: "batch-size", 5: "file-count"}
+    sizes = spark.createDataFrame([(1, 5), (1, None), (2, None), (3, 5), (3, 5)], "batch_id long, size long")
+    assert {r.batch_id for r in admission.batch_gate(sizes, 5, 10, 20).collect()} == {3}
+    pages = spark.createDataFrame([(1, 1, 10.0, 10.0), (1, 2, 10.0, None), (2, 1, None, None)], "bundle_id long, position long, width double, height double")
+    assert {(r.bundle_id, r.refused_at) for r in layout.pixel_budget(pages, F.lit(80.0), 1e9, 1e9).collect()} == {(1, 2), (2, 1)}
+
+
+def test_pages_of_one_line_and_full_pages(spark):
+    lines = spark.createDataFrame([(1, i, 1.0) for i in range(5)], "doc_id long, line long, score double")
+    pages = lambda **k: [(r.first, r.last) for r in layout.paginate(lines, **k).orderBy("page").collect()]
+    assert pages(height=2, min_fill=1.0) == [(0, 1), (2, 3), (4, 4)] and pages(height=1) == [(i, i) for i in range(5)]
+    for bad in ({"height": 0}, {"height": 5, "min_fill": 1.5}, {"height": 5, "min_fill": -0.1}):
+        with pytest.raises(ValueError, match="cannot be filled"):
+            layout.paginate(lines, **bad)
+
+
+def test_of_duplicate_keys_the_last_counts(spark):
+    trees = spark.createDataFrame([(1, '{"a":"1","a":"2","b":"3"}'), (2, '{"a":{"x":"1"},"a":{"y":"2","y":"3"}}'), (3, "{"), (4, None)], "id long, tree string")
+    before = spark.conf.get("spark.sql.variant.allowDuplicateKeys")
+    assert {tuple(r) for r in catalog.flatten_catalog(trees).collect()} == {(1, "a", "2"), (1, "b", "3"), (2, "a.y", "3")}
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == before
+
+
+def test_redaction_fails_closed(spark):
+    box = "id long, page long, x double, y double, w double, h double"
+    blocks = spark.createDataFrame([(1, 1, 0.0, 0.0, 1.0, 1.0), (2, 1, None, 0.0, 1.0, 1.0), (3, 1, float("nan"), 0.0, 1.0, 1.0), (None, 1, 50.0, 50.0, 1.0, 1.0), (4, 1, 50.0, 50.0, 1.0, 1.0), (5, 2, 0.0, 0.0, 1.0, 1.0), (6, 3, None, 0.0, 1.0, 1.0), (7, None, 0.0, 0.0, 1.0, 1.0), (8, 1, 9.0, 9.0, 0.0, 0.0), (9, 1, 12.0, 12.0, -3.0, -3.0)], box)
+    rects = spark.createDataFrame([(1, 1, 9.4, 9.4, -9.0, -9.0), (2, 2, 0.0, None, 1.0, 1.0), (3, None, 0.0, 0.0, 99.0, 99.0)], box)
+    found = {(r.id, r.page): r.masked for r in safety.redact_regions(blocks, rects).collect()}
+    assert found == {(1, 1): True, (2, 1): True, (3, 1): True, (None, 1): True, (4, 1): False, (5, 2): True, (6, 3): False, (7, None): True, (8, 1): True, (9, 1): True}
+
+
+def test_boxes_of_any_size_lie_in_four_cells_and_meet(spark):
+    """Sizes from a hundredth to ten thousands, against all pairs."""
+    rnd = random.Random(3)
+    box = "id long, page long, x double, y double, w double, h double"
+    some = lambda n: [(i, rnd.randint(1, 3), rnd.uniform(-2e4, 2e4), rnd.uniform(-2e4, 2e4), *(10 ** rnd.uniform(-2, 4.2) for _ in "wh")) for i in range(n)]
+    blocks, rects = some(400), some(60)
+    found = {r.id for r in safety.redact_regions(spark.createDataFrame(blocks, box), spark.createDataFrame(rects, box)).filter("masked").collect()}
+    down, up = math.floor, math.ceil
+    meets = lambda b, r: b[1] == r[1] and b[2] < up(r[2] + r[4]) and down(r[2]) < b[2] + b[4] and b[3] < up(r[3] + r[5]) and down(r[3]) < b[3] + b[5]
+    assert found == {b[0] for b in blocks if any(meets(b, r) for r in rects)} and 0 < len(found) < 400
+    large = safety._boxed(spark.createDataFrame([(1, 1, 3.3, 4.4, 10_000.0, 10_000.0)], box), "b", lambda v: v, lambda v: v)
+    assert safety._cells(large, "b", spark.createDataFrame([(1, [0, 3])], "page long, theirs array<int>")).count() <= 4
