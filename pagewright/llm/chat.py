@@ -40,8 +40,9 @@ def perspectives(turns: DataFrame) -> DataFrame:
         "speaker",
         F.concat(head, "content", F.lit(END + "\n")).alias("segment"),
         own.alias("trained"),
+        "content",
         F.length(head).cast("long").alias("_head"),
-    ).withColumns({"_one": F.lit(1).cast("long"), "_chars": F.length("segment").cast("long"), "_sum": F.md5(F.col("segment").cast("binary"))})
+    ).withColumns({"_one": F.lit(1).cast("long"), "_chars": F.length("segment").cast("long"), "_sum": F.md5(F.col("content").cast("binary"))}).drop("content")
     placed = running_totals(freeze(rendered, "turns"), ["turn", "speaker", "_sum"], ["_one", "_chars"], ["conv_id", "perspective"], "dialogues")
     start = F.col("_chars_before")
     return placed.select(

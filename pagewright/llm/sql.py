@@ -22,7 +22,7 @@ rendered AS (SELECT *, head || content || '<|end|>' || chr(10) AS segment FROM h
 placed AS (
   SELECT *, row_number() OVER o - 1 AS seq,
          CAST(coalesce(sum(length(segment)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start
-  FROM rendered WINDOW o AS (PARTITION BY conv_id, perspective ORDER BY turn, speaker, md5(segment)))
+  FROM rendered WINDOW o AS (PARTITION BY conv_id, perspective ORDER BY turn, speaker, md5(content)))
 SELECT conv_id, perspective, turn, speaker, segment, trained, seq, char_start,
        CASE WHEN trained THEN char_start + length(head) END AS mask_start,
        CASE WHEN trained THEN char_start + length(segment) - 1 END AS mask_end

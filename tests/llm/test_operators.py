@@ -395,6 +395,14 @@ def _labelled(spark, sf="sf0.01"):
     return spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
 
 
+def test_tied_turns_keep_their_order_in_every_perspective(spark):
+    """Three different texts under one number and speaker come in one order, whoever is the assistant."""
+    turns = [(c, 1, "a", f"text {k} of {c}") for c in range(8) for k in range(3)] + [(c, 2, "b", "end") for c in range(8)]
+    found = chat.perspectives(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").repartition(4)).orderBy("conv_id", "perspective", "seq").collect()
+    said = lambda c, who: [r.segment.split("\n")[1].split("<|")[0] for r in found if r.conv_id == c and r.perspective == who]
+    assert all(said(c, "a") == said(c, "b") and len(said(c, "a")) == 4 for c in range(8))
+
+
 def test_toxicity_held_out(spark, docs, empty, repeated):
     real, labels = _labelled(spark, "sf0.1")
     model = toxicity.fit(real, labels, max_documents=600)
