@@ -26,6 +26,7 @@ from .encode import encoder, in_blocks
 
 END_ID = 0
 MAX_LENGTH = 1024
+_TASKS = 1024
 
 
 def piece_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
@@ -69,12 +70,17 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = END_ID,
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids.
 
     Each task numbers its pieces of each length; the pieces are then kept, and a table of one row for each
-    task and length (eleven lengths) says how many sequences come before. Nothing is shuffled but its rows.
+    task and length (eleven lengths) says how many sequences come before. It is added up in two levels, ``_TASKS`` tasks at
+    a time and then these, so that the one window over everything has a row for each length and ``_TASKS`` tasks.
     """
     schema = f"doc_id {type_of(docs, 'doc_id')}, start long, length long, ids_crc32 long, doc_tokens long, rank long, part int" + ", ids array<int>" * with_ids
     pieces = freeze(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, end_id, longest, with_ids), schema), "packed")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
-    earlier = Window.orderBy(F.col("length").desc(), "part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    numbered = pieces.join(F.broadcast(bases), ["length", "part"])
+    counts = counts.withColumn("some", F.expr(f"part div {_TASKS}"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = counts.select("length", "part", "some", before(Window.partitionBy("length", "some").orderBy("part")).alias("within"))
+    totals = counts.groupBy("length", "some").agg(F.sum("n").alias("n"))
+    totals = totals.select("length", "some", before(Window.orderBy(F.col("length").desc(), "some")).alias("base"))
+    bases = within.join(totals, ["length", "some"]).select("length", "part", (F.col("base") + F.col("within")).alias("base"))
+    numbered = pieces.join(bases, ["length", "part"])
     return numbered.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("rank")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *["ids"] * with_ids)
