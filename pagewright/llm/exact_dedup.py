@@ -188,5 +188,5 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     index = build_index(docs, **options)
     linked = freeze(index.rows.join(index.links.select("head", "h", "link", "sha"), "head").drop("head"), "linked")
     first = F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    groups = linked.groupBy("h", "link").agg(F.min(first).alias("first"), F.count("*").alias("group_size"))
+    groups = freeze(linked.groupBy("h", "link").agg(F.min(first).alias("first"), F.count("*").alias("group_size")), "groups")
     return linked.join(groups, ["h", "link"]).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
