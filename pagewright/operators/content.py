@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .history import fold
+from ..sources.store import checkpointed
+from .graph import compose
+from .scan import laid_out, running
 
 TOLERANCE = 1.25
 
@@ -49,25 +51,89 @@ def zip_by_ordinal(items: DataFrame, styles: DataFrame, by: str, order: list[str
     return items.withColumn("n", nth).join(numbered, [by, "n"], "left").withColumn("style", F.coalesce("style", F.lit(default)))
 
 
+def _in_force(ops: DataFrame, by: str, order: list[str], changes: str) -> tuple[DataFrame, DataFrame]:
+    """Replay save and restore: (the rows of ``ops`` with ``_at``, the change or save in force before each, and the nodes: _id, _up and the columns of a change).
+
+    A place in the order is a running depth; what a restore without a save starts anew is a scope, too. In a scope the last change is in
+    force, and before the first of them what was in force at its save: each change and save points to the one before, and
+    null stands for the beginning. All of that are scans, so a group of any size is spread over tasks. The order is total.
+    """
+    rows = ops.withColumn("_id", F.struct(*order))
+    laid = laid_out(rows, [by], order)
+    step = F.when(F.col("op") == "save", 1).when(F.col("op") == "restore", -1).otherwise(0)
+    depth = checkpointed(running(laid, [by], order, {"_sum": ("sum", step)}))
+    depth = running(depth, [by], order, {"_low": ("min", F.col("_sum"))}, inclusive=False)
+    before = F.least(F.lit(0), F.coalesce("_low", F.lit(0)))
+    level = F.col("_sum") - F.least(before, F.col("_sum"))
+    # A restore that goes below all before has nothing to go back to.
+    resets = (F.col("op") == "restore") & (F.col("_sum") < before)
+    seen = depth.withColumn("_level", level.cast("int")).withColumn("_resets", resets)
+    node = F.struct("_id")
+    change = F.col("op") == changes
+    opens = seen.filter("op = 'save'").withColumns({"_sets": node, "_kind": F.lit("opens")})
+    others = seen.filter("op <> 'save' or op is null").withColumns({"_sets": F.when(change, node).when(F.col("_resets"), F.struct(F.lit(None).cast(seen.schema["_id"].dataType).alias("_id"))), "_kind": F.lit("row")})
+    saves = seen.filter("op = 'save'").withColumns({"_level": F.col("_level") - 1, "_sets": F.lit(None).cast(opens.schema["_sets"].dataType), "_kind": F.lit("row")})
+    events = checkpointed(others.unionByName(saves).unionByName(opens))
+    # The opening of a scope comes last of the rows in its place; no other row of its level is there.
+    found = running(events, [by, "_level"], [*order, "_kind"], {"_force": ("last", F.col("_sets"))}, inclusive=False)
+    told = checkpointed(found.filter("_kind = 'row'").withColumn("_at", F.col("_force._id")).drop("_part", "_sum", "_low", "_sets", "_kind", "_force", "_level"))
+    nodes = told.filter((F.col("op") == "save") | (F.col("op") == changes)).withColumn("_up", F.col("_at")).drop("_at", "_resets")
+    return told.drop("_resets", "_id"), nodes
+
+
+def _resolved(nodes: DataFrame, by: str, merged: dict[str, Column]) -> DataFrame:
+    """Pointer doubling: each node's ``merged`` columns over all nodes that it points to. Columns of the node ahead are called ``up_``.
+
+    A pass doubles the steps that a node has made; one that has come to the beginning is not joined any more.
+    """
+    values = list(merged)
+    done, open_ = nodes.filter("_up is null"), nodes.filter("_up is not null")
+    while not open_.isEmpty():
+        ahead = done.unionByName(open_).select(F.col(by).alias("_by"), F.col("_id").alias("_to"), F.col("_up").alias("_next"), *[F.col(v).alias(f"up_{v}") for v in values])
+        joined = open_.join(ahead, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_up") == F.col("_to")))
+        moved = checkpointed(joined.select(by, "_id", F.col("_next").alias("_up"), *[c.alias(v) for v, c in merged.items()]))
+        done, open_ = done.unionByName(moved.filter("_up is null")), moved.filter("_up is not null")
+    return done
+
+
 def scoped_state(ops: DataFrame, by: str, order: list[str], default: int = 0) -> DataFrame:
-    """Replay save, restore, set and read; each read gets the value in force. Columns op, value and an id.
+    """Replay save, restore, set and read; each read gets the value in force, ``default`` where none was set. Columns op, value and an id.
 
-    A stack has no window form, so each group's rows are folded in order; a task holds one batch and one stack.
+    A restore without a save goes back to the default; other operations, null ones too, change nothing. No group has to fit in a task.
     """
+    told, nodes = _in_force(ops.select(by, *order, *[c for c in ("id", "op", "value") if c not in order]), by, order, "set")
+    # A set needs nothing of what is before it: only saves point on.
+    is_set = F.col("op") == "set"
+    nodes = nodes.select(by, "_id", F.when(~is_set, F.col("_up")).alias("_up"), F.when(is_set, F.struct("value")).alias("held"))
+    values = _resolved(nodes, by, {"held": F.coalesce("held", "up_held")}).select(F.col(by).alias("_by"), F.col("_id").alias("_to"), "held")
+    reads = told.filter("op = 'read'")
+    found = reads.join(values, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_at") == F.col("_to")), "left")
+    value = F.when(F.col("held").isNull(), F.lit(default).cast("long")).otherwise(F.col("held.value"))
+    return found.select(F.col(by).cast("long").alias(by), F.col("id").cast("long").alias("id"), value.cast("long").alias("value"))
 
-    def step(state: list, row) -> tuple | None:
-        now, stack = state
-        if row.op == "save":
-            stack.append(now)
-        elif row.op == "restore":
-            state[0] = stack.pop() if stack else default
-        elif row.op == "set":
-            state[0] = row.value
-        elif row.op == "read":
-            return getattr(row, by), row.id, now
-        return None
-
-    return fold(ops.select(by, *order, *[c for c in ("id", "op", "value") if c not in order]), by, order, lambda: [default, []], step, f"{by} long, id long, value long")
+
+def scoped_matrices(ops: DataFrame, by: str, order: list[str], min_side: float = 4.0, first: int = 50) -> DataFrame:
+    """Replay save, restore, transform and read; each read gets the box of the unit square under the transforms in force.
+
+    Columns op, id and ``matrix`` (six numbers a, b, c, d, e, f of a transform). Gives ``by``, id, x, y, width, height and rotation
+    in degrees from 0 to 360, of the reads whose box is wider and higher than ``min_side``, the ``first`` of them in each group. A restore
+    without a save goes back to the identity; a transform whose matrix is null or lacks a number changes nothing.
+
+    Composition is associative, so the transforms that a read is under are composed by doubling, whatever their number.
+    """
+    fine = (F.size("matrix") == 6) & F.forall("matrix", lambda v: v.isNotNull() & ~F.isnan(v))
+    ops = ops.select(by, *order, *[c for c in ("id", "op") if c not in order], F.when(F.coalesce(fine, F.lit(False)), F.col("matrix")).alias("matrix"))
+    told, nodes = _in_force(ops, by, order, "transform")
+    still = F.array(*[F.lit(float(v)) for v in (1, 0, 0, 1, 0, 0)])
+    nodes = nodes.select(by, "_id", "_up", F.when(F.col("op") == "transform", F.coalesce("matrix", still)).otherwise(still).alias("m"))
+    states = _resolved(nodes, by, {"m": compose("up_m", "m")}).select(F.col(by).alias("_by"), F.col("_id").alias("_to"), "m")
+    reads = told.filter("op = 'read'").join(states, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_at") == F.col("_to")), "left").withColumn("m", F.coalesce("m", still))
+    side = lambda f, i: f(F.get("m", F.lit(i + 4)), *[F.get("m", F.lit(i + 4)) + x for x in (F.get("m", F.lit(i)), F.get("m", F.lit(i + 2)), F.get("m", F.lit(i)) + F.get("m", F.lit(i + 2)))])
+    turn = F.degrees(F.atan2(F.get("m", F.lit(1)), F.get("m", F.lit(0))))
+    box = {"x": side(F.least, 0), "y": side(F.least, 1), "width": side(F.greatest, 0) - side(F.least, 0), "height": side(F.greatest, 1) - side(F.least, 1), "rotation": F.when(turn < 0, turn + 360).otherwise(turn)}
+    boxes = reads.withColumns(box).filter((F.col("width") > min_side) & (F.col("height") > min_side)).select(by, *order, *[c for c in ("id",) if c not in order], *box)
+    counted = running(laid_out(boxes, [by], order), [by], order, {"_n": ("sum", F.lit(1))})
+    return counted.filter(F.col("_n") <= first).select(by, "id", *box)
 
 
 def merge_edits(blocks: DataFrame, edits: DataFrame, order: list[str]) -> DataFrame:

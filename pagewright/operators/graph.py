@@ -81,7 +81,7 @@ def inherit_properties(nodes: DataFrame, props: DataFrame, doublings: int = 4) -
     return state
 
 
-def _compose(outer: str, inner: str) -> Column:
+def compose(outer: str, inner: str) -> Column:
     """[a, b, c, d, e, f] of the inner transform followed by the outer one."""
     o, i = (lambda k: F.get(outer, k)), (lambda k: F.get(inner, k))
     return F.array(
@@ -108,7 +108,7 @@ def expand_occurrences(roots: DataFrame, edges: DataFrame, max_depth: int = 12,
     refused = roots.select(F.col("id").alias("root"), F.lit("").alias("reason")).limit(0)
     for depth in range(1, max_depth + 2):
         front = met.filter(F.col("depth") == depth - 1).drop("bytes", "loops").join(refused, "root", "left_anti")
-        new = front.join(hop, "at").select("root", F.col("dst").alias("at"), F.array_append("path", F.col("dst")).alias("path"), F.lit(depth).alias("depth"), "bytes", _compose("matrix", "_m").alias("matrix"), F.array_contains("path", F.col("dst")).alias("loops"))
+        new = front.join(hop, "at").select("root", F.col("dst").alias("at"), F.array_append("path", F.col("dst")).alias("path"), F.lit(depth).alias("depth"), "bytes", compose("matrix", "_m").alias("matrix"), F.array_contains("path", F.col("dst")).alias("loops"))
         met = checkpointed(met.unionByName(new))
         if met.filter(F.col("depth") == depth).isEmpty():
             break

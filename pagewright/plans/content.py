@@ -59,6 +59,29 @@ def c4_scoped_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.scoped_state(ops, "user_id", ["ts", "id"])
 
 
+_MATRIX = "CASE k % 5 WHEN 0 THEN {l}1.0, 0.0, 0.0, 1.0, k * 1.0, 1.0{r} WHEN 1 THEN {l}0.0, 1.0, -1.0, 0.0, 2.0, 0.0{r} WHEN 2 THEN {l}2.0, 0.0, 0.0, 2.0, 0.0, 0.0{r} WHEN 3 THEN {l}0.5, 0.0, 0.0, 0.5, 1.0, k * 1.0{r} ELSE {l}4.0, 0.0, 0.0, 1.0, 0.0, 3.0{r} END"
+_TIMES = ", ".join(f"{a}[{i}] * m[{j}] + {a}[{i + 2}] * m[{j + 1}]" + (f" + {a}[{i + 4}]" if j == 5 else "") for a in ("now",) for j in (1, 3, 5) for i in (1, 2))
+
+
+@query(f"""WITH RECURSIVE {LOG_SQL}, o AS (SELECT user_id, event_id, event_type, {_MATRIX.format(l="[", r="]::DOUBLE[]")} AS m, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM log_),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, '' AS event_type, [1.0, 0, 0, 1, 0, 0]::DOUBLE[] AS now, []::DOUBLE[][] AS stack FROM o
+  UNION ALL SELECT o.user_id, o.i, o.event_id, o.event_type,
+    CASE WHEN o.event_type IN ('purchase', 'click') THEN [{_TIMES}] WHEN o.event_type = 'error' THEN coalesce(stack[-1], [1.0, 0, 0, 1, 0, 0]::DOUBLE[]) ELSE now END,
+    CASE o.event_type WHEN 'signup' THEN list_append(stack, now) WHEN 'error' THEN stack[:-2] ELSE stack END
+  FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1),
+b AS (SELECT user_id, i, event_id AS id, least(now[5], now[5] + now[1], now[5] + now[3], now[5] + now[1] + now[3]) AS x, least(now[6], now[6] + now[2], now[6] + now[4], now[6] + now[2] + now[4]) AS y,
+  greatest(now[5], now[5] + now[1], now[5] + now[3], now[5] + now[1] + now[3]) AS x1, greatest(now[6], now[6] + now[2], now[6] + now[4], now[6] + now[2] + now[4]) AS y1, degrees(atan2(now[2], now[1])) AS turn FROM f WHERE event_type = 'view')
+SELECT user_id, id, round(x, 3) AS x, round(y, 3) AS y, round(x1 - x, 3) AS width, round(y1 - y, 3) AS height, round(CASE WHEN turn < 0 THEN turn + 360 ELSE turn END, 3) AS rotation
+FROM b WHERE x1 - x > 4 AND y1 - y > 4 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i) <= 10""")
+def c4_scoped_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as drawing operations of a user's page: clicks and purchases move, turn, stretch or shrink what views draw."""
+    names = F.create_map(*[F.lit(x) for x in ("signup", "save", "error", "restore", "purchase", "transform", "click", "transform", "view", "read")])
+    matrix = F.expr(_MATRIX.format(l="array(", r=")").replace(".0", ".0D").replace("0.5", "0.5D"))
+    ops = log(spark, sf_dir).select("user_id", "ts", F.col("event_id").alias("id"), F.element_at(names, F.col("event_type")).alias("op"), matrix.alias("matrix"))
+    boxes = C.scoped_matrices(ops, "user_id", ["ts", "id"], first=10)
+    return boxes.select("user_id", "id", *[F.round(c, 3).alias(c) for c in ("x", "y", "width", "height", "rotation")])
+
+
 @query(f"""WITH e AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_shipdate DESC, l_extendedprice DESC) = 1)
 SELECT o_orderkey AS id, o_orderstatus AS type, coalesce(l_returnflag, o_orderpriority) AS text, o_totalprice + coalesce(l_quantity, 0) AS x, coalesce(l_tax > 0.04, false) AS deleted
 FROM orders LEFT JOIN e ON l_orderkey = o_orderkey AND l_linestatus = o_orderstatus""")
