@@ -171,6 +171,41 @@ def match_edits(edits: DataFrame, runs: DataFrame, tolerance: float = TOLERANCE,
     return counted.select("id", "page", status.alias("status"), F.when(F.col("n") == 1, F.col("run_id")).alias("run_id"))
 
 
+def match_nested(edits: DataFrame, runs: DataFrame, occurrences: DataFrame, refused: DataFrame | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """Edits of a page (id, page, text, x, y) matched with runs of all content that the page shows, at any depth: id, page, status, path, run_id.
+
+    ``occurrences`` (root, path, matrix) is of ``graph.expand_occurrences``, a page's own content being the path of it alone; ``runs``
+    (id, content, text, x, y, supported) are in their content's own space, and lie on a page wherever that content occurs. In order of
+    precedence: ``ambiguous-source`` if two runs match in one occurrence, or runs in two; ``matched`` if one does; ``unsupported-source`` if the
+    only run that matches cannot be rewritten, or the page is one of ``refused`` (root); else ``source-not-found``.
+    """
+    at = lambda i: F.get("matrix", F.lit(i))
+    shown = occurrences.select(F.col("root").alias("page"), "path", "matrix", F.element_at("path", -1).alias("content")).join(runs.withColumnsRenamed({"x": "_x", "y": "_y"}), "content")
+    placed = shown.select(
+        F.struct("path", "id", F.coalesce("supported", F.lit(False)).alias("supported")).alias("id"),
+        "page",
+        "text",
+        (at(0) * F.col("_x") + at(2) * F.col("_y") + at(4)).alias("x"),
+        (at(1) * F.col("_x") + at(3) * F.col("_y") + at(5)).alias("y"),
+    )
+    left, right, close = _band(edits, placed, tolerance)
+    met = left.join(right, ["page", "text", "cx", "cy"]).filter(close)
+    of_one = met.groupBy("edit_id", "page", F.col("run_id.path").alias("path")).agg(F.count("*").alias("n"), F.min("run_id").alias("run"))
+    good = (F.col("n") == 1) & F.col("run.supported")
+    told = of_one.groupBy(F.col("edit_id").alias("_id"), F.col("page").alias("_page")).agg(F.bool_or(F.col("n") > 1).alias("twice"), F.count_if(good).alias("good"), F.min(F.when(good, F.col("run"))).alias("run"))
+    bad = (refused.select(F.col("root").alias("_root")).distinct() if refused is not None else edits.select(F.col("page").alias("_root")).limit(0))
+    every = edits.select("id", "page").join(told, F.col("id").eqNullSafe(F.col("_id")) & (F.col("page") == F.col("_page")), "left").join(bad, F.col("page") == F.col("_root"), "left")
+    status = (
+        F.when(F.col("_root").isNotNull(), "unsupported-source")
+        .when(F.col("twice") | (F.col("good") > 1), "ambiguous-source")
+        .when(F.col("good") == 1, "matched")
+        .when(F.col("_id").isNotNull(), "unsupported-source")
+        .otherwise("source-not-found")
+    )
+    fine = F.col("status") == "matched"
+    return every.withColumn("status", status).select("id", "page", "status", F.when(fine, F.col("run.path")).alias("path"), F.when(fine, F.col("run.id")).alias("run_id"))
+
+
 def match_runs(edits: DataFrame, runs: DataFrame) -> DataFrame:
     """Edits whose text is split over two or more consecutive runs from ``start`` on: doc_id, start, k (null: none), the least k.
 
@@ -304,3 +339,15 @@ def fd_check(pairs: DataFrame, key: str, value: str) -> DataFrame:
     """By map: whether each key has one value."""
     n = pairs.groupBy("map_id", key).agg(F.count_distinct(value).alias("n"))
     return n.groupBy("map_id").agg((F.max("n") <= 1).alias("holds"), F.count("*").alias("keys"))
+
+
+def inverse(pairs: DataFrame, key: str, value: str) -> DataFrame:
+    """map_id, ``value``, ``key``: the inverse of each map in which a key has one value and a value one key; others give no row.
+
+    Repeated pairs count once; a pair with a null in it voids its map.
+    """
+    one = pairs.select("map_id", key, value).distinct()
+    whole = F.col(key).isNotNull() & F.col(value).isNotNull()
+    fine = fd_check(one, key, value).join(fd_check(one, value, key).select("map_id", F.col("holds").alias("_back")), "map_id").filter("holds and _back")
+    void = one.filter(~whole).select("map_id")
+    return one.join(fine.select("map_id"), "map_id", "left_semi").join(void, "map_id", "left_anti").select("map_id", value, key)

@@ -42,6 +42,22 @@ def reachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame, live: DataFr
     return joined.select("id", found.alias("reachable"), F.when(found, F.coalesce("cut", F.lit(0))).otherwise(0).alias("dropped"))
 
 
+def pruned(nodes: DataFrame, edges: DataFrame, roots: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph that is left: nodes (the reached rows of ``nodes``) and edges (src, key, slot, dst) from them.
+
+    ``edges``: src, key (of a dictionary) or slot (of an array), dst. An edge into a page that is not live is cut: a key goes with its value,
+    a slot stays and holds null, so that an array keeps its length. Nodes that no root reaches go with their edges. An edge
+    whose target is null or no node stays. Run again on its result it changes nothing.
+    """
+    found = reachable(nodes.select("id", "kind"), edges.filter("dst is not null"), roots, live).filter("reachable").select("id").distinct()
+    kept = checkpointed(found)
+    detached = nodes.filter("kind = 'Page'").join(live.select("id"), "id", "left_anti").select(F.col("id").alias("_dst")).distinct()
+    own = edges.join(kept.withColumnRenamed("id", "src"), "src", "left_semi").join(detached, F.col("dst") == F.col("_dst"), "left")
+    cut = F.col("_dst").isNotNull()
+    left = own.filter(~(cut & F.col("key").isNotNull())).select("src", "key", "slot", F.when(~cut, F.col("dst")).alias("dst"))
+    return nodes.join(kept, "id", "left_semi"), left
+
+
 def _ancestors(nodes: DataFrame) -> DataFrame:
     """id, up: the parent, or the node itself at a root or where the parent is missing."""
     known = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("_known"))

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import laid_out, running
+
 
 UNDO = "session long, id long, current long, can_undo boolean, can_redo boolean"
 CAS = "document long, id long, op string, accepted boolean, revision long"
@@ -164,9 +166,9 @@ def referenced_files(state: DataFrame, pages: DataFrame) -> DataFrame:
 
 def stale_writers(log: DataFrame, order: list[str]) -> DataFrame:
     """Reads (op ``seen``) whose revision is behind the highest published (op ``notice``) before them: document, id, revision, published."""
-    before = Window.partitionBy("document").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    published = F.max(F.when(F.col("op") == "notice", F.col("revision"))).over(before)
-    return log.withColumn("published", published).filter("op = 'seen' and revision < published").select("document", "id", "revision", "published")
+    notice = F.when(F.col("op") == "notice", F.col("revision"))
+    seen = running(laid_out(log, ["document"], order), ["document"], order, {"published": ("max", notice)}, inclusive=False)
+    return seen.filter("op = 'seen' and revision < published").select("document", "id", "revision", "published")
 
 
 def delivery_queue(log: DataFrame, life_ms: int) -> DataFrame:
@@ -189,6 +191,17 @@ def evict(entries: DataFrame, keep: int, order: list[str]) -> DataFrame:
     return numbered.filter(F.col("pinned") | (F.col("_i") > F.col("_n") - keep)).drop("_n", "_i")
 
 
+def newest_versions(versions: DataFrame, keep: int = 3) -> DataFrame:
+    """cache, version, created of the ``keep`` newest versions of each cache; what repeats of a version counts once, when it was first created.
+
+    Versions of one age are in order of their names, the greater being the newer; a null age is the oldest. Each task keeps its
+    newest rows of a cache before anything is shuffled, so a cache of any number of versions gives a few rows for each task.
+    """
+    one = versions.groupBy("cache", "version").agg(F.min("created").alias("created"))
+    newest = Window.partitionBy("cache").orderBy(F.col("created").desc_nulls_last(), F.col("version").desc())
+    return one.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= keep).select("cache", "version", "created")
+
+
 def library_step(max_items: int, max_bytes: int) -> Callable:
     """The state is the owner's items, newest first: [(item, bytes, name)]."""
 

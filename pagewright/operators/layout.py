@@ -9,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import checkpointed
+from .content import glyph_coverage
+from .scan import asof
+
 #: Page sizes in points.
 PAGE_SIZES = {"A4": (595.28, 841.89), "A3": (841.89, 1190.55), "Letter": (612.0, 792.0), "Legal": (612.0, 1008.0)}
 
@@ -152,6 +156,22 @@ def next_step(values: DataFrame, steps: list[float], slack: float = 0.001) -> Da
     return values.withColumns({"up": F.coalesce(up, F.lit(float(max(steps)))), "down": F.coalesce(down, F.lit(float(min(steps))))})
 
 
+def asof_steps(values: DataFrame, steps: DataFrame, by: str, slack: float = 0.001) -> DataFrame:
+    """``next_step`` with a table of levels for each key (``by``, step): adds up and down, beyond the ends the last and the first of the key.
+
+    Both are as-of joins: values and levels are dealt by range, so a key of any size is spread over tasks and no list of levels is
+    held anywhere. A key without levels, and a null value, have neither.
+    """
+    keyed = F.monotonically_increasing_id()
+    rows = checkpointed(values.withColumn("_row", keyed))
+    levels = steps.select(by, F.col("step").alias("_on"), F.col("step").alias("value"))
+    near = lambda shift, direction: asof(rows.select(by, "_row", (F.col("value") + shift).alias("_on")), levels, "_on", [by], direction=direction, strict=True).select("_row", F.col("found").alias(direction))
+    ends = steps.groupBy(F.col(by).alias("_by")).agg(F.max("step").alias("_last"), F.min("step").alias("_first"))
+    both = rows.join(near(slack, "forward"), "_row").join(near(-slack, "backward"), "_row").join(ends, F.col(by).eqNullSafe(F.col("_by")), "left")
+    known = F.col("value").isNotNull()
+    return both.select(*values.columns, F.when(known, F.coalesce("forward", "_last")).alias("up"), F.when(known, F.coalesce("backward", "_first")).alias("down"))
+
+
 def normalize_widgets(raw: DataFrame, types: tuple[str, ...]) -> DataFrame:
     """Named, visible widgets of known types with a proper rectangle; corners sorted, an initial value by type."""
     lo, hi = (lambda a, b: F.least(a, b)), (lambda a, b: F.greatest(a, b))
@@ -166,12 +186,36 @@ def effective_values(widgets: DataFrame, values: DataFrame) -> DataFrame:
     return v.withColumn("value", F.when(F.col("type") == "checkbox", (F.col("value") == "true").cast("string")).otherwise(F.col("value")))
 
 
+CHOICES = ("dropdown", "list")
+
+
 def apply_values(fields: DataFrame, values: DataFrame) -> DataFrame:
-    """Values written to fields that exist and are not read-only: texts cut to max_length, radios only to a state they have."""
+    """Values written to fields that exist and are not read-only: texts cut to max_length, radios only to a state they have.
+
+    With a column ``chosen`` (array) in ``values``, choices (``CHOICES``) are written as lists, in ``written_list``: what was chosen, else
+    the one value, else nothing; nulls in a list are left out. The list's parts joined by spaces are what is shown, in ``written``.
+    """
     j = fields.filter("not read_only").join(values, ["file_id", "name"])
+    if "chosen" in values.columns:
+        one = F.when(F.coalesce(F.col("value"), F.lit("")) != "", F.array("value")).otherwise(F.array().cast("array<string>"))
+        chosen = F.when(F.col("type").isin(*CHOICES), F.filter(F.coalesce("chosen", one), lambda v: v.isNotNull()))
+        j = j.withColumns({"written_list": chosen, "value": F.when(F.col("type").isin(*CHOICES), F.array_join(chosen, " ")).otherwise(F.col("value"))})
     text = F.nullif(F.when(F.col("max_length").isNull(), F.col("value")).otherwise(F.substring(F.col("value"), F.lit(1), F.col("max_length"))), F.lit(""))
     written = F.when(F.col("type") == "text", text).when(F.col("type") == "checkbox", F.when(F.col("value") == "true", "true").otherwise("false")).when(F.col("type") == "radio", F.when(F.array_contains("states", F.col("value")), F.col("value")).otherwise("Off")).otherwise(F.col("value"))
-    return j.select("file_id", "name", "type", written.alias("written"))
+    return j.select("file_id", "name", "type", written.alias("written"), *[c for c in ("written_list",) if c in j.columns])
+
+
+def fill_errors(written: DataFrame, charsets: DataFrame) -> DataFrame:
+    """file_id, name, missing, fields: of each file that cannot be filled the first field, by name, whose text no font can show, and its first such character.
+
+    ``written`` is of ``apply_values``; ``charsets`` (tier, char) says what each font has, and one font must have all characters of a text. Line ends and
+    tabs count as spaces. ``missing`` is null if each character is in some font, but all of them in none; ``fields`` counts the file's failing fields.
+    """
+    shown = written.filter(F.col("type").isin("text", *CHOICES) & (F.coalesce("written", F.lit("")) != ""))
+    texts = shown.select(F.struct("file_id", "name").alias("doc_id"), F.regexp_replace("written", "[\\r\\n\\t]+", " ").alias("text"))
+    failed = glyph_coverage(texts, charsets).filter("tier is null")
+    named = failed.groupBy(F.col("doc_id.file_id").alias("file_id")).agg(F.min_by(F.struct("doc_id.name", "missing"), "doc_id.name").alias("f"), F.count("*").alias("fields"))
+    return named.select("file_id", "f.name", "f.missing", "fields")
 
 
 def spread_values(pages: DataFrame, updates: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import checkpointed
+from .graph import reachable
 
 #: Schemes of links that are kept, and named actions that are.
 SAFE_SCHEMES = ("http", "https", "mailto", "tel")
@@ -92,16 +93,38 @@ def _hex_forms(text: Column) -> Column:
     return F.array_distinct(F.array(F.hex(F.encode(text, "UTF-8")), units))
 
 
-def _probes(streams: DataFrame, kind: str, n: int) -> DataFrame:
-    """doc_id, th, key: what a text can meet a secret's key by."""
-    words = F.split("stream", " ")
-    if kind == "words":
-        return streams.filter(F.size(words) >= n).select("doc_id", "th", F.explode(_grams(words, n)).alias("key"))
-    # Looking ahead only, so that what is found overlaps.
-    form = f"(?=([0-9A-F]{{{n}}}))" if kind == "hex" else f"(?s)(?=(.{{{n}}}))"
-    text = F.translate("stream", "abcdef", "ABCDEF") if kind == "hex" else F.col("stream")
-    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(form), 1), lambda s: F.xxhash64(s)))
-    return streams.select("doc_id", "th", F.explode(found).alias("key"))
+_WORD_BITS = 14
+
+
+def _bitmaps(forms: DataFrame) -> Column:
+    """The low bits of the keys of each ``no`` as an array of 2**_WORD_BITS longs, in order of ``no``: of one size, whatever the number of secrets."""
+    low = forms.select("no", F.shiftright("key", 6).bitwiseAND((1 << _WORD_BITS) - 1).alias("word"), F.expr("shiftleft(1L, CAST(key & 63 AS INT))").alias("bit"))
+    words = low.groupBy("no", "word").agg(F.bit_or("bit").alias("bits"))
+    maps = words.groupBy("no").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
+    full = F.transform(F.sequence(F.lit(0), F.lit((1 << _WORD_BITS) - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0)))
+    listed = maps.select("no", full.alias("bits")).agg(F.array_sort(F.collect_list(F.struct("no", "bits"))).alias("a"))
+    return listed.select(F.transform("a", lambda r: r["bits"]).alias("bits")).scalar()
+
+
+def _probes(streams: DataFrame, kinds: list[tuple[str, int]], bitmaps: Column) -> DataFrame:
+    """doc_id, th, no, key: what a text can meet a secret's key by, of each kind in one pass over the texts.
+
+    A key leaves its text only if its bit is set, so rows are in proportion to what is found, and not to the texts.
+    """
+    split = streams.select("doc_id", "th", "stream", F.split("stream", " ").alias("words"), F.translate("stream", "abcdef", "ABCDEF").alias("digits"), bitmaps.alias("bitmaps"))
+    found = []
+    for no, (kind, n) in enumerate(kinds):
+        if kind == "words":
+            keys = F.when(F.size("words") >= n, _grams(F.col("words"), n)).otherwise(F.array().cast("array<bigint>"))
+        else:
+            # Looking ahead only, so that what is found overlaps.
+            form = f"(?=([0-9A-F]{{{n}}}))" if kind == "hex" else f"(?s)(?=(.{{{n}}}))"
+            keys = F.array_distinct(F.transform(F.regexp_extract_all("digits" if kind == "hex" else "stream", F.lit(form), 1), lambda s: F.xxhash64(s)))
+        bits = F.get("bitmaps", F.lit(no))
+        word = lambda k: F.shiftright(k, 6).bitwiseAND((1 << _WORD_BITS) - 1).cast("int")
+        set_ = lambda k: F.call_function("shiftright", F.get(bits, word(k)), k.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1  # noqa: B023, E731
+        found.append(F.transform(F.filter(keys, set_), lambda k: F.struct(F.lit(no).alias("no"), k.alias("key"))))  # noqa: B023
+    return split.select("doc_id", "th", F.explode(F.concat(*found)).alias("k")).select("doc_id", "th", "k.no", "k.key")
 
 
 def leak_scan(outputs: DataFrame, secrets: DataFrame, words: int = 8, characters: int = 8) -> DataFrame:
@@ -113,8 +136,9 @@ def leak_scan(outputs: DataFrame, secrets: DataFrame, words: int = 8, characters
     texts and forms meet on each run of ``HEX_KEY`` digits (or of all digits of a shorter form). There is no limit to
     the number of secrets of any kind.
 
-    Only ids and hashes go through these joins. The pairs found are made distinct, and then each text is joined once
-    with its own and searched.
+    Only ids and hashes go through that join, and of these only what a bitmap of all secrets' keys lets through: the bitmaps are sent to
+    the tasks first, one of a fixed size for each kind of key. The pairs found are made distinct, and then each text is joined
+    once with its own and searched.
     """
     streams = outputs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.col("text").alias("stream"))
     split = F.split("text", " ")
@@ -132,8 +156,10 @@ def leak_scan(outputs: DataFrame, secrets: DataFrame, words: int = 8, characters
     kinds = sorted((r.kind, r.n) for r in forms.select("kind", "n").distinct().collect())
     if not kinds:
         return outputs.select("doc_id").limit(0).join(secrets.select("item_id").limit(0), F.lit(True), "inner")
-    met = [_probes(streams, kind, n).join(forms.filter((F.col("kind") == kind) & (F.col("n") == n)).select("key", "form"), "key").select("doc_id", "th", "form") for kind, n in kinds]
-    pairs = checkpointed(reduce(DataFrame.unionAll, met).distinct()).join(forms.select("form", "item_id", "secret", "hexed"), "form")
+    number = reduce(lambda c, k: c.when((F.col("kind") == k[1][0]) & (F.col("n") == k[1][1]), k[0]), enumerate(kinds), F.when(F.lit(False), 0))
+    keyed = forms.select(number.alias("no"), "key", "form")
+    met = _probes(streams, kinds, _bitmaps(keyed)).join(keyed, ["no", "key"]).select("doc_id", "th", "form")
+    pairs = checkpointed(met.distinct()).join(forms.select("form", "item_id", "secret", "hexed"), "form")
     texts = streams.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "stream")
     both = pairs.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
     holds = F.when(F.col("hexed"), F.contains(F.translate("stream", "abcdef", "ABCDEF"), F.col("secret"))).otherwise(F.contains("stream", "secret"))
@@ -148,11 +174,17 @@ def is_safe(uri: Column) -> Column:
     return F.coalesce(scheme(uri).isin(*SAFE_SCHEMES), F.lit(False))
 
 
-def sanitize_actions(actions: DataFrame, reachable: DataFrame) -> DataFrame:
-    """Actions (id, node, place, kind, target, next) that stay, without what follows them; only reachable nodes count."""
-    live = actions.join(reachable.select("node"), "node", "left_semi").filter(~F.col("place").isin("OpenAction", "AA", "FormScript"))
+def sanitize_actions(actions: DataFrame, live: DataFrame) -> DataFrame:
+    """Actions (id, node, place, kind, target, next) that stay, without what follows them; only those of ``live`` nodes count."""
+    seen = actions.join(live.select("node"), "node", "left_semi").filter(~F.col("place").isin("OpenAction", "AA", "FormScript"))
     keep = F.col("kind").isin("GoTo", "ResetForm") | ((F.col("kind") == "URI") & is_safe(F.col("target"))) | ((F.col("kind") == "Named") & F.col("target").isin(*NAMED))
-    return live.filter(F.coalesce(keep, F.lit(False))).withColumn("next", F.lit(None).cast("long"))
+    return seen.filter(F.coalesce(keep, F.lit(False))).withColumn("next", F.lit(None).cast("long"))
+
+
+def reachable_actions(actions: DataFrame, nodes: DataFrame, edges: DataFrame, catalog: DataFrame, live: DataFrame) -> DataFrame:
+    """``sanitize_actions`` over the objects that ``catalog`` (id) reaches, as ``graph.reachable`` finds them: nodes (id, kind), edges (src, dst), live pages (id)."""
+    found = reachable(nodes, edges, catalog, live).filter("reachable").select(F.col("id").alias("node")).distinct()
+    return sanitize_actions(actions, found)
 
 
 def rewrite_links(links: DataFrame, first: DataFrame, box: tuple, matrix: Column | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import normalize_text
 from ..operators import content as C
+from ..operators.graph import expand_occurrences
 from ..sources.tables import EDITS_SQL, LINE_ORDER, LOG_SQL, PAGES_SQL, RUNS_SQL, bundle_pages, edits, log, runs, table
 from .registry import query
 
@@ -196,3 +197,56 @@ def c15_fd_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("map_id"), F.col("o_custkey").alias("code"), F.col("o_orderstatus").alias("text"))
     pairs = pairs.union(table(spark, sf_dir, "nation").select(F.lit("nations"), "n_nationkey", "n_name"))
     return C.fd_check(pairs, "code", "text").join(C.fd_check(pairs, "text", "code").select("map_id", F.col("holds").alias("inverts")), "map_id")
+
+
+@query("""WITH p AS (SELECT DISTINCT o_orderpriority AS map_id, o_custkey AS code, o_orderstatus AS text FROM orders UNION SELECT 'nations', n_nationkey, n_name FROM nation
+  UNION SELECT p_brand, p_partkey, CASE WHEN p_brand = 'Brand#22' AND p_size = 10 THEN NULL ELSE p_name || p_partkey // (CASE WHEN p_brand < 'Brand#3' THEN 1 ELSE 40 END) END FROM part),
+a AS (SELECT map_id, count(*) AS n, count(DISTINCT code) AS c, count(DISTINCT text) AS t, count(*) FILTER (text IS NULL) AS v FROM p GROUP BY 1)
+SELECT map_id, text, code FROM p JOIN a USING (map_id) WHERE n = c AND n = t AND v = 0""")
+def c15_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps of orders, nations and brands, of which some invert, some do not, and one has a null."""
+    pairs = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("map_id"), F.col("o_custkey").alias("code"), F.col("o_orderstatus").alias("text"))
+    pairs = pairs.union(table(spark, sf_dir, "nation").select(F.lit("nations"), "n_nationkey", "n_name"))
+    name = F.concat("p_name", F.expr("p_partkey div (CASE WHEN p_brand < 'Brand#3' THEN 1 ELSE 40 END)").cast("string"))
+    pairs = pairs.union(table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.when((F.col("p_brand") == "Brand#22") & (F.col("p_size") == 10), None).otherwise(name)))
+    return C.inverse(pairs, "code", "text")
+
+
+_FORMS = """e AS (SELECT c_custkey // 2 AS src, c_custkey AS dst, 1000 + c_nationkey AS bytes, [0.5, 0, 0, 0.5, c_nationkey, 1]::DOUBLE[] AS m FROM customer WHERE c_custkey > 1
+  UNION ALL SELECT c_custkey, c_custkey // 2, 10, [0.5, 0, 0, 0.5, c_nationkey, 1]::DOUBLE[] FROM customer WHERE c_custkey > 1 AND c_acctbal < -950
+  UNION ALL SELECT c_custkey // 2, c_custkey, 10, [1, 0, 0, 1, 40, 0]::DOUBLE[] FROM customer WHERE c_custkey > 1 AND c_mktsegment = 'BUILDING'),
+o AS (SELECT c_custkey AS root, c_custkey AS node, [c_custkey] AS path, 0 AS d, 0 AS bytes, false AS loops, [1, 0, 0, 1, 0, 0]::DOUBLE[] AS w FROM customer
+  UNION ALL SELECT root, dst, list_append(path, dst), d + 1, e.bytes, list_contains(path, dst),
+    [w[1] * m[1] + w[3] * m[2], w[2] * m[1] + w[4] * m[2], w[1] * m[3] + w[3] * m[4], w[2] * m[3] + w[4] * m[4], w[1] * m[5] + w[3] * m[6] + w[5], w[2] * m[5] + w[4] * m[6] + w[6]]
+  FROM o JOIN e ON src = node WHERE d <= 12 AND NOT loops),
+l AS (SELECT root, d, bool_or(loops) AS loops, count(*) AS n, sum(bytes) AS b FROM o GROUP BY 1, 2),
+a AS (SELECT root, d, bool_or(loops) OVER w AS loops, sum(n) OVER w - 1 AS n, sum(b) OVER w AS b FROM l WINDOW w AS (PARTITION BY root ORDER BY d)),
+no AS (SELECT DISTINCT root FROM a WHERE loops OR d > 12 OR n > 100 OR b > 60000)"""
+_NESTED = """SELECT o_orderkey AS id, c.c_custkey // 2 AS page, o_orderpriority AS text, 0.5{d} * (o_orderkey % 50) + c.c_nationkey + CASE WHEN o_orderkey % 7 = 0 THEN 9 ELSE 0.25{d} END AS x, 0.5{d} * (o_custkey % 20) + 1.5{d} AS y
+FROM {o} JOIN {c} c ON c.c_custkey = o_custkey"""
+
+
+@query(f"""WITH RECURSIVE {_FORMS}, r AS (SELECT o_orderkey AS id, o_custkey AS content, o_orderpriority AS text, CAST(o_orderkey % 50 AS DOUBLE) AS x, CAST(o_custkey % 20 AS DOUBLE) AS y, o_orderstatus <> 'P' AS ok FROM orders),
+g AS (SELECT root AS page, path, id, text, ok, w[1] * x + w[3] * y + w[5] AS x, w[2] * x + w[4] * y + w[6] AS y FROM o JOIN r ON content = node WHERE root NOT IN (SELECT root FROM no)),
+t AS ({_NESTED.format(d="::DOUBLE", o="orders", c="customer")}),
+m AS (SELECT t.id, t.page, g.path, count(*) AS n, min(row(g.id, g.ok)) AS run FROM t JOIN g ON g.page = t.page AND g.text = t.text AND abs(g.x - t.x) <= 1.25 AND abs(g.y - t.y) <= 1.25 GROUP BY ALL),
+k AS (SELECT id, page, bool_or(n > 1) AS twice, count(*) FILTER (n = 1 AND run[2]) AS good, min(row(path, run[1])) FILTER (n = 1 AND run[2]) AS best FROM m GROUP BY ALL),
+s AS (SELECT t.id, t.page, CASE WHEN t.page IN (SELECT root FROM no) THEN 'unsupported-source' WHEN twice OR good > 1 THEN 'ambiguous-source' WHEN good = 1 THEN 'matched' WHEN k.id IS NOT NULL THEN 'unsupported-source' ELSE 'source-not-found' END AS status, best FROM t LEFT JOIN k USING (id, page))
+SELECT id, page, status, CASE WHEN status = 'matched' THEN array_to_string(best[1], '/') END AS path, CASE WHEN status = 'matched' THEN best[2] END AS run_id FROM s""")
+def c6_match_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs of their customers' content, which pages show at many depths, some of it twice; edits from the page above."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    inner = c.withColumn("up", F.floor(F.col("c_custkey") / 2)).filter("c_custkey > 1")
+    place = F.array(*[F.lit(v) for v in (0.5, 0.0, 0.0, 0.5)], F.col("c_nationkey").cast("double"), F.lit(1.0))
+    moved = F.array(*[F.lit(float(v)) for v in (1, 0, 0, 1, 40, 0)])
+    ten = F.lit(10).cast("long").alias("bytes")
+    hops = inner.select(F.col("up").alias("src"), F.col("c_custkey").alias("dst"), (1000 + F.col("c_nationkey")).cast("long").alias("bytes"), place.alias("matrix"))
+    hops = hops.unionByName(inner.filter("c_acctbal < -950").select(F.col("c_custkey").alias("src"), F.col("up").alias("dst"), ten, place.alias("matrix")))
+    hops = hops.unionByName(inner.filter("c_mktsegment = 'BUILDING'").select(F.col("up").alias("src"), F.col("c_custkey").alias("dst"), ten, moved.alias("matrix")))
+    nested, verdicts = expand_occurrences(c.select(F.col("c_custkey").alias("id")), hops, max_count=100, max_bytes=60_000)
+    refused = verdicts.filter("reason is not null").select("root")
+    own = c.select(F.col("c_custkey").alias("root")).join(refused, "root", "left_anti").select("root", F.array("root").alias("path"), F.array(*[F.lit(float(v)) for v in (1, 0, 0, 1, 0, 0)]).alias("matrix"))
+    runs_ = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("content"), F.col("o_orderpriority").alias("text"), (F.col("o_orderkey") % 50).cast("double").alias("x"), (F.col("o_custkey") % 20).cast("double").alias("y"), (F.col("o_orderstatus") != "P").alias("supported"))
+    changes = spark.sql(_NESTED.replace("c.c_custkey // 2", "c.c_custkey div 2").format(d="D", o="{o}", c="{c}"), o=o, c=c)
+    found = C.match_nested(changes, runs_, own.unionByName(nested.select("root", "path", "matrix")), refused)
+    return found.select("id", "page", "status", F.array_join("path", "/").alias("path"), "run_id")

@@ -47,6 +47,25 @@ def f3_apply_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.apply_values(fields, _values(spark, sf_dir))
 
 
+_FILLED = """SELECT o_orderkey AS file_id, 'a.' || o_orderstatus AS name, CASE WHEN o_orderstatus = 'F' THEN 'list' ELSE 'text' END AS type, o_orderpriority AS value, o_custkey % 3 AS kind FROM {o}
+UNION ALL SELECT o_orderkey, 'b', 'dropdown', CASE WHEN o_orderstatus = 'P' THEN '' ELSE lower(o_orderpriority) END, 2 FROM {o}"""
+
+
+@query(f"""WITH w AS (SELECT file_id, name, type, CASE WHEN type = 'text' THEN [nullif(value, '')] WHEN kind = 0 THEN [value, 'x'] WHEN kind = 1 THEN [] WHEN value = '' THEN [] ELSE [value] END AS list FROM ({_FILLED.format(o="orders")})),
+t AS (SELECT file_id, name, array_to_string(list, ' ') AS text FROM w),
+f AS (SELECT *, nullif(regexp_extract(text, '[^A-Z0-9a-z-]', 0), '') AS missing FROM t WHERE text <> '' AND NOT regexp_full_match(text, '[A-Z0-9-]*') AND NOT regexp_full_match(text, '[a-z0-9]*'))
+SELECT file_id, min(name) AS name, arg_min(coalesce(missing, '-'), name) AS missing, count(*) AS fields FROM f GROUP BY 1""")
+def f3_fill_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fonts, one of capitals and one of small letters; choices of several values, of none and of one."""
+    rows = spark.sql(_FILLED, o=table(spark, sf_dir, "orders"))
+    fields = rows.select("file_id", "name", "type", F.lit(False).alias("read_only"), F.lit(None).cast("int").alias("max_length"), F.lit(None).cast("array<string>").alias("states"))
+    chosen = F.when((F.col("type") != "text") & (F.col("kind") == 0), F.array("value", F.lit("x"))).when((F.col("type") != "text") & (F.col("kind") == 1), F.array().cast("array<string>"))
+    written = L.apply_values(fields, rows.select("file_id", "name", "value", chosen.alias("chosen")))
+    letters = lambda tier, chars: spark.range(1).select(F.lit(tier).alias("tier"), F.explode(F.split(F.lit(chars), "")).alias("char")).filter("char <> ''")
+    fonts = letters(1, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-").unionAll(letters(2, "abcdefghijklmnopqrstuvwxyz0123456789"))
+    return L.fill_errors(written, fonts).withColumn("missing", F.coalesce("missing", F.lit("-")))
+
+
 _UPDATES = "SELECT event_id, ts, event_id % 1500 AS file_id, user_id AS bundle_id, event_type AS value FROM {e} WHERE event_type <> 'view'"
 
 

@@ -25,6 +25,24 @@ def g1_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.reachable(nodes, edges, part.filter("p_size = 1").select("id"), part.filter("p_size > 25").select("id"))
 
 
+_GRAPH = f"""l AS (SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS line, l_orderkey, l_partkey AS src, l_suppkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS dst FROM lineitem),
+e AS (SELECT src, CASE WHEN l_suppkey % 2 = 0 THEN 'k' || line END AS key, CASE WHEN l_suppkey % 2 = 1 THEN line END AS slot, dst FROM l)"""
+
+
+@query(f"""WITH RECURSIVE {_GRAPH}, x AS (SELECT src, key, slot, dst, coalesce(p_partkey % 5 = 0 AND p_size <= 25, false) AS detached FROM e LEFT JOIN part ON p_partkey = dst),
+m AS (SELECT p_partkey AS id FROM part WHERE p_size = 1 UNION SELECT dst FROM m JOIN x ON src = id WHERE NOT detached AND dst IS NOT NULL)
+SELECT src, key, slot, CASE WHEN NOT detached THEN dst END AS dst FROM x WHERE src IN (SELECT id FROM m) AND NOT (detached AND key IS NOT NULL)""")
+def g1_pruned_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges that are left of reached parts: keys into detached ones are gone, slots are null, and an order's last line refers to nothing."""
+    part = table(spark, sf_dir, "part").withColumn("id", F.col("p_partkey"))
+    w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), "l_suppkey", (F.col("l_orderkey") * 1000 + F.row_number().over(w)).alias("line"), F.lead("l_partkey").over(w).alias("dst"))
+    even = F.col("l_suppkey") % 2 == 0
+    edges = lines.select("src", F.when(even, F.concat(F.lit("k"), F.col("line").cast("string"))).alias("key"), F.when(~even, F.col("line")).alias("slot"), "dst")
+    nodes = part.select("id", F.when(F.col("id") % 5 == 0, "Page").otherwise("Other").alias("kind"))
+    return G.pruned(nodes, edges, part.filter("p_size = 1").select("id"), part.filter("p_size > 25").select("id"))[1]
+
+
 def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return c.select(F.col("c_custkey").alias("id"), F.when((F.col("c_acctbal") >= 0) & (F.col("c_custkey") > 0), F.floor(F.col("c_custkey") / 2)).alias("parent"))

@@ -176,6 +176,14 @@ def h8_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.evict(entries, 40, ["ts", "id"]).select("cache", "id", "pinned")
 
 
+@query(f"""WITH {LOG_SQL}, v AS (SELECT user_id % 7 AS cache, event_type || '-' || k AS version, min(epoch_ms(ts) // 86400000) AS created FROM log_ GROUP BY 1, 2)
+SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY cache ORDER BY created DESC, version DESC) <= 3""")
+def h8_newest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions by the day of their first event, so that many are of one age."""
+    day = F.expr("unix_millis(ts) div 86400000")
+    return H.newest_versions(log(spark, sf_dir).select((F.col("user_id") % 7).alias("cache"), F.concat("event_type", F.lit("-"), F.col("k").cast("string")).alias("version"), day.alias("created")))
+
+
 @query(f"""WITH RECURSIVE {LOG_SQL}, o AS (SELECT *, k % 12 AS item, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM log_ WHERE event_type IN ('click', 'view', 'error', 'purchase')),
 f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS id, NULL::BOOLEAN AS done, []::BIGINT[] AS s FROM o
   UNION ALL SELECT user_id, i, id, CASE WHEN add THEN fits ELSE len(rest) < len(s) END,

@@ -92,6 +92,18 @@ def l7_next_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.next_step(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").alias("value")), [0.25, 0.5, 1, 2, 4, 8, 16, 32, 45])
 
 
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linestatus AS status, l_extendedprice AS value FROM lineitem),
+s AS (SELECT o_orderstatus AS status, floor(o_totalprice / 8) AS step FROM orders WHERE o_orderstatus <> 'P'), e AS (SELECT status, max(step) AS last, min(step) AS first FROM s GROUP BY 1),
+u AS (SELECT v.*, s.step AS up FROM v ASOF LEFT JOIN s ON v.status = s.status AND v.value + 0.001::DOUBLE < s.step),
+d AS (SELECT u.*, s.step AS down FROM u ASOF LEFT JOIN s ON u.status = s.status AND u.value - 0.001::DOUBLE > s.step)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, value, coalesce(up, last) AS up, coalesce(down, first) AS down FROM d LEFT JOIN e USING (status)""")
+def l7_asof_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prices of orders of a line's status as levels: two keys, each far larger than a task."""
+    steps = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderstatus").alias("status"), F.floor(F.col("o_totalprice") / 8).cast("double").alias("step"))
+    values = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_linestatus").alias("status"), F.col("l_extendedprice").alias("value"))
+    return L.asof_steps(values, steps, "status").drop("status")
+
+
 _IMAGES = "SELECT p_brand AS doc, p_partkey AS image, p_size * 100 AS width, p_size * 80 AS height, 8 AS bits, CASE p_partkey % 4 WHEN 0 THEN 'cmyk' WHEN 1 THEN 'gray' ELSE 'rgb' END AS space, p_partkey % 3 = 0 AS lossless, CASE WHEN p_partkey % 6 = 0 THEN p_partkey + 5 END AS mask_of, p_partkey % 17 = 0 AS stencil, CASE WHEN p_partkey % 19 = 0 THEN '1 0' END AS decode FROM {p}"
 
 

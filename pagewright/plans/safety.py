@@ -74,13 +74,20 @@ _ACTIONS = """SELECT event_id AS id, user_id AS node, CASE WHEN event_id % 11 =
   event_id + 1 AS next FROM {e}"""
 
 
-@query(f"""WITH a AS ({_ACTIONS.format(e="events")})
-SELECT id, node, kind, target, CAST(NULL AS BIGINT) AS next FROM a WHERE node IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND place = 'Annot'
+@query(f"""WITH RECURSIVE a AS ({_ACTIONS.format(e="events")}),
+x AS (SELECT c_custkey // 2 AS src, c_custkey AS dst, c_nationkey < 3 AND c_acctbal <= 0 AS detached FROM customer WHERE c_custkey > 0 UNION ALL SELECT 0, n_nationkey, c_nationkey < 3 AND c_acctbal <= 0 FROM nation JOIN customer ON c_custkey = n_nationkey),
+m AS (SELECT c_custkey AS id FROM customer WHERE c_custkey = (SELECT min(c_custkey) FROM customer) UNION SELECT dst FROM m JOIN x ON src = id WHERE NOT detached)
+SELECT id, node, kind, target, CAST(NULL AS BIGINT) AS next FROM a WHERE node IN (SELECT id FROM m) AND place = 'Annot'
   AND (kind IN ('GoTo', 'ResetForm') OR kind = 'URI' AND target = 'https://x' OR kind = 'Named' AND target = 'NextPage')""")
 def r6_sanitize_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    live = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("node"))
-    return R.sanitize_actions(spark.sql(_ACTIONS, e=events), live).select("id", "node", "kind", "target", "next")
+    """Actions of the customers that can be reached from the first one, the catalogue, without passing a page that is not live."""
+    c = table(spark, sf_dir, "customer").withColumn("id", F.col("c_custkey"))
+    edges = c.filter("id > 0").select(F.floor(F.col("id") / 2).alias("src"), F.col("id").alias("dst"))
+    edges = edges.unionByName(table(spark, sf_dir, "nation").select(F.lit(0).cast("long").alias("src"), F.col("n_nationkey").cast("long").alias("dst")))
+    nodes = c.select("id", F.when(F.col("c_nationkey") < 3, "Page").otherwise("Other").alias("kind"))
+    first = c.agg(F.min("id").alias("id"))
+    actions = spark.sql(_ACTIONS, e=table(spark, sf_dir, "events"))
+    return R.reachable_actions(actions, nodes, edges, first, c.filter("c_acctbal > 0").select("id")).select("id", "node", "kind", "target", "next")
 
 
 _LINKS = """SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS id,
