@@ -5,14 +5,18 @@ A line with words is deleted if and only if some run that holds it has an equal
 doc_id, or the same document further up); the first stays. A line without words goes if the next lines with words
 on both sides of it go. Repeated passages of fewer words than ``min_words`` stay.
 
-1. Windows of a document are its runs that fall short without their last line or without their first. The line of
-   least hash in a window is its fingerprint. Only fingerprints are emitted, each once, with its place and keys of
-   the windows that it stands for. Equal runs hold equal windows and so select the same lines: a repeated run
-   cannot be missed, and what selects no line leaves nothing to find.
-2. Fingerprints are joined with those that stand at two places or more; the windows of these are compared with the
+1. From each line with words starts one window, the shortest run that has ``min_words``. The line of least hash in it
+   is its fingerprint. Only fingerprints are emitted, each once, with its place and the windows that it stands for.
+   Equal windows select the same line: a repeated run cannot be missed, and what selects no line leaves nothing to find.
+2. Fingerprints are joined by their hash. Only where one stands at two places or more are its windows compared, with the
    first place of an equal window. Each meets the first only, so no pairs arise within a group of any size.
-3. A match is extended over the lines of both documents, both ways, to the run's ends; lines are compared by 128
-   bits of hash there, and only runs of ``min_words`` or more that the comparison confirms are deleted.
+3. Windows that met are extended line by line. To the left there is nothing to do, since each line there starts a window. To the
+   right, the lines between a window's end and the end of the next one may belong to a longer run that begins with it:
+   the window and j lines more are compared with the first place of an equal extension, for every j, until lines
+   differ. Only windows that met send extensions. Windows and extensions that are not first delete their lines.
+
+Windows and extensions are compared by 128 bits of hash over their lines, without a line of another document: a passage
+that a third of all documents hold costs each of them its own lines.
 
 Repeats within one document are found in its own row, before anything is shuffled, so that a line that stands in it
 a thousand times is one window for the others.
@@ -42,20 +46,25 @@ def _with(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _sums(numbers: Column) -> Column:
-    """0 and the running sums of an array: block by block, so that a long array stays near linear."""
+def _running(numbers: Column, start: int, with_next) -> Column:
+    """``start`` and what ``with_next`` makes of it and each number in turn: block by block, so that a long array stays near linear."""
     last = lambda a: F.element_at(a, -1)
-    running = lambda xs: F.aggregate(xs, F.array(F.lit(0)), lambda a, x: F.array_append(a, last(a) + x))
+    running = lambda xs: F.aggregate(xs, F.array(F.lit(start)), lambda a, x: F.array_append(a, with_next(last(a), x)))
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / _BLOCK).cast("int")), lambda b: running(F.slice(numbers, b * _BLOCK + 1, _BLOCK)))
 
     def joined(parts: Column) -> Column:
         before = running(F.transform(parts, last))
-        shifted = _with(before, lambda t: F.transform(parts, lambda p, b: F.transform(F.slice(p, 2, _BLOCK), lambda x: x + F.get(t, b))))
-        return F.concat(F.array(F.lit(0)), F.flatten(shifted))
+        shifted = _with(before, lambda t: F.transform(parts, lambda p, b: F.transform(F.slice(p, 2, _BLOCK), lambda x: with_next(F.get(t, b), x))))
+        return F.concat(F.array(F.lit(start)), F.flatten(shifted))
 
     return _with(blocks, joined)
 
 
+def _sums(numbers: Column) -> Column:
+    """0 and the running sums of an array."""
+    return _running(numbers, 0, lambda total, x: total + x)
+
+
 def _first_at_least(sums: Column, target: Column, low: Column, high: Column) -> Column:
     """The least index from ``low`` to ``high`` whose sum reaches ``target``; the sums ascend and the last one does."""
     steps = F.sequence(F.lit(0), F.ceil(F.log2(high - low + 2)).cast("int"))
@@ -70,25 +79,27 @@ def _first_at_least(sums: Column, target: Column, low: Column, high: Column) ->
 
 
 def _windows(words: Column, min_words: int) -> Column:
-    """The windows of a document as an array of (a, z), first and last line from 0, in order; z ascends with a."""
+    """The windows of a document and their extensions as an array of (a, y, z), in order: first line from 0, the window's last line, and the
+    last line with what it is extended by (y itself for a window). An extension is a run that falls short without its first line."""
 
     def of(sums: Column) -> Column:
         total, n = F.element_at(sums, -1), F.size(words)
         at = lambda i: F.get(sums, i)
-        pair = lambda a, z: F.struct(a.cast("int").alias("a"), z.cast("int").alias("z"))
-        none = F.lit(None).cast("struct<a:int,z:int>")
+        run = lambda a, y, z: F.struct(a.cast("int").alias("a"), y.cast("int").alias("y"), z.cast("int").alias("z"))
+        none = F.lit(None).cast("struct<a:int,y:int,z:int>")
+        end = lambda a: _first_at_least(sums, at(a) + min_words, a + 1, n) - 1
 
-        def forward(w: Column, i: Column) -> Column:
-            search = _first_at_least(sums, at(i) + min_words, i + 1, n) - 1
-            return F.when(w == 0, none).when(w >= min_words, pair(i, i)).when(total - at(i) < min_words, none).otherwise(pair(i, search))
+        def window(w: Column, i: Column) -> Column:
+            return F.when((w == 0) | (total - at(i) < min_words), none).otherwise(_with(end(i), lambda y: run(i, y, y)))
 
-        def backward(w: Column, i: Column) -> Column:
+        def extension(w: Column, i: Column) -> Column:
             # The last a whose sum leaves min_words up to line i: one before the first that leaves less.
-            search = _first_at_least(sums, at(i + 1) - min_words + 1, F.lit(0), i + 1) - 1
-            return F.when((w == 0) | (w >= min_words) | (at(i + 1) < min_words), none).otherwise(pair(search, i))
+            start = _first_at_least(sums, at(i + 1) - min_words + 1, F.lit(0), i + 1) - 1
+            longer = lambda a: _with(end(a), lambda y: F.when(y < i, run(a, y, i)))
+            return F.when((w == 0) | (w >= min_words) | (at(i + 1) < min_words), none).otherwise(_with(start, longer))
 
-        both = F.concat(F.transform(words, forward), F.transform(words, backward))
-        return F.array_sort(F.array_distinct(F.filter(both, lambda p: p.isNotNull())))
+        both = F.concat(F.transform(words, window), F.transform(words, extension))
+        return F.array_sort(F.filter(both, lambda p: p.isNotNull()))
 
     return _with(_sums(words), of)
 
@@ -106,33 +117,31 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
     return counted.withColumn("seen", _sums(F.transform("words", lambda n: F.least(n, F.lit(1)))))
 
 
-def _told(r: Column) -> Column:
-    """The lines with words of a run, as (i, c): the line and how many such come before it."""
-    lines = F.filter(F.sequence(r["a"], r["z"]), lambda i: F.get("words", i) > 0)
-    return F.transform(lines, lambda i: F.struct(i.alias("i"), F.get("seen", i).alias("c")))
-
-
 def windows(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, th, ws: windows as (a, z, p, f, k1, k2), p being the line of least hash, f, and own: lines of windows repeated in the document.
+    """doc_id, th, ws: windows and extensions as (a, y, z, p, f, k1, k2, e1, e2), and own: those repeated in the document, as (a, z).
 
-    ``ws`` is in ascending order and holds the first of equal windows; ``own`` holds the lines of the others.
+    p is the line of least hash of the window, f that hash, k1 and k2 the window's key, e1 and e2 the key of all lines to z. ``ws`` is in
+    ascending order and holds the first of equal ones; ``own`` holds the others.
     """
-    cut = lambda c, w: F.slice(F.col(c), w["a"] + 1, w["z"] - w["a"] + 1)
+    cut = lambda c, w, z: F.slice(F.col(c), w["a"] + 1, z - w["a"] + 1)
+    key = lambda w, z: [F.xxhash64(cut(c, w, z)) for c in ("h1", "h2")]
 
     def keyed(w: Column) -> Column:
         least = lambda x: F.struct(F.array_min(x).alias("f"), (w["a"] + F.array_position(x, F.array_min(x)) - 1).cast("int").alias("p"))
-        row = lambda m: F.struct(w["a"].alias("a"), w["z"].alias("z"), m["p"].alias("p"), m["f"].alias("f"), F.xxhash64(cut("h1", w)).alias("k1"), F.xxhash64(cut("h2", w)).alias("k2"))
-        return _with(_with(cut("h1", w), least), row)
-
-    found = lines.select("doc_id", "th", "h1", "h2", "words", "seen", _windows(F.col("words"), min_words).alias("w")).filter(F.size("w") > 0)
-    all_windows = found.select("doc_id", "th", "words", "seen", F.transform("w", keyed).alias("ws"))
-    key = lambda e: F.struct(e["k1"], e["k2"])
-    by_key = F.array_sort(F.transform("ws", lambda e: F.struct(key(e).alias("k"), e.alias("w"))))
-    split = all_windows.withColumn("by_key", F.when(F.size(F.array_distinct(F.transform("ws", key))) < F.size("ws"), by_key))
+        (k1, k2), (e1, e2) = key(w, w["y"]), key(w, w["z"])
+        whole = w["y"] == w["z"]
+        named = lambda m, k: F.struct(w["a"].alias("a"), w["y"].alias("y"), w["z"].alias("z"), m["p"].alias("p"), m["f"].alias("f"), k["k1"].alias("k1"), k["k2"].alias("k2"), F.when(whole, k["k1"]).otherwise(e1).alias("e1"), F.when(whole, k["k2"]).otherwise(e2).alias("e2"))
+        return _with(_with(cut("h1", w, w["y"]), least), lambda m: _with(F.struct(k1.alias("k1"), k2.alias("k2")), lambda k: named(m, k)))
+
+    found = lines.select("doc_id", "th", "h1", "h2", _windows(F.col("words"), min_words).alias("w")).filter(F.size("w") > 0)
+    all_windows = found.select("doc_id", "th", F.transform("w", keyed).alias("ws"))
+    key_of = lambda e: F.struct(e["e1"], e["e2"])
+    by_key = F.array_sort(F.transform("ws", lambda e: F.struct(key_of(e).alias("k"), e.alias("w"))))
+    split = all_windows.withColumn("by_key", F.when(F.size(F.array_distinct(F.transform("ws", lambda e: F.xxhash64(e["e1"], e["e2"])))) < F.size("ws"), by_key))
     before = lambda e, j: F.coalesce(F.get("by_key", j - 1)["k"] == e["k"], F.lit(False))
     pick = lambda test: F.transform(F.filter("by_key", test), lambda e: e["w"])
     first = F.coalesce(F.array_sort(pick(lambda e, j: ~before(e, j))), F.col("ws"))
-    own = F.array_distinct(F.flatten(F.transform(pick(lambda e, j: before(e, j)), _told)))
+    own = F.transform(pick(lambda e, j: before(e, j)), lambda w: F.struct(w["a"].alias("a"), w["z"].alias("z")))
     return split.select("doc_id", "th", first.alias("ws"), own.alias("own"))
 
 
@@ -151,48 +160,56 @@ def fingerprints(found: DataFrame) -> DataFrame:
     return each.select("doc_id", "th", first["p"].alias("p"), first["f"].alias("f"), "ws")
 
 
+def _shared(runs: DataFrame, key: list[str], label: str) -> DataFrame:
+    """``key`` and the first place of what stands at two places or more."""
+    place = F.struct("doc_id", "th", "a")
+    firsts = runs.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    return freeze(firsts.filter("first != last").select(*key, "first"), label)
+
+
+def _later(runs: DataFrame, firsts: DataFrame, key: list[str]) -> DataFrame:
+    """doc_id, th, a, z of the runs that have an equal one before them."""
+    return runs.join(firsts, key).filter(F.struct("doc_id", "th", "a") != F.col("first")).select("doc_id", "th", "a", "z")
+
+
+def extensions(runs: DataFrame, met: DataFrame) -> DataFrame:
+    """doc_id, th, a, z: extensions that have an equal one before them, of windows that met (f, k1, k2)."""
+    key = ["f", "k1", "k2", "e1", "e2"]
+    longer = freeze(runs.filter("z > y").join(met.select("f", "k1", "k2"), ["f", "k1", "k2"], "left_semi"), "extensions")
+    return _later(longer, _shared(longer, key, "first-extensions"), key)
+
+
 def matches(prints: DataFrame) -> DataFrame:
-    """doc_id, th, to_id, to_th, shift: a document, the first one with an equal window, and by how many lines it is off."""
+    """doc_id, th, a, z: windows that have an equal one at an earlier place, and their extensions that have."""
     place = F.struct("doc_id", "th", "p")
     places = prints.groupBy("f").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     shared = freeze(places.filter("first != last").select("f"), "shared-lines")
-    joined = freeze(prints.join(shared, "f", "left_semi").select("f", "doc_id", "th", F.explode("ws").alias("w")).select("f", "doc_id", "th", "w.a", "w.k1", "w.k2"), "shared-windows")
-    place = F.struct("doc_id", "th", "a")
-    firsts = joined.groupBy("f", "k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    first = freeze(firsts.filter("first != last").select("f", "k1", "k2", "first"), "first-windows")
-    later = joined.join(first, ["f", "k1", "k2"]).filter(place != F.col("first"))
-    return later.select("doc_id", "th", F.col("first.doc_id").alias("to_id"), F.col("first.th").alias("to_th"), (F.col("a") - F.col("first.a")).alias("shift")).distinct()
-
-
-def _runs(min_words: int) -> Column:
-    """Lines with words of runs equal to the other document's, as (i, c), over h1, h2, words, seen, g1, g2 and shift."""
-    start, end = F.greatest(F.lit(0), F.col("shift")), F.least(F.size("h1"), F.size("g1") + F.col("shift")) - 1
-    other = lambda i: i - F.col("shift")
-    same = lambda i: (F.get("h1", i) == F.get("g1", other(i))) & (F.get("h2", i) == F.get("g2", other(i)))
-    # Where lines differ, with one such place before the first line and one after the last; runs lie between.
-    breaks = F.concat(F.array(start - 1), F.filter(F.sequence(start, end), lambda i: ~same(i)), F.array(end + 1))
-    spans = lambda x: F.transform(F.slice(x, 2, F.size(x) - 1), lambda z, j: F.struct((F.get(x, j) + 1).alias("a"), (z - 1).alias("z")))
-    size = lambda told: F.aggregate(told, F.lit(0), lambda n, e: n + F.get("words", e["i"]))
-    told = lambda s: F.transform(F.filter(s, lambda r: r["a"] <= r["z"]), _told)
-    return F.flatten(F.filter(_with(_with(breaks, spans), told), lambda x: size(x) >= min_words))
+    joined = prints.join(shared, "f", "left_semi").select("doc_id", "th", F.explode("ws").alias("w")).select("doc_id", "th", "w.*").drop("p")
+    runs = freeze(joined, "shared-windows")
+    key = ["f", "k1", "k2"]
+    seeds = runs.filter("z = y")
+    met = _shared(seeds, key, "first-windows")
+    return _later(seeds, met, key).unionAll(extensions(runs, met))
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, th (hash of the text), drop: the numbers, from 0, of the lines to delete."""
     lines = freeze(hashed_lines(docs).dropDuplicates(["doc_id", "th"]), "lines")
     found = freeze(windows(lines, min_words), "windows")
-    pairs = freeze(matches(fingerprints(found)), "matches")
-    ours = lines.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "h1", "h2", "words", "seen")
-    both = pairs.join(ours, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).drop("_id", "_th")
-    theirs = lines.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
-    extended = both.join(theirs, F.col("to_id").eqNullSafe(F.col("_id")) & (F.col("to_th") == F.col("_th"))).select("doc_id", "th", _runs(min_words).alias("told"))
-    every = extended.unionAll(found.filter(F.size("own") > 0).select("doc_id", "th", F.col("own").alias("told")))
-    dropped = every.groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("told")))).alias("told"))
+    later = matches(fingerprints(found)).select("doc_id", "th", F.array(F.struct("a", "z")).alias("runs"))
+    every = later.unionAll(found.filter(F.size("own") > 0).select("doc_id", "th", F.col("own").alias("runs")))
+    ranges = freeze(every.groupBy("doc_id", "th").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs")), "repeated-runs")
+    ours = lines.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "words", "seen")
+    own = ranges.join(ours, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+    # Runs are in order of where they begin; each gives the lines beyond those before it.
+    ends = _running(F.transform("runs", lambda r: r["z"]), -1, F.greatest)
+    fresh = lambda e: F.flatten(F.transform("runs", lambda r, j: F.filter(F.sequence(F.greatest(r["a"], F.get(e, j) + 1), F.greatest(r["a"], r["z"])), lambda i: (i <= r["z"]) & (i > F.get(e, j)) & (F.get("words", i) > 0))))
+    told = own.select("doc_id", "th", F.transform(_with(ends, fresh), lambda i: F.struct(i.alias("i"), F.get("seen", i).alias("c"))).alias("told"))
     # Two neighbours among the lines with words take the lines between them along.
     follows = lambda e, j: F.get("told", j + 1)["c"] == e["c"] + 1
     last = lambda e, j: F.when(follows(e, j), F.get("told", j + 1)["i"] - 1).otherwise(e["i"])
     drop = F.flatten(F.transform("told", lambda e, j: F.sequence(e["i"], F.coalesce(last(e, j), e["i"]))))
-    return dropped.filter(F.size("told") > 0).select("doc_id", "th", drop.alias("drop"))
+    return told.filter(F.size("told") > 0).select("doc_id", "th", drop.alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

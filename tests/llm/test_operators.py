@@ -201,13 +201,38 @@ def test_line_dedup_rests_on_fingerprints(spark, monkeypatch):
     assert len({(r.doc_id, r.p) for r in prints}) == len(prints) < sum(len(r.ws) for r in prints)
     hashes = {r.doc_id: r.h1 for r in lines.collect()}
     for r in prints:
-        assert all(w.a <= r.p <= w.z and hashes[r.doc_id][r.p] == r.f == min(hashes[r.doc_id][w.a : w.z + 1]) for w in r.ws)
+        assert all(w.a <= r.p <= w.y <= w.z and hashes[r.doc_id][r.p] == r.f == min(hashes[r.doc_id][w.a : w.y + 1]) for w in r.ws)
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()} == {1: "a b\n" + passage, 2: "c\nd e"}
     every = line_dedup.fingerprints
     monkeypatch.setattr(line_dedup, "fingerprints", lambda found: every(found).filter("doc_id = 1"))
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}[2] == "c\n" + passage + "\nd e"
 
 
+def test_line_dedup_extends_what_met(spark, monkeypatch):
+    """A run that ends in short lines: its windows end before them, and only their extensions reach them, each as far as lines agree."""
+    line = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    head = [line(i, 30) for i in range(2)]
+    tail = [line(10 + i, 3) for i in range(4)]
+    texts = {1: [*head, *tail], 2: [*head, tail[0], "other"], 3: ["before", *head, *tail, "after"], 4: [*head, *tail[:2], "", tail[3]]}
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in texts.items()], "doc_id long, text string")
+    dedup = lambda: {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    plain = brute.dedup_lines([(i, "\n".join(x)) for i, x in texts.items()])
+    assert dedup() == plain == {1: "\n".join(texts[1]), 2: "other", 3: "before\nafter", 4: "\n" + tail[3]}
+    real = line_dedup.extensions
+    monkeypatch.setattr(line_dedup, "extensions", lambda runs, met: real(runs, met).limit(0))
+    assert dedup()[3] == "\n".join(["before", *tail, "after"]) and dedup()[2] == f"{tail[0]}\nother"
+
+
+def test_line_dedup_of_a_passage_of_a_long_first_document(spark):
+    """Copies of a passage cost their own lines, not those of the first document that holds it."""
+    lines = [" ".join(f"w{i}x{k}" for k in range(6)) for i in range(20_000)]
+    passage = lines[10_000:10_010]
+    rows = [(0, "\n".join(lines)), *[(i, "\n".join([f"own {i}", *passage, f"end {i}"])) for i in range(1, 501)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = line_dedup.repeated_lines(df)
+    assert {(r.doc_id, tuple(r.drop)) for r in found.collect()} == {(i, tuple(range(1, 11))) for i in range(1, 501)}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_line_dedup_at_random(spark, seed):
     rnd = random.Random(seed)
