@@ -40,10 +40,15 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def normalize_ascii(text: Column) -> Column:
+    """``normalize_text`` of what is ASCII: spaces squeezed and trimmed, in the JVM alone."""
+    return F.trim(F.regexp_replace(text, SPACES + "+", " "))
+
+
 def normalize_text(text: Column) -> Column:
     """Compatibility form, spaces squeezed and trimmed. ASCII texts never leave the JVM's text."""
     form = F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text))).otherwise(text)
-    return F.trim(F.regexp_replace(form, SPACES + "+", " "))
+    return normalize_ascii(form)
 
 
 #: Keywords of font names, the first family that matches counts.

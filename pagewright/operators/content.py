@@ -157,13 +157,22 @@ def _band(edits: DataFrame, runs: DataFrame, tolerance: float) -> tuple[DataFram
     return left, right, (F.abs(F.col("ex") - F.col("x")) <= tolerance) & (F.abs(F.col("ey") - F.col("y")) <= tolerance)
 
 
-def match_edits(edits: DataFrame, runs: DataFrame, tolerance: float = TOLERANCE, text: Callable[[Column], Column] | None = None) -> DataFrame:
+def _written_alike(df: DataFrame, text: Callable[[Column], Column], ascii_text: Callable[[Column], Column]) -> DataFrame:
+    """``df`` with its texts in one form: ASCII ones by ``ascii_text``, each other text once by ``text``, joined back."""
+    odd = df.filter(F.col("text").rlike(r"[^\x00-\x7F]")).select("text").distinct()
+    forms = odd.select(F.col("text").alias("_text"), text(F.col("text")).alias("_form"))
+    return df.join(forms, F.col("text") == F.col("_text"), "left").withColumn("text", F.when(F.col("_text").isNotNull(), F.col("_form")).otherwise(ascii_text(F.col("text")))).drop("_text", "_form")
+
+
+def match_edits(edits: DataFrame, runs: DataFrame, tolerance: float = TOLERANCE, text: Callable[[Column], Column] | None = None, ascii_text: Callable[[Column], Column] | None = None) -> DataFrame:
     """id, page, status (matched, source-not-found, ambiguous-source) and the run of a match.
 
-    Texts are compared by ``text`` of them, for instance ``normalize_text``, or as they are.
+    Texts are compared by ``text`` of them, for instance ``normalize_text``, or as they are. ``ascii_text`` may say what that is for ASCII
+    texts; then only distinct other texts go through ``text``.
     """
     if text:
-        edits, runs = (df.withColumn("text", text(F.col("text"))) for df in (edits, runs))
+        alike = (lambda df: _written_alike(df, text, ascii_text)) if ascii_text else (lambda df: df.withColumn("text", text(F.col("text"))))
+        edits, runs = alike(edits), alike(runs)
     left, right, close = _band(edits, runs, tolerance)
     found = left.join(right, ["page", "text", "cx", "cy"], "left").withColumn("run_id", F.when(close, F.col("run_id")))
     counted = found.groupBy(F.col("edit_id").alias("id"), "page").agg(F.count("run_id").alias("n"), F.min("run_id").alias("run_id"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import normalize_text
+from ..functions.names import normalize_ascii, normalize_text
 from ..operators import content as C
 from ..operators.graph import expand_occurrences
+from ..sources.store import checkpointed
 from ..sources.tables import EDITS_SQL, LINE_ORDER, LOG_SQL, PAGES_SQL, RUNS_SQL, bundle_pages, edits, log, runs, table
 from .registry import query
 
@@ -96,7 +97,8 @@ def c5_merge_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c6_match_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits whose texts are spaced otherwise, or in full-width letters, match all the same."""
     written = F.when(F.col("id") % 5 == 0, F.concat(F.lit("  "), "text", F.lit("\n"))).when(F.col("id") % 11 == 0, F.translate("text", "RF", "\uff32\uff26")).otherwise(F.col("text"))
-    return C.match_edits(edits(spark, sf_dir).withColumn("text", written), runs(spark, sf_dir), text=normalize_text)
+    numbered = checkpointed(runs(spark, sf_dir))
+    return C.match_edits(edits(spark, sf_dir, numbered).withColumn("text", written), numbered, text=normalize_text, ascii_text=normalize_ascii)
 
 
 @query("""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
@@ -121,7 +123,8 @@ t AS (SELECT eid AS id, min(rid) AS run_id, 'tolerance' AS how FROM near_ WHERE
 u AS (SELECT * FROM p UNION ALL SELECT * FROM t)
 SELECT * FROM u QUALIFY count(*) OVER (PARTITION BY run_id) = 1""")
 def c8_pair_by_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.pair_by_signature(edits(spark, sf_dir), runs(spark, sf_dir))
+    numbered = checkpointed(runs(spark, sf_dir))
+    return C.pair_by_signature(edits(spark, sf_dir, numbered), numbered)
 
 
 @query(f"""WITH {LOG_SQL}, i AS (SELECT user_id AS session, event_id AS id, k AS s, k + 1 + event_id % 3 AS e FROM log_),

@@ -87,9 +87,9 @@ RUNS_SQL = """runs_ AS (
   FROM lineitem)"""
 
 
-def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The runs of returned lines, moved a little, with some texts changed."""
-    r = runs(spark, sf_dir).filter("text like 'R%'")
+def edits(spark: SparkSession, sf_dir: str, numbered: DataFrame | None = None) -> DataFrame:
+    """The runs of returned lines, moved a little, with some texts changed. ``numbered``: the runs, where they are at hand."""
+    r = (runs(spark, sf_dir) if numbered is None else numbered).filter("text like 'R%'")
     return r.select(
         "id",
         "page",
