@@ -19,8 +19,9 @@ without labels of both classes every score is 0; an empty table gives no row; co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import tee
 
 import numpy as np
 import pyarrow as pa
@@ -157,17 +158,20 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 30, penalty: float = 1e-
     return w
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7, window: int | None = WINDOW) -> Model | None:
-    """Full-batch Adam over vectors and softmax together. None without examples of both classes."""
-    every = [(t, y) for t, y in zip(texts, labels, strict=True) if words_of(t)]
+def train(texts: Iterable[str], labels: Iterable[float], epochs: int = EPOCHS, seed: int = 7, window: int | None = WINDOW) -> Model | None:
+    """Full-batch Adam over vectors and softmax together. None without examples of both classes.
+
+    Texts are taken one by one; what is kept of each is the numbers of its words, and each distinct word once.
+    """
+    number: dict[str, int] = {}
+    every = [(np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int32), y) for t, y in zip(texts, labels, strict=True) if (words := words_of(t))]
     # A quarter is set aside to turn logits into probabilities, unless it would lack a class.
     aside = every[::4] if len({y for _, y in every[::4]}) == 2 else every
     kept = [e for i, e in enumerate(every) if i % 4] if aside is not every else every
     y = np.array([v for _, v in kept], dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return None
-    number: dict[str, int] = {}
-    numbered = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], dtype=np.int32) for t, _ in kept]
+    numbered = [t for t, _ in kept]
     tokens, sizes = np.concatenate(numbered), np.array(list(map(len, numbered)))
     word_of, flat = subwords(list(number))
     by_word = np.argsort(word_of, kind="stable")
@@ -212,7 +216,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     logits = np.zeros(BUCKETS)
     logits[common] = vectors @ (softmax[:, 1] - softmax[:, 0])
     model = Model(logits, float(bias[1] - bias[0]), np.zeros(2), window)
-    x = np.concatenate([model.features([words_of(t) for t, _ in aside[i : i + 100]]) for i in range(0, len(aside), 100)])
+    words = list(number)
+    x = np.concatenate([model.features([[words[w] for w in t.tolist()] for t, _ in aside[i : i + 100]]) for i in range(0, len(aside), 100)])
     model.scale = logistic(x, np.array([v for _, v in aside], dtype=np.float64))
     return model
 
@@ -221,13 +226,13 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 4 == 2
 
 
-def sample(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_documents: int = MAX_DOCUMENTS) -> list:
-    """(text, label) of at most ``max_documents`` rows of each class. The ids come from the labels, so the documents are not shuffled."""
+def sample(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+    """text and label of at most ``max_documents`` rows of each class, in order. The ids come from the labels, so the documents are not shuffled."""
     usable = labels.filter(~held_out() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(column).alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = usable.filter("label = 1").orderBy(*order).limit(max_documents).unionAll(usable.filter("label = 0").orderBy(*order).limit(max_documents))
     some = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
-    return some.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).orderBy(*order).collect()
+    return some.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).orderBy(*order)
 
 
 def _scores(model):
@@ -241,8 +246,9 @@ def _scores(model):
 
 
 def fit(docs: DataFrame, labels: DataFrame, **bounds) -> Model | None:
-    rows = sample(docs, labels, **bounds)
-    return train([r.text for r in rows], np.array([r.label for r in rows], dtype=np.float64))
+    """The model of a sample, whose rows come to the driver task by task: of a text that has been numbered nothing else is kept."""
+    rows, again = tee(sample(docs, labels, **bounds).toLocalIterator())
+    return train((r.text for r in rows), (float(r.label) for r in again))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:

@@ -450,7 +450,7 @@ def test_toxicity_learns_from_long_texts(spark):
     rnd = random.Random(8)
     text = lambda i: " ".join(f"w{rnd.randrange(99)}" for _ in range(20_000)) + " vile" * (i % 2)
     df = spark.createDataFrame([(i, text(i)) for i in range(8)], "doc_id long, text string")
-    rows = toxicity.sample(df, spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int"))
+    rows = toxicity.sample(df, spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")).collect()
     held = {r.doc_id for r in df.filter(toxicity.held_out()).collect()}
     assert {r.doc_id for r in rows} == set(range(8)) - held and all(len(r.text) > 50_000 for r in rows)
 
