@@ -247,6 +247,26 @@ def compress_plan(images: DataFrame, sides: DataFrame, ppi: float, lossless: boo
     return chosen.select("doc", "image", px("width").alias("target_w"), px("height").alias("target_h"))
 
 
+def encode_images(images: DataFrame, plan: DataFrame, encode: Callable[[bytes, int, int], bytes | None]) -> DataFrame:
+    """The caller's codec between ``compress_plan`` and ``accept_savings``: doc, image, old_bytes, new_bytes, new_content of the planned images.
+
+    ``images`` (doc, image, content); ``encode(content, width, height)`` gives the bytes at the planned size, or None to leave an image as it is, and
+    runs where the images are, a few at a time. A null content, and a None, have no new bytes, so the old ones stay.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*[batch.column(c) for c in ("content", "target_w", "target_h")])
+            made = [encode(c.as_py(), w.as_py(), h.as_py()) if c.is_valid else None for c, w, h in rows]
+            old = pa.array([len(c.as_py()) if c.is_valid else 0 for c in batch.column("content")], pa.int64())
+            new = pa.array([None if m is None else len(m) for m in made], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("image"), old, new, pa.array(made, pa.binary())], names=["doc", "image", "old_bytes", "new_bytes", "new_content"])
+
+    planned = images.select("doc", "image", "content").join(plan, ["doc", "image"])
+    kinds = {c: images.schema[c].dataType.simpleString() for c in ("doc", "image")}
+    return planned.mapInArrow(run, f"doc {kinds['doc']}, image {kinds['image']}, old_bytes long, new_bytes long, new_content binary")
+
+
 def accept_savings(encoded: DataFrame, most: float = 0.9) -> DataFrame:
     """By document: bytes before and after, and images replaced, each only if it is at most ``most`` of the old."""
     ok = F.col("new_bytes") <= most * F.col("old_bytes")

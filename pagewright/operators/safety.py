@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,32 @@ def redact_pages(blocks: DataFrame, rects: DataFrame) -> DataFrame:
     return blocks.join(rects.select("page").distinct(), "page", "left_anti")
 
 
+def rasterized_pages(pages: DataFrame, rects: DataFrame, rasterise: Callable[[bytes, list], bytes] | None = None) -> DataFrame:
+    """page and picture of the pages that have a redaction: what ``redact_pages`` leaves out, as the caller's rasteriser paints it.
+
+    ``pages`` (page, content), ``rects`` (page, x0, y0, x1, y1); ``rasterise(content, rectangles)`` gets all of a page's rectangles at once, in order.
+    Without one, or where it gives nothing for a page, the job is refused: a page with a redaction must not go out as it is.
+    """
+    if rasterise is None:
+        if rects.isEmpty():
+            return pages.select("page", F.col("content").alias("picture")).limit(0)
+        raise ValueError("pages with redactions need a rasteriser")
+    covers = rects.groupBy("page").agg(F.array_sort(F.collect_list(F.array(*[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")]))).alias("covers"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for page, content, boxes in zip(*[batch.column(c) for c in ("page", "content", "covers")]):
+                picture = rasterise(content.as_py(), boxes.as_py())
+                if not picture:
+                    raise ValueError(f"page {page} came back without a picture")
+                made.append(picture)
+            yield pa.RecordBatch.from_arrays([batch.column("page"), pa.array(made, pa.binary())], names=["page", "picture"])
+
+    kind = pages.schema["page"].dataType.simpleString()
+    return pages.select("page", "content").join(covers, "page").mapInArrow(run, f"page {kind}, picture binary")
+
+
 _FINEST = -10
 
 

@@ -107,15 +107,36 @@ def l7_asof_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 _IMAGES = "SELECT p_brand AS doc, p_partkey AS image, p_size * 100 AS width, p_size * 80 AS height, 8 AS bits, CASE p_partkey % 4 WHEN 0 THEN 'cmyk' WHEN 1 THEN 'gray' ELSE 'rgb' END AS space, p_partkey % 3 = 0 AS lossless, CASE WHEN p_partkey % 6 = 0 THEN p_partkey + 5 END AS mask_of, p_partkey % 17 = 0 AS stencil, CASE WHEN p_partkey % 19 = 0 THEN '1 0' END AS decode FROM {p}"
 
 
-@query(f"""WITH i AS ({_IMAGES.format(p="part")}), m AS (SELECT doc, mask_of AS image FROM i WHERE mask_of IS NOT NULL),
+_PLANNED = f"""i AS ({_IMAGES.format(p="part")}), m AS (SELECT doc, mask_of AS image FROM i WHERE mask_of IS NOT NULL),
 s AS (SELECT p_brand AS doc, greatest(64, floor(max(p_retailprice) / 72 * 96 + 0.5)) AS lim FROM part GROUP BY 1),
-j AS (SELECT i.*, least(1, lim / greatest(width, height)) AS sc FROM i JOIN s USING (doc) WHERE space IN ('gray', 'rgb') AND NOT stencil AND decode IS NULL AND width * height <= 40000000 AND NOT EXISTS (SELECT 1 FROM m WHERE m.doc = i.doc AND m.image = i.image))
+j AS (SELECT i.*, least(1, lim / greatest(width, height)) AS sc FROM i JOIN s USING (doc) WHERE space IN ('gray', 'rgb') AND NOT stencil AND decode IS NULL AND width * height <= 40000000 AND NOT EXISTS (SELECT 1 FROM m WHERE m.doc = i.doc AND m.image = i.image))"""
+
+
+@query(f"""WITH {_PLANNED}
 SELECT doc, image, CAST(floor(width * CASE WHEN sc < 0.95 THEN sc ELSE 1 END + 0.5) AS BIGINT) AS target_w, CAST(floor(height * CASE WHEN sc < 0.95 THEN sc ELSE 1 END + 0.5) AS BIGINT) AS target_h FROM j WHERE sc < 0.95 OR lossless""")
 def m1_compress_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
+    return _plan(spark, table(spark, sf_dir, "part"))
+
+
+def _plan(spark: SparkSession, part: DataFrame) -> DataFrame:
     return L.compress_plan(spark.sql(_IMAGES.replace("{p}", "{part}"), part=part), part.select(F.col("p_brand").alias("doc"), F.col("p_retailprice").alias("side")), 96, True)
 
 
+def _every_other_byte(content: bytes, width: int, height: int) -> bytes | None:
+    """A stand-in for a codec; it leaves alone what has a length divisible by three."""
+    return content[::2] if len(content) % 3 else None
+
+
+@query(f"""WITH {_PLANNED}, c AS (SELECT j.doc, p_size * length(p_name) AS o FROM j JOIN part ON p_partkey = image WHERE sc < 0.95 OR lossless),
+e AS (SELECT doc, o, CASE WHEN o % 3 <> 0 THEN (o + 1) // 2 END AS n FROM c)
+SELECT doc, CAST(sum(o) AS BIGINT) AS before, CAST(sum(CASE WHEN n <= 0.9 * o THEN n ELSE o END) AS BIGINT) AS after, count(*) FILTER (n <= 0.9 * o) AS replaced FROM e GROUP BY 1""")
+def m2_encoded_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planned images through a caller's codec, and what of it is taken. A part's name, repeated, is its image's content."""
+    part = table(spark, sf_dir, "part")
+    content = part.select(F.col("p_brand").alias("doc"), F.col("p_partkey").alias("image"), F.expr("repeat(p_name, CAST(p_size AS INT))").cast("binary").alias("content"))
+    return L.accept_savings(L.encode_images(content, _plan(spark, part), _every_other_byte))
+
+
 @query("""WITH e AS (SELECT p_brand AS doc, p_partkey AS o, p_partkey * p_size // 40 AS n FROM part)
 SELECT doc, CAST(sum(o) AS BIGINT) AS before, CAST(sum(CASE WHEN n <= 0.9 * o THEN n ELSE o END) AS BIGINT) AS after, count(*) FILTER (n <= 0.9 * o) AS replaced FROM e GROUP BY 1""")
 def m2_accept_savings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -302,3 +302,23 @@ def test_signature_pairs_by_hand(spark):
     expected = [(e, r, "signature") for e, r in paired.items() if claimed[r] == 1] + [(e, r, "tolerance") for e, r in single.items() if claimed[r] == 1]
     schema = "id long, page long, text string, x double, y double"
     assert rows(content.pair_by_signature(spark.createDataFrame(edits, schema), spark.createDataFrame(runs, schema))) == sorted(expected, key=repr)
+
+
+def test_callers_codec(spark):
+    images = spark.createDataFrame([("d", 1, b"x" * 1000), ("d", 2, None), ("d", 3, b"short"), ("d", 4, b"not planned")], "doc string, image long, content binary")
+    plan = spark.createDataFrame([("d", 1, 10, 20), ("d", 2, 1, 1), ("d", 3, 5, 5)], "doc string, image long, target_w long, target_h long")
+    made = layout.encode_images(images, plan, lambda c, w, h: b"y" * (w * h) if len(c) > 10 else None)
+    assert {(r.image, r.old_bytes, r.new_bytes) for r in made.collect()} == {(1, 1000, 200), (2, 0, None), (3, 5, None)}
+    assert rows(layout.accept_savings(made)) == [("d", 1005, 205, 1)]
+
+
+def test_callers_rasteriser(spark):
+    pages_ = spark.createDataFrame([(1, b"one"), (2, b"two")], "page long, content binary")
+    rects = spark.createDataFrame([(1, 0.5, 0.0, 1.0, 1.0), (1, 0.0, 0.0, 0.2, 0.2)], "page long, x0 double, y0 double, x1 double, y1 double")
+    paint = lambda content, boxes: content.upper() + b"|" + repr(boxes).encode()
+    assert [(r.page, bytes(r.picture)) for r in safety.rasterized_pages(pages_, rects, paint).collect()] == [(1, b"ONE|[[0.0, 0.0, 0.2, 0.2], [0.5, 0.0, 1.0, 1.0]]")]
+    with pytest.raises(ValueError, match="need a rasteriser"):
+        safety.rasterized_pages(pages_, rects)
+    assert safety.rasterized_pages(pages_, rects.limit(0)).count() == 0
+    with pytest.raises(Exception, match="without a picture"):
+        safety.rasterized_pages(pages_, rects, lambda c, b: b"").collect()
