@@ -147,11 +147,24 @@ def directory(hashes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return out
 
 
-def _owners(buckets: DataFrame, n: int) -> list[int]:
-    """The first of 2**32 hash ranges of each owner, at most ``n`` numbers; a bucket's owner follows from where it starts."""
+def _owner(buckets: DataFrame, n: int) -> Column:
+    """The owner, from 0 to n - 1, of a hash ``h``: that of the bucket it lies in, which follows from where the bucket starts.
+
+    Hashes are shared out evenly, but a bucket is not cut: one that begins in the share before belongs to that. So a hash asks
+    its share where the first bucket begins, in a list of ``n`` numbers, and no table of buckets is joined with texts.
+    """
     start = F.expr("shiftleft(prefix, 32 - depth)")
     first = buckets.select(start.alias("start"), F.shiftright(start * n, 32).alias("owner")).groupBy("owner").agg(F.min("start").alias("start"))
-    return sorted(r.start for r in first.collect())
+    begins = dict(first.collect())
+    before, last = [], 0
+    for k in range(n):
+        before.append(last)
+        last = k if k in begins else last
+    listed = lambda numbers: F.array(*[F.lit(x).cast("long") for x in numbers])
+    at = _prefix(F.col("h"), 32)
+    share = F.shiftright(at * n, 32).cast("int")
+    own = at >= F.get(listed([begins.get(k, 1 << 32) for k in range(n)]), share)
+    return F.when(own, share).otherwise(F.get(listed(before), share).cast("int"))
 
 
 def build_index(docs: DataFrame, *, capacity: int = CAPACITY, page: int = PAGE, hash_bits: int = 64) -> Index:
@@ -173,8 +186,7 @@ def build_index(docs: DataFrame, *, capacity: int = CAPACITY, page: int = PAGE,
         crowded = freeze(counts.join(crowded.select("h", F.col("n_heads").alias("was")), "h").filter((F.col("n_heads") > page) & (F.col("n_heads") < F.col("was"))).select("h", "n_heads"), "crowded")
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    starts = F.array(*[F.lit(s).cast("long") for s in _owners(buckets, n)] or [F.lit(0).cast("long")])
-    owner = F.size(F.filter(starts, lambda s: s <= _prefix(F.col("h"), 32))) - 1
+    owner = _owner(buckets, n)
     owned = heads.select("row", "h", "body", F.lit(0).cast("long").alias("page"), owner.alias("owner")).repartitionById(n, F.col("owner")).sortWithinPartitions("h", "row")
     links = freeze(owned.mapInArrow(_chained, _LINK).select("head", "h", "link", "sha", owner.alias("owner")), "index")
     for moved in reversed(moves):
