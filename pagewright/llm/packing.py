@@ -81,6 +81,7 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = END_ID,
     within = counts.select("length", "part", "some", before(Window.partitionBy("length", "some").orderBy("part")).alias("within"))
     totals = counts.groupBy("length", "some").agg(F.sum("n").alias("n"))
     totals = totals.select("length", "some", before(Window.orderBy(F.col("length").desc(), "some")).alias("base"))
-    bases = within.join(totals, ["length", "some"]).select("length", "part", (F.col("base") + F.col("within")).alias("base"))
+    # As a table its size is known when the join is planned: Spark sends it to the tasks if its threshold allows, and else deals both sides.
+    bases = freeze(within.join(totals, ["length", "some"]).select("length", "part", (F.col("base") + F.col("within")).alias("base")), "bases")
     numbered = pieces.join(bases, ["length", "part"])
     return numbered.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("rank")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *["ids"] * with_ids)
