@@ -326,3 +326,16 @@ def test_boxes_of_any_size_lie_in_four_cells_and_meet(spark):
     assert found == {b[0] for b in blocks if any(meets(b, r) for r in rects)} and 0 < len(found) < 400
     large = safety._boxed(spark.createDataFrame([(1, 1, 3.3, 4.4, 10_000.0, 10_000.0)], box), "b", lambda v: v, lambda v: v)
     assert safety._cells(large, "b", spark.createDataFrame([(1, [0, 3])], "page long, theirs array<int>")).count() <= 4
+
+
+@pytest.mark.parametrize("stem", [None, "s"])
+def test_a_large_part_is_written_by_several_tasks(spark, tmp_path, stem):
+    df = spark.range(40_000, numPartitions=8).select(F.when(F.col("id") % 100 == 0, "even").otherwise("odd").alias("part"), F.sha2(F.col("id").cast("string"), 256).alias("v"), "id")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        path = readers.write_parts(df, str(tmp_path / "a"), stem=stem)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    large, small = (len(list((tmp_path / "a").glob(f"*=*{name}*/part-*"))) for name in ("odd", "even"))
+    assert large >= 4 > small
+    assert spark.read.parquet(path).agg(F.count("*"), F.sum("id")).first() == (40_000, 40_000 * 39_999 // 2)
