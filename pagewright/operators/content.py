@@ -221,23 +221,28 @@ def match_runs(edits: DataFrame, runs: DataFrame) -> DataFrame:
     The lengths of the runs before say where each run ends, so an edit meets only the run that ends where its text ends,
     however many runs lie between; the runs up to that one are then compared with the text. If runs have a column
     ``state``, those of a match share it. Repeated edits count once; a null text, or a start that no run has, gives null.
+
+    An edit's text goes no further than its row: its length and SHA-256 stand for it. A run's text is shuffled to the spans
+    that it is in, and with these, once each.
     """
     w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     state = F.col("state") if "state" in runs.columns else F.lit(None).cast("string")
-    ends = runs.select("doc_id", "line_no", F.coalesce("text", F.lit("")).alias("run"), state.alias("state"))
-    ends = ends.withColumn("end", F.sum(F.length("run")).over(w))
-    wanted = edits.select("doc_id", "start", "text").distinct()
-    first = ends.select("doc_id", F.col("line_no").alias("start"), (F.col("end") - F.length("run")).alias("from"), F.col("state").alias("wanted_state"))
-    placed = wanted.join(first, ["doc_id", "start"]).withColumn("end", F.col("from") + F.length("text"))
+    lines = runs.select("doc_id", "line_no", F.coalesce("text", F.lit("")).alias("run"), state.alias("state"))
+    ends = lines.select("doc_id", "line_no", "state", F.length("run").alias("size")).withColumn("end", F.sum("size").over(w))
+    wanted = edits.select("doc_id", "start", F.length("text").alias("n"), F.sha2("text", 256).alias("digest")).distinct()
+    first = ends.select("doc_id", F.col("line_no").alias("start"), (F.col("end") - F.col("size")).alias("from"), F.col("state").alias("wanted_state"))
+    placed = wanted.join(first, ["doc_id", "start"]).withColumn("end", F.col("from") + F.col("n"))
     last = ends.select("doc_id", "end", F.col("line_no").alias("stop"))
-    met = placed.join(last, ["doc_id", "end"]).filter("stop > start").groupBy("doc_id", "start", "text", "wanted_state").agg(F.min("stop").alias("stop"))
-    each = met.select("doc_id", "start", "text", "wanted_state", "stop", F.explode(F.sequence("start", "stop")).alias("line_no")).join(ends.drop("end"), ["doc_id", "line_no"])
-    whole = each.groupBy("doc_id", "start", "text", "stop").agg(
+    met = placed.join(last, ["doc_id", "end"]).filter("stop > start").groupBy("doc_id", "start", "digest", "wanted_state").agg(F.min("stop").alias("stop"))
+    spans = met.select("doc_id", "start", "stop", "wanted_state").distinct()
+    each = spans.select("*", F.explode(F.sequence("start", "stop")).alias("line_no")).join(lines, ["doc_id", "line_no"])
+    whole = each.groupBy("doc_id", "start", "stop", "wanted_state").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "run"))), lambda r: r["run"]), "").alias("joined"),
         F.bool_and(F.col("state").eqNullSafe(F.col("wanted_state"))).alias("alike"),
     )
-    found = whole.filter((F.col("joined") == F.col("text")) & F.col("alike")).select("doc_id", "start", "text", (F.col("stop") - F.col("start") + 1).cast("int").alias("k"))
-    return wanted.join(found, ["doc_id", "start", "text"], "left").select("doc_id", "start", "k")
+    whole = whole.filter("alike").select("doc_id", "start", "stop", F.sha2("joined", 256).alias("digest"))
+    found = met.join(whole, ["doc_id", "start", "stop", "digest"]).select("doc_id", "start", "digest", (F.col("stop") - F.col("start") + 1).cast("int").alias("k")).distinct()
+    return wanted.join(found, ["doc_id", "start", "digest"], "left").select("doc_id", "start", "k")
 
 
 def pair_by_signature(edits: DataFrame, runs: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:

@@ -339,3 +339,15 @@ def test_a_large_part_is_written_by_several_tasks(spark, tmp_path, stem):
     large, small = (len(list((tmp_path / "a").glob(f"*=*{name}*/part-*"))) for name in ("odd", "even"))
     assert large >= 4 > small
     assert spark.read.parquet(path).agg(F.count("*"), F.sum("id")).first() == (40_000, 40_000 * 39_999 // 2)
+
+
+def test_match_runs_does_not_copy_the_text_for_each_run(spark):
+    lines = spark.range(300, numPartitions=2).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("line_no"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    text = "".join(r.text for r in lines.orderBy("line_no").collect())
+    edits = spark.createDataFrame([(1, 0, text), (1, 0, text[:-1] + "!")], "doc_id long, start int, text string")
+    found = content.match_runs(edits, lines)
+    assert rows(found) == sorted([(1, 0, 300), (1, 0, None)], key=repr)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line or "Aggregate" in line or "Window" in line]
+    assert joins and not any("text#" in line for line in joins)
+    assert "sha2" in plan
