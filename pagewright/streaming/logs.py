@@ -123,16 +123,25 @@ class UndoFold(KeyedFold):
 
 
 class _Seen:
-    """The revision that each client saw last, read and written one by one."""
+    """The revision that each client saw last: read when a client first occurs among a key's rows, and written once, by ``store``."""
 
     def __init__(self, kept):
-        self.kept = kept
+        self.kept, self.read, self.changed = kept, {}, {}
 
     def get(self, client: str, default: int) -> int:
-        return self.kept.getValue((client,))[0] if self.kept.containsKey((client,)) else default
+        if client in self.changed:
+            return self.changed[client]
+        if client not in self.read:
+            self.read[client] = self.kept.getValue((client,))[0] if self.kept.containsKey((client,)) else None
+        found = self.read[client]
+        return default if found is None else found
 
     def __setitem__(self, client: str, revision: int) -> None:
-        self.kept.updateValue((client,), (revision,))
+        self.changed[client] = revision
+
+    def store(self) -> None:
+        for client, revision in self.changed.items():
+            self.kept.updateValue((client,), (revision,))
 
 
 class CasFold(KeyedFold):
@@ -146,6 +155,7 @@ class CasFold(KeyedFold):
 
     def save(self, state) -> None:
         self.revision.update((state["revision"],))
+        state["seen"].store()
 
     def clear(self) -> None:
         self.revision.clear()

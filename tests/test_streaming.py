@@ -251,3 +251,45 @@ def test_merged_table_drains_a_stream(spark, live, tmp_path):
         stored(spark.createDataFrame(rows, schema), tmp_path / "in", i)
         drain(live.readStream.schema(schema).parquet(str(tmp_path / "in")), table, str(tmp_path / "state"))
     assert sorted(map(tuple, table.read().collect())) == [(1, 2, 7), (2, 1, 6), (3, 1, 8)] and table.manifest()["batches"] == {"stream": 1}
+
+
+def test_a_clients_revision_is_read_and_written_once_for_a_batch_of_rows():
+    from collections import Counter
+
+    from pyspark.sql import Row
+
+    from pagewright.operators.history import cas_step
+    from pagewright.streaming.logs import CasFold
+
+    calls = Counter()
+
+    class Kept:
+        def __init__(self, values):
+            self.values = values
+
+        def __getattr__(self, name):
+            calls[name] += 1
+            return {
+                "exists": lambda: bool(self.values),
+                "get": lambda: self.values[None],
+                "update": lambda v: self.values.update({None: v}),
+                "containsKey": lambda k: k in self.values,
+                "getValue": lambda k: self.values[k],
+                "updateValue": lambda k, v: self.values.update({k: v}),
+            }[name]
+
+    class Handle:
+        getValueState = lambda self, *_: Kept({None: (4,)})
+        getMapState = lambda self, *_: seen
+
+    seen = Kept({("0",): (4,), ("1",): (3,), ("9",): (1,)})
+    made = Row("document", "client", "id", "op")
+    fold = CasFold(["id"], dict, cas_step, "document long, id long, op string, accepted boolean, revision long")
+    fold.init(Handle())
+    written = list(fold.handleInputRows((1,), iter([made(1, n % 3, n, "read" if n % 5 == 0 else "save") for n in range(300)]), None))
+    state, expected = {"revision": 4, "seen": {"0": 4, "1": 3, "9": 1}}, []
+    for n in range(300):
+        expected.append(cas_step(state, made(1, n % 3, n, "read" if n % 5 == 0 else "save")))
+    assert [tuple(r) for r in written] == [e for e in expected if e]
+    assert {k[0]: v[0] for k, v in seen.values.items()} == state["seen"]
+    assert calls["containsKey"] <= 3 and calls["getValue"] <= 3 and calls["updateValue"] <= 3
