@@ -12,6 +12,7 @@ from .graph import compose
 from .scan import laid_out, running
 
 TOLERANCE = 1.25
+_CELL = 4
 
 
 def text_blocks(docs: DataFrame, mark: str = ".", size: float = 12.0) -> DataFrame:
@@ -144,16 +145,19 @@ def merge_edits(blocks: DataFrame, edits: DataFrame, order: list[str]) -> DataFr
 
 
 def _band(edits: DataFrame, runs: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame, Column]:
-    """A band join as an equi-join: runs lie in cells of the tolerance's size, edits look in their own and the eight around it.
+    """A band join as an equi-join: runs lie in cells of ``_CELL`` tolerances, edits look in each cell that is within their reach.
 
     Both sides, to be joined on page, text, cx and cy, and whether an edit and a run are near. A run lies in one cell,
-    so no pair comes twice.
+    so no pair comes twice. An edit looks in four cells at most, and in 2.25 on the average; one of its rows is its ``own``,
+    also where its place is unknown.
     """
-    cell = lambda c: F.floor(F.col(c) / tolerance)
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    left = edits.select(F.col("id").alias("edit_id"), "page", "text", F.col("x").alias("ex"), F.col("y").alias("ey"), F.explode(offsets).alias("o"))
-    left = left.select("edit_id", "page", "text", "ex", "ey", (cell("ex") + F.col("o.i")).alias("cx"), (cell("ey") + F.col("o.j")).alias("cy"))
-    right = runs.select(F.col("id").alias("run_id"), "page", "text", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    cell = lambda c: F.floor(c / (_CELL * tolerance))
+    # A little further than the tolerance, so that no rounding parts what is near.
+    reach = lambda c: F.coalesce(F.sequence(cell(F.col(c) - 1.001 * tolerance), cell(F.col(c) + 1.001 * tolerance)), F.array(F.lit(None).cast("long")))
+    left = edits.select(F.col("id").alias("edit_id"), "page", "text", F.col("x").alias("ex"), F.col("y").alias("ey"))
+    left = left.select("*", F.posexplode(reach("ex")).alias("_i", "cx")).select("*", F.posexplode(reach("ey")).alias("_j", "cy"))
+    left = left.withColumn("own", (F.col("_i") == 0) & (F.col("_j") == 0)).drop("_i", "_j")
+    right = runs.select(F.col("id").alias("run_id"), "page", "text", "x", "y", cell(F.col("x")).alias("cx"), cell(F.col("y")).alias("cy"))
     return left, right, (F.abs(F.col("ex") - F.col("x")) <= tolerance) & (F.abs(F.col("ey") - F.col("y")) <= tolerance)
 
 
@@ -174,7 +178,8 @@ def match_edits(edits: DataFrame, runs: DataFrame, tolerance: float = TOLERANCE,
         alike = (lambda df: _written_alike(df, text, ascii_text)) if ascii_text else (lambda df: df.withColumn("text", text(F.col("text"))))
         edits, runs = alike(edits), alike(runs)
     left, right, close = _band(edits, runs, tolerance)
-    found = left.join(right, ["page", "text", "cx", "cy"], "left").withColumn("run_id", F.when(close, F.col("run_id")))
+    # Of what is not near, only an edit's own row goes on.
+    found = left.join(right, ["page", "text", "cx", "cy"], "left").filter(F.col("own") | close).withColumn("run_id", F.when(close, F.col("run_id")))
     counted = found.groupBy(F.col("edit_id").alias("id"), "page").agg(F.count("run_id").alias("n"), F.min("run_id").alias("run_id"))
     status = F.when(F.col("n") == 0, "source-not-found").when(F.col("n") > 1, "ambiguous-source").otherwise("matched")
     return counted.select("id", "page", status.alias("status"), F.when(F.col("n") == 1, F.col("run_id")).alias("run_id"))

@@ -322,3 +322,19 @@ def test_callers_rasteriser(spark):
     assert safety.rasterized_pages(pages_, rects.limit(0)).count() == 0
     with pytest.raises(Exception, match="without a picture"):
         safety.rasterized_pages(pages_, rects, lambda c, b: b"").collect()
+
+
+def test_an_edit_looks_in_few_cells(spark):
+    schema = "id long, page long, text string, x double, y double"
+    rnd = random.Random(5)
+    place = lambda: rnd.choice([rnd.randint(-40, 40) * 1.25, rnd.uniform(-50, 50)])
+    edits = [(n, n % 3, "t", place(), place()) for n in range(400)] + [(900, 1, "t", None, 0.0), (901, 1, "t", float("inf"), 1.0), (902, 1, "t", float("nan"), 1.0)]
+    runs = [(n, n % 3, "t", place(), place()) for n in range(1000, 1600)]
+    near = {e[0]: [r[0] for r in runs if r[1] == e[1] and e[3] is not None and abs(e[3] - r[3]) <= 1.25 and abs(e[4] - r[4]) <= 1.25] for e in edits}
+    left, right = spark.createDataFrame(edits, schema), spark.createDataFrame(runs, schema)
+    name = lambda n: "source-not-found" if n == 0 else "matched" if n == 1 else "ambiguous-source"
+    found = {r.id: (r.status, r.run_id) for r in content.match_edits(left, right).collect()}
+    assert found == {e: (name(len(r)), r[0] if len(r) == 1 else None) for e, r in near.items()}
+    assert {s for s, _ in found.values()} == {"source-not-found", "matched", "ambiguous-source"}
+    looks, _, _ = content._band(left, right, 1.25)
+    assert looks.count() < 3 * len(edits) and looks.filter("own").count() == len(edits)
