@@ -120,18 +120,24 @@ def expand_occurrences(roots: DataFrame, edges: DataFrame, max_depth: int = 12,
     """
     hop = edges.select(F.col("src").alias("at"), "dst", "bytes", F.col("matrix").alias("_m"))
     unit = F.array(*[F.lit(float(v)) for v in (1, 0, 0, 1, 0, 0)])
-    met = checkpointed(roots.select(F.col("id").alias("root"), F.col("id").alias("at"), F.array("id").alias("path"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("bytes"), unit.alias("matrix"), F.lit(False).alias("loops")))
-    refused = roots.select(F.col("id").alias("root"), F.lit("").alias("reason")).limit(0)
+    front = checkpointed(roots.select(F.col("id").alias("root"), F.col("id").alias("at"), F.array("id").alias("path"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("bytes"), unit.alias("matrix"), F.lit(False).alias("loops")))
+    sums = front.groupBy("root").agg((F.count("*") - 1).alias("n"), F.lit(0).cast("long").alias("total"))
+    # Each pass writes the paths of its depth alone, and the sums of the roots that have any.
+    parts, refused = [front], roots.select(F.col("id").alias("root"), F.lit("").alias("reason")).limit(0)
     for depth in range(1, max_depth + 2):
-        front = met.filter(F.col("depth") == depth - 1).drop("bytes", "loops").join(refused, "root", "left_anti")
-        new = front.join(hop, "at").select("root", F.col("dst").alias("at"), F.array_append("path", F.col("dst")).alias("path"), F.lit(depth).alias("depth"), "bytes", compose("matrix", "_m").alias("matrix"), F.array_contains("path", F.col("dst")).alias("loops"))
-        met = checkpointed(met.unionByName(new))
-        if met.filter(F.col("depth") == depth).isEmpty():
+        new = front.drop("bytes", "loops").join(hop, "at").select("root", F.col("dst").alias("at"), F.array_append("path", F.col("dst")).alias("path"), F.lit(depth).alias("depth"), "bytes", compose("matrix", "_m").alias("matrix"), F.array_contains("path", F.col("dst")).alias("loops"))
+        new = checkpointed(new)
+        if new.isEmpty():
             break
-        so_far = met.groupBy("root").agg(F.max("depth").alias("deepest"), F.bool_or("loops").alias("loops"), (F.count("*") - 1).alias("n"), F.sum("bytes").alias("total"))
-        reason = F.when(F.col("loops"), "cycle").when(F.col("deepest") > max_depth, "depth").when(F.col("n") > max_count, "count").when(F.col("total") > max_bytes, "bytes")
-        bad = so_far.select("root", reason.alias("reason")).filter("reason is not null").join(refused, "root", "left_anti")
-        refused = checkpointed(refused.unionByName(bad))
+        parts.append(new)
+        here = new.groupBy("root").agg(F.bool_or("loops").alias("loops"), F.count("*").alias("_n"), F.sum("bytes").alias("_total"))
+        so_far = here.join(sums, "root").select("root", "loops", (F.col("n") + F.col("_n")).alias("n"), (F.col("total") + F.coalesce("_total", F.lit(0))).alias("total"))
+        reason = F.when(F.col("loops"), "cycle").when(F.lit(depth > max_depth), "depth").when(F.col("n") > max_count, "count").when(F.col("total") > max_bytes, "bytes")
+        so_far = checkpointed(so_far.withColumn("reason", reason))
+        bad = so_far.select("root", "reason").filter("reason is not null")
+        refused, sums = refused.unionByName(bad), so_far.filter("reason is null").select("root", "n", "total")
+        front = new.join(bad, "root", "left_anti")
+    met = reduce(DataFrame.unionAll, parts)
     counted = met.groupBy("root").agg((F.count("*") - 1).alias("occurrences")).join(refused, "root", "left")
     accepted = met.filter("depth > 0").join(refused, "root", "left_anti").select("root", "path", "depth", "matrix")
     return accepted, counted.select("root", F.when(F.col("reason").isNull(), F.col("occurrences")).alias("occurrences"), "reason")
