@@ -325,14 +325,18 @@ def glyph_coverage(texts: DataFrame, charsets: DataFrame) -> DataFrame:
     Distinct characters of a text first: the join's size is texts times alphabet, whatever their length. A null or
     empty text has no character, so the first tier holds it.
     """
-    chars = texts.select("doc_id", F.posexplode(F.array_distinct(F.split("text", ""))).alias("pos", "char")).filter("char <> ''")
+    each = F.array_distinct(F.split("text", ""))
+    chars = texts.select("doc_id", F.posexplode(each).alias("pos", "char")).filter("char <> ''")
     held = chars.join(charsets, "char", "left")
-    per_tier = held.groupBy("doc_id", "tier").agg(F.count("*").alias("n"), F.min_by("char", "pos").alias("char"))
-    total = chars.groupBy("doc_id").agg(F.count("*").alias("need"))
-    judged = per_tier.join(total, "doc_id").groupBy("doc_id").agg(F.min(F.when((F.col("n") == F.col("need")), F.col("tier"))).alias("tier"), F.max(F.when(F.col("tier").isNull(), F.col("char"))).alias("missing"))
+    # Place and code point in one number, so that groups are of a fixed size and are hashed, not sorted.
+    place = F.shiftleft(F.col("pos").cast("long"), 21) + F.ascii("char")
+    per_tier = held.groupBy("doc_id", "tier").agg(F.count("*").alias("n"), F.min(F.when(F.col("tier").isNull(), place)).alias("place"))
+    total = texts.groupBy("doc_id").agg(F.sum(F.size(F.filter(each, lambda c: c != ""))).alias("need"))
+    judged = per_tier.join(total, "doc_id").groupBy("doc_id").agg(F.min(F.when((F.col("n") == F.col("need")), F.col("tier"))).alias("tier"), F.min("place").alias("place"))
     lowest = charsets.agg(F.min("tier"))
     blank = F.coalesce(F.length("text"), F.lit(0)) == 0
-    return texts.select("doc_id", blank.alias("_blank")).join(judged, "doc_id", "left").select("doc_id", F.when(F.col("_blank"), lowest.scalar()).otherwise(F.col("tier")).alias("tier"), "missing")
+    missing = text_of(F.col("place").bitwiseAND((1 << 21) - 1)).alias("missing")
+    return texts.select("doc_id", blank.alias("_blank")).join(judged, "doc_id", "left").select("doc_id", F.when(F.col("_blank"), lowest.scalar()).otherwise(F.col("tier")).alias("tier"), missing)
 
 
 def text_of(code: Column) -> Column:

@@ -338,3 +338,11 @@ def test_an_edit_looks_in_few_cells(spark):
     assert {s for s, _ in found.values()} == {"source-not-found", "matched", "ambiguous-source"}
     looks, _, _ = content._band(left, right, 1.25)
     assert looks.count() < 3 * len(edits) and looks.filter("own").count() == len(edits)
+
+
+def test_coverage_keeps_no_text_in_its_groups(spark):
+    texts = spark.createDataFrame([(1, "abé😀z"), (2, "ab"), (3, None), (4, "b一a一"), (5, "")], "doc_id long, text string")
+    charsets = spark.createDataFrame([(0, "a"), (0, "b"), (1, "a"), (1, "b"), (1, "z"), (1, "é")], "tier int, char string")
+    covered = content.glyph_coverage(texts, charsets)
+    assert rows(covered) == sorted([(1, None, "😀"), (2, 0, None), (3, 0, None), (4, None, "一"), (5, 0, None)], key=repr)
+    assert "SortAggregate" not in covered._jdf.queryExecution().executedPlan().toString()
