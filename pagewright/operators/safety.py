@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import checkpointed
+from ..sources.store import checkpointed, new_folder
 from .graph import reachable
 
 #: Schemes of links that are kept, and named actions that are.
@@ -110,49 +111,136 @@ def redact_regions(blocks: DataFrame, rects: DataFrame) -> DataFrame:
     return told.withColumn("masked", masked).drop("_hit", "_page", "hides")
 
 
-def _grams(words: Column, n: int) -> Column:
-    """Hashes of all runs of ``n`` words, each once; the array is bound first, so that it is built once."""
-    return F.transform(F.array(words), lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.xxhash64(F.slice(t, i, n)))))[0]
-
-
 def _hex_forms(text: Column) -> Column:
     """The upper-case hexadecimal forms of a text: of its UTF-8 bytes, and of its UTF-16 units, each of two digits or more."""
     units = F.regexp_replace(F.hex(F.encode(text, "UTF-16BE")), r"\G(?:00(..)|0(...)|(....))", "$1$2$3")
     return F.array_distinct(F.array(F.hex(F.encode(text, "UTF-8")), units))
 
 
+#: A key's first 14 bits are its word in a bitmap, the next six its bit there.
 _WORD_BITS = 14
-
-
-def _bitmaps(forms: DataFrame) -> Column:
-    """The low bits of the keys of each ``no`` as an array of 2**_WORD_BITS longs, in order of ``no``: of one size, whatever the number of secrets."""
-    low = forms.select("no", F.shiftright("key", 6).bitwiseAND((1 << _WORD_BITS) - 1).alias("word"), F.expr("shiftleft(1L, CAST(key & 63 AS INT))").alias("bit"))
-    words = low.groupBy("no", "word").agg(F.bit_or("bit").alias("bits"))
-    maps = words.groupBy("no").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
-    full = F.transform(F.sequence(F.lit(0), F.lit((1 << _WORD_BITS) - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0)))
-    listed = maps.select("no", full.alias("bits")).agg(F.array_sort(F.collect_list(F.struct("no", "bits"))).alias("a"))
-    return listed.select(F.transform("a", lambda r: r["bits"]).alias("bits")).scalar()
-
-
-def _probes(streams: DataFrame, kinds: list[tuple[str, int]], bitmaps: Column) -> DataFrame:
-    """doc_id, th, no, key: what a text can meet a secret's key by, of each kind in one pass over the texts.
-
-    A key leaves its text only if its bit is set, so rows are in proportion to what is found, and not to the texts.
+#: So many bytes of text are hashed at a time, and so many from where a key was found are sent with it at most.
+_PART, _NEAR = 1 << 20, 64
+#: So many forms of secrets are sent to every task; more are shuffled.
+_FEW_FORMS = 100_000
+_BASE, _MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_BYTES = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
+#: Upper-case form of each byte, and whether that is no hexadecimal digit.
+_UPPER = np.array([c - 32 if c in b"abcdef" else c for c in range(256)], np.uint8)
+_NO_DIGIT = np.array([c not in b"0123456789ABCDEF" for c in range(256)])
+
+
+class _Hashes:
+    """Hashes of any run of bytes from sums over all bytes before it: each byte's number times a power of its place, divided by that power again."""
+
+    def __init__(self) -> None:
+        self.powers = self.inverse = np.empty(0, np.uint64)
+
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        if len(self.powers) <= len(data):
+            size = max(len(data) + 1, _PART + 1)
+            self.powers = np.cumprod(np.full(size, _BASE, np.uint64))
+            self.inverse = np.cumprod(np.full(size, pow(_BASE, -1, 2**64), np.uint64)) * np.uint64(_MIX)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTES[data] * self.powers[: len(data)], out=sums[1:])
+        return sums
+
+
+def _parts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, bytes and ends of the rows, of about ``_PART`` bytes at a time: a row stays whole."""
+    column = column.cast(pa.large_binary())
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+    low = 0
+    while low < len(column):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] + _PART, "right")) - 1)
+        yield low, data[ends[low] : ends[high]], ends[low + 1 : high + 1] - ends[low]
+        low = high
+
+
+def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with ``key``, the hash of all of ``piece``, in its place."""
+    hashes = _Hashes()
+    for batch in batches:
+        keys = [np.empty(0, np.uint64)]
+        for _, data, ends in _parts(batch.column("piece")):
+            sums, starts = hashes.sums(data), np.concatenate([[0], ends[:-1]])
+            keys.append((sums[ends] - sums[starts]) * hashes.inverse[starts])
+        rest = batch.drop_columns("piece")
+        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(np.concatenate(keys).view(np.int64))], names=[*rest.schema.names, "key"])
+
+
+def _bit_words(keys: DataFrame) -> DataFrame:
+    """no, word, bits: the first bits of the keys of each ``no``, of one size at most, whatever the number of keys."""
+    at = keys.select("no", F.shiftrightunsigned("key", 64 - _WORD_BITS).alias("word"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(key, {58 - _WORD_BITS}) & 63 AS INT))").alias("bit"))
+    return at.groupBy("no", "word").agg(F.bit_or("bit").alias("bits"))
+
+
+def _set_in(keys: DataFrame, key: Column) -> Column:
+    """Whether the bit of ``key`` is set by one of ``keys`` (no, key)."""
+    nothing = keys.sparkSession.range(1 << _WORD_BITS).select(F.lit(0).alias("no"), F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = _bit_words(keys).unionByName(nothing).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    bits = words.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("a")).select(F.col("a.bits").alias("bits")).scalar()
+    word, bit = F.shiftrightunsigned(key, 64 - _WORD_BITS).cast("int"), F.shiftrightunsigned(key, 58 - _WORD_BITS).bitwiseAND(63).cast("int")
+    return F.call_function("shiftright", F.get(bits, word), bit).bitwiseAND(1) == 1
+
+
+def _probes(streams: DataFrame, kinds: list[tuple[str, int, int]], keyed: DataFrame) -> DataFrame:
+    """doc_id, th, no, key, near: what a text can meet a secret's key by, of each kind in one pass over the texts.
+
+    A key leaves its text only if its bit is set, so rows are in proportion to what is found, and not to the texts. ``near`` is what stands there,
+    upper-case for digits: as many bytes as the forms of that kind are compared by. Of a text, equal ones are one row.
     """
-    split = streams.select("doc_id", "th", "stream", F.split("stream", " ").alias("words"), F.translate("stream", "abcdef", "ABCDEF").alias("digits"), bitmaps.alias("bitmaps"))
-    found = []
-    for no, (kind, n) in enumerate(kinds):
-        if kind == "words":
-            keys = F.when(F.size("words") >= n, _grams(F.col("words"), n)).otherwise(F.array().cast("array<bigint>"))
-        else:
-            # Looking ahead only, so that what is found overlaps.
-            form = f"(?=([0-9A-F]{{{n}}}))" if kind == "hex" else f"(?s)(?=(.{{{n}}}))"
-            keys = F.array_distinct(F.transform(F.regexp_extract_all("digits" if kind == "hex" else "stream", F.lit(form), 1), lambda s: F.xxhash64(s)))
-        bits = F.get("bitmaps", F.lit(no))
-        word = lambda k: F.shiftright(k, 6).bitwiseAND((1 << _WORD_BITS) - 1).cast("int")
-        set_ = lambda k: F.call_function("shiftright", F.get(bits, word(k)), k.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1  # noqa: B023, E731
-        found.append(F.transform(F.filter(keys, set_), lambda k: F.struct(F.lit(no).alias("no"), k.alias("key"))))  # noqa: B023
-    return split.select("doc_id", "th", F.explode(F.concat(*found)).alias("k")).select("doc_id", "th", "k.no", "k.key")
+    found = _bit_words(keyed).toArrow()  # 2**_WORD_BITS rows at most for each kind
+    maps = np.zeros((len(kinds), 1 << _WORD_BITS), np.int64)
+    maps[found.column("no").to_numpy(), found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    shared = streams.sparkSession.sparkContext.broadcast(maps)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        maps = [np.unpackbits(m.view(np.uint8), bitorder="little").view(bool) for m in shared.value]
+        shift = np.uint64(58 - _WORD_BITS)
+        for batch in batches:
+            for low, data, ends in _parts(batch.column("stream")):
+                plain, spaces, upper = hashes.sums(data), np.flatnonzero(data == 32), _UPPER[data]
+                digits = hashes.sums(upper)
+                others = np.concatenate([[0], np.cumsum(_NO_DIGIT[upper])])
+                for no, (kind, n, reach) in enumerate(kinds):
+                    if kind == "words":
+                        # Inner words stand between spaces.
+                        at, to = spaces[:-n] + 1, spaces[n:]
+                        key = (plain[to] - plain[at]) * hashes.inverse[at]
+                    elif kind == "hex":
+                        at = np.flatnonzero(others[n:] == others[:-n])
+                        to = at + n
+                        key = (digits[to] - digits[at]) * hashes.inverse[at]
+                    else:
+                        at = to = None
+                        key = (plain[n:] - plain[:-n]) * hashes.inverse[: max(0, len(plain) - n)]
+                    hit = np.flatnonzero(maps[no][key >> shift])
+                    key = key[hit]
+                    at, to = (hit, hit + n) if at is None else (at[hit], to[hit])
+                    lead = int(kind == "words")
+                    row = np.searchsorted(ends, at - lead, "right")
+                    inside = np.flatnonzero(to + lead <= ends[row])
+                    if not len(inside):
+                        continue
+                    at, key, row = at[inside], key[inside], row[inside]
+                    size = np.minimum(reach, ends[row] - at)
+                    source = np.concatenate([upper if kind == "hex" else data, np.zeros(reach, np.uint8)])
+                    near = np.lib.stride_tricks.sliding_window_view(source, reach)[at] if reach else np.empty((len(at), 0), np.uint8)
+                    near[np.arange(reach) >= size[:, None]] = 0
+                    told = np.hstack([np.stack([row, key.view(np.int64), size], 1).view(np.uint8), near])
+                    once = np.unique(np.ascontiguousarray(told).view(f"V{told.shape[1]}").ravel(), return_index=True)[1]
+                    near, size, row = near[once], size[once], pa.array(row[once] + low)
+                    starts = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                    near = near[np.arange(reach) < size[:, None]]
+                    near = pa.Array.from_buffers(pa.binary(), len(once), [None, pa.py_buffer(starts), pa.py_buffer(near)])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("th").take(row), pa.array(np.full(len(once), no, np.int32)), pa.array(key[once].view(np.int64)), near], names=["doc_id", "th", "no", "key", "near"])
+
+    kind = streams.schema["doc_id"].dataType.simpleString()
+    return streams.select("doc_id", "th", "stream").mapInArrow(run, f"doc_id {kind}, th long, no int, key long, near binary")
 
 
 def leak_scan(outputs: DataFrame, secrets: DataFrame, words: int = 8, characters: int = 8) -> DataFrame:
@@ -160,13 +248,13 @@ def leak_scan(outputs: DataFrame, secrets: DataFrame, words: int = 8, characters
 
     A text that holds a secret holds its inner words whole, so texts and secrets meet on a hash of the first ``words`` of
     these, or of all of a secret that has fewer. Secrets of one or two words have no inner word: these and texts
-    meet on a hash of the first ``characters`` characters. The hexadecimal form of a secret may begin at any digit, so
+    meet on a hash of the first ``characters`` bytes. The hexadecimal form of a secret may begin at any digit, so
     texts and forms meet on each run of ``HEX_KEY`` digits (or of all digits of a shorter form). There is no limit to
     the number of secrets of any kind.
 
-    Only ids and hashes go through that join, and of these only what a bitmap of all secrets' keys lets through: the bitmaps are sent to
-    the tasks first, one of a fixed size for each kind of key. The pairs found are made distinct, and then each text is joined
-    once with its own and searched.
+    Only ids, hashes and the next ``_NEAR`` bytes go through that join, and of these only what a bitmap of all secrets' keys lets through: the
+    bitmaps are sent to the tasks first, one of a fixed size for each kind of key. These bytes show a form that is no longer, and tell
+    most others apart. The pairs left over are made distinct, and then each text that has one is joined once with its own and searched.
     """
     streams = outputs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.col("text").alias("stream"))
     split = F.split("text", " ")
@@ -174,24 +262,34 @@ def leak_scan(outputs: DataFrame, secrets: DataFrame, words: int = 8, characters
     inner = F.slice(split, 2, F.greatest(F.lit(0), F.size(split) - 2))
     plain = known.select("item_id", F.col("text").alias("secret"), F.lit(False).alias("hexed"), inner.alias("inner"))
     n_words = F.least(F.size("inner"), F.lit(words))
-    n_chars = F.least(F.length("secret"), F.lit(characters))
-    plain = plain.select("item_id", "secret", "hexed", F.when(n_words > 0, "words").otherwise("characters").alias("kind"), F.when(n_words > 0, n_words).otherwise(n_chars).alias("n"), "inner")
-    plain = plain.withColumn("key", F.when(F.col("kind") == "words", F.xxhash64(F.slice("inner", F.lit(1), F.greatest(F.col("n"), F.lit(1))))).otherwise(F.xxhash64(F.substr("secret", F.lit(1), F.col("n"))))).drop("inner")
-    hexed = known.select("item_id", F.explode(_hex_forms(F.col("text"))).alias("secret")).select("item_id", "secret", F.lit(True).alias("hexed"), F.lit("hex").alias("kind"), F.least(F.length("secret"), F.lit(HEX_KEY)).alias("n"))
-    hexed = hexed.withColumn("key", F.xxhash64(F.substr("secret", F.lit(1), F.col("n"))))
-    forms = checkpointed(plain.unionByName(hexed).withColumn("form", F.xxhash64("item_id", "secret", "hexed")))
+    n_bytes = F.least(F.octet_length("secret"), F.lit(characters))
+    plain = plain.select("item_id", "secret", "hexed", F.when(n_words > 0, "words").otherwise("characters").alias("kind"), F.when(n_words > 0, n_words).otherwise(n_bytes).alias("n"), "inner")
+    hexed = known.select("item_id", F.explode(_hex_forms(F.col("text"))).alias("secret")).select("item_id", "secret", F.lit(True).alias("hexed"), F.lit("hex").alias("kind"), F.least(F.length("secret"), F.lit(HEX_KEY)).alias("n"), F.lit(None).cast("array<string>").alias("inner"))
+    # What is compared begins where the key does: after the first word if there are inner ones.
+    by_words = F.col("kind") == "words"
+    tail = F.when(by_words, F.substr("secret", F.instr("secret", " ") + 1)).otherwise(F.col("secret")).cast("binary")
+    piece = F.when(by_words, F.array_join(F.slice("inner", F.lit(1), F.greatest(F.col("n"), F.lit(1))), " ").cast("binary")).otherwise(F.substr(F.col("secret").cast("binary"), F.lit(1), F.col("n")))
+    forms = plain.unionByName(hexed).withColumns({"form": F.xxhash64("item_id", "secret", "hexed"), "head": F.substr(tail, F.lit(1), F.lit(_NEAR)), "sure": ~by_words & (F.octet_length("secret") <= _NEAR), "piece": piece}).drop("inner")
+    kind = secrets.schema["item_id"].dataType.simpleString()
+    forms = checkpointed(forms.mapInArrow(_with_keys, f"item_id {kind}, secret string, hexed boolean, kind string, n int, form long, head binary, sure boolean, key long"))
     # At most words + characters + HEX_KEY kinds of key, whatever the number of secrets.
-    kinds = sorted((r.kind, r.n) for r in forms.select("kind", "n").distinct().collect())
+    told = sorted(forms.groupBy("kind", "n").agg(F.max(F.octet_length("head")), F.count("*")).collect())
+    kinds = [(r[0], r[1], r[2]) for r in told]
     if not kinds:
         return outputs.select("doc_id").limit(0).join(secrets.select("item_id").limit(0), F.lit(True), "inner")
     number = reduce(lambda c, k: c.when((F.col("kind") == k[1][0]) & (F.col("n") == k[1][1]), k[0]), enumerate(kinds), F.when(F.lit(False), 0))
-    keyed = forms.select(number.alias("no"), "key", "form")
-    met = _probes(streams, kinds, _bitmaps(keyed)).join(keyed, ["no", "key"]).select("doc_id", "th", "form")
-    pairs = checkpointed(met.distinct()).join(forms.select("form", "item_id", "secret", "hexed"), "form")
-    texts = streams.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "stream")
+    keyed = forms.select(number.alias("no"), "key", "form", "item_id", "head", "sure")
+    probes = _probes(streams, kinds, keyed)
+    near = probes.join(F.broadcast(keyed) if sum(r[3] for r in told) <= _FEW_FORMS else keyed, ["no", "key"]).filter(F.startswith("near", "head"))
+    near = near.select("doc_id", "th", "form", "item_id", "sure")
+    near.write.parquet(folder := new_folder(outputs.sparkSession, "met"))
+    met = outputs.sparkSession.read.schema(near.schema).parquet(folder)
+    open_ = met.filter("not sure")
+    pairs = open_.select("doc_id", "th", "form").distinct().join(forms.select("form", "item_id", "secret", "hexed"), "form")
+    texts = streams.filter(_set_in(open_.select(F.lit(0).alias("no"), F.col("th").alias("key")), F.col("th"))).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "stream")
     both = pairs.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
     holds = F.when(F.col("hexed"), F.contains(F.translate("stream", "abcdef", "ABCDEF"), F.col("secret"))).otherwise(F.contains("stream", "secret"))
-    return both.filter(holds).select("doc_id", "item_id").distinct()
+    return met.filter("sure").select("doc_id", "item_id").unionAll(both.filter(holds).select("doc_id", "item_id")).distinct()
 
 
 def scheme(uri: Column) -> Column:

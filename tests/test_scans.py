@@ -191,6 +191,46 @@ def test_leak_scan_sends_what_is_found(spark):
     assert keys[0].count() < 200
 
 
+def _hex_forms(secret):
+    raw = secret.encode("utf-16-be")
+    units = [raw[i : i + 2].hex().upper() for i in range(0, len(raw), 2)]
+    return {secret.encode().hex().upper(), "".join(u[2:] if u[:2] == "00" else u[1:] if u[0] == "0" else u for u in units)}
+
+
+def test_leak_scan_of_secrets_that_begin_alike(spark, monkeypatch):
+    """Secrets with one key between them meet a text by what stands there: no pair is kept that is not found in the end."""
+    secrets = [(i, f"NATION_{i}") for i in range(25)] + [(100 + i, f"PASSWORD{i}") for i in range(25)]
+    texts = [(i, f"1-URGENT{f'NATION_{i % 25}'.encode().hex()}O") for i in range(200)] + [(200 + i, f"a PASSWORD{i % 25} b") for i in range(200)]
+    held = sorted(((d, i) for d, t in texts for i, s in secrets if s in t or any(h in t.upper() for h in _hex_forms(s))), key=repr)
+    kept, folders = [], []
+    monkeypatch.setattr(safety, "checkpointed", lambda df, real=safety.checkpointed: (kept.append(real(df)), kept[-1])[1])
+    monkeypatch.setattr(safety, "new_folder", lambda *a, real=getattr(safety, "new_folder", None): (folders.append(real(*a)), folders[-1])[1], raising=False)
+    found = safety.leak_scan(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(secrets, "item_id long, text string"))
+    assert rows(found) == held
+    pairs = [df for df in [*kept, *map(spark.read.parquet, folders)] if {"doc_id", "form"} <= set(df.columns)]
+    assert sum(df.count() for df in pairs) == len(held)
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_leak_scan_finds_what_plain_search_does(spark, monkeypatch, few):
+    """More text than is hashed at a time, in one task; empty words, marks of several bytes, cut forms, and secrets longer than what is sent along."""
+    monkeypatch.setattr(safety, "_FEW_FORMS", few)
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abé日😀\n0") for _ in range(rnd.choice((0, 1, 1, 2, 3))))
+    text = lambda n: " ".join(word() for _ in range(n))
+    secrets = [(i, text(rnd.choice((1, 1, 2, 3, 3, 4, 9, 11, 40)))) for i in range(150)] + [(150, None), (151, ""), (152, " "), (153, "  "), (154, "   "), (155, "x" * 64), (156, "x" * 65)]
+    texts = []
+    for i in range(600):
+        inside = rnd.choice(secrets)[1] or ""
+        form = rnd.choice(sorted(_hex_forms(inside)))
+        inside = rnd.choice((inside, inside[1:], inside[:-1], form, form.lower(), form[:-1], "f" + form))
+        texts.append((i if i % 50 else None, text(rnd.randrange(12)) + inside + text(rnd.randrange(12))))
+    texts += [(1000, None), (1001, ""), (1002, " "), (1003, "   "), (1004, "z " * 700_000 + "x" * 65), (1005, "x" * 64), (1005, "x" * 65), (1006, "7" * 500_000)]
+    held = {(d, i) for d, t in texts if t for i, s in secrets if s and (s in t or any(h in t.translate(str.maketrans("abcdef", "ABCDEF")) for h in _hex_forms(s)))}
+    found = safety.leak_scan(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), spark.createDataFrame(secrets, "item_id long, text string"))
+    assert rows(found) == sorted(held, key=repr)
+
+
 def test_redacted_pages_hold_no_secret(spark):
     blocks = spark.createDataFrame([(p, f"SECRET of page {p}") for p in range(20)] + [(p, "plain") for p in range(20)], "page long, text string")
     rects = spark.createDataFrame([(p,) for p in range(0, 20, 3)], "page long")
