@@ -13,6 +13,7 @@ from .scan import laid_out, running
 
 TOLERANCE = 1.25
 _CELL = 4
+_FEW = 256
 
 
 def text_blocks(docs: DataFrame, mark: str = ".", size: float = 12.0) -> DataFrame:
@@ -322,26 +323,37 @@ def bucket_mode(samples: DataFrame, by: str, order: list[str], steps: int = 32,
 def glyph_coverage(texts: DataFrame, charsets: DataFrame) -> DataFrame:
     """doc_id, the first tier whose charset holds every character, and otherwise the first character that no tier holds.
 
-    Distinct characters of a text first: the join's size is texts times alphabet, whatever their length. A null or
-    empty text has no character, so the first tier holds it.
+    One row for each id, null too; texts with one id count as one, and of what is missing in several the character that comes first in its
+    own text is named, of two in the same place that of the lower code. Distinct characters of a text first: the join's size is texts times
+    alphabet, whatever their length. Null and empty texts have no character, so the first tier holds them.
     """
-    each = F.array_distinct(F.split("text", ""))
-    chars = texts.select("doc_id", F.posexplode(each).alias("pos", "char")).filter("char <> ''")
-    held = chars.join(charsets, "char", "left")
+    code = lambda c: F.ascii(c).cast("long")
+    low = lambda v, bits: v.bitwiseAND((1 << bits) - 1)
+    chars = F.split(F.coalesce("text", F.lit("")), "")
+    each = texts.select("doc_id", "text", F.filter(F.array_distinct(chars), lambda c: c != "").alias("each"))
+    # A few characters are sought in the text one by one; where they are many, all are sorted and the first of each stays.
+    by_code = F.when(F.size("each") > _FEW, F.sort_array(F.transform(chars, lambda c, i: F.shiftleft(code(c), 32) + i + 1)))
+    each = each.select("*", by_code.alias("all"))
+    first = F.filter("all", lambda v, i: (i == 0) | (F.shiftright(v, 32) > F.shiftright(F.get("all", i - 1), 32)))
     # Place and code point in one number, so that groups are of a fixed size and are hashed, not sorted.
-    place = F.shiftleft(F.col("pos").cast("long"), 21) + F.ascii("char")
-    per_tier = held.groupBy("doc_id", "tier").agg(F.count("*").alias("n"), F.min(F.when(F.col("tier").isNull(), place)).alias("place"))
-    total = texts.groupBy("doc_id").agg(F.sum(F.size(F.filter(each, lambda c: c != ""))).alias("need"))
-    judged = per_tier.join(total, "doc_id").groupBy("doc_id").agg(F.min(F.when((F.col("n") == F.col("need")), F.col("tier"))).alias("tier"), F.min("place").alias("place"))
+    few = F.transform("each", lambda c: F.shiftleft(F.instr("text", c).cast("long"), 21) + code(c))
+    many = F.transform(first, lambda v: F.shiftleft(low(v, 32), 21) + F.shiftright(v, 32))
+    # One more number, not above zero, says how many characters a text has.
+    places = F.array_append(F.when(F.col("all").isNull(), few).otherwise(many), -F.size("each").cast("long"))
+    rows = each.select("doc_id", F.explode(places).alias("place")).withColumn("code", F.when(F.col("place") > 0, low(F.col("place"), 21)))
+    tiers = charsets.filter("length(char) = 1").select(code("char").alias("code"), "tier").distinct()
+    unheld = F.when(F.col("tier").isNull() & (F.col("place") > 0), F.col("place"))
+    per_tier = rows.join(tiers, "code", "left").groupBy("doc_id", "tier").agg(F.count("code").alias("n"), F.min(unheld).alias("place"), F.sum(F.when(F.col("place") <= 0, -F.col("place")).otherwise(0)).alias("need"))
+    counted = per_tier.withColumn("need", F.sum("need").over(Window.partitionBy("doc_id")))
+    judged = counted.groupBy("doc_id").agg(F.min(F.when(F.col("n") == F.col("need"), F.col("tier"))).alias("tier"), F.min("place").alias("place"), F.max("need").alias("need"))
     lowest = charsets.agg(F.min("tier"))
-    blank = F.coalesce(F.length("text"), F.lit(0)) == 0
-    missing = text_of(F.col("place").bitwiseAND((1 << 21) - 1)).alias("missing")
-    return texts.select("doc_id", blank.alias("_blank")).join(judged, "doc_id", "left").select("doc_id", F.when(F.col("_blank"), lowest.scalar()).otherwise(F.col("tier")).alias("tier"), missing)
+    return judged.select("doc_id", F.when(F.col("need") == 0, lowest.scalar()).otherwise(F.col("tier")).alias("tier"), text_of(low(F.col("place"), 21)).alias("missing"))
 
 
 def text_of(code: Column) -> Column:
     """The character of a code point."""
-    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    # Decoding takes a first U+FEFF for a byte order mark, also where it is the character.
+    return F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(code), 8, "0"))), "UTF-32")
 
 
 def expand_ranges(ranges: DataFrame, max_codes: int = 20_000) -> DataFrame:

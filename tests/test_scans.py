@@ -3,10 +3,12 @@
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from pagewright.operators import admission, content, graph, history, layout, pages, safety, scan
+from pagewright.plans import ORACLE_SQL, QUERIES
 
 
 def rows(df):
@@ -380,6 +382,26 @@ def test_an_edit_looks_in_few_cells(spark):
     assert looks.count() < 3 * len(edits) and looks.filter("own").count() == len(edits)
 
 
+def test_coverage_of_odd_documents_is_that_of_sql(spark, tmp_path):
+    rnd = random.Random(5)
+    odd = [(1, None), (2, ""), (3, "a\ufeffb"), (4, "\0"), (5, "é\0"), (6, "日\0"), (7, None), (7, "aé"), (8, None), (8, ""), (9, "aaaaaaa日"), (9, "abc本"), (10, "ab"), (10, "ab"), (None, "aaa日"), (None, "ab"), (11, "\n"), (12, "õ"), (13, "ö")]
+    odd += [(n, "".join(rnd.choices("ab \n\t\0\x7f\x80éõöİ\ufeff\u200b\u0301日本😀\U0010ffff", k=rnd.randint(0, 12)))) for n in range(100, 500)]
+    path = str(tmp_path / "documents.parquet")
+    duckdb.from_arrow(spark.createDataFrame(odd, "doc_id long, text string").toArrow()).write_parquet(path)
+    con = duckdb.connect()
+    con.read_parquet(path).create_view("documents")
+    theirs = con.sql(ORACLE_SQL["c13_glyph_coverage"]).select("doc_id, tier, missing").fetchall()
+    assert rows(QUERIES["c13_glyph_coverage"](spark, str(tmp_path)).select("doc_id", "tier", "missing")) == sorted(theirs, key=repr)
+
+
+def test_coverage_of_texts_of_many_characters(spark):
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    held = [(0, c) for c in every[:128]] + [(1, c) for c in every[0x4E00:0x9E00]] + [(0, "a"), (1, "日本")]
+    texts = [(1, every), (2, every[::-1]), (3, every[0x4E00:0x9E00] * 2), (4, "a" * 300 + every), (4, every[0x100:0x300] + "a"), (5, "b" + every[0x4E00:0x9E00]), (None, None), (None, "a")]
+    found = content.glyph_coverage(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(held, "tier int, char string"))
+    assert rows(found) == sorted([(1, None, "\x80"), (2, None, "\U0010ffff"), (3, 1, None), (4, None, "\u0100"), (5, None, None), (None, 0, None)], key=repr)
+
+
 def test_coverage_keeps_no_text_in_its_groups(spark):
     texts = spark.createDataFrame([(1, "abé😀z"), (2, "ab"), (3, None), (4, "b一a一"), (5, "")], "doc_id long, text string")
     charsets = spark.createDataFrame([(0, "a"), (0, "b"), (1, "a"), (1, "b"), (1, "z"), (1, "é")], "tier int, char string")
